@@ -78,7 +78,7 @@ def count_tokens(batch: list[str], path: str, memo: dict[str, int]) -> list[int]
     if len(memo) > KEPT:
         memo.clear()
     pieces = [SAFE.split(t) for t in batch]
-    fresh = list(set().union(*pieces) - memo.keys())
+    fresh = [p for p in set().union(*pieces) if p not in memo]
     for a, b in balanced([len(p) for p in fresh], BATCH):
         memo.update(zip(fresh[a:b], count(fresh[a:b])))
     return [sum(map(memo.__getitem__, p)) for p in pieces]
