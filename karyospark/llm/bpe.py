@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import balanced, bound_batches, table, texts
 from .token_counts import vocabulary
 
-#: A white space is a cut where the top bits of the hash of the eight bytes before it are zero: one in 64.
-CUT_BITS = 6
+#: A white space is a cut where the top bits of the hash of the eight bytes before it are zero: one in 128.
+CUT_BITS = 7
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WINDOW = 8
 #: Bytes of the texts handled at a time, of the chunks kept, and words and seams kept.
@@ -34,6 +34,10 @@ BATCH = 4 << 20
 KEPT_BYTES = 48 << 20
 KEPT_WORDS = 300_000
 KEPT_SEAMS = 100_000
+#: Marks that are tokens apart from letters before them, and the bytes of words encoded at a time.
+PLAIN = b".,!?;:"
+EMPTY = (b"", "")
+BLOCK = 1 << 15
 
 
 def cuts(raw: bytes) -> list[int]:
@@ -68,6 +72,9 @@ class Encoder:
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
         self.seams: dict[tuple[bytes, bytes], bool] = {}
         self.size = 0
+        names = sorted(self.model.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.last = np.zeros(names[-1][1] + 1, bool)
+        self.last[[i for x, i in names if x.endswith("</w>")]] = True
         self.encoded = 0
         self.reused = 0
 
@@ -78,9 +85,40 @@ class Encoder:
         return [(np.array(i, "<u4").tobytes(), t) for i, t in zip(ids, self.model.decode_batch(ids, skip_special_tokens=False))]
 
     def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self.words]
-        for a, b in balanced([len(w) for w in fresh], BATCH):
-            self.words.update(zip(fresh[a:b], self.directly(fresh[a:b])))
+        """Encodes words not yet known.
+
+        A word's letters and the plain marks after them are tokens apart. Letter runs differ by case only
+        for people, and many are encoded at a time: each gives exactly one token that ends a word, which
+        parts them again; where the number of those is another one, and for all other words, the library
+        gets each word by itself.
+        """
+        fresh = [(w, c, w[len(c) :]) for w in words if w not in self.words for c in (w.rstrip(PLAIN),)]
+        runs = {c.lower() for _, c, _ in fresh} | {m for _, _, m in fresh}
+        runs = [r for r in runs if r and r not in self.words]
+        letters = [r for r in runs if r.isalpha() or r.decode("utf-8", "surrogatepass").isalpha()]
+        self.alone([r for r in {m for _, _, m in fresh} if r and r not in self.words])
+        for a, b in balanced([len(r) + 1 for r in letters], BLOCK):
+            block = letters[a:b]
+            ids, told = self.directly([b" ".join(block)])[0]
+            ends = np.flatnonzero(self.last[np.frombuffer(ids, "<u4")]) + 1
+            if len(ends) != len(block):
+                self.alone(block)
+                continue
+            token, at = told.split(" "), ends.tolist()
+            self.words.update((w, (ids[4 * i : 4 * j], " ".join(token[i:j]))) for w, i, j in zip(block, [0, *at], at))
+        rest = []
+        for w, c, m in fresh:
+            x = self.words.get(c.lower()) if c else EMPTY
+            y = self.words[m] if m else EMPTY
+            if x is None or w in self.words:
+                rest.append(w)
+            else:
+                self.words[w] = (x[0] + y[0], " ".join(filter(None, (x[1], y[1]))))
+        self.alone([w for w in rest if w not in self.words])
+
+    def alone(self, words: list[bytes]) -> None:
+        for a, b in balanced([len(w) for w in words], BATCH):
+            self.words.update(zip(words[a:b], self.directly(words[a:b])))
 
     def compose(self, chunk: bytes) -> tuple[bytes, str]:
         """A chunk's ids and decoded text from its words, which white space keeps apart."""

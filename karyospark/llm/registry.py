@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality_model, quality_rules, secrets, simhash, token_counts
+from . import bpe, langid, quality_model, quality_rules, secrets, simhash, token_counts
 
-MODULES = (simhash, quality_model, secrets, langid, token_counts, quality_rules)
+MODULES = (simhash, quality_model, bpe, secrets, langid, token_counts, quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
