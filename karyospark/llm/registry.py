@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, quality_model, quality_rules, secrets, simhash, token_counts
+from . import bpe, decontaminate, langid, licenses, quality_model, quality_rules, secrets, simhash, token_counts
 
-MODULES = (simhash, quality_model, bpe, secrets, langid, licenses, token_counts, quality_rules)
+MODULES = (simhash, quality_model, bpe, secrets, langid, licenses, token_counts, quality_rules, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
