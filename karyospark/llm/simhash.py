@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, bound_batches, checkpoint, table, texts
+from .common import bound_batches, checkpoint, row_key, table, texts
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
@@ -244,21 +244,19 @@ def components(edges: DataFrame) -> DataFrame:
         now = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def near_groups(docs: DataFrame, plan: Plan, *keep: str) -> DataFrame:
-    """Every row's kept columns, signatures, nid (its signature's node) and root (smallest linked node).
+def near_tree(docs: DataFrame, plan: Plan, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Every row's kept columns, signatures and nid (its signature's node), and (node, root) of linked nodes.
 
     Null and empty texts have the zero signature and link like any other; repeated rows and equal
     signatures are one node. Nulls in the kept columns stay.
     """
     n = plan.verify[1] + (plan.index[1] if plan.index else 0)
     signed = signatures(docs, plan, *keep)
-    marks = [c for c in signed.columns[len(keep) :]][:n]
+    marks = signed.columns[len(keep) :]
     nid = F.col("v0") if n == 1 else F.xxhash64(*marks)
     signed = checkpoint(signed.withColumn("nid", nid))
     nodes = signed.groupBy("nid").agg(*[F.first(c).alias(c) for c in marks])
-    tree = components(links(nodes, plan))
-    roots = signed.join(tree, signed["nid"] == tree["node"], "left")
-    return roots.select(*[signed[c] for c in signed.columns], F.coalesce("root", "nid").alias("root"))
+    return signed, components(links(nodes, plan))
 
 
 def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
@@ -266,17 +264,13 @@ def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
 
     A null doc_id takes part; its component's smallest non-null id counts, null if there is none.
     """
-    rows = near_groups(docs, plan, "doc_id")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    signed, tree = near_tree(docs, plan, "doc_id")
+    nodes = signed.groupBy("nid").agg(F.min("doc_id").alias("least"))
+    roots = nodes.join(tree, nodes["nid"] == tree["node"], "left").select("nid", "least", F.coalesce("root", "nid").alias("root"))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = checkpoint(roots.join(least, "root").select(F.col("nid").alias("node"), "component_id"))
     made = F.lower(F.concat(*[F.lpad(F.hex(f"v{k}"), 16, "0") for k in range(plan.verify[1])]))
-    return rows.join(least, "root").select("doc_id", made.alias("fingerprint"), "component_id")
-
-
-def row_key(docs: DataFrame) -> list[Column]:
-    """Two longs that identify a row by id and text: key_id, and key_text whose lowest bit marks a null id."""
-    mark = F.xxhash64(docs["text"], docs["doc_id"])
-    mark = F.shiftleft(F.shiftrightunsigned(mark, 1), 1) + docs["doc_id"].isNull().cast("bigint")
-    return [F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0).cast("bigint")).alias("key_id"), mark.alias("key_text")]
+    return signed.join(named, signed["nid"] == named["node"]).select("doc_id", made.alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
@@ -286,9 +280,11 @@ def keep_one_of_each(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
     Of equal rows (id and text) one stays. Kept rows are settled on keys alone; texts join them once.
     """
     marked = docs.select("*", *row_key(docs))
-    rows = near_groups(marked, plan, "key_id", "key_text")
+    signed, tree = near_tree(marked, plan, "key_id", "key_text")
     # ids order first, null ones last (their key_text holds it); of equal ids the smaller text hash
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("key_text").bitwiseAND(1), "key_id", "key_text")).alias("best"))
+    least = F.min(F.struct(F.col("key_text").bitwiseAND(1), "key_id", "key_text")).alias("best")
+    nodes = signed.groupBy("nid").agg(least)
+    best = nodes.join(tree, nodes["nid"] == tree["node"], "left").groupBy(F.coalesce("root", "nid")).agg(F.min("best").alias("best"))
     winners = best.select(F.col("best.key_id").alias("kept_id"), F.col("best.key_text").alias("kept_text")).distinct()
     chosen = marked.join(winners, (marked["key_id"] == F.col("kept_id")) & (marked["key_text"] == F.col("kept_text")), "left_semi")
     return chosen.dropDuplicates(["key_id", "key_text"]).drop("key_id", "key_text")
