@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, table, texts
+from .common import bound_batches, checkpoint, row_key, table, texts
 
 # Patterns of the base kinds and the lengths that their matches need.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -131,6 +131,33 @@ def judged(docs: DataFrame, repository: str = "doc_id", owner: str = "source", c
     return rows.select(*keep, "base", F.coalesce("live", F.array().cast(f"array<{SPAN}>")).alias("live"), F.coalesce("n_live", none).alias("n_live"), F.coalesce("n_copied", none).alias("n_copied"), F.coalesce("most_owners", none).alias("most_owners"))
 
 
+def redacted(docs: DataFrame, copied: int = COPIED, mark: str = "[secret]") -> DataFrame:
+    """The rows of docs with every live-looking value, base or wider, replaced by the mark; n_chars follows.
+
+    Values that many owners hold are copied examples and stay. No row goes; repeated rows stay repeated. Spans come from
+    the scan on keys of id and text, and join the texts once.
+    """
+    keys = row_key(docs)
+    marked = docs.select("*", *keys)
+    found = checkpoint(scan(marked, "doc_id", "source", "key_id", "key_text"))
+    owned = ownership(found, "doc_id", "source").where(F.col("n_owners") < copied).select("h")
+    held = found.where((F.size("base") > 0) | (F.size("wider") > 0)).dropDuplicates(["key_id", "key_text"])
+    each = held.select("key_id", "key_text", F.explode(F.concat("base", "wider")).alias("x")).select("key_id", "key_text", "x", F.col("x.h").alias("h"))
+    spans = each.join(owned, "h").groupBy("key_id", "key_text").agg(F.sort_array(F.collect_list(F.struct("x.s", "x.e"))).alias("spans"))
+    spans = checkpoint(spans.withColumnsRenamed({"key_id": "span_id", "key_text": "span_text"}))
+    rows = marked.join(spans, (marked["key_id"] == spans["span_id"]) & (marked["key_text"] == spans["span_text"]), "left")
+    # spans in order: what lies before each is kept, a span within what is already covered adds nothing
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    gap = lambda a, x: F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"])
+    step = lambda a, x: F.when(x["s"] < a["at"], F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))).otherwise(F.struct(x["e"].alias("at"), F.concat(a["out"], gap(a, x), F.lit(mark)).alias("out")))
+    done = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", first, step, done))
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
 def written(spans) -> F.Column:
     """Spans as text, kind:start:end by start and then kind."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
