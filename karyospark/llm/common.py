@@ -62,7 +62,7 @@ def row_key(docs: DataFrame) -> list[Column]:
     """Two longs that identify a row by id and text: key_id, and key_text whose lowest bit marks a null id."""
     mark = F.xxhash64(docs["text"], docs["doc_id"])
     mark = F.shiftleft(F.shiftrightunsigned(mark, 1), 1) + docs["doc_id"].isNull().cast("bigint")
-    return [F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0).cast("bigint")).alias("key_id"), mark.alias("key_text")]
+    return [F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0).cast("bigint")).alias("__key_id"), mark.alias("__key_text")]
 
 
 def batch_of(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:

@@ -139,22 +139,22 @@ def redacted(docs: DataFrame, copied: int = COPIED, mark: str = "[secret]") -> D
     """
     keys = row_key(docs)
     marked = docs.select("*", *keys)
-    found = checkpoint(scan(marked, "doc_id", "source", "key_id", "key_text"))
+    found = checkpoint(scan(marked, "doc_id", "source", "__key_id", "__key_text"))
     owned = ownership(found, "doc_id", "source").where(F.col("n_owners") < copied).select("h")
-    held = found.where((F.size("base") > 0) | (F.size("wider") > 0)).dropDuplicates(["key_id", "key_text"])
-    each = held.select("key_id", "key_text", F.explode(F.concat("base", "wider")).alias("x")).select("key_id", "key_text", "x", F.col("x.h").alias("h"))
-    spans = each.join(owned, "h").groupBy("key_id", "key_text").agg(F.sort_array(F.collect_list(F.struct("x.s", "x.e"))).alias("spans"))
-    spans = checkpoint(spans.withColumnsRenamed({"key_id": "span_id", "key_text": "span_text"}))
-    rows = marked.join(spans, (marked["key_id"] == spans["span_id"]) & (marked["key_text"] == spans["span_text"]), "left")
+    held = found.where((F.size("base") > 0) | (F.size("wider") > 0)).dropDuplicates(["__key_id", "__key_text"])
+    each = held.select("__key_id", "__key_text", F.explode(F.concat("base", "wider")).alias("x")).select("__key_id", "__key_text", "x", F.col("x.h").alias("h"))
+    spans = each.join(owned, "h").groupBy("__key_id", "__key_text").agg(F.sort_array(F.collect_list(F.struct("x.s", "x.e"))).alias("__spans"))
+    spans = checkpoint(spans.withColumnsRenamed({"__key_id": "__span_id", "__key_text": "__span_text"}))
+    rows = marked.join(spans, (marked["__key_id"] == spans["__span_id"]) & (marked["__key_text"] == spans["__span_text"]), "left")
     # spans in order: what lies before each is kept, a span within what is already covered adds nothing
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     gap = lambda a, x: F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"])
     step = lambda a, x: F.when(x["s"] < a["at"], F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))).otherwise(F.struct(x["e"].alias("at"), F.concat(a["out"], gap(a, x), F.lit(mark)).alias("out")))
     done = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", first, step, done))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", first, step, done))
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

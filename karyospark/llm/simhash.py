@@ -280,14 +280,14 @@ def keep_one_of_each(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
     Of equal rows (id and text) one stays. Kept rows are settled on keys alone; texts join them once.
     """
     marked = docs.select("*", *row_key(docs))
-    signed, tree = near_tree(marked, plan, "key_id", "key_text")
+    signed, tree = near_tree(marked, plan, "__key_id", "__key_text")
     # ids order first, null ones last (their key_text holds it); of equal ids the smaller text hash
-    least = F.min(F.struct(F.col("key_text").bitwiseAND(1), "key_id", "key_text")).alias("best")
+    least = F.min(F.struct(F.col("__key_text").bitwiseAND(1), "__key_id", "__key_text")).alias("best")
     nodes = signed.groupBy("nid").agg(least)
     best = nodes.join(tree, nodes["nid"] == tree["node"], "left").groupBy(F.coalesce("root", "nid")).agg(F.min("best").alias("best"))
-    winners = best.select(F.col("best.key_id").alias("kept_id"), F.col("best.key_text").alias("kept_text")).distinct()
-    chosen = marked.join(winners, (marked["key_id"] == F.col("kept_id")) & (marked["key_text"] == F.col("kept_text")), "left_semi")
-    return chosen.dropDuplicates(["key_id", "key_text"]).drop("key_id", "key_text")
+    winners = best.select(F.col("best.__key_id").alias("__kept_id"), F.col("best.__key_text").alias("__kept_text")).distinct()
+    chosen = marked.join(winners, (marked["__key_id"] == F.col("__kept_id")) & (marked["__key_text"] == F.col("__kept_text")), "left_semi")
+    return chosen.dropDuplicates(["__key_id", "__key_text"]).drop("__key_id", "__key_text")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
