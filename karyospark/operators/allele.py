@@ -99,7 +99,9 @@ def allele_models(segments: DataFrame, purity: float) -> DataFrame:
     """
     keep = ["chr_idx", "start", "end", "cp", "coverage", "log_or"]
     ship(segments.sparkSession)
-    rows = segments.select(*keep)
+    # fits cost time, not bytes: an explicit number of partitions isn't merged into few
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = segments.select(*keep).repartition(n, "chr_idx", "start", "end")
 
     def fit(batches):
         for pdf in batches:

@@ -122,3 +122,19 @@ def peak_stats(segments: DataFrame, peaks: DataFrame) -> DataFrame:
 def folded(hist: DataFrame, first: int, period: int) -> DataFrame:
     """(phase, density): the histogram pooled over all periods from the first peak on."""
     return hist.where(F.col("ratio_int") >= first).groupBy(F.pmod(F.col("ratio_int") - first, F.lit(period)).alias("phase")).agg(F.sum("density").alias("density"))
+
+
+def window_average(rows: DataFrame, column: str, key: str, order: str, width: int) -> DataFrame:
+    """Each row's value spread evenly over the rows within width, fewer at the ends, and summed where it lands (smoothed)."""
+    near = Window.partitionBy(key).orderBy(order).rowsBetween(-width, width)
+    return rows.withColumn("_part", F.col(column) / F.count("*").over(near)).withColumn("smoothed", F.sum("_part").over(near)).drop("_part")
+
+
+def moving_stats(rows: DataFrame, column: str, key: str, order: str, before: int, span: int) -> DataFrame:
+    """Mean and sample deviation (moving_mean, moving_stddev) of span + 1 rows from before rows back on, or from the first row."""
+    line = Window.partitionBy(key).orderBy(order)
+    moved, head = line.rowsBetween(-before, span - before), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.when(F.col("_i") <= span, F.col(column))
+    rows = rows.withColumn("_i", F.row_number().over(line) - 1)
+    pick = lambda f: F.when(F.col("_i") >= before, f(column).over(moved)).otherwise(f(first).over(head))
+    return rows.withColumn("moving_mean", pick(F.avg)).withColumn("moving_stddev", pick(F.stddev_samp)).drop("_i")

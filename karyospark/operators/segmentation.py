@@ -11,11 +11,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
 from ..session import ship
+from .intervals import interval_join
 
 
 def thomas(lower: np.ndarray, diag: np.ndarray, upper: np.ndarray, rhs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,6 +164,42 @@ def segment(ratio: DataFrame, p: Params = Params(), window: int | None = None) -
     return rows.where("coverage_ratio is not null").groupBy("chr_idx").applyInPandas(fit, "chr_idx int, start bigint, end bigint, ratio double, stddev double, n_windows bigint")
 
 
+def collapse(segments: DataFrame, base: DataFrame, variance: float, threshold: float = 5.0) -> DataFrame:
+    """Segments with level, the base level where it can't be told from it, and state gain, loss or neutral.
+
+    A segment within threshold standard errors of the base collapses if a neighbour is as near, if it is its contig's
+    first or last, or if it is longer than a neighbour. Tests use the levels before any collapse.
+    """
+    order = Window.partitionBy("chr_idx").orderBy("start")
+    rows = segments.join(base, "chr_idx")
+    near = F.abs(F.col("ratio") - F.col("base_level")) / F.sqrt(F.lit(variance) / F.col("n_windows")) < threshold
+    rows = rows.withColumn("near", near)
+    side = lambda f: (f("near").over(order), f("n_windows").over(order))
+    (near_before, n_before), (near_after, n_after) = side(F.lag), side(F.lead)
+    rows = rows.withColumns({"_nb": near_before, "_n": n_before, "_na": near_after, "_m": n_after})
+    joins = F.col("_nb") | F.col("_na") | F.col("_n").isNull() | F.col("_m").isNull() | (F.col("n_windows") > F.col("_n")) | (F.col("n_windows") > F.col("_m"))
+    level = F.when(F.col("near") & F.coalesce(joins, F.lit(False)), F.col("base_level")).otherwise(F.col("ratio"))
+    rows = rows.withColumn("level", level)
+    state = F.when(F.col("level") > F.col("base_level"), "gain").when(F.col("level") < F.col("base_level"), "loss").otherwise("neutral")
+    return rows.select(*segments.columns, "base_level", "level", state.alias("state"))
+
+
+def integer_states(segments: DataFrame, base: DataFrame, variance: float, ploidy: int = 2, threshold: float = 5.0, most: int = 100) -> DataFrame:
+    """Segments with copies: the number nearest to ploidy whose log2 level can't be told from the segment's (levels are log2)."""
+    rows = segments.join(base, "chr_idx")
+    error = threshold * F.sqrt(F.lit(variance) / F.col("n_windows"))
+    d = F.col("ratio") - F.col("base_level")
+    up = F.least(F.lit(most), F.greatest(F.lit(ploidy), F.floor(F.pow(F.lit(2.0), d - error) * ploidy).cast("int") + 1))
+    down = F.greatest(F.lit(0), F.least(F.lit(ploidy), F.ceil(F.pow(F.lit(2.0), d + error) * ploidy).cast("int") - 1))
+    copies = F.when(F.abs(d) < error, ploidy).when(d > 0, up).otherwise(down)
+    return rows.select(*segments.columns, copies.alias("copies"))
+
+
+def fitted(ratio: DataFrame, segments: DataFrame, width: int = 100_000) -> DataFrame:
+    """Ratio rows with the level of their segment."""
+    return interval_join(ratio, segments.select("chr_idx", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.col("ratio").alias("fitted")), ["chr_idx"], "start", "seg_start", "seg_end", width)
+
+
 def labelled(segments: DataFrame, base: DataFrame, threshold: float = 5.0) -> DataFrame:
     """Segments with state gain, loss or neutral: by t against the contig's base level."""
     rows = segments.join(base, "chr_idx")

@@ -416,6 +416,68 @@ def segment_complement(spark, d):
     return I.complement(segs, A.snp_contigs(spark))
 
 
+# ---------------------------------------------------------------- levels and smoothing
+
+LEVELS = f"""{SEGMENTS}, kk AS (SELECT chr_idx, ratio, sum(n_windows) OVER (PARTITION BY chr_idx ORDER BY ratio) AS run, sum(n_windows) OVER (PARTITION BY chr_idx) AS total FROM usable),
+base AS (SELECT chr_idx, min(ratio) AS base_level FROM kk WHERE 2 * run >= total GROUP BY chr_idx),
+d AS (SELECT chr_idx, start, min(ratio) AS ratio, min(n_windows) AS n_windows FROM usable WHERE start % 40 = 0 GROUP BY chr_idx, start),
+near AS (SELECT d.*, base_level, abs(ratio - base_level) / sqrt(0.04::DOUBLE / n_windows) < 5 AS near FROM d JOIN base USING (chr_idx)),
+around AS (SELECT *, lag(near) OVER o AS nb, lag(n_windows) OVER o AS n, lead(near) OVER o AS na, lead(n_windows) OVER o AS m FROM near WINDOW o AS (PARTITION BY chr_idx ORDER BY start)),
+level AS (SELECT *, CASE WHEN near AND coalesce(nb OR na OR n IS NULL OR m IS NULL OR n_windows > n OR n_windows > m, false) THEN base_level ELSE ratio END AS level FROM around)"""
+
+
+def spaced(spark, d):
+    """Segments that start at multiples of 40, which stand for a contig's consecutive segments."""
+    return usable(spark, d).where(F.col("start") % 40 == 0).groupBy("chr_idx", "start").agg(F.min("ratio").alias("ratio"), F.min("n_windows").alias("n_windows"))
+
+
+@query("collapse_segments", f"WITH {LEVELS} SELECT chr_idx, start, {rs('level')} AS level, CASE WHEN level > base_level THEN 'gain' WHEN level < base_level THEN 'loss' ELSE 'neutral' END AS state FROM level")
+def collapse_segments(spark, d):
+    from ..operators.segmentation import collapse
+
+    return collapse(spaced(spark, d), H.base_level(usable(spark, d), "chr_idx"), 0.04).select("chr_idx", "start", r("level").alias("level"), "state")
+
+
+@query(
+    "integer_states",
+    f"""WITH {LEVELS}, e AS (SELECT *, 5 * sqrt(0.04::DOUBLE / n_windows) AS err, ratio - base_level AS x FROM near)
+SELECT chr_idx, start, CAST(CASE WHEN abs(x) < err THEN 2 WHEN x > 0 THEN least(100, greatest(2, floor(pow(2.0::DOUBLE, x - err) * 2) + 1)) ELSE greatest(0, least(2, ceil(pow(2.0::DOUBLE, x + err) * 2) - 1)) END AS INT) AS copies FROM e""",
+)
+def integer_states_query(spark, d):
+    from ..operators.segmentation import integer_states
+
+    return integer_states(spaced(spark, d), H.base_level(usable(spark, d), "chr_idx"), 0.04).select("chr_idx", "start", F.col("copies").cast("int").alias("copies"))
+
+
+@query("window_average", f"WITH {LEVELS}, p AS (SELECT chr_idx, start, ratio / count(*) OVER (PARTITION BY chr_idx ORDER BY start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS part FROM d) SELECT chr_idx, start, {rs('sum(part) OVER (PARTITION BY chr_idx ORDER BY start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)')} AS smoothed FROM p")
+def window_average(spark, d):
+    return H.window_average(spaced(spark, d), "ratio", "chr_idx", "start", 3).select("chr_idx", "start", r("smoothed").alias("smoothed"))
+
+
+@query(
+    "moving_stats",
+    f"""WITH {LEVELS}, i AS (SELECT *, row_number() OVER (PARTITION BY chr_idx ORDER BY start) - 1 AS i FROM d)
+SELECT a.chr_idx, a.start, {rs("avg(b.ratio)")} AS moving_mean, {rs("stddev_samp(b.ratio)")} AS moving_stddev FROM i a JOIN i b ON a.chr_idx = b.chr_idx AND b.i BETWEEN greatest(a.i - 5, 0) AND greatest(a.i - 5, 0) + 4 GROUP BY a.chr_idx, a.start""",
+)
+def moving_stats(spark, d):
+    return H.moving_stats(spaced(spark, d), "ratio", "chr_idx", "start", 5, 4).select("chr_idx", "start", r("moving_mean").alias("moving_mean"), r("moving_stddev").alias("moving_stddev"))
+
+
+@query(
+    "count_statistics",
+    "WITH n AS (SELECT DISTINCT CAST(l_quantity AS INT) AS n, CAST(l_linenumber AS INT) AS k FROM lineitem WHERE l_quantity >= l_linenumber) SELECT n, k, "
+    + rs("ln(CAST(factorial(least(n, 20)) AS DOUBLE))", 3)
+    + " AS log_factorial, "
+    + rs("exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)) / pow(2, n) / 3", 3)
+    + " AS third_of_share FROM n",
+)
+def count_statistics(spark, d):
+    from ..functions import stats
+
+    rows = A.load(spark, d, "lineitem").where("l_quantity >= l_linenumber").select(F.col("l_quantity").cast("int").alias("n"), F.col("l_linenumber").alias("k")).distinct()
+    return rows.select("n", "k", r(stats.log_factorial(F.least("n", F.lit(20))), 3).alias("log_factorial"), r(stats.binomial(F.col("n"), F.col("k"), 0.5) / 3, 3).alias("third_of_share"))
+
+
 # ---------------------------------------------------------------- fits; no SQL
 
 
