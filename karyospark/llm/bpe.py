@@ -6,8 +6,9 @@ many documents hold it, and a chunk is made of words that are encoded once too.
 words around the seam are encoded together; if that differs from the chunks' own tokens the window grows until
 both agree, and in the worst case the two chunks are encoded as one.
 
-Caches belong to a task and are bounded in bytes: no table of chunks of the whole corpus has to be moved to
-where the documents are, which would cost more shuffle than the texts themselves.
+Which chunks documents share is counted over the whole corpus by their hashes. The chunks that save the most, up to
+a fixed number of bytes, are encoded once for all and sent to every task; all others are encoded once per task and
+kept in bounded caches. Moving every chunk's tokens back to all its documents would shuffle more bytes than the texts.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,11 @@ WINDOW = 8
 #: Bytes of the texts handled at a time, of the chunks kept, and words and seams kept.
 BATCH = 4 << 20
 KEPT_BYTES = 48 << 20
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 KEPT_SEAMS = 100_000
+#: Shared chunks that are encoded once for the whole corpus: their number, and bytes of their texts.
+SHARED = 10_000
+SHARED_BYTES = 4 << 20
 #: Marks that are tokens apart from letters before them, and the bytes of words encoded at a time.
 PLAIN = b".,!?;:"
 EMPTY = (b"", "")
@@ -66,11 +71,12 @@ def tokenizer(path: str):
 class Encoder:
     """Encodes and decodes texts by chunks; ids are little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, shared: dict[bytes, tuple[bytes, str]] | None = None):
         self.model = tokenizer(path)
+        self.shared = shared or {}
         self.words: dict[bytes, tuple[bytes, str]] = {}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
-        self.seams: dict[tuple[bytes, bytes], bool] = {}
+        self.seams: dict[tuple[bytes, bytes, bytes], bool] = {}
         self.size = 0
         names = sorted(self.model.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
         self.last = np.zeros(names[-1][1] + 1, bool)
@@ -125,18 +131,30 @@ class Encoder:
         got = [self.words[w] for w in chunk.split()]
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
 
-    def agrees(self, left: bytes, right: bytes) -> bool:
-        """Whether encoding the words around the seam together gives the chunks' own tokens."""
+    def seam(self, left: bytes, right: bytes) -> tuple[bytes, bytes, bytes] | None:
+        """The words next to the seam and what stands between them; None where there is no word."""
         a, b = left.rsplit(None, 1)[-1:], right.split(None, 1)[:1]
         if not a or not b:
+            return None
+        return a[0].rstrip(), left[len(left.rstrip()) :] + right[: len(right) - len(right.lstrip())], b[0].rstrip()
+
+    def check(self, seams: list[tuple[bytes, bytes, bytes]]) -> None:
+        """Encodes the words around each new seam together and notes whether that gives the words' own tokens."""
+        if len(self.seams) > KEPT_SEAMS:
+            self.seams.clear()
+        fresh = list({s for s in seams if s not in self.seams})
+        self.learn({w for a, _, b in fresh for w in (a, b)})
+        for s, (ids, _) in zip(fresh, self.directly([b"".join(s) for s in fresh])):
+            self.seams[s] = ids == self.words[s[0]][0] + self.words[s[2]][0]
+
+    def agrees(self, left: bytes, right: bytes) -> bool:
+        """Whether the two chunks' tokens simply follow each other."""
+        s = self.seam(left, right)
+        if s is None:
             return True
-        key = (a[0], b[0])
-        if key not in self.seams:
-            if len(self.seams) > KEPT_SEAMS:
-                self.seams.clear()
-            gap = right[: len(right) - len(right.lstrip())] or b" "
-            self.seams[key] = self.directly([a[0] + gap + b[0]])[0][0] == self.words[a[0]][0] + self.words[b[0]][0]
-        return self.seams[key]
+        if s not in self.seams:
+            self.check([s])
+        return self.seams[s]
 
     def repaired(self, chunks: list[bytes]) -> list[bytes]:
         """Chunks whose tokens simply follow each other: those that don't agree at a seam become one."""
@@ -146,9 +164,13 @@ class Encoder:
                 out.append(c)
             else:
                 out[-1] += c
-                self.chunks.setdefault(out[-1], self.directly([out[-1]])[0])
+                if self.known(out[-1]) is None:
+                    self.chunks[out[-1]] = self.directly([out[-1]])[0]
         return out
 
+    def known(self, chunk: bytes) -> tuple[bytes, str] | None:
+        return self.shared.get(chunk) or self.chunks.get(chunk)
+
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         """Ids and decoded text of each text."""
         if self.size > KEPT_BYTES:
@@ -162,20 +184,70 @@ class Encoder:
         for raw in texts:
             at = cuts(raw)
             cut.append([raw[i:j] for i, j in zip(at, at[1:])])
-        fresh = {c for chunks in cut for c in chunks if c not in self.chunks}
+        fresh = {c for chunks in cut for c in chunks if c not in self.chunks and c not in self.shared}
         self.encoded += len(fresh)
         self.reused += sum(map(len, cut)) - len(fresh)
         self.learn(set().union(*[c.split() for c in fresh]))
         for c in fresh:
             self.chunks[c] = made = self.compose(c)
             self.size += len(c) + len(made[0]) + len(made[1]) + 300
+        self.check([s for chunks in cut for x, y in zip(chunks, chunks[1:]) if (s := self.seam(x, y)) is not None])
         out = []
         for chunks in cut:
-            got = [self.chunks[c] for c in self.repaired(chunks)]
+            got = [self.known(c) for c in self.repaired(chunks)]
             out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])))
         return out
 
 
+def shared_chunks(docs: DataFrame, path: str, most: int = SHARED, most_bytes: int = SHARED_BYTES) -> dict[bytes, tuple[bytes, str]]:
+    """Ids and decoded text of the chunks whose reuse saves the most bytes over all documents.
+
+    Chunks are counted by hash, each with the hash of one text that holds it, so that the second scan cuts only
+    the texts that the chosen chunks come from. What reaches the driver is bounded by most and most_bytes.
+    """
+    bound_batches(docs.sparkSession)
+    rows = texts(docs).select(F.xxhash64("text").alias("owner"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[int, list[int]] = {}
+            for owner, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                at = cuts(text)
+                for h, size in {(xxhash.xxh3_64_intdigest(text[i:j]) - (1 << 63), j - i) for i, j in zip(at, at[1:])}:
+                    entry = seen.setdefault(h, [0, size, owner])
+                    entry[0] += 1
+                    entry[2] = min(entry[2], owner)
+            columns = [pa.array(seen.keys(), pa.int64()), *[pa.array([e[k] for e in seen.values()], pa.int64()) for k in range(3)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "n", "size", "owner"])
+
+    counted = rows.mapInArrow(count, "h bigint, n bigint, size bigint, owner bigint").groupBy("h").agg(F.sum("n").alias("n"), F.min("size").alias("size"), F.min("owner").alias("owner"))
+    saved = ((F.col("n") - 1) * F.col("size")).alias("saved")
+    best = counted.where("n > 1").select("h", "size", "owner", saved).orderBy(F.desc("saved"), "h").limit(most).collect()
+    kept = np.cumsum([r["size"] for r in best]) <= most_bytes if best else []
+    chosen = [r for r, k in zip(best, kept) if k]
+    if not chosen:
+        return {}
+    wanted = {r["h"] for r in chosen}
+    owners = docs.sparkSession.createDataFrame([(r,) for r in sorted({r["owner"] for r in chosen})], "its_owner bigint")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, done = Encoder(path), set()
+        for b in batches:
+            got: list[bytes] = []
+            for text in b.column(1).cast(pa.binary()).to_pylist():
+                at = cuts(text)
+                for i, j in zip(at, at[1:]):
+                    h = xxhash.xxh3_64_intdigest(text[i:j]) - (1 << 63)
+                    if h in wanted and h not in done:
+                        done.add(h)
+                        got.append(text[i:j])
+            made = coder.encode(got)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())], names=["chunk", "ids", "told"])
+
+    found = rows.join(F.broadcast(owners), rows["owner"] == owners["its_owner"], "left_semi").mapInArrow(take, "chunk binary, ids binary, told string")
+    return {bytes(r["chunk"]): (bytes(r["ids"]), r["told"]) for r in found.groupBy("chunk").agg(F.first("ids").alias("ids"), F.first("told").alias("told")).collect()}
+
+
 def encoded(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """The kept columns with ids (binary, 32 bits each), n_tokens and decoded, the decoded text.
 
@@ -183,9 +255,10 @@ def encoded(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     rows = texts(docs, *keep)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = Encoder(path, shared.value)
         for b in batches:
             column = b.column(b.num_columns - 1)
             for i, j in balanced(pa.compute.binary_length(column).to_pylist(), BATCH):
