@@ -70,26 +70,38 @@ BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
 def signature(text: str, width: int, n_words: int = 1, distinct: bool = False) -> list[int]:
-    """Majority bits of the shingles' hashes, in 64-bit words; word i hashes with seed 42 + i."""
+    """Majority bits of the shingles' hashes, in 64-bit words.
+
+    The first word's hashes are XXH64 with seed 42; each further word's are the ones before, mixed once more.
+    """
     joined, starts, ends = shingles(text, width)
     parts = list({joined[s:e] for s, e in zip(starts, ends)}) if distinct else None
     n = len(parts) if distinct else len(starts)
-    out = []
-    for k in range(n_words):
-        ones, hashed = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-        for at in range(0, n, BLOCK):
-            if distinct:
-                got = [hashed(p, SEED + k) for p in parts[at : at + BLOCK]]
-            else:
-                got = [hashed(joined[s:e], SEED + k) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])]
-            octets = np.array(got, np.uint64).view(np.uint8).reshape(-1, 8)
+    ones, hashed = np.zeros((n_words, 64), np.int64), xxhash.xxh64_intdigest
+    for at in range(0, n, BLOCK):
+        if distinct:
+            got = [hashed(p, SEED) for p in parts[at : at + BLOCK]]
+        else:
+            got = [hashed(joined[s:e], SEED) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])]
+        hashes = np.array(got, np.uint64)
+        for k in range(n_words):
+            if k:
+                hashes = mixed(hashes)
+            octets = hashes.view(np.uint8).reshape(-1, 8)
             if len(got) < 64:
-                ones += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
+                ones[k] += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
             else:
                 for j in range(8):
-                    ones[8 * j : 8 * j + 8] += np.bincount(octets[:, j], minlength=256) @ BITS
-        out.append(int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]))
-    return out
+                    ones[k, 8 * j : 8 * j + 8] += np.bincount(octets[:, j], minlength=256) @ BITS
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A finalizer that makes each bit depend on all bits."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def signatures(docs: DataFrame, plan: Plan, *keep: str) -> DataFrame:
