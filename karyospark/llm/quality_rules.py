@@ -32,7 +32,7 @@ RULES = (
     Rule("few_words", 0, "n_words < 50"),
     Rule("repeated_words", 1, "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", 2, "10 * n_symbols > n_words"),
-    Rule("repeated_lines", 3, "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", 3, "2 * n_dup_lines > n_lines"),
     Rule("short_words", 4, "word_chars < 2 * n_words"),
     Rule("long_words", 5, "word_chars > 15 * n_words"),
 )
@@ -143,7 +143,7 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_st
              CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN hit USING (r)),
 f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-             + 8 * (10 * n_dup_lines > 3 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS BIGINT) AS failed FROM m)
+             + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 15 * n_words)::INT AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, n_lines, failed FROM f
 """,
 }
