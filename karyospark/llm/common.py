@@ -13,7 +13,7 @@ from ..session import ship
 
 #: Rows and bytes of one Arrow batch, so that a worker holds few long texts at a time.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

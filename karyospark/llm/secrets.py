@@ -59,15 +59,19 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def wider_spans(text: str) -> list[tuple[int, int, int, str]]:
-    """Candidates beyond the base kinds; a mixed string has all of digits, upper and lower case and enough entropy."""
+    """Candidates beyond the base kinds; a mixed string has all of digits, upper and lower case and enough entropy,
+    and lies in no other candidate.
+    """
     found = []
     if "-----BEGIN " in text:
         found += [(m.start(), 3, m.end(), re.sub(r"\s", "", m[0])) for m in KEY_BLOCK.finditer(text)]
     found += [(m.start(), 4, m.end(), m[0]) for m in PREFIXED.finditer(text)]
+    sure = found[:]
     for m in MIXED.finditer(text):
         v = m[0]
         if re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v) and entropy(v) >= ENTROPY:
-            found.append((m.start(), 5, m.end(), v))
+            if not any(s < m.end() and m.start() < e for s, _, e, _ in sure):
+                found.append((m.start(), 5, m.end(), v))
     return sorted(found)
 
 
