@@ -82,10 +82,17 @@ def dense(counts: DataFrame, contigs: DataFrame, p: Params = Params()) -> DataFr
     return rows.groupBy("chr_idx", "win").agg(total("tumor"), total("normal"))
 
 
-def running_median(rows: DataFrame, columns: list[str], half: int = 2) -> DataFrame:
-    """The columns as integer medians of the rows around them, fewer at a contig's ends."""
-    near = Window.partitionBy("chr_idx").orderBy("win").rowsBetween(-half, half)
-    return rows.withColumns({c: sorted_median(F.collect_list(c).over(near)) for c in columns})
+def running_median(rows: DataFrame, columns: list[str], half: int = 2, block: int = 1 << 16) -> DataFrame:
+    """The columns as integer medians of the rows around them, fewer at a contig's ends; rows are dense in win.
+
+    Contigs are cut into blocks of windows, so that a long one is no single task; rows near a block's edge
+    also go to the next block, where they only serve their neighbours.
+    """
+    at = lambda shift: int_div(F.greatest(F.col("win") + shift, F.lit(0)), block)
+    copies = rows.withColumn("_block", F.explode(F.sequence(at(-half), at(half))))
+    near = Window.partitionBy("chr_idx", "_block").orderBy("win").rowsBetween(-half, half)
+    out = copies.withColumns({c: sorted_median(F.collect_list(c).over(near)) for c in columns})
+    return out.where(F.col("_block") == at(0)).drop("_block")
 
 
 def coverage_ratio(grid: DataFrame, mean_tumor, mean_normal, p: Params = Params()) -> DataFrame:

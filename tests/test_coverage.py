@@ -57,6 +57,8 @@ def test_running_median(spark):
     rows = spark.createDataFrame([(0, i, v) for i, v in enumerate([5, 1, 9, 2, 7, 7])], "chr_idx int, win bigint, n bigint")
     got = [r["n"] for r in C.running_median(rows, ["n"]).orderBy("win").collect()]
     assert got == [5, 3, 5, 7, 7, 7]
+    for block in (1, 2, 4):
+        assert [r["n"] for r in C.running_median(rows, ["n"], block=block).orderBy("win").collect()] == got
     flat = spark.createDataFrame([(0, i, 4) for i in range(9)], "chr_idx int, win bigint, n bigint")
     assert {r["n"] for r in C.running_median(flat, ["n"]).collect()} == {4}
 
