@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,6 +30,7 @@ def truncated_poisson(rate: float) -> np.ndarray:
     return np.array(out)
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def expected_log_odds(minor: int, major: int, purity: float, depth: float) -> float:
     """Mean log ratio of the alleles' counts, both Poisson and positive."""
     cp = minor + major
@@ -40,53 +42,92 @@ def expected_log_odds(minor: int, major: int, purity: float, depth: float) -> fl
     return log(a) - log(b)
 
 
-def mixture(x: np.ndarray, mu: float) -> tuple[float, float, bool, float]:
-    """Weight of the curve at -mu, shared variance, convergence and log-likelihood of two normal curves at -mu and mu."""
-    mean, low, high = float(x.mean()), float(x.min()), float(x.max())
-    alpha, var = (mean - low) / (high - low), float(((x - mean) ** 2).mean())
-    left, right = (x + mu) ** 2, (x - mu) ** 2
-    converged = False
+def padded(samples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Samples as rows of a matrix, filled up with zeros, and which places hold values."""
+    n = np.array([len(x) for x in samples])
+    held = np.arange(n.max())[None, :] < n[:, None]
+    out = np.zeros(held.shape)
+    out[held] = np.concatenate(samples)
+    return out, held
+
+
+def mixtures(x: np.ndarray, held: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row: weight of the curve at -mu, shared variance, convergence and log-likelihood of two normal curves at -mu and mu.
+
+    All rows are fitted at once, each until its own weight and variance stand still.
+    """
+    n = held.sum(1)
+    average = lambda v, h, k: np.where(h, v, 0.0).sum(1) / k
+    mean = average(x, held, n)
+    low, high = np.where(held, x, np.inf).min(1), np.where(held, x, -np.inf).max(1)
+    alpha, var = (mean - low) / (high - low), average((x - mean[:, None]) ** 2, held, n)
+    left, right = (x + mu[:, None]) ** 2, (x - mu[:, None]) ** 2
+    done = np.zeros(len(x), bool)
+    at = np.arange(len(x))
     for _ in range(ROUNDS + 1):
+        if not len(at):
+            break
+        h, k, a, v = held[at], n[at], alpha[at], var[at]
         # posterior of the left curve, from the difference of the two exponents
-        with np.errstate(divide="ignore", over="ignore"):
-            odds = np.log(max(1 - alpha, 0.0) / alpha) + (left - right) / (2 * var) if alpha > 0 else np.full(len(x), np.inf)
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            odds = (np.log(np.maximum(1 - a, 0.0)) - np.log(a))[:, None] + (left[at] - right[at]) / (2 * v[:, None])
             post = 1 / (1 + np.exp(odds))
-        new_var = float((post * left + (1 - post) * right).mean())
-        new_alpha = min(1.0, float(post.mean()))
-        done = alpha > 0 and abs((alpha - new_alpha) / alpha) < TOLERANCE and abs((var - new_var) / var) < TOLERANCE
-        alpha, var = new_alpha, new_var
-        if done or alpha <= 0 or var <= 0:
-            converged = done
-            break
-    return alpha, var, converged, likelihood(x, alpha, mu, var)
+            new_v = average(post * left[at] + (1 - post) * right[at], h, k)
+            new_a = np.minimum(1.0, average(post, h, k))
+            still = (np.abs((a - new_a) / a) < TOLERANCE) & (np.abs((v - new_v) / v) < TOLERANCE)
+        alpha[at], var[at], done[at] = new_a, new_v, still
+        at = at[~(still | ~(new_a > 0) | ~(new_v > 0))]
+    return alpha, var, done, likelihoods(x, held, alpha, mu, var)
 
 
-def likelihood(x: np.ndarray, alpha: float, mu: float, var: float) -> float:
-    curve = lambda m: -((x - m) ** 2) / (2 * var) - 0.5 * math.log(2 * math.pi * var)
-    with np.errstate(divide="ignore"):
-        return float(np.logaddexp(np.log(alpha) + curve(-mu), np.log(max(0.0, 1 - alpha)) + curve(mu)).sum())
+def likelihoods(x: np.ndarray, held: np.ndarray, alpha: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        curve = lambda m: -((x - m[:, None]) ** 2) / (2 * var[:, None]) - 0.5 * np.log(2 * math.pi * var)[:, None]
+        both = np.logaddexp(np.log(alpha)[:, None] + curve(-mu), np.log(np.maximum(0.0, 1 - alpha))[:, None] + curve(mu))
+    return np.where(held, both, 0.0).sum(1)
 
 
-def select(x: np.ndarray, cp: int, purity: float, depth: float) -> list[dict]:
-    """All splits of cp into minor and major with their fits; the one selected has the largest likelihood.
+#: Values of a matrix of samples fitted at once.
+BLOCK = 1 << 18
+
+
+def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths: list[float]) -> list[list[dict]]:
+    """For each sample all splits of its copy number into minor and major with their fits; selected has the largest likelihood.
 
-    Log odds without any variance fit nothing and are an error.
+    Of equal ones the smaller minor is selected. Log odds without any variance fit nothing and are an error.
     """
-    x = np.sort(np.asarray(x, np.float64))
-    spread = float(x.var())
-    if not len(x) or spread <= 0:
+    samples = [np.asarray(x, np.float64) for x in samples]
+    if any(not len(x) or not x.var() > 0 for x in samples):
         raise ValueError("the variance of log odds has to be above 0")
-    out = []
-    for minor in range(cp // 2 + 1):
-        major = cp - minor
-        if minor == major:
-            alpha, mu, var, done, logl = 1.0, 0.0, spread, True, likelihood(x, 1.0, 0.0, spread)
-        else:
-            mu = expected_log_odds(minor, major, purity, depth)
-            alpha, var, done, logl = mixture(x, mu)
-        out.append({"minor": minor, "major": major, "alpha": alpha, "mu": mu, "var": var, "converged": done, "logl": logl})
-    best = max(range(len(out)), key=lambda i: (out[i]["logl"], -i))
-    return [m | {"selected": i == best} for i, m in enumerate(out)]
+    tasks = [(len(samples[i]), i, minor, cp - minor) for i, cp in enumerate(cps) for minor in range(cp // 2 + 1)]
+    tasks.sort()  # samples of like length need little filling
+    fits: list[list[dict]] = [[] for _ in samples]
+    start = 0
+    while start < len(tasks):
+        stop = start + 1
+        while stop < len(tasks) and (stop - start + 1) * tasks[stop][0] <= BLOCK:
+            stop += 1
+        block = tasks[start:stop]
+        start = stop
+        x, held = padded([samples[i] for _, i, _, _ in block])
+        even = np.array([lo == hi for _, _, lo, hi in block])
+        mu = np.array([0.0 if lo == hi else expected_log_odds(lo, hi, purity, depths[i]) for _, i, lo, hi in block])
+        alpha, var, done, logl = np.ones(len(block)), np.array([samples[i].var() for _, i, _, _ in block]), np.ones(len(block), bool), np.zeros(len(block))
+        logl[even] = likelihoods(x[even], held[even], alpha[even], mu[even], var[even])
+        if not even.all():
+            alpha[~even], var[~even], done[~even], logl[~even] = mixtures(x[~even], held[~even], mu[~even])
+        for k, (_, i, lo, hi) in enumerate(block):
+            fits[i].append({"minor": lo, "major": hi, "alpha": float(alpha[k]), "mu": float(mu[k]), "var": float(var[k]), "converged": bool(done[k]), "logl": float(logl[k])})
+    for own in fits:
+        own.sort(key=lambda m: m["minor"])
+        best = max(range(len(own)), key=lambda i: (own[i]["logl"], -i))
+        for i, m in enumerate(own):
+            m["selected"] = i == best
+    return fits
+
+
+def select(x: np.ndarray, cp: int, purity: float, depth: float) -> list[dict]:
+    return select_many([x], [cp], purity, [depth])[0]
 
 
 FITS = "array<struct<minor:int, major:int, alpha:double, mu:double, var:double, converged:boolean, logl:double, selected:boolean>>"
@@ -105,14 +146,13 @@ def allele_models(segments: DataFrame, purity: float) -> DataFrame:
 
     def fit(batches):
         for pdf in batches:
-            fits, majors, logls = [], [], []
-            for cp, depth, x in zip(pdf["cp"], pdf["coverage"], pdf["log_or"]):
-                if x is None or cp is None or pd.isna(cp) or cp < 0 or not len(x):
-                    fits.append(None), majors.append(None), logls.append(None)
-                    continue
-                got = select(np.asarray(x), int(cp), purity, float(depth))
-                best = next(m for m in got if m["selected"])
-                fits.append(got), majors.append(max(best["minor"], best["major"])), logls.append(best["logl"])
-            yield pdf[["chr_idx", "start", "end", "cp"]].assign(models=fits, major_allele_cp=pd.array(majors, "Int32"), logl=pd.array(logls, "Float64"))
+            good = [i for i, (cp, x) in enumerate(zip(pdf["cp"], pdf["log_or"])) if x is not None and cp is not None and not pd.isna(cp) and cp >= 0 and len(x)]
+            got = select_many([pdf["log_or"].iloc[i] for i in good], [int(pdf["cp"].iloc[i]) for i in good], purity, [float(pdf["coverage"].iloc[i]) for i in good])
+            fits = dict(zip(good, got))
+            best = {i: next(m for m in own if m["selected"]) for i, own in fits.items()}
+            rows = range(len(pdf))
+            majors = [max(best[i]["minor"], best[i]["major"]) if i in best else None for i in rows]
+            logls = [best[i]["logl"] if i in best else None for i in rows]
+            yield pdf[["chr_idx", "start", "end", "cp"]].assign(models=[fits.get(i) for i in rows], major_allele_cp=pd.array(majors, "Int32"), logl=pd.array(logls, "Float64"))
 
     return rows.mapInPandas(fit, f"chr_idx int, start bigint, end bigint, cp int, models {FITS}, major_allele_cp int, logl double")

@@ -27,6 +27,14 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], pos:
     return joined.select(*[a[c] for c in points.columns], *[b[c] for c in intervals.columns if c not in keys])
 
 
+def within(points: DataFrame, regions: DataFrame, keys: list[str], pos: str = "pos", start: str = "start", end: str = "end", width: int = 100_000) -> DataFrame:
+    """Points in any of the regions, each once."""
+    a = points.withColumn("_bin", int_div(F.col(pos), width))
+    b = regions.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end")).withColumn("_bin", F.explode(bins(F.col("_start"), F.col("_end"), width)))
+    on = [a[k] == b[k] for k in [*keys, "_bin"]] + [a[pos].between(b["_start"], b["_end"])]
+    return a.join(b, on, "left_semi").drop("_bin")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 100_000) -> DataFrame:
     """Pairs of intervals that share a position, equal in the keys: keys, l_ and r_ columns, and the shared ends.
 

@@ -39,13 +39,18 @@ class Candidate:
     upper: int = 0
 
 
-def candidates(acf: np.ndarray, diff: np.ndarray, p: Params = Params()) -> list[Candidate]:
-    """Periods where runs of rising lags turn into runs of falling ones: the two best, near enough to each other."""
+def slope_runs(diff: np.ndarray, p: Params = Params()) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """Lags that aren't flat, and runs of them (from, to, mean sign) between change points of their signs."""
     lags, sign = signs(diff)
     if not len(lags):
-        return []
+        return lags, []
     edges = [0, *change_points(sign.astype(float), p.period_threshold, p.min_period_run, p), len(lags)]
-    runs = [(a, b, float(sign[a:b].mean())) for a, b in zip(edges, edges[1:])]
+    return lags, [(a, b, float(sign[a:b].mean())) for a, b in zip(edges, edges[1:])]
+
+
+def candidates(acf: np.ndarray, diff: np.ndarray, p: Params = Params()) -> list[Candidate]:
+    """Periods where runs of rising lags turn into runs of falling ones: the two best, near enough to each other."""
+    lags, runs = slope_runs(diff, p)
     found = []
     for (a, b, up), (c, d, down) in zip(runs, runs[1:]):
         if up > 0 > down and min(b - a, d - c) >= p.min_period_run:

@@ -10,15 +10,19 @@ from ..functions.numeric import plot_scale
 from ..operators import histogram as H
 from ..operators.calls import peak_table
 from ..operators.intervals import bucket_join, cumulative, fill
-from ..operators.periods import subclone_peaks
+from ..operators.periods import slope_runs, subclone_peaks
+from ..params import Params
 from .infer import Inference, dense_array
 
 
 def frames(got: Inference) -> dict[str, DataFrame]:
     """All tables that the inference has, by name; without a best period those that need one are missing."""
     spark = got.density.sparkSession
+    p = Params()
+    lags, runs = slope_runs(dense_array(got.slopes, "shift", "diff", p.max_lag), p)
     out = {
         "auto": got.acf,
+        "slope_runs": spark.createDataFrame([(int(lags[a]), int(lags[b - 1]), b - a, s) for a, b, s in runs], "first_lag int, last_lag int, n_lags int, level double"),
         "slopes": got.slopes.withColumn("sign", F.when(F.col("diff") > 0, 1).otherwise(-1)),
         "ratio_density": got.density,
         "ratio_by_contig": by_contig(got.usable),

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..functions.numeric import half_down, has, plot_scale
+from ..functions.numeric import half_down, plot_scale
 from ..operators import coverage as C
 from ..operators import evaluate as E
 from ..operators import histogram as H
@@ -219,6 +218,17 @@ def segment_snp_summary(spark, d):
     return rows.select("chr_idx", "start", "end", "n_snps", "median_coverage", r("mean_log_or").alias("mean_log_or"), r("var_log_or").alias("var_log_or"))
 
 
+@query(
+    "site_restriction",
+    f"""WITH {CALLS}, regions AS (SELECT CAST(o_custkey % 22 AS INT) AS chr_idx, o_orderkey AS a, o_orderkey + 50 AS b FROM orders WHERE o_orderkey % 9 = 0)
+SELECT chr_idx, pos, td AS tumor_depth FROM het h WHERE EXISTS (SELECT 1 FROM regions r WHERE r.chr_idx = h.chr_idx AND h.pos BETWEEN r.a AND r.b)""",
+)
+def site_restriction(spark, d):
+    x = A.load(spark, d, "orders").where("o_orderkey % 9 = 0")
+    regions = x.select((F.col("o_custkey") % 22).cast("int").alias("chr_idx"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 50).alias("end"))
+    return I.within(S.het_snps(A.calls(spark, d), A.SNP_PARAMS), regions, ["chr_idx"], width=1000).select("chr_idx", "pos", "tumor_depth")
+
+
 # ---------------------------------------------------------------- histogram
 
 

@@ -126,3 +126,8 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def grouped_history(rows: DataFrame) -> DataFrame:
     """Past results by class of sample and true purity; runs in the order of their first appearance by commit."""
     return rows.groupBy("sample_class", "true_purity").agg(F.count("*").alias("n_runs"), F.sort_array(F.collect_list(F.struct("commit_id", "delta_purity", "delta_ploidy", "cp_recall", "cp_precision"))).alias("runs"))
+
+
+def with_ordinals(rows: DataFrame, commits: DataFrame) -> DataFrame:
+    """Past results with the ordinal of their commit; commits (commit_id, ordinal) are a small list. Unknown ones have null."""
+    return rows.join(F.broadcast(commits.select("commit_id", "ordinal")), "commit_id", "left")

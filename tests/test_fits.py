@@ -74,6 +74,27 @@ def test_mixture_finds_the_split():
         AL.select(np.ones(10), 2, 0.8, 80)
 
 
+def test_many_fits_equal_a_plain_loop():
+    draw = np.random.default_rng(4)
+    samples = [draw.normal(draw.uniform(-0.5, 0.5), draw.uniform(0.6, 1), draw.integers(6, 60)) for _ in range(30)]
+    mus = draw.uniform(0.3, 1.0, 30)
+    got = AL.mixtures(*AL.padded(samples), mus)
+    for i, (x, mu) in enumerate(zip(samples, mus)):
+        a, v = (x.mean() - x.min()) / (x.max() - x.min()), x.var()
+        for _ in range(AL.ROUNDS):
+            p, q = a * np.exp(-((x + mu) ** 2) / (2 * v)), (1 - a) * np.exp(-((x - mu) ** 2) / (2 * v))
+            w = p / (p + q)
+            b, u = w.mean(), (w * (x + mu) ** 2 + (1 - w) * (x - mu) ** 2).mean()
+            stop = abs((a - b) / a) < AL.TOLERANCE and abs((v - u) / v) < AL.TOLERANCE
+            a, v = b, u
+            if stop:
+                break
+        assert got[0][i] == pytest.approx(a, rel=1e-6, abs=1e-12) and got[1][i] == pytest.approx(v, rel=1e-6)
+        assert got[2][i] or got[0][i] == 0  # a weight that goes to nothing never stands still
+        logl = np.log(a * np.exp(-((x + mu) ** 2) / (2 * v)) + (1 - a) * np.exp(-((x - mu) ** 2) / (2 * v))).sum() - len(x) * 0.5 * np.log(2 * np.pi * v)
+        assert got[3][i] == pytest.approx(logl, rel=1e-6)
+
+
 def test_expected_log_odds_is_the_double_sum():
     p, depth, lo, hi = 0.6, 20.0, 1, 3
     scale = depth / (4 * p + 2 * (1 - p))
