@@ -235,6 +235,14 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
+def beside(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Rows (u, v) with m of their u. Both sides are dealt anew by the complement of u: a side that comes straight from an
+    aggregation by u could not be split where one u has very many rows.
+    """
+    marked = least.select(F.bitwise_not("u").alias("not_u"), "m")
+    return rows.join(marked, F.bitwise_not(rows["u"]) == marked["not_u"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges (a, b); the root is the smallest node of its component.
 
@@ -250,9 +258,9 @@ def components(edges: DataFrame) -> DataFrame:
         seal = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = beside(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = beside(large, low).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
