@@ -32,16 +32,18 @@ CUT_BITS = 7
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WINDOW = 8
 #: Bytes of the texts handled at a time, of the chunks kept, and words and seams kept.
-BATCH = 4 << 20
-KEPT_BYTES = 48 << 20
-KEPT_WORDS = 800_000
+BATCH = 5 << 18
+KEPT_BYTES = 16 << 20
+KEPT_WORDS = 250_000
 KEPT_SEAMS = 100_000
 #: Shared chunks that are encoded once for the whole corpus: their number, and bytes of their texts.
 SHARED = 10_000
 SHARED_BYTES = 4 << 20
-#: Marks that are tokens apart from letters before them, and the bytes of words encoded at a time.
-PLAIN = b".,!?;:"
-EMPTY = (b"", "")
+#: ASCII marks: a run of them after letters, up to a word's end, is a token apart. The apostrophe isn't one of them.
+PLAIN = b".,!?;:$%&#*|<>()[]{}\"-_/\\+=~^@`"
+#: What only a special token may begin with; such chunks keep their case.
+SPECIAL = b"<|"
+#: Bytes of words encoded at a time.
 BLOCK = 1 << 15
 
 
@@ -74,7 +76,7 @@ class Encoder:
     def __init__(self, path: str, shared: dict[bytes, tuple[bytes, str]] | None = None):
         self.model = tokenizer(path)
         self.shared = shared or {}
-        self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
         self.seams: dict[tuple[bytes, bytes, bytes], bool] = {}
         self.size = 0
@@ -84,52 +86,52 @@ class Encoder:
         self.encoded = 0
         self.reused = 0
 
-    def directly(self, parts: list[bytes]) -> list[tuple[bytes, str]]:
-        """The library's ids and decoded texts of the parts."""
+    def directly(self, parts: list[bytes]) -> list[bytes]:
+        """The library's ids of the parts."""
         got = self.model.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in parts], add_special_tokens=False)
-        ids = [x.ids for x in got]
-        return [(np.array(i, "<u4").tobytes(), t) for i, t in zip(ids, self.model.decode_batch(ids, skip_special_tokens=False))]
+        return [np.array(x.ids, "<u4").tobytes() for x in got]
+
+    def told(self, ids: list[bytes]) -> list[tuple[bytes, str]]:
+        """The ids with the library's decoded texts."""
+        return list(zip(ids, self.model.decode_batch([np.frombuffer(i, "<u4").tolist() for i in ids], skip_special_tokens=False)))
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes words not yet known.
 
-        A word's letters and the plain marks after them are tokens apart. Letter runs differ by case only
-        for people, and many are encoded at a time: each gives exactly one token that ends a word, which
-        parts them again; where the number of those is another one, and for all other words, the library
-        gets each word by itself.
+        A word's letters and the plain marks after them are tokens apart. Many letter runs are encoded at a
+        time: each gives exactly one token that ends a word, which parts them again; where the number of those is
+        another one, and for all other words, the library gets each word by itself.
         """
         fresh = [(w, c, w[len(c) :]) for w in words if w not in self.words for c in (w.rstrip(PLAIN),)]
-        runs = {c.lower() for _, c, _ in fresh} | {m for _, _, m in fresh}
-        runs = [r for r in runs if r and r not in self.words]
-        letters = [r for r in runs if r.isalpha() or r.decode("utf-8", "surrogatepass").isalpha()]
-        self.alone([r for r in {m for _, _, m in fresh} if r and r not in self.words])
+        letters = [r for r in {c for _, c, _ in fresh} if r and r not in self.words and (r.isalpha() or r.decode("utf-8", "surrogatepass").isalpha())]
+        self.alone([m for m in {m for _, _, m in fresh} if m and m not in self.words])
         for a, b in balanced([len(r) + 1 for r in letters], BLOCK):
             block = letters[a:b]
-            ids, told = self.directly([b" ".join(block)])[0]
+            ids = self.directly([b" ".join(block)])[0]
             ends = np.flatnonzero(self.last[np.frombuffer(ids, "<u4")]) + 1
             if len(ends) != len(block):
                 self.alone(block)
                 continue
-            token, at = told.split(" "), ends.tolist()
-            self.words.update((w, (ids[4 * i : 4 * j], " ".join(token[i:j]))) for w, i, j in zip(block, [0, *at], at))
+            at = (4 * ends).tolist()
+            self.words.update(zip(block, [ids[i:j] for i, j in zip([0, *at], at)]))
         rest = []
         for w, c, m in fresh:
-            x = self.words.get(c.lower()) if c else EMPTY
-            y = self.words[m] if m else EMPTY
-            if x is None or w in self.words:
+            x = self.words.get(c) if c else b""
+            if x is None:
                 rest.append(w)
-            else:
-                self.words[w] = (x[0] + y[0], " ".join(filter(None, (x[1], y[1]))))
+            elif m:
+                self.words[w] = x + self.words[m]
         self.alone([w for w in rest if w not in self.words])
 
     def alone(self, words: list[bytes]) -> None:
         for a, b in balanced([len(w) for w in words], BATCH):
             self.words.update(zip(words[a:b], self.directly(words[a:b])))
 
-    def compose(self, chunk: bytes) -> tuple[bytes, str]:
-        """A chunk's ids and decoded text from its words, which white space keeps apart."""
-        got = [self.words[w] for w in chunk.split()]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
+    def compose(self, chunks: list[bytes]) -> list[tuple[bytes, str]]:
+        """Ids and decoded texts of chunks from their words, which white space keeps apart; case makes no difference."""
+        split = [(c if SPECIAL in c else c.lower()).split() for c in chunks]
+        self.learn(set().union(*split))
+        return self.told([b"".join([self.words[w] for w in words]) for words in split])
 
     def seam(self, left: bytes, right: bytes) -> tuple[bytes, bytes, bytes] | None:
         """The words next to the seam and what stands between them; None where there is no word."""
@@ -144,8 +146,8 @@ class Encoder:
             self.seams.clear()
         fresh = list({s for s in seams if s not in self.seams})
         self.learn({w for a, _, b in fresh for w in (a, b)})
-        for s, (ids, _) in zip(fresh, self.directly([b"".join(s) for s in fresh])):
-            self.seams[s] = ids == self.words[s[0]][0] + self.words[s[2]][0]
+        for s, ids in zip(fresh, self.directly([b"".join(s) for s in fresh])):
+            self.seams[s] = ids == self.words[s[0]] + self.words[s[2]]
 
     def agrees(self, left: bytes, right: bytes) -> bool:
         """Whether the two chunks' tokens simply follow each other."""
@@ -165,7 +167,7 @@ class Encoder:
             else:
                 out[-1] += c
                 if self.known(out[-1]) is None:
-                    self.chunks[out[-1]] = self.directly([out[-1]])[0]
+                    self.chunks[out[-1]] = self.told(self.directly([out[-1]]))[0]
         return out
 
     def known(self, chunk: bytes) -> tuple[bytes, str] | None:
@@ -184,12 +186,11 @@ class Encoder:
         for raw in texts:
             at = cuts(raw)
             cut.append([raw[i:j] for i, j in zip(at, at[1:])])
-        fresh = {c for chunks in cut for c in chunks if c not in self.chunks and c not in self.shared}
+        fresh = list({c for chunks in cut for c in chunks if c not in self.chunks and c not in self.shared})
         self.encoded += len(fresh)
         self.reused += sum(map(len, cut)) - len(fresh)
-        self.learn(set().union(*[c.split() for c in fresh]))
-        for c in fresh:
-            self.chunks[c] = made = self.compose(c)
+        for c, made in zip(fresh, self.compose(fresh)):
+            self.chunks[c] = made
             self.size += len(c) + len(made[0]) + len(made[1]) + 300
         self.check([s for chunks in cut for x, y in zip(chunks, chunks[1:]) if (s := self.seam(x, y)) is not None])
         out = []
