@@ -100,7 +100,8 @@ class Encoder:
 
         A word's letters and the plain marks after them are tokens apart. Many letter runs are encoded at a
         time: each gives exactly one token that ends a word, which parts them again; where the number of those is
-        another one, and for all other words, the library gets each word by itself.
+        another one, and for all other words, the library gets each word by itself. So it does where what stands
+        before the marks ends in another mark, which would join them, or where both may be a special token.
         """
         fresh = [(w, c, w[len(c) :]) for w in words if w not in self.words for c in (w.rstrip(PLAIN),)]
         letters = [r for r in {c for _, c, _ in fresh} if r and r not in self.words and (r.isalpha() or r.decode("utf-8", "surrogatepass").isalpha())]
@@ -117,12 +118,17 @@ class Encoder:
         rest = []
         for w, c, m in fresh:
             x = self.words.get(c) if c else b""
-            if x is None:
+            if x is None or (m and c and not self.parts(w, c)):
                 rest.append(w)
             elif m:
                 self.words[w] = x + self.words[m]
         self.alone([w for w in rest if w not in self.words])
 
+    @staticmethod
+    def parts(word: bytes, before: bytes) -> bool:
+        """Whether the marks after the word's part before them are tokens apart: it ends in a letter or digit, and both make no special token."""
+        return SPECIAL not in word and before.decode("utf-8", "surrogatepass")[-1].isalnum()
+
     def alone(self, words: list[bytes]) -> None:
         for a, b in balanced([len(w) for w in words], BATCH):
             self.words.update(zip(words[a:b], self.directly(words[a:b])))

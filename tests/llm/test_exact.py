@@ -163,6 +163,18 @@ def test_bpe(spark, texts):
             assert np.frombuffer(ids, "<u4").tolist() == want and told == model.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_marks_after_a_known_word():
+    """A known word before plain marks changes no tokens, whatever it ends in."""
+    model, draw = reference("word_bpe_49k.json"), random.Random(5)
+    coder = bpe.Encoder(token_counts.vocabulary("word_bpe_49k.json"))
+    known = ["'hello'", "dogs'", "so\u201d", "<|endoftext", "x<|endoftext", "cafe\u0301", "it's", "\u00bd", "a1", "\u65e5\u672c"]
+    known += ["".join(draw.choice("ab1'\u2019\u201d\u00e9\u00bd\u20ac.<|") for _ in range(draw.randrange(1, 6))) for _ in range(300)]
+    later = [k + m for k in known for m in (".", ",", "|>", '"', "),", "<|")]
+    coder.encode([" ".join(known).encode(), b". , |> \" ), <|"])
+    for t, (ids, _) in zip(later, coder.encode([t.encode() for t in later])):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, t
+
+
 def test_chunks_are_reused_and_seams_repaired(monkeypatch):
     draw = random.Random(3)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(1, 9)))
