@@ -48,9 +48,28 @@ class Plan:
 
 #: 64 bits over four words at distance 4: of three segments one differs in one bit at most.
 CONTRACT = Plan((4, 1), 4, ((0, 0, 22), (0, 22, 21), (0, 43, 21)))
-#: Five words and a similarity of 0.8: 128 bits of which 25 may differ. At that distance no segment of
-#: useful width is sure to survive, so the index signs the distinct word pairs, which edits disturb less.
-NEAR = Plan((5, 2), 25, tuple((w, s, 21) for w in (0, 1) for s in (0, 21, 42)), (2, 2), True)
+@dataclass(frozen=True)
+class Jaccard:
+    """Links of texts by the Jaccard similarity of their sets of shingles.
+
+    Candidates agree in all minima of a band; a sketch of one byte a minimum sorts them out, the sets decide.
+    """
+
+    width: int
+    least: float
+    bands: int
+    rows: int
+    minima: int
+
+
+#: At 0.8 and more a pair misses all 16 bands of 4 minima once in 4600, wherever its edits stand.
+NEAR = Jaccard(5, 0.8, 16, 4, 128)
+#: What a sketch's estimate may lack of the limit: 3.4 standard deviations. In a large bucket, so many candidates at most
+#: for a member that no estimate at the limit links.
+SLACK = 0.12
+BEST = 8
+#: Shingles whose minima are taken at a time.
+MINIMA_BLOCK = 1 << 12
 
 
 def shingles(text: str, width: int) -> tuple[bytes, list[int], list[int]]:
@@ -264,6 +283,159 @@ def components(edges: DataFrame) -> DataFrame:
         now = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """The hashes of the text's distinct shingles, ascending."""
+    joined, starts, ends = shingles(text, width)
+    return np.array(sorted({xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends)}), np.uint64)
+
+
+def minima(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The least of the hashes under each of n permutations; the highest number where there are none."""
+    draw = np.arange(1, 2 * n + 1, dtype=np.uint64)
+    flip, times = mixed(draw[:n])[:, None], (mixed(draw[n:]) | np.uint64(1))[:, None]
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), MINIMA_BLOCK):
+        least = np.minimum(least, ((hashes[None, at : at + MINIMA_BLOCK] ^ flip) * times).min(1))
+    return least
+
+
+def sketches(docs: DataFrame, plan: Jaccard, *keep: str) -> DataFrame:
+    """The kept columns with nid (the hash of the set of shingles), sketch, and the key of each band."""
+    bound_batches(docs.sparkSession)
+    rows = texts(docs, *keep)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nids, marks, keys = [], [], []
+            for text in b.column(b.num_columns - 1):
+                hashes = shingle_hashes(text.as_py(), plan.width)
+                least = minima(hashes, plan.minima)
+                nids.append(mixed(hashes).sum(dtype=np.uint64))
+                marks.append(mixed(least).astype(np.uint8).tobytes())
+                key = np.arange(plan.bands, dtype=np.uint64)
+                for k in range(plan.rows):
+                    key = mixed(key ^ least[k * plan.bands : (k + 1) * plan.bands])
+                keys.append(key.view(np.int64))
+            made = [pa.array(np.array(nids, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "nid", "sketch", "keys"])
+
+    return rows.mapInArrow(sign, ", ".join([*[f"`{c}` {t}" for c, t in rows.dtypes[:-1]], "nid bigint, sketch binary, keys array<bigint>"]))
+
+
+def candidates_of(marks: np.ndarray, plan: Jaccard, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one bucket's sketches (n, minima): in a small bucket all within the slack.
+
+    A large one gives a spanning forest of what the estimates link, searched from a member that differs from
+    bucket to bucket, and for each member that they leave alone the best within the slack.
+    """
+    n = len(marks)
+    loose, strict = int((plan.least - SLACK) * plan.minima), int(plan.least * plan.minima)
+    if n <= SMALL:
+        a, b = np.triu_indices(n, 1)
+        near = (marks[a] == marks[b]).sum(1) >= loose
+        return a[near], b[near]
+    rest = np.roll(np.arange(n), -(first % n))
+    left, right, alone = [], [], []
+    while len(rest):
+        start, size = int(rest[0]), 1
+        queue, rest = [start], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            near = (marks[rest] == marks[at]).sum(1) >= strict
+            if near.any():
+                found = rest[near]
+                left.append(np.full(len(found), at))
+                right.append(found)
+                queue.extend(found.tolist())
+                size += len(found)
+                rest = rest[~near]
+        if size == 1:
+            alone.append(start)
+    for at in alone:
+        same = (marks == marks[at]).sum(1)
+        same[at] = -1
+        best = np.argpartition(-same, BEST)[:BEST]
+        best = best[same[best] >= loose]
+        left.append(np.full(len(best), at))
+        right.append(best)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def candidates(nodes: DataFrame, plan: Jaccard) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band and whose sketches are close enough for the sets to be compared."""
+    dealt = nodes.select(F.explode("keys").alias("key"), "nid", "sketch").repartition("key").sortWithinPartitions("key")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(keys, nids, marks):
+            left, right = [], []
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            for i in np.flatnonzero(np.diff(starts) > 1):
+                s, e = starts[i], starts[i + 1]
+                held = np.frombuffer(b"".join(marks[s:e]), np.uint8).reshape(e - s, plan.minima)
+                a, b = candidates_of(held, plan, int(keys[s]))
+                left.append(nids[s + a])
+                right.append(nids[s + b])
+            if left and sum(map(len, left)):
+                a, b = np.concatenate(left), np.concatenate(right)
+                both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        kept: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()))
+            if sum(len(k[0]) for k in kept) < (1 << 15) or kept[0][0][0] == kept[-1][0][-1]:
+                continue
+            keys, nids, marks = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]), [m for k in kept for m in k[2]]
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield from pairs(keys[:cut], nids[:cut], marks[:cut])
+            kept = [(keys[cut:], nids[cut:], marks[cut:])]
+        if kept:
+            yield from pairs(np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]), [m for k in kept for m in k[2]])
+
+    return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
+
+
+def similar(pairs: DataFrame, signed: DataFrame, docs: DataFrame, plan: Jaccard) -> DataFrame:
+    """The pairs whose sets of shingles have the least similarity or more; sets are made of candidates' texts only."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = signed.join(wanted, signed["nid"] == wanted["node"], "left_semi").groupBy("nid").agg(F.min(F.struct("__key_id", "__key_text")).alias("row"))
+    rows = rows.select("nid", F.col("row.__key_id").alias("its_id"), F.col("row.__key_text").alias("its_text"))
+    held = docs.join(rows, (docs["__key_id"] == rows["its_id"]) & (docs["__key_text"] == rows["its_text"])).select("nid", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [shingle_hashes(t.as_py(), plan.width).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["nid", "hashes"])
+
+    sets = checkpoint(held.mapInArrow(collect, "nid bigint, hashes binary").dropDuplicates(["nid"]))
+    one, two = [sets.select(F.bitwise_not("nid").alias(f"not_{c}"), F.col("hashes").alias(f"of_{c}")) for c in "ab"]
+    both = pairs.join(one, F.bitwise_not("a") == one["not_a"]).join(two, F.bitwise_not("b") == two["not_b"]).select("a", "b", "of_a", "of_b")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            passed = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                passed.append(shared >= plan.least * (len(x) + len(y) - shared))
+            yield b.select([0, 1]).filter(pa.array(passed, pa.bool_()))
+
+    return both.mapInArrow(decide, "a bigint, b bigint")
+
+
+def jaccard_tree(docs: DataFrame, plan: Jaccard) -> tuple[DataFrame, DataFrame]:
+    """The keys of every row of docs (with row_key()) and its nid, and (node, root) of linked nodes.
+
+    Rows with equal sets of shingles are one node; null and empty texts have the empty set.
+    """
+    signed = checkpoint(sketches(docs, plan, "__key_id", "__key_text"))
+    nodes = signed.select("nid", "sketch", "keys").dropDuplicates(["nid"])
+    pairs = checkpoint(candidates(nodes, plan))
+    return signed, components(similar(pairs, signed, docs, plan))
+
+
 def near_tree(docs: DataFrame, plan: Plan, *keep: str) -> tuple[DataFrame, DataFrame]:
     """Every row's kept columns, signatures and nid (its signature's node), and (node, root) of linked nodes.
 
@@ -293,14 +465,14 @@ def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
     return signed.join(named, signed["nid"] == named["node"]).select("doc_id", made.alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, plan: Jaccard = NEAR) -> DataFrame:
     """The rows of docs, one of each near-duplicate group: that of the smallest doc_id, null ids last.
 
-    Texts are linked where the SimHash of their five-word shingles agrees in 0.8 of 128 bits or more.
+    Texts are linked where the Jaccard similarity of their five-word shingles is 0.8 or more.
     Of equal rows (id and text) one stays. Kept rows are settled on keys alone; texts join them once.
     """
     marked = docs.select("*", *row_key(docs))
-    signed, tree = near_tree(marked, plan, "__key_id", "__key_text")
+    signed, tree = jaccard_tree(marked, plan)
     # ids order first, null ones last (their key_text holds it); of equal ids the smaller text hash
     least = F.min(F.struct(F.col("__key_text").bitwiseAND(1), "__key_id", "__key_text")).alias("best")
     nodes = signed.groupBy("nid").agg(least)

@@ -119,6 +119,46 @@ def test_near_duplicates_are_found(spark):
     assert alone <= kept
 
 
+@pytest.mark.parametrize("n", [200, 600])
+def test_block_edits_are_found_and_lower_similarity_is_not(spark, n):
+    """Texts with an appended, cut or replaced block link at a Jaccard similarity of 0.8 or more, and none below it."""
+    draw = random.Random(n)
+    words = lambda k: ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    edits = {
+        "appended": lambda w, x: w + words(int(n * (1 / x - 1))),
+        "cut": lambda w, x: w[: round(n * x) + 2],
+        "replaced": lambda w, x: w[: n // 3] + (y := words(int(n * (1 - x) / (1 + x)) - 4)) + w[n // 3 + len(y) :],
+        "scattered": lambda w, x: [words(1)[0] if draw.random() < (1 - x) / 8 else v for v in w],
+    }
+    rows, pairs = [], []
+    for kind, edit in edits.items():
+        for x in (0.72, 0.76, 0.81, 0.84):
+            for _ in range(20):
+                one = words(n)
+                two = edit(one, x)
+                a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
+                pairs.append((kind, len(rows), len(a & b) / len(a | b)))
+                rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), simhash.NEAR).select("doc_id").collect()}
+    for kind in edits:
+        high = [i for k, i, j in pairs if k == kind and j >= 0.8]
+        low = [i for k, i, j in pairs if k == kind and j < 0.8]
+        print(n, kind, len(high), sum(i + 1 in kept for i in high), len(low), sum(i + 1 not in kept for i in low))
+        assert len(high) > 20 and sum(i + 1 in kept for i in high) <= 0.02 * len(high)
+        assert len(low) > 20 and all(i + 1 in kept for i in low)
+
+
+def test_large_buckets_keep_similar_pairs():
+    """In a bucket of many unlike sketches a pair near the limit is a candidate; copies give a forest, not their square."""
+    draw = np.random.default_rng(4)
+    marks = draw.integers(0, 256, (300, simhash.NEAR.minima)).astype(np.uint8)
+    marks[200, :95] = marks[100, :95]  # an estimate of 0.74
+    marks[210:] = marks[210]
+    a, b = simhash.candidates_of(marks, simhash.NEAR, 7)
+    pairs = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+    assert (100, 200) in pairs and len(pairs) == 90
+
+
 def test_quality(spark):
     got = {r["doc_id"]: r for r in registry.queries()["op2_quality"](spark, BIGGER).collect()}
     marks = dict(sql("select doc_id, quality from labels", BIGGER).fetchall())
