@@ -9,7 +9,9 @@ everything but letters and digits as single spaces.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,49 +69,82 @@ def qgrams(code: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of the items, and for each distinct q-gram hash the windows and offsets that hold it."""
+    """The items' characters, and for each distinct q-gram hash the items and offsets that hold it.
 
-    windows: list[np.ndarray]
-    items: np.ndarray
-    budgets: np.ndarray
+    Every window of an item counts, at whatever offset it starts; an item of fewer characters is one window. Items
+    of fewer than SHORTEST characters are held by their number of words and match whole, without edits.
+    """
+
+    codes: list[np.ndarray]
+    rows: np.ndarray
+    sizes: np.ndarray
+    allowed: np.ndarray
     least: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
-    window: np.ndarray
+    item: np.ndarray
     offset: np.ndarray
     filter: np.ndarray
+    short: dict[int, dict[str, list[int]]]
 
     @staticmethod
-    def of(rows: list[tuple[int, str]]) -> Index | None:
-        """None where no item has SHORTEST characters."""
-        windows, items = [], []
+    def of(rows: list[tuple[int | None, str]]) -> Index | None:
+        """None where no item has a letter or digit."""
+        codes, held, short = [], [], {}
         for i, (_, text) in enumerate(rows):
             code, _ = normal((text or "").strip())
-            if len(code) < SHORTEST:
-                continue
-            last = max(0, len(code) - WINDOW)
-            for at in sorted({*range(0, last, WINDOW // 2), last}):
-                windows.append(code[at : at + WINDOW])
-                items.append(i)
-        if not windows:
+            if len(code) >= SHORTEST:
+                codes.append(code)
+                held.append(i)
+            elif words := letters(code).split():
+                short.setdefault(len(words), {}).setdefault(" ".join(words), []).append(i)
+        if not codes and not short:
             return None
-        sizes = np.array([len(w) for w in windows])
+        sizes = np.array([min(WINDOW, len(c)) for c in codes], np.int64)
         budgets = (sizes * EDITS).astype(np.int64)
-        found = [qgrams(w) for w in windows]
-        grams = np.concatenate(found)
-        window = np.repeat(np.arange(len(windows)), [len(f) for f in found])
-        offset = np.concatenate([np.arange(len(f)) for f in found])
+        found = [qgrams(c) for c in codes]
+        grams = np.concatenate([np.zeros(0, np.uint64), *found])
+        item = np.repeat(np.arange(len(codes)), [len(f) for f in found])
+        offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(f)) for f in found]])
         order = np.argsort(grams, kind="stable")
         hashes, starts = np.unique(grams[order], return_index=True)
         mark = np.zeros(1 << FILTER_BITS, bool)
         mark[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        return Index(windows, np.array(items), budgets, sizes - Q + 1 - budgets * Q, hashes, np.append(starts, len(order)), window[order], offset[order], mark)
+        return Index(codes, np.array(held, np.int64), sizes, budgets, sizes - Q + 1 - budgets * Q, hashes, np.append(starts, len(order)), item[order], offset[order], mark, short)
+
+    def all_windows(self) -> list[tuple[int, int]]:
+        """(place of the item, offset) of every window."""
+        return [(c, at) for c, code in enumerate(self.codes) for at in range(len(code) - int(self.sizes[c]) + 1)]
+
+    @property
+    def windows(self) -> list[np.ndarray]:
+        return [self.codes[c][at : at + int(self.sizes[c])] for c, at in self.all_windows()]
+
+    @functools.cached_property
+    def items(self) -> np.ndarray:
+        return np.array([self.rows[c] for c, _ in self.all_windows()])
+
+    @functools.cached_property
+    def budgets(self) -> np.ndarray:
+        return np.array([self.allowed[c] for c, _ in self.all_windows()])
+
+    def whole(self, code: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The short items' places in the text, from word to word."""
+        out = []
+        text = letters(code)
+        spans = [m.span() for m in re.finditer(r"[^ ]+", text)]
+        for n, held in self.short.items():
+            for (s, _), (_, e) in zip(spans, spans[n - 1 :]):
+                for i in held.get(text[s:e], ()):
+                    out.append((i, int(places[s]), int(places[e - 1]) + 1, 0))
+        return out
 
     def regions(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item's row, start, end, edits) of verified windows in the text, in code points."""
+        """(item's row, start, end, edits) of verified windows and short items in the text, in code points."""
         code, places = normal(text)
-        if len(code) < SHORTEST:
-            return []
+        out = self.whole(code, places) if self.short else []
+        if len(code) < SHORTEST or not self.codes:
+            return out
         grams = qgrams(code)
         at = np.flatnonzero(self.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         which = np.searchsorted(self.hashes, grams[at])
@@ -117,7 +152,7 @@ class Index:
         held = self.hashes[which] == grams[at]
         at, which = at[held], which[held]
         if not len(at):
-            return []
+            return out
         # a window's q-grams stand within its length and twice its edits: positions with too few hits around go
         reach, need = WINDOW + 2 * int(WINDOW * EDITS), int(self.least.min())
         i = np.arange(len(at))
@@ -128,39 +163,72 @@ class Index:
         np.add.at(full, i[good] + 1, -1)
         alive = np.cumsum(full[:-1]) > 0
         at, which = at[alive], which[alive]
-        out = []
         for a in range(0, len(at), PART):
             lo = max(0, int(np.searchsorted(at, at[a] - 2 * reach))) if a else 0
             out += self.verified(code, places, at[lo : a + PART], which[lo : a + PART])
         return out
 
     def verified(self, code: np.ndarray, places: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Windows of which enough q-grams stand in one band of diagonals, aligned. Between two verified ones of a band that
+        meet each other, windows are not aligned: they add nothing to the region.
+        """
         n = self.starts[which + 1] - self.starts[which]
         post = np.repeat(self.starts[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        window, diagonal = self.window[post], np.repeat(at, n) - self.offset[post]
+        item, offset = self.item[post], self.offset[post]
+        span = max(map(len, self.codes))
         width = 4 * int(WINDOW * EDITS) + 2
-        shift = (diagonal + WINDOW)[None, :] + np.array([[0], [width // 2]])
+        shift = (np.repeat(at, n) - offset + span)[None, :] + np.array([[0], [width // 2]])
         band = 2 * (shift // width) + np.array([[0], [1]])
-        key, count = np.unique((window[None, :] * (1 << 40) + band).ravel(), return_counts=True)
-        window, band = key >> 40, key & ((1 << 40) - 1)
-        passed = count >= self.least[window]
-        out, seen = [], {}
-        for w, b in zip(window[passed].tolist(), band[passed].tolist()):
-            low = (b // 2) * width - (b & 1) * (width // 2) - WINDOW
-            pattern, k = self.windows[w], int(self.budgets[w])
-            start, stop = max(0, low), min(len(code), low + width + len(pattern) + k)
-            if stop - start < len(pattern) - k:
-                continue
-            got = align(pattern, code[start:stop], k)
-            if got is not None:
+        key, of = np.unique((item[None, :] * (1 << 40) + band).ravel(), return_inverse=True)
+        count = np.bincount(of.ravel())
+        order = np.argsort(of.ravel(), kind="stable")
+        starts = np.concatenate(([0], np.cumsum(count)))
+        offsets = np.tile(offset, 2)[order]
+        out, seen = [], set()
+        for g in np.flatnonzero(count >= self.least[key >> 40]).tolist():
+            c, b = int(key[g] >> 40), int(key[g] & ((1 << 40) - 1))
+            low = (b // 2) * width - (b & 1) * (width // 2) - span
+            size, k = int(self.sizes[c]), int(self.allowed[c])
+            hits = np.sort(offsets[starts[g] : starts[g + 1]])
+            first = np.arange(len(self.codes[c]) - size + 1)
+            enough = np.searchsorted(hits, first + size - Q, "right") - np.searchsorted(hits, first) >= self.least[c]
+            todo = np.flatnonzero(enough).tolist()
+
+            def placed(o: int) -> bool:
+                start, stop = max(0, low + o), min(len(code), low + o + width + size + k)
+                got = align(self.codes[c][o : o + size], code[start:stop], k) if stop - start >= size - k else None
+                if got is None:
+                    return False
                 s, e, edits = got
-                spot = (w, start + s)
-                if spot not in seen:
-                    seen[spot] = True
-                    out.append((int(self.items[w]), int(places[start + s]), int(places[start + e - 1]) + 1, edits))
+                if (c, o, start + s) not in seen:
+                    seen.add((c, o, start + s))
+                    out.append((int(self.rows[c]), int(places[start + s]), int(places[start + e - 1]) + 1, edits))
+                return True
+
+            i = 0
+            while i < len(todo):
+                good = placed(todo[i])
+                while good:
+                    j = bisect.bisect_right(todo, todo[i] + size // 2) - 1
+                    if j > i and placed(todo[j]):
+                        i = j
+                        continue
+                    good, failed = False, j
+                    while failed - i > 1:  # where the region ends
+                        mid = (i + failed) // 2
+                        if placed(todo[mid]):
+                            i = mid
+                        else:
+                            failed = mid
+                    i = max(i, j)
+                i += 1
         return out
 
 
+def letters(code: np.ndarray) -> str:
+    return code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").replace("\0", " ")
+
+
 def align(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best place of the whole pattern in the text, None beyond k edits.
 
@@ -193,15 +261,15 @@ def align(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int]
 def indexes(benchmark: DataFrame) -> Iterator[tuple[list[int], Index]]:
     """Item ids and index of each block of items; only one block is on the driver at a time.
 
-    Items are dealt to blocks by hash, as many as keep a block near BLOCK_CHARS characters. Null texts and
-    items of fewer than SHORTEST comparable characters hold no evidence and are left out.
+    Items are dealt to blocks by hash, as many as keep a block near BLOCK_CHARS characters. Null texts are left out;
+    items with a null id take part.
     """
-    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
+    items = benchmark.where("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // BLOCK_CHARS
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = sorted({(r["item_id"], r["text"]) for r in block.collect()})
+        rows = sorted({(r["item_id"], r["text"]) for r in block.collect()}, key=lambda r: (r[0] is None, r))
         index = Index.of(rows)
         if index is not None:
             yield [r[0] for r in rows], index

@@ -405,6 +405,34 @@ def test_windows_within_the_budget_are_found():
         assert {r[0] for r in index.regions(text)} == want
 
 
+def test_fragments_at_any_offset_are_found():
+    """A quoted fragment of a window's length is found wherever in the item it starts, also with a window's edits."""
+    draw = random.Random(12)
+    words = lambda n: " ".join("".join(draw.choice("abcdefghijklmno") for _ in range(draw.randrange(2, 9))) for _ in range(n))
+    items = [(i, words(70)) for i in range(5)]
+    index = decontaminate.Index.of(items)
+    for edits in (0, 3, 6):
+        missed = 0
+        for trial in range(60):
+            i, t = draw.choice(items)
+            size = 96 if edits else draw.choice((96, 105, 115, 125))
+            at = draw.randrange(len(t) - size)
+            c = list(t[at : at + size])
+            for p in draw.sample(range(1, 95), edits):
+                c[p] = "z"
+            missed += i not in {r[0] for r in index.regions(words(20) + " " + "".join(c).strip() + " " + words(20))} and not t[at] == " " and not t[at + size - 1] == " "
+        print(edits, missed)
+        assert not missed
+
+
+def test_short_items_and_null_ids_match_whole(spark):
+    docs = spark.createDataFrame([(1, "So: what is 2 + 2?"), (2, "what is 2 + 22"), (3, "An item that has no id but letters enough, quoted.")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(7, "What is 2+2?"), (None, "An item that has no id but letters enough")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in decontaminate.leaks(docs, marks, "doc_id").collect()}
+    assert got == {(1, 7, 4, 17), (3, None, 0, 41)}
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, marks).collect()] == [2]
+
+
 def test_leaks(spark, texts):
     got = {}
     for r in registry.queries()["op10_decontaminate"](spark, SF).collect():
