@@ -343,6 +343,64 @@ def test_host_outvotes_a_page(spark):
     assert "louder" in html_text.extract(rows[-1][2], None)
 
 
+def test_votes_over_hosts_without_articles(spark):
+    """Hosts of other layouts, with nearly empty boilerplate, links, and pages that dissent: the plain count of the votes
+    picks the container, and what it holds is the text."""
+    draw = random.Random(8)
+    words = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    layouts = {
+        "a.org": lambda i, t, x: f"<body><div id=menu><a href=/>m</a></div><div class='wrap w{i}'><div class='main col{i}'>{t}</div><div class='teasers'>{x}</div></div></body>",
+        "b.org": lambda i, t, x: f"<table><tr><td class=left><a href=/>{words(9)}</a><td class='body-text n{i}'>{t}<td>{x}</table>",
+        "c.org": lambda i, t, x: f"<body><main><section class='s{i}'>{t}</section></main><div>{x}</div><p class=cookie-notice>we use cookies</p>",
+    }
+    rows, want = [], {}
+    for host, page in layouts.items():
+        for i in range(12):
+            parts = [words(draw.randrange(5, 60)) for _ in range(draw.randrange(1, 5))]
+            beside = words(200) if i % 4 == 3 else "x"
+            rows.append((len(rows), f"https://{host}/{i}", page(i, "".join(f"<p>{p}</p>" for p in parts), beside)))
+            want[rows[-1][0]] = "\n".join(parts)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(pages, "page_id").collect()}
+    assert got == want
+    assert sum(html_text.extract(h, None) != want[i] for i, _, h in rows) >= 8  # the dissenting pages alone go wrong
+    counts = {}
+    for _, url, html in rows:
+        host, path = url.split("/")[2], html_text.vote(html)
+        counts.setdefault(host, {})[path] = counts.setdefault(host, {}).get(path, 0) + 1
+    plain = {h: min(c, key=lambda x: (-c[x], x)) for h, c in counts.items()}
+    assert {r["host"]: r["path"] for r in html_text.winning_paths(pages).collect()} == plain
+
+
+def test_many_winning_paths_join_with_salts(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").repartition(5)
+    want = sorted(map(tuple, html_text.extracted(pages, "page_id").collect()))
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, html_text.extracted(pages, "page_id").collect())) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<div class=a>x</div>", '<a ">"', '<a =">"', "<li><p>x", "<svg>", "<!", "<b><div><i></b>", "<a class='", "<section></b>", "<p><td>"])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    html_text.extract(piece * (500_000 // len(piece)) + "</section>" * 50_000, 5)
+    assert time.time() - began < 5
+
+
+def test_malformed_markup():
+    cases = {
+        "<p>a<script>var x='<p>no</p>'</script>b <!-- c -->d": "a b d",
+        "<p title='x > y'>a</p><p data-class=menu>b": "a\nb",
+        "<p>1 < 2 &amp; 3 &gt; 2&nbsp;!<br/>end": "1 < 2 & 3 > 2 ! end",
+        "<p title='open>a</p><p>b</p>": "a\nb",
+        "<ul><li>a<li>b</ul><p>c<div>d</div>": "a\nb\nc\nd",
+        "<svg>x<p>y": "",
+    }
+    for html, want in cases.items():
+        assert html_text.extract(html, None) == want, html
+
+
 def test_quality_rules(spark):
     f, q = registry.queries()["op9_quality_rules"], quality_rules.ORACLE_SQL["op9_quality_rules"]
     df = f(spark, SF)
