@@ -2,9 +2,10 @@
 
 A signature is cut into so few segments that two linked signatures must agree in one segment up to
 at most one bit. Every segment is indexed once per bit with that bit wiped out (its one-wildcard
-variants), equal variants meet in one bucket, and each bucket verifies the true distance. Buckets
-return only a spanning forest of their links, so that a group of copies costs its size and not its
-square. Components come from alternating star contractions that never leave the cluster.
+variants), equal variants meet in one bucket, and each bucket verifies the true distance. A task returns
+only edges that span what its buckets link, so that a group of copies costs its size and not its
+square. Buckets of very many members are dealt as pairs of blocks. Components come from alternating
+star contractions that never leave the cluster.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ SEED = 42
 BLOCK = 1 << 15
 #: Buckets of up to this size are compared offset by offset, larger ones by forest search.
 SMALL = 24
-#: Buckets above this size are split by exact blocks of their remaining bits where the distance allows it.
+#: Buckets above this size are searched by exact blocks of the bits in which their members differ.
 LARGE = 4096
+#: Rows of a bucket from which on it is dealt as pairs of blocks; keys of such buckets that are broadcast.
+CHUNK = 1 << 16
+BROADCAST_KEYS = 100_000
+#: Linked nodes that a task groups before it hands on their edges.
+GROUPED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -144,12 +150,22 @@ def signatures(docs: DataFrame, plan: Plan, *keep: str) -> DataFrame:
     return rows.mapInArrow(sign, schema)
 
 
+def segment_value(prefix: str, word: int, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(F.col(f"{prefix}{word}"), low).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+
+def variant_key(s: Column, j: Column, value: Column) -> Column:
+    """Segment s's value with bit j wiped out, as a long that also holds s and j."""
+    wiped = value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("bigint"), j)))
+    return wiped + F.call_function("shiftleft", F.call_function("shiftleft", s.cast("bigint"), F.lit(5)) + j, F.lit(32))
+
+
 def variants(plan: Plan) -> Column:
     """All one-wildcard variants of all segments, each a long that also holds segment and wildcard."""
     prefix = "i" if plan.index else "v"
     keys = []
     for s, (word, low, width) in enumerate(plan.segments):
-        part = F.shiftrightunsigned(F.col(f"{prefix}{word}"), low).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+        part = segment_value(prefix, word, low, width)
         for j in range(width):
             wiped = part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << j)).cast("bigint"))
             keys.append(wiped + F.lit(((s << 5) | j) << 32).cast("bigint"))
@@ -178,21 +194,24 @@ def forest(sigs: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def bucket_links(key: int, sigs: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(sigs: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Links that span what is linked in one bucket.
 
-    A large bucket of exactly indexed signatures is first cut by blocks of the bits outside its segment:
-    with one block more than bits that may differ, linked members share a block.
+    A large bucket is first cut by blocks of the bits in which its members differ at all: with one block more than
+    bits that may differ, linked members share a block.
     """
-    if len(sigs) <= LARGE or plan.index or plan.verify[1] > 1:
+    if len(sigs) <= LARGE:
         return forest(sigs, plan.max_distance)
-    word, low, width = plan.segments[key >> 37]
-    others = np.array([b for b in range(64) if not low <= b < low + width])
-    left, right = [], []
-    for block in np.array_split(others, plan.max_distance + 1):
-        mask = np.uint64(sum(1 << int(b) for b in block))
-        order = np.argsort(sigs[:, word] & mask, kind="stable")
-        cuts = np.flatnonzero(np.diff((sigs[:, word] & mask)[order])) + 1
+    varying = np.bitwise_or.reduce(sigs) & ~np.bitwise_and.reduce(sigs)
+    bits = [(w, b) for w in range(sigs.shape[1]) for b in range(64) if int(varying[w]) >> b & 1]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for block in np.array_split(np.array(bits, np.int64).reshape(-1, 2), plan.max_distance + 1):
+        mask = np.zeros(sigs.shape[1], np.uint64)
+        for w, b in block.tolist():
+            mask[w] |= np.uint64(1 << b)
+        held = sigs & mask
+        order = np.lexsort(held.T)
+        cuts = np.flatnonzero((held[order][1:] != held[order][:-1]).any(1)) + 1
         for part in np.split(order, cuts):
             if len(part) > 1:
                 a, b = forest(sigs[part], plan.max_distance)
@@ -201,20 +220,82 @@ def bucket_links(key: int, sigs: np.ndarray, plan: Plan) -> tuple[np.ndarray, np
     return np.concatenate(left), np.concatenate(right)
 
 
+class Groups:
+    """Connected numbers by union-find; the smallest of a group is its centre."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    def join(self, left: list[int], right: list[int]) -> None:
+        for a, b in zip(left, right):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+
+    def edges(self) -> pa.RecordBatch:
+        """One edge (a, b) from each member but the centre to the centre, and forgets them."""
+        found = [(x, r) for x in list(self.up) if (r := self.root(x)) != x]
+        self.up = {}
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def by_pairs_of_blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows (key, nid, ..) with new keys where a key has more than CHUNK rows by counts (key, n).
+
+    Such a key's rows fall into blocks by the hash of their nid, and every pair of blocks is a bucket: two rows of a key
+    still meet, and no bucket has many more than CHUNK rows, however many the key has. Copies of a row are as many as
+    blocks. Few such keys are broadcast, more are joined.
+    """
+    hot = checkpoint(counts.where(F.col("n") > CHUNK).select(F.col("key").alias("hot"), F.ceil(F.col("n") * 2 / CHUNK).cast("int").alias("blocks")))
+    n = hot.count()
+    if not n:
+        return rows
+    joined = rows.join(F.broadcast(hot) if n <= BROADCAST_KEYS else hot, rows["key"] == F.col("hot"), "left")
+    own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    return joined.withColumn("key", F.explode(F.when(F.col("hot").isNull(), F.array("key")).otherwise(pairs))).select(*rows.columns)
+
+
+def bucket_counts(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(key, n) of the variants' buckets that may be above CHUNK.
+
+    Values of whole segments are counted, three a node and not one for each variant; a bucket holds the nodes of two
+    values, those with its wildcard bit set and not set. Values at most as many as segments can have are left.
+    """
+    prefix = "i" if plan.index else "v"
+    values = [F.struct(F.lit(s).alias("s"), segment_value(prefix, *seg).alias("value")) for s, seg in enumerate(plan.segments)]
+    counted = nodes.select(F.explode(F.array(*values)).alias("x")).groupBy("x.s", "x.value").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK // 2)
+    widths = F.array(*[F.lit(w) for _, _, w in plan.segments])
+    wild = F.transform(F.sequence(F.lit(0), F.get(widths, F.col("s")) - 1), lambda j: variant_key(F.col("s"), j, F.col("value")))
+    return counted.select(F.explode(wild).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("k")).select("key", F.when(F.col("k") > 1, F.col("n")).otherwise(F.col("n") + CHUNK // 2).alias("n"))
+
+
 def links(nodes: DataFrame, plan: Plan) -> DataFrame:
-    """Verified links (a, b) between nodes (nid and signatures) that span every linked group."""
+    """Edges (a, b) between nodes (nid and signatures) that span what verified links connect.
+
+    Buckets return no pairs: what a task's buckets link becomes groups first, and each member's edge to the group's
+    smallest nid goes on, so that a group of copies costs its size.
+    """
     n = plan.verify[1]
     columns = [F.col(f"v{k}") for k in range(n)]
+    # exploding costs rows, not bytes: an explicit number of partitions isn't merged into few
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(parts, "nid")
     dealt = nodes.select(F.explode(variants(plan)).alias("key"), "nid", *columns)
-    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    dealt = by_pairs_of_blocks(dealt, bucket_counts(nodes, plan)).repartition("key").sortWithinPartitions("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         kept: list[tuple[np.ndarray, ...]] = []
+        groups = Groups()
 
         def buckets(keys, nids, sigs):
-            if not len(keys):
-                return
             starts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1))
             sizes = np.diff(np.concatenate((starts, [len(keys)])))
             small = np.repeat(sizes <= SMALL, sizes)
@@ -227,29 +308,29 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
                 left.append(nids[at])
                 right.append(nids[at + d])
             for s, m in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-                a, b = bucket_links(int(keys[s]), sigs[s : s + m], plan)
+                a, b = bucket_links(sigs[s : s + m], plan)
                 left.append(nids[s + a])
                 right.append(nids[s + b])
             if left and sum(map(len, left)):
-                a, b = np.concatenate(left), np.concatenate(right)
-                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+                groups.join(pairs[:, 0].tolist(), pairs[:, 1].tolist())
 
         for batch in batches:
             got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(2 + n)]
             if not len(got[0]):
                 continue
             kept.append((got[0], got[1], np.stack(got[2:], 1).view(np.uint64)))
-            if sum(len(k[0]) for k in kept) < (1 << 17) and kept[0][0][0] != got[0][-1]:
-                continue
-            if kept[0][0][0] == got[0][-1]:  # one bucket so far: it goes on
+            if kept[0][0][0] == got[0][-1] or sum(len(k[0]) for k in kept) < (1 << 17):
                 continue
             keys, nids, sigs = (np.concatenate(x) for x in zip(*kept))
             cut = int(np.searchsorted(keys, keys[-1]))
-            yield from buckets(keys[:cut], nids[:cut], sigs[:cut])
+            buckets(keys[:cut], nids[:cut], sigs[:cut])
             kept = [(keys[cut:], nids[cut:], sigs[cut:])]
+            if len(groups.up) > GROUPED:
+                yield groups.edges()
         if kept:
-            yield from buckets(*(np.concatenate(x) for x in zip(*kept)))
+            buckets(*(np.concatenate(x) for x in zip(*kept)))
+        yield groups.edges()
 
     return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
 
@@ -363,7 +444,8 @@ def candidates_of(marks: np.ndarray, plan: Jaccard, first: int) -> tuple[np.ndar
 
 def candidates(nodes: DataFrame, plan: Jaccard) -> DataFrame:
     """Pairs (a, b) of nodes that share a band and whose sketches are close enough for the sets to be compared."""
-    dealt = nodes.select(F.explode("keys").alias("key"), "nid", "sketch").repartition("key").sortWithinPartitions("key")
+    counts = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    dealt = by_pairs_of_blocks(nodes.select(F.explode("keys").alias("key"), "nid", "sketch"), counts).repartition("key").sortWithinPartitions("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(keys, nids, marks):
@@ -458,9 +540,12 @@ def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
     """
     signed, tree = near_tree(docs, plan, "doc_id")
     nodes = signed.groupBy("nid").agg(F.min("doc_id").alias("least"))
-    roots = nodes.join(tree, nodes["nid"] == tree["node"], "left").select("nid", "least", F.coalesce("root", "nid").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpoint(roots.join(least, "root").select(F.col("nid").alias("node"), "component_id"))
+    tree = tree.union(tree.select("root", "root").distinct())  # a root is of its own tree
+    roots = checkpoint(nodes.join(tree, nodes["nid"] == tree["node"]).select("nid", "least", "root"))
+    least = roots.groupBy(F.col("root").alias("u")).agg(F.min("least").alias("m"))
+    linked = beside(roots.select(F.col("root").alias("u"), F.col("nid").alias("v")), least).select(F.col("v").alias("node"), F.col("m").alias("component_id"))
+    alone = nodes.join(tree, nodes["nid"] == tree["node"], "left_anti").select(F.col("nid").alias("node"), F.col("least").alias("component_id"))
+    named = checkpoint(linked.union(alone))
     made = F.lower(F.concat(*[F.lpad(F.hex(f"v{k}"), 16, "0") for k in range(plan.verify[1])]))
     return signed.join(named, signed["nid"] == named["node"]).select("doc_id", made.alias("fingerprint"), "component_id")
 
@@ -483,6 +568,9 @@ def keep_one_of_each(docs: DataFrame, plan: Jaccard = NEAR) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, fingerprint, component_id. Null and empty texts have fingerprint zero
+    and link like any other; repeated rows stay; rows with a null id take part, a component of only such has a null id.
+    """
     return simhash_components(table(spark, sf_dir, "documents"), CONTRACT)
 
 

@@ -61,9 +61,10 @@ def test_simhash(spark, texts):
     assert {d: r["component_id"] for d, r in got.items()} == brute_components(prints, 4)
 
 
-@pytest.mark.parametrize("small", [2, 24])
-def test_links_of_crowded_signatures(spark, monkeypatch, small):
-    """Chains, dense balls and buckets of every kind give the components of all pairs."""
+@pytest.mark.parametrize("small,chunk", [(2, 1 << 16), (24, 1 << 16), (24, 4), (2, 10)])
+def test_links_of_crowded_signatures(spark, monkeypatch, small, chunk):
+    """Chains, dense balls, buckets of every kind and pairs of blocks give the components of all pairs."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     draw = random.Random(small)
     prints = set()
     for _ in range(12):
@@ -82,15 +83,23 @@ def test_links_of_crowded_signatures(spark, monkeypatch, small):
     assert groups({sign(p): tree.get(sign(p), sign(p)) for p in prints}) == groups({sign(k): sign(v) for k, v in want.items()})
 
 
+def test_a_group_costs_its_size(spark):
+    """Of a group of signatures within the distance of each other, edges are at most its size in each task."""
+    for n in (10, 20, 24, 25, 190):
+        sigs = [1 << 40] + [(1 << 40) ^ (1 << b) ^ (1 << c) for b in range(20) for c in range(b)]
+        nodes = spark.createDataFrame([(x,) for x in sigs[:n]], "v0 bigint").selectExpr("v0 nid", "v0")
+        edges = simhash.links(nodes, simhash.CONTRACT).collect()
+        assert len(edges) == n - 1 and len({r["b"] for r in edges}) == 1
+
+
 def test_large_buckets_split_exactly():
     draw = np.random.default_rng(5)
     base = draw.integers(0, 1 << 63, 40, dtype=np.int64).astype(np.uint64)
     sigs = np.unique(np.concatenate([base ^ (np.uint64(1) << np.uint64(b)) for b in range(23, 60, 3)]) & ~np.uint64((1 << 22) - 1))[:, None]
-    key = 0 << 37
     whole = simhash.forest(sigs, 4)
     old, simhash.LARGE = simhash.LARGE, 10
     try:
-        parts = simhash.bucket_links(key, sigs, simhash.CONTRACT)
+        parts = simhash.bucket_links(sigs, simhash.CONTRACT)
     finally:
         simhash.LARGE = old
 
