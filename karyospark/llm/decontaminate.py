@@ -189,10 +189,11 @@ class Index:
             c, b = int(key[g] >> 40), int(key[g] & ((1 << 40) - 1))
             low = (b // 2) * width - (b & 1) * (width // 2) - span
             size, k = int(self.sizes[c]), int(self.allowed[c])
-            hits = np.sort(offsets[starts[g] : starts[g + 1]])
+            hits = np.unique(offsets[starts[g] : starts[g + 1]])
             first = np.arange(len(self.codes[c]) - size + 1)
             enough = np.searchsorted(hits, first + size - Q, "right") - np.searchsorted(hits, first) >= self.least[c]
-            todo = np.flatnonzero(enough).tolist()
+            first = first[enough]
+            todo = first[edits_needed(hits, len(self.codes[c]) - Q + 1, first, first + size - Q) <= k].tolist()
 
             def placed(o: int) -> bool:
                 start, stop = max(0, low + o), min(len(code), low + o + width + size + k)
@@ -225,6 +226,22 @@ class Index:
         return out
 
 
+def edits_needed(hits: np.ndarray, n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least edits of windows whose q-grams stand at offsets first to last, of which those in hits are unharmed.
+
+    Each of the n offsets that isn't in hits holds an edit; one edit harms only q-grams that overlap it. So edits are
+    counted from harmed q-gram to the next one beyond its reach.
+    """
+    harmed = np.setdiff1d(np.arange(n), hits, assume_unique=True)
+    beyond = np.append(np.searchsorted(harmed, harmed + Q), len(harmed))
+    harmed = np.append(harmed, np.iinfo(np.int64).max)
+    at, total = np.searchsorted(harmed, first), np.zeros(len(first), np.int64)
+    while (inside := harmed[at] <= last).any():
+        total += inside
+        at = np.where(inside, beyond[at], at)
+    return total
+
+
 def letters(code: np.ndarray) -> str:
     return code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").replace("\0", " ")
 
@@ -232,7 +249,8 @@ def letters(code: np.ndarray) -> str:
 def align(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best place of the whole pattern in the text, None beyond k edits.
 
-    The text is one band of diagonals and the edits that may lead out of it. Equal places are found first.
+    The text is one band of diagonals and the edits that may lead out of it. Equal places are found first. A column of
+    the alignment is two numbers of a bit for each character of the pattern, where the cost goes up and where down.
     """
     raw, whole = pattern.astype("<u4").tobytes(), text.astype("<u4").tobytes()
     at = whole.find(raw)
@@ -240,22 +258,36 @@ def align(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int]
         at = whole.find(raw, at + 1)
     if at >= 0:
         return at // 4, at // 4 + len(pattern), 0
-    m = len(text)
-    steps = np.arange(m + 1)
-    cost, origin = np.zeros(m + 1, np.int64), steps.copy()
+    own, held = pattern.tolist(), text.tolist()
+    end, edits = least_cost(own, held, anchored=False)
+    if edits > k:
+        return None
+    length, _ = least_cost(own[::-1], held[:end][::-1], anchored=True)
+    return end - length, end, edits
+
+
+def least_cost(pattern: list[int], text: list[int], anchored: bool) -> tuple[int, int]:
+    """The first end of the text's characters to which the pattern aligns at the least cost, and that cost.
+
+    anchored: the pattern aligns from the text's first character on; else from any.
+    """
+    at: dict[int, int] = {}
     for i, c in enumerate(pattern):
-        swap, drop = cost[:-1] + (text != c), cost[1:] + 1
-        new, start = np.empty(m + 1, np.int64), np.empty(m + 1, np.int64)
-        new[0], start[0] = i + 1, 0
-        new[1:], start[1:] = np.where(swap <= drop, swap, drop), np.where(swap <= drop, origin[:-1], origin[1:])
-        low = np.minimum.accumulate(new - steps)
-        best = np.maximum.accumulate(np.where(new - steps == low, steps, 0))  # where the running minimum was last met
-        new, start = low + steps, start[best]
-        if new.min() > k:
-            return None
-        cost, origin = new, start
-    end = int(cost.argmin())
-    return (int(origin[end]), end, int(cost[end])) if cost[end] <= k else None
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, first = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1), int(anchored)
+    up, down, cost = full, 0, len(pattern)
+    best, end = cost, 0
+    for j, c in enumerate(text, 1):
+        same = at.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(across | up)), up & across
+        cost += bool(rise & top) - bool(fall & top)
+        if cost < best:
+            best, end = cost, j
+        rise, fall = (rise << 1 | first) & full, (fall << 1) & full
+        same |= down
+        up, down = fall | (full & ~(same | rise)), rise & same
+    return end, best
 
 
 def indexes(benchmark: DataFrame) -> Iterator[tuple[list[int], Index]]:
@@ -332,6 +364,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each region of a document that holds a benchmark item or a window of it: doc_id, item_id, start, end,
+    edits. Null and empty texts and items have none, null ids stay, a repeated row has its regions each time, and a text
+    that quotes several items has a region for each.
+    """
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
 
 
