@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, bound_batches, fold, held_out, table, texts
@@ -23,8 +23,12 @@ LONGEST = 3
 RANKS = 400
 #: Documents of each language to learn from at most; taken by the order of a hash of their id.
 LEARN = 3000
+#: Languages with a profile at most, the most frequent ones; parts that the n-grams of a language are first ranked in.
+LANGUAGES = 1000
+PARTS = 64
 UNKNOWN = "und"
-#: Characters ranked at a time; longer texts are counted in parts and the counts are added.
+EDGE = sys.maxunicode + 1
+#: Characters counted at a time: longer texts need bounded memory and get the same counts.
 PART = 1 << 18
 
 
@@ -35,24 +39,28 @@ def letters() -> np.ndarray:
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of the lower-cased text and their counts; what isn't a letter is one word boundary.
+    """The n-grams of the lower-cased text and their counts; what isn't a letter is one word boundary, and so are both ends.
 
-    An n-gram is a long of up to three code points, 21 bits each; a boundary is 0.
+    An n-gram is a long of up to three code points, 21 bits each; a boundary is EDGE, beyond all of them. Long texts are counted in parts: of
+    each part the last LONGEST - 1 characters go on to the next one, where the n-grams that start in them are counted.
     """
     keys, counts = [], []
-    low = text.lower()
+    low, held = text.lower(), np.array([EDGE])
     for at in range(0, len(low), PART):
         code = np.frombuffer(low[at : at + PART].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        code = np.where(letters()[code], code, 0)
-        code = np.concatenate(([0], code, [0]))
-        code = code[np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))]
+        final = at + PART >= len(low)
+        code = np.concatenate((held, np.where(letters()[code], code, EDGE), [EDGE] if final else held[:0]))
+        code = code[np.concatenate(([True], (code[1:] != EDGE) | (code[:-1] != EDGE)))]
+        starts = len(code) if final else max(0, len(code) - LONGEST + 1)
+        held = code[starts:]
         for n in range(1, LONGEST + 1):
-            if len(code) < n:
+            m = min(starts, len(code) - n + 1)
+            if m <= 0:
                 break
-            key = code[: len(code) - n + 1]
+            key = code[:m]
             for k in range(1, n):
-                key = (key << 21) | code[k : len(code) - n + 1 + k]
-            key, count = np.unique(key if n > 1 else key[key != 0], return_counts=True)
+                key = (key << 21) | code[k : m + k]
+            key, count = np.unique(key if n > 1 else key[key != EDGE], return_counts=True)
             keys.append(key)
             counts.append(count)
     if not keys:
@@ -116,11 +124,8 @@ def learn(docs: DataFrame, per_language: int = LEARN) -> dict[str, list[int]]:
     their texts are read further. N-grams of each document count in proportion to its length.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.where(docs["lang"].isNotNull() & (fold(docs["doc_id"]) != 1))
-    bounds = draw_bounds(rows, per_language)
-    if not bounds:
-        return {}
-    rows = texts(rows.where(drawn(bounds)), "lang")
+    rows = docs.select(docs["doc_id"], docs["lang"], docs["text"]).where(docs["lang"].isNotNull() & (fold(docs["doc_id"]) != 1))
+    rows = texts(drawn(rows, per_language), "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -134,22 +139,25 @@ def learn(docs: DataFrame, per_language: int = LEARN) -> dict[str, list[int]]:
                 yield batch_of({"lang": [lang] * len(key), "gram": key, "n": n}, schema)
 
     counts = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, RANKS)["gram"].alias("grams"))
-    return {r["lang"]: list(r["grams"]) for r in best.collect()}
+    # the best of each part of a language's n-grams first, so that no task holds them all
+    best = (F.desc("n"), F.asc("gram"))
+    for by in (["lang", F.pmod("gram", F.lit(PARTS))], ["lang"]):
+        counts = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("rank") <= RANKS)
+    out: dict[str, list[int]] = {}
+    for r in counts.orderBy("lang", "rank").collect():  # RANKS of each of LANGUAGES at most
+        out.setdefault(r["lang"], []).append(r["gram"])
+    return out
 
 
-def draw_bounds(rows: DataFrame, per_language: int) -> dict[str, int]:
-    """For each language a bound of the id's hash below which about per_language rows lie."""
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    return {x: (1 << 31) if c <= per_language else int((1 << 31) * per_language / c) for x, c in n.items()}
+def drawn(rows: DataFrame, per_language: int) -> DataFrame:
+    """About per_language rows of each language, or all if they are fewer, by a hash of the id.
 
-
-def drawn(bounds: dict[str, int]):
-    spread = F.xxhash64(F.col("doc_id").cast("string")).bitwiseAND((1 << 31) - 1)
-    test = F.lit(False)
-    for lang, bound in sorted(bounds.items()):
-        test = test | ((F.col("lang") == lang) & (spread < bound))
-    return test
+    A corpus with more than LANGUAGES values of lang has profiles of its most frequent ones; of equal ones the first by name.
+    """
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    bounds = n.select(F.col("lang").alias("its_lang"), F.when(F.col("n") <= per_language, F.lit(1 << 31)).otherwise(F.floor(F.lit(float(1 << 31)) * per_language / F.col("n"))).alias("bound"))
+    spread = F.xxhash64(rows["doc_id"].cast("string")).bitwiseAND((1 << 31) - 1)
+    return rows.join(F.broadcast(bounds), (rows["lang"] == F.col("its_lang")) & (spread < F.col("bound")), "left_semi")
 
 
 def with_language(docs: DataFrame, profiles: dict[str, list[int]], *keep: str) -> DataFrame:
@@ -187,6 +195,10 @@ def keep_known(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, held_out, lang_pred, score. Null texts and texts without a letter are und
+    with score 0, as is every text if there is nothing to learn from; a null id is not held out; repeated rows stay; of
+    equally near languages the first by name counts.
+    """
     docs = table(spark, sf_dir, "documents")
     rows = with_language(docs, learn(docs), "doc_id")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

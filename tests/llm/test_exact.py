@@ -304,6 +304,51 @@ def test_language(spark):
     assert np.mean([got[d]["lang_pred"] == want[d] for d in held]) >= 0.97
 
 
+def plain_grams(text):
+    """Counts of letter n-grams, by the definition."""
+    from collections import Counter
+
+    t = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if t[i : i + n] != " ")
+
+
+def test_language_equals_a_plain_version(spark, texts):
+    """Rankings and out-of-place distances of every document, without Spark, Arrow or numpy."""
+    import zlib
+    from collections import Counter
+
+    rows = sql("select doc_id, text, lang from documents").fetchall()
+    number = lambda g: sum((0x110000 if c == " " else ord(c)) << 21 * i for i, c in enumerate(reversed(g)))
+    ranked = lambda c: sorted(c, key=lambda g: (-c[g], number(g)))[: langid.RANKS]
+    learned = {}
+    for d, text, lang in rows:
+        if lang is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            learned.setdefault(lang, Counter()).update(plain_grams(text))
+    profiles = {x: {g: i for i, g in enumerate(ranked(c))} for x, c in learned.items()}
+    got = {r["doc_id"]: r for r in registry.queries()["op5_langid"](spark, SF).collect()}
+    for d, text, _ in rows:
+        own = ranked(plain_grams(text))
+        if not any(c.isalpha() for c in text):
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0)
+            continue
+        away = {x: sum(abs(p[g] - i) if g in p else langid.RANKS for i, g in enumerate(own)) / (langid.RANKS * len(own)) for x, p in profiles.items()}
+        assert got[d]["lang_pred"] == min(sorted(away), key=away.get)
+        best, second = sorted(away.values())[:2]
+        assert got[d]["score"] == pytest.approx(min(1, max(0, (1 - best) * (1 + min(1, 4 * (second - best))) / 2)))
+
+
+def test_long_texts_have_the_counts_of_undivided_ones(monkeypatch):
+    draw = random.Random(6)
+    for _ in range(30):
+        text = "".join(draw.choice("ab cé,\u65e5 1") for _ in range(draw.randrange(0, 200)))
+        want = dict(zip(*(x.tolist() for x in langid.ngrams(text))))
+        for part in (1, 2, 3, 7, 50):
+            monkeypatch.setattr(langid, "PART", part)
+            assert dict(zip(*(x.tolist() for x in langid.ngrams(text)))) == want
+        monkeypatch.setattr(langid, "PART", 1 << 18)
+        assert sum(want.values()) == sum(plain_grams(text).values())
+
+
 def test_out_of_place():
     p = langid.Profiles({"a": [10, 20, 30], "b": [30, 20, 40]})
     got = p.distances(np.array([20, 30, 99]))
