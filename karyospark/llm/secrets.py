@@ -1,18 +1,19 @@
 """Secret scans with corpus-wide ownership frequency.
 
 One pass finds base secrets and wider candidates in every text. Candidate values are hashed, and the
-distinct repositories and owners of each hash are counted over the corpus: a value that many owners hold is
-a copied example, one that a single owner holds looks live. Base spans always stay; a wider candidate
-becomes a span only where its value looks live.
+distinct repositories and owners of each hash are counted over the corpus: a value that many owners hold in many
+repositories is a copied example; one of few owners looks live, in however many of their repositories it stands, and
+so does one in few repositories, however many owners these have. Base spans always stay; a wider candidate becomes a
+span only where its value looks live.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -35,7 +36,7 @@ PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 #: Bits a character that a mixed string must have.
 ENTROPY = 3.5
-#: Owners from which on a value is a copied example.
+#: Owners and repositories from which on a value is a copied example.
 COPIED = 3
 
 HINTS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
@@ -58,6 +59,25 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+class Taken:
+    """Spans merged to ones that lie apart, to be asked in logarithmic time."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        """Whether any of the spans shares a character with s to e."""
+        k = bisect_right(self.ends, s)
+        return k < len(self.starts) and self.starts[k] < e
+
+
 def wider_spans(text: str) -> list[tuple[int, int, int, str]]:
     """Candidates beyond the base kinds; a mixed string has all of digits, upper and lower case and enough entropy,
     and lies in no other candidate.
@@ -66,11 +86,11 @@ def wider_spans(text: str) -> list[tuple[int, int, int, str]]:
     if "-----BEGIN " in text:
         found += [(m.start(), 3, m.end(), re.sub(r"\s", "", m[0])) for m in KEY_BLOCK.finditer(text)]
     found += [(m.start(), 4, m.end(), m[0]) for m in PREFIXED.finditer(text)]
-    sure = found[:]
+    sure = Taken((s, e) for s, _, e, _ in found)
     for m in MIXED.finditer(text):
         v = m[0]
         if re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v) and entropy(v) >= ENTROPY:
-            if not any(s < m.end() and m.start() < e for s, _, e, _ in sure):
+            if not sure.meets(m.start(), m.end()):
                 found.append((m.start(), 5, m.end(), v))
     return sorted(found)
 
@@ -80,6 +100,7 @@ def told(spans: list[tuple]) -> str:
 
 
 SPAN = "struct<s:int, k:int, e:int, h:bigint>"
+NUMBERS = ("n_live", "n_copied", "n_spread", "most_owners", "most_repositories")
 
 
 def scan(docs: DataFrame, *keep: str) -> DataFrame:
@@ -96,8 +117,8 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
                 text = x.as_py()
                 own = base_spans(text)
                 base.append(mark(own))
-                taken = [(s, e) for s, _, e, _ in own]
-                wider.append(mark(w for w in wider_spans(text) if not any(s < w[2] and w[0] < e for s, e in taken)))
+                taken = Taken((s, e) for s, _, e, _ in own)
+                wider.append(mark(w for w in wider_spans(text) if not taken.meets(w[0], w[2])))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, kind), pa.array(wider, kind)], names=[*b.schema.names[:-1], "base", "wider"])
 
     return rows.mapInArrow(find, ", ".join([*[f"`{c}` {t}" for c, t in rows.dtypes[:-1]], f"base array<{SPAN}>, wider array<{SPAN}>"]))
@@ -115,36 +136,45 @@ def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
     return owners.join(places, "h")
 
 
+def is_live(copied: int) -> F.Column:
+    """Whether a value's n_owners and n_repositories don't make it a copied example."""
+    return (F.col("n_owners") < copied) | (F.col("n_repositories") < copied)
+
+
 def judged(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied: int = COPIED) -> DataFrame:
-    """Every row's id, base spans, live wider spans (live), and how many of its values are live or copied."""
+    """Every row's id, base spans, live wider spans (live), how many of its values are live, copied, and live in more than
+    one repository (n_spread), and the most owners and repositories of any of them; 0 without values.
+    """
     keep = list(dict.fromkeys(["doc_id", repository, owner]))
     found = checkpoint(scan(docs, *keep).withColumn("row", F.monotonically_increasing_id()))
     owned = ownership(found, repository, owner)
     held = found.where((F.size("base") > 0) | (F.size("wider") > 0))
     spans = held.select("row", F.explode(F.concat(F.transform("base", lambda x: F.struct(x.alias("x"), F.lit(True).alias("b"))), F.transform("wider", lambda x: F.struct(x.alias("x"), F.lit(False).alias("b"))))).alias("y"))
     spans = spans.select("row", F.col("y.x").alias("x"), F.col("y.b").alias("b"), F.col("y.x.h").alias("h")).join(checkpoint(owned), "h")
-    live = F.col("n_owners") < copied
+    live = is_live(copied)
     by_row = spans.groupBy("row").agg(
         F.collect_list(F.when(live & ~F.col("b"), F.col("x"))).alias("live"),
         F.sum(live.cast("bigint")).alias("n_live"),
         F.sum((~live).cast("bigint")).alias("n_copied"),
+        F.sum((live & (F.col("n_repositories") > 1)).cast("bigint")).alias("n_spread"),
         F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
     )
     rows = found.join(by_row, "row", "left")
-    none = F.lit(0).cast("bigint")
-    return rows.select(*keep, "base", F.coalesce("live", F.array().cast(f"array<{SPAN}>")).alias("live"), F.coalesce("n_live", none).alias("n_live"), F.coalesce("n_copied", none).alias("n_copied"), F.coalesce("most_owners", none).alias("most_owners"))
+    numbers = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in NUMBERS]
+    return rows.select(*keep, "base", F.coalesce("live", F.array().cast(f"array<{SPAN}>")).alias("live"), *numbers)
 
 
 def redacted(docs: DataFrame, copied: int = COPIED, mark: str = "[secret]") -> DataFrame:
     """The rows of docs with every live-looking value, base or wider, replaced by the mark; n_chars follows.
 
-    Values that many owners hold are copied examples and stay. No row goes; repeated rows stay repeated. Spans come from
+    Values that many owners hold in many repositories are copied examples and stay. No row goes; repeated rows stay repeated. Spans come from
     the scan on keys of id and text, and join the texts once.
     """
     keys = row_key(docs)
     marked = docs.select("*", *keys)
     found = checkpoint(scan(marked, "doc_id", "source", "__key_id", "__key_text"))
-    owned = ownership(found, "doc_id", "source").where(F.col("n_owners") < copied).select("h")
+    owned = ownership(found, "doc_id", "source").where(is_live(copied)).select("h")
     held = found.where((F.size("base") > 0) | (F.size("wider") > 0)).dropDuplicates(["__key_id", "__key_text"])
     each = held.select("__key_id", "__key_text", F.explode(F.concat("base", "wider")).alias("x")).select("__key_id", "__key_text", "x", F.col("x.h").alias("h"))
     spans = each.join(owned, "h").groupBy("__key_id", "__key_text").agg(F.sort_array(F.collect_list(F.struct("x.s", "x.e"))).alias("__spans"))
@@ -170,6 +200,10 @@ def written(spans) -> F.Column:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, the base counts and digest, spans, and the verdicts on its values. Null and
+    empty texts have no span; a null id or source is a repository or owner of its own; repeated rows stay, and of spans
+    that start together the kind listed first comes first.
+    """
     rows = judged(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("bigint")
     return rows.select(
@@ -179,9 +213,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.concat("base", "live")).alias("spans"),
-        "n_live",
-        "n_copied",
-        "most_owners",
+        *NUMBERS,
     )
 
 

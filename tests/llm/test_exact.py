@@ -286,6 +286,57 @@ def test_secrets(spark, texts):
         assert secrets.told(secrets.base_spans(t)) == brute_secrets(t)
 
 
+def plain_judgement(rows):
+    """Ownership of every value over the corpus, with plain sets: spans and verdicts of each document."""
+    owners, places, found = {}, {}, {}
+    for d, text, source in rows:
+        base = [(s, k, e, v) for s, k, e, v in secrets.base_spans(text)]
+        wider = [w for w in secrets.wider_spans(text) if not any(s < w[2] and w[0] < e for s, _, e, _ in base)]
+        found[d] = (base, wider)
+        for _, _, _, v in base + wider:
+            owners.setdefault(v, set()).add(source)
+            places.setdefault(v, set()).add(d)
+    out = {}
+    for d, (base, wider) in found.items():
+        live = {v: len(owners[v]) < secrets.COPIED or len(places[v]) < secrets.COPIED for _, _, _, v in base + wider}
+        values = [v for _, _, _, v in base + wider]
+        spans = sorted((s, k, e) for s, k, e, _ in base) + [(s, k, e) for s, k, e, v in wider if live[v]]
+        out[d] = (",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)), sum(live[v] for v in values), sum(not live[v] for v in values),
+                  sum(live[v] and len(places[v]) > 1 for v in values), max([len(owners[v]) for v in values], default=0), max([len(places[v]) for v in values], default=0))
+    return out
+
+
+def test_verdicts_equal_plain_sets(spark):
+    rows = sql("select doc_id, text, source from documents", BIGGER).fetchall()
+    got = {r["doc_id"]: (r["spans"], *(r[c] for c in secrets.NUMBERS)) for r in registry.queries()["op4_secrets"](spark, BIGGER).collect()}
+    want = plain_judgement(rows)
+    assert got == want and sum(w[1] for w in want.values()) > 10
+
+
+def test_many_candidates_take_linear_time():
+    import time
+
+    text = " ".join(f"token={i:016d}x aB3dE6gH9jK2mN5pQ8sT1{i:06d}" for i in range(40_000))
+    began = time.time()
+    own = secrets.base_spans(text)
+    taken = secrets.Taken((s, e) for s, _, e, _ in own)
+    assert sum(not taken.meets(w[0], w[2]) for w in secrets.wider_spans(text)) > 30_000 and time.time() - began < 10
+    draw = random.Random(2)
+    for _ in range(300):
+        spans = [(a := draw.randrange(30), a + draw.randrange(1, 6)) for _ in range(draw.randrange(6))]
+        s, e = (a := draw.randrange(30), a + draw.randrange(1, 6))
+        assert secrets.Taken(spans).meets(s, e) == any(x < e and s < y for x, y in spans)
+
+
+def test_repositories_count_in_the_verdict(spark):
+    """Many repositories of one owner are still the owner's own; many owners of one repository make no copied example."""
+    own, one = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT", "ghp_" + "zZ9yY8xX7wW6vV5uU4tT"
+    rows = [(i, f"see {own}", "s1") for i in range(5)] + [(9, f"see {one}", f"s{i}") for i in range(4)]
+    got = {(r["doc_id"], r["source"]): r for r in secrets.judged(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert (got[0, "s1"]["n_live"], got[0, "s1"]["n_spread"], got[0, "s1"]["most_repositories"], got[0, "s1"]["most_owners"]) == (1, 1, 5, 1)
+    assert (got[9, "s2"]["n_live"], got[9, "s2"]["n_copied"], got[9, "s2"]["most_owners"]) == (1, 0, 4)
+
+
 def test_ownership_parts_examples_from_live_values(spark):
     live, copied = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT", "ghp_" + "zZ9yY8xX7wW6vV5uU4tT"
     rows = [(i, f"see {copied} here", "en", f"s{i}", 1) for i in range(5)] + [(9, f"mine {live} and token={live}", "en", "s9", 1)]
