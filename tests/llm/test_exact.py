@@ -420,13 +420,87 @@ def test_licenses(spark, texts):
         assert (r["first_word"], r["last_word"]) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
 
 
-def test_edited_notice_is_one_span(spark):
+def plain_notices(text, templates):
+    """Votes by diagonals and verification by words, with tuples of words and a plain table of the common subsequence."""
+    w, out = [x.decode("utf-8", "surrogatepass") for x in licenses.words_of(text)], set()
+    for name, own in templates.items():
+        t = own.split()
+        size, by = len(t) - 3, {}
+        for p in range(len(w) - 3):
+            for q in range(size):
+                if w[p : p + 4] == t[q : q + 4]:
+                    by.setdefault(p - q, []).append((p, q))
+        spans = []
+        for d in sorted(by):
+            lo, hi = min(by[d])[0], max(by[d])[0]
+            if spans and d - spans[-1][0] <= licenses.GAP and max(lo - spans[-1][2], spans[-1][1] - hi) <= size:
+                spans[-1][3].append((lo, hi, {q for _, q in by[d]}))
+            else:
+                spans.append([d, lo, hi, [(lo, hi, {q for _, q in by[d]})]])
+            spans[-1][:3] = d, lo, hi
+        for *_, parts in spans:
+            if len(set().union(*(x[2] for x in parts))) < licenses.VOTED * size:
+                continue
+            at = [p for p in range(min(x[0] for x in parts), max(x[1] for x in parts) + 1) if any(w[p : p + 4] == t[q : q + 4] for q in range(size))]
+            while at:
+                part = [p for p in at if p + 4 - at[0] <= len(t) + len(t) // 2]
+                a, e = part[0], part[-1] + 4
+                table = np.zeros((e - a + 1, len(t) + 1), int)
+                for i in range(e - a):
+                    for j in range(len(t)):
+                        table[i + 1, j + 1] = table[i, j] + 1 if w[a + i] == t[j] else max(table[i, j + 1], table[i + 1, j])
+                if table[-1, -1] >= licenses.COVER * len(t):
+                    out.add((a, e - 1, name, table[-1, -1] / len(t)))
+                at = at[len(part) :]
+    return sorted(out)
+
+
+def test_notices_equal_a_plain_version(spark):
+    draw = random.Random(9)
+    templates = {k: " ".join(v.split()) for k, v in licenses.TEMPLATES.items() if len(v.split()) < 80}
+    templates["echo"] = "as is as is as is as is without warranty as is as is of any kind"
+    rows = []
+    for i in range(40):
+        words = []
+        for _ in range(draw.randrange(1, 5)):
+            t = draw.choice(list(templates.values())).split()
+            a = draw.randrange(len(t) // 2) if draw.random() < 0.4 else 0
+            t = t[a:] * draw.choice((1, 1, 3))
+            for _ in range(draw.choice((0, 1, 3, 9))):
+                k = draw.randrange(len(t))
+                t[k : k + draw.randrange(2)] = draw.choice(([], ["other"], ["of", "the"]))
+            words += ["Word"] * draw.randrange(6) + t
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["notices"] for r in licenses.licensed(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", templates=templates).collect()}
+    want = {i: plain_notices(t, templates) for i, t in rows}
+    assert {i: [tuple(x) for x in n or []] for i, n in got.items()} == want
+    assert sum(map(len, want.values())) > 40
+
+
+def test_edited_and_repeated_notices(spark, tmp_path):
     words = licenses.TEMPLATES["mit"].split()
-    edited = words[:12] + ["extra"] + words[12:30] + words[32:]
-    rows = [(1, "before it " + " ".join(edited) + " after"), (2, " ".join(words[:8])), (3, "nothing at all")]
-    got = {r["doc_id"]: r for r in licenses.licensed(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id").collect()}
-    assert [(x["template"], x["first"], x["last"]) for x in got[1]["notices"]] == [("mit", 2, len(edited) + 1)]
-    assert got[2]["notices"] is None and got[3]["score"] == 0
+    edited = words[:40] + ["extra"] + words[40:60] + words[62:]
+    pieces = [w for i in range(0, len(words) - 6, 6) for w in words[i : i + 6] + ["apart"] * 30]  # scattered pieces are no notice
+    rows = [(1, "before it " + " ".join(edited) + " after"), (2, " ".join(words[30:60])), (3, "nothing at all"), (4, " ".join(words * 3)), (5, " ".join(pieces * 3))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.licensed(docs, "doc_id").collect()}
+    n = len(words)
+    spans = lambda i: [(x["first"], x["last"]) for x in got[i]["notices"] or [] if x["template"] == "mit"]
+    assert spans(1) == [(2, len(edited) + 1)] and spans(4) == [(0, n - 1), (n, 2 * n - 1), (2 * n, 3 * n - 1)]
+    assert got[2]["notices"] is None and got[3]["score"] == 0 and spans(5) == []
+    (tmp_path / "own.txt").write_text("Nothing, at\n\nALL")
+    (tmp_path / "long-one").write_text("word " * 5 + "of a longer text")
+    folder = licenses.read_templates(spark, str(tmp_path))
+    assert set(folder) == {"own", "long-one"}
+    assert licenses.licensed(docs, "doc_id", templates=folder).where("notices is not null").count() == 0
+
+
+def test_base_phrases_take_linear_time():
+    import time
+
+    began = time.time()
+    got = licenses.phrase_places([b"mit", b"license"] * 200_000)
+    assert got == [(2 * i, 0) for i in range(200_000)] and time.time() - began < 5
 
 
 def test_pages(spark):
