@@ -293,6 +293,10 @@ def decoded(rows: DataFrame, path: str, *keep: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, n_tokens and the digests of ids and decoded text. Null and empty texts have
+    no ids and the digests of nothing; null ids and repeated rows stay. Of chunks that save equally many bytes the one of
+    the smaller hash is shared; which are shared changes no ids.
+    """
     rows = encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "doc_id")
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 

@@ -65,6 +65,11 @@ def row_key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0).cast("bigint")).alias("__key_id"), mark.alias("__key_text")]
 
 
+def apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with all but the needed columns renamed, so that no name clashes with a working column; toDF() undoes it."""
+    return docs.select(*[docs[c].alias(c if c in needed else f"extra_{i}") for i, c in enumerate(docs.columns)])
+
+
 def batch_of(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

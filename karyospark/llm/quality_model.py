@@ -203,6 +203,9 @@ def with_quality(rows: DataFrame, model: Model | None, *keep: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, held_out, score, predicted. Null texts score as empty ones, every text 0.5
+    if nothing has a label to learn from; a null id is not held out; repeated rows stay, each with the same score.
+    """
     rows = checkpoint(with_statistics(table(spark, sf_dir, "documents"), "doc_id"))
     model = fit(checkpoint(training_rows(rows, table(spark, sf_dir, "labels"))))
     scored = with_quality(rows, model, "doc_id")

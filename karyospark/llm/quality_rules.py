@@ -123,6 +123,9 @@ def ablations(entries: DataFrame, version: str = LATEST) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, the measurements, base_failed, kept and the bits of failed rules. Null and
+    empty texts have no words and fail; null ids and repeated rows stay.
+    """
     rows = apply_policy(ledger(table(spark, sf_dir, "documents")), LATEST)
     failed = ~verdict(POLICIES["base"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"), "n_lines", "failed")

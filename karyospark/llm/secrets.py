@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, row_key, table, texts
+from .common import apart, bound_batches, checkpoint, row_key, table, texts
 
 # Patterns of the base kinds and the lengths that their matches need.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -171,6 +171,7 @@ def redacted(docs: DataFrame, copied: int = COPIED, mark: str = "[secret]") -> D
     Values that many owners hold in many repositories are copied examples and stay. No row goes; repeated rows stay repeated. Spans come from
     the scan on keys of id and text, and join the texts once.
     """
+    names, kinds, docs = docs.columns, dict(docs.dtypes), apart(docs, "doc_id", "text", "source", "n_chars")
     keys = row_key(docs)
     marked = docs.select("*", *keys)
     found = checkpoint(scan(marked, "doc_id", "source", "__key_id", "__key_text"))
@@ -188,8 +189,8 @@ def redacted(docs: DataFrame, copied: int = COPIED, mark: str = "[secret]") -> D
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", first, step, done))
     out = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kinds["n_chars"])))
+    return out.select(*docs.columns).toDF(*names)
 
 
 def written(spans) -> F.Column:

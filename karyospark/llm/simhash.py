@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpoint, row_key, table, texts
+from .common import apart, bound_batches, checkpoint, row_key, table, texts
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
@@ -553,9 +553,10 @@ def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, plan: Jaccard = NEAR) -> DataFrame:
     """The rows of docs, one of each near-duplicate group: that of the smallest doc_id, null ids last.
 
-    Texts are linked where the Jaccard similarity of their five-word shingles is 0.8 or more.
+    Texts are linked where the Jaccard similarity of their five-word shingles is 0.8 or more; extra columns of any name stay.
     Of equal rows (id and text) one stays. Kept rows are settled on keys alone; texts join them once.
     """
+    names, docs = docs.columns, apart(docs, "doc_id", "text")
     marked = docs.select("*", *row_key(docs))
     signed, tree = jaccard_tree(marked, plan)
     # ids order first, null ones last (their key_text holds it); of equal ids the smaller text hash
@@ -564,7 +565,7 @@ def keep_one_of_each(docs: DataFrame, plan: Jaccard = NEAR) -> DataFrame:
     best = nodes.join(tree, nodes["nid"] == tree["node"], "left").groupBy(F.coalesce("root", "nid")).agg(F.min("best").alias("best"))
     winners = best.select(F.col("best.__key_id").alias("__kept_id"), F.col("best.__key_text").alias("__kept_text")).distinct()
     chosen = marked.join(winners, (marked["__key_id"] == F.col("__kept_id")) & (marked["__key_text"] == F.col("__kept_text")), "left_semi")
-    return chosen.dropDuplicates(["__key_id", "__key_text"]).drop("__key_id", "__key_text")
+    return chosen.dropDuplicates(["__key_id", "__key_text"]).drop("__key_id", "__key_text").toDF(*names)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

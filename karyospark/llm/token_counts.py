@@ -79,7 +79,7 @@ def count_tokens(batch: list[str], path: str, memo: dict[str, int]) -> list[int]
         memo.clear()
     pieces = [SAFE.split(t) for t in batch]
     fresh = [p for p in set().union(*pieces) if p not in memo]
-    for a, b in balanced([len(p) for p in fresh], BATCH):
+    for a, b in balanced([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in fresh], BATCH):
         memo.update(zip(fresh[a:b], count(fresh[a:b])))
     return [sum(map(memo.__getitem__, p)) for p in pieces]
 
@@ -104,13 +104,14 @@ def with_token_counts(docs: DataFrame, path: str, *keep: str, limit: int = LIMIT
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made.columns], names=[*b.schema.names[:-1], *more.names])
 
-
-
     schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.dtypes[:-1]], "n_bytes bigint, n_tokens bigint, over_limit boolean"])
     return rows.mapInArrow(count, schema)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, n_bytes, n_tokens, over_limit. Null and empty texts count 0; null ids and
+    repeated rows stay.
+    """
     return with_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "doc_id")
 
 

@@ -8,7 +8,7 @@ from karyospark.llm.common import checkpoint
 from karyospark.llm.token_counts import vocabulary
 
 NAMES = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-CLASH = {c: "x" for c in ("row", "key", "nid", "root", "v0", "i0", "base", "h", "at", "words", "spans", "key_id", "key_text", "x", "score", "label", "x_", "ids", "decoded", "host", "path", "item_id", "html", "node", "best", "kept_id")}
+CLASH = {c: "x" for c in ("row", "key", "nid", "root", "v0", "i0", "base", "h", "at", "words", "spans", "key_id", "key_text", "x", "score", "label", "x_", "ids", "decoded", "host", "path", "item_id", "html", "node", "best", "kept_id", "__key_id", "__key_text", "__kept_id", "__kept_text", "__spans", "__span_id", "its_id", "extra_0", "sketch", "keys")}
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 6000
 ROWS = [
     (None, None, None, None, None),
