@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from .operators import coverage, evaluate, snp
+from .operators import coverage, evaluate, gc, snp
 from .operators.segmentation import segment
 from .params import Params
 from .plans.infer import infer
@@ -48,7 +48,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("karyospark").getOrCreate()
     if a.command == "gc-index":
-        coverage.gc_windows(text.read_sequences(spark, a.fasta)).write.mode("overwrite").parquet(a.output)
+        gc.gc_blocks(text.read_fasta(spark, a.fasta)).write.mode("overwrite").parquet(a.output)
     elif a.command == "normalize":
         contigs = text.read_contigs(spark, a.dictionary)
         reads = bam.read_bam(spark, a.tumor, "tumor", contigs).unionByName(bam.read_bam(spark, a.normal, "normal", contigs))

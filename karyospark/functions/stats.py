@@ -1,4 +1,4 @@
-"""Statistics as column expressions: gamma by Stirling's series, binomials, and what follows from them."""
+"""Statistics as column expressions: gamma by its asymptotic series, binomials, and what follows from them."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def log_gamma(z: Column) -> Column:
-    """ln of the gamma function for z >= 1, by the first terms of Stirling's series."""
+    """ln of the gamma function for z > 0: the asymptotic series at z + 8, and back down by the recurrence; 14 digits."""
     z = z.cast("double")
-    inner = z + 1 / (12 * z - 1 / (10 * z))
-    return 0.5 * F.ln(2 * math.pi / z) + z * (F.ln(inner) - 1)
+    x = z + 8
+    inner = 1 / (x * x)
+    series = (1 / 12 - inner * (1 / 360 - inner * (1 / 1260 - inner * (1 / 1680 - inner / 1188)))) / x
+    down = F.lit(0.0)
+    for k in range(8):
+        down = down + F.ln(z + k)
+    return (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + series - down
 
 
 def log_factorial(n: Column) -> Column:
@@ -28,12 +33,15 @@ def binomial(n: Column, k: Column, p: float) -> Column:
 
 
 def binomial_max(n: Column, p: float, log: bool = False) -> Column:
-    """Mean share (or its log10) of the larger side of n draws; 0 for no draws."""
+    """Expected share of the larger of two sides when n draws fall to one side with probability p, or of its log10; 0 for n = 0."""
     n = n.cast("int")
-    share = lambda i: F.greatest(i, n - i).cast("double") / n
-    value = (lambda i: F.log10(share(i))) if log else share
-    total = F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda a, i: a + value(i) * binomial(n, i, p))
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+
+    def part(k: Column) -> Column:
+        larger = F.greatest(k, n - k).cast("double") / n
+        return binomial(n, k, p) * (F.log10(larger) if log else larger)
+
+    sides = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), part)
+    return F.when(n > 0, F.aggregate(sides, F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
 
 
 def negative_binomial_parameters(mean: Column, variance: Column) -> tuple[Column, Column]:

@@ -127,16 +127,3 @@ def normalize(reads: DataFrame, contigs: DataFrame, p: Params = Params()) -> Dat
         raise ValueError("both a tumor and a normal sample are needed")
     grid = running_median(dense(window_counts(spanned), contigs, p), ["tumor", "normal"], p.smooth_half)
     return coverage_ratio(grid, means["tumor"], means["normal"], p)
-
-
-def gc_windows(sequences: DataFrame, sizes: tuple[int, ...] = (1, 5, 25, 125)) -> DataFrame:
-    """(chr, window_size, start, gc): g and c within each forward window, fewer letters at the end.
-
-    sequences: (chr, seq). Differences of a running count, so that every size costs one pass.
-    """
-    bases = sequences.select("chr", F.posexplode(F.split(F.lower("seq"), "")).alias("start", "base")).where("base <> ''")
-    order = Window.partitionBy("chr").orderBy("start")
-    rows = bases.withColumn("is_gc", F.col("base").isin("g", "c").cast("int"))
-    rows = rows.select("chr", "start", *[F.sum("is_gc").over(order.rowsBetween(0, s - 1)).cast("int").alias(f"gc{s}") for s in sizes])
-    each = [F.struct(F.lit(s).alias("window_size"), F.col(f"gc{s}").alias("gc")) for s in sizes]
-    return rows.select("chr", "start", F.explode(F.array(*each)).alias("x")).select("chr", "x.window_size", "start", "x.gc")

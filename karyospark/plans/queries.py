@@ -11,6 +11,7 @@ from .. import adapters as A
 from ..functions.numeric import half_down, plot_scale
 from ..operators import coverage as C
 from ..operators import evaluate as E
+from ..operators import gc as GC
 from ..operators import histogram as H
 from ..operators import intervals as I
 from ..operators import snp as S
@@ -166,15 +167,18 @@ def coverage_ratio(spark, d):
 
 @query(
     "gc_window",
-    """WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS chr, lower(text) AS t FROM documents WHERE length(text) BETWEEN 1 AND 300),
-p AS (SELECT chr, i AS start, CAST(t[i + 1] IN ('g', 'c') AS INT) AS x FROM (SELECT chr, t, unnest(range(0, length(t))) AS i FROM b))
-SELECT chr, CAST(w AS INT) AS window_size, CAST(start AS INT) AS start, CAST(CASE w WHEN 1 THEN a WHEN 5 THEN e ELSE f END AS INT) AS gc FROM (
-  SELECT chr, start, x AS a, sum(x) OVER (o ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS e, sum(x) OVER (o ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS f FROM p
-  WINDOW o AS (PARTITION BY chr ORDER BY start)), (SELECT unnest([1, 5, 25]) AS w)""",
+    """WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS chr, i AS start, CAST(c IN ('g', 'c', 'G', 'C') AS INT) AS x FROM (
+  SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS i FROM documents WHERE length(text) > 0)),
+s AS (SELECT chr, start, x AS a, sum(x) OVER (o ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS e, sum(x) OVER (o ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS f,
+  sum(x) OVER (o ROWS BETWEEN CURRENT ROW AND 124 FOLLOWING) AS h FROM p WINDOW o AS (PARTITION BY chr ORDER BY start)),
+w AS (SELECT chr, start, unnest([1, 5, 25, 125]) AS window_size, unnest([a, e, f, h]) AS gc FROM s)
+SELECT chr, CAST(window_size AS INT) AS window_size, CAST(count(*) AS BIGINT) AS n, CAST(sum(gc) AS BIGINT) AS total, CAST(sum(gc * (start + 1)) AS BIGINT) AS by_place, CAST(sum(gc * gc) AS BIGINT) AS squares FROM w GROUP BY ALL""",
 )
 def gc_window(spark, d):
-    """Sequences are the texts of up to 300 letters, which stand for short contigs."""
-    return C.gc_windows(A.sequences(spark, d).where(F.length("seq").between(1, 300)), (1, 5, 25))
+    """All windows of all texts, as sums by sequence and size that tell places and counts apart."""
+    rows = GC.gc_windows(GC.pieces(A.sequences(spark, d)), block=1000)
+    gc = F.col("gc").cast("bigint")
+    return rows.groupBy("chr", "window_size").agg(F.count("*").alias("n"), F.sum(gc).alias("total"), F.sum(gc * (F.col("start") + 1)).alias("by_place"), F.sum(gc * gc).alias("squares"))
 
 
 # ---------------------------------------------------------------- sites
@@ -220,11 +224,11 @@ def segment_snp_summary(spark, d):
 
 @query(
     "site_restriction",
-    f"""WITH {CALLS}, regions AS (SELECT CAST(o_custkey % 22 AS INT) AS chr_idx, o_orderkey AS a, o_orderkey + 50 AS b FROM orders WHERE o_orderkey % 9 = 0)
+    f"""WITH {CALLS}, regions AS (SELECT CAST(o_custkey % 22 AS INT) AS chr_idx, o_orderkey AS a, o_orderkey + 50 AS b FROM orders)
 SELECT chr_idx, pos, td AS tumor_depth FROM het h WHERE EXISTS (SELECT 1 FROM regions r WHERE r.chr_idx = h.chr_idx AND h.pos BETWEEN r.a AND r.b)""",
 )
 def site_restriction(spark, d):
-    x = A.load(spark, d, "orders").where("o_orderkey % 9 = 0")
+    x = A.load(spark, d, "orders")
     regions = x.select((F.col("o_custkey") % 22).cast("int").alias("chr_idx"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 50).alias("end"))
     return I.within(S.het_snps(A.calls(spark, d), A.SNP_PARAMS), regions, ["chr_idx"], width=1000).select("chr_idx", "pos", "tumor_depth")
 
@@ -411,41 +415,43 @@ def recall_precision(spark, d):
     return rows.select(*[r(c).alias(c) for c in ("cp_recall", "cp_precision", "mcp_recall", "mcp_precision")])
 
 
-SPARSE = """sparse AS (SELECT CAST(o_custkey % 22 AS INT) AS chr_idx, o_orderkey AS start, o_orderkey + 20 + o_custkey % 30 AS "end" FROM orders WHERE o_custkey % 11 = 3 AND o_orderkey < 1000000)"""
+SPARSE = """sparse AS (SELECT CAST(o_custkey % 22 AS INT) AS chr_idx, o_orderkey AS start, o_orderkey + 20 + o_custkey % 30 AS "end" FROM orders)"""
 
 
 @query(
     "segment_complement",
-    f"""WITH {SPARSE}, e AS (SELECT * FROM sparse UNION ALL SELECT CAST(c AS INT), 1000001, 1000001 FROM (SELECT unnest(range(0, 22)) AS c)),
+    f"""WITH {SPARSE}, e AS (SELECT * FROM sparse UNION ALL SELECT CAST(c AS INT), z, z FROM (SELECT unnest(range(0, 22)) AS c), (SELECT max(o_orderkey) + 1001 AS z FROM orders)),
 g AS (SELECT chr_idx, coalesce(max("end") OVER (PARTITION BY chr_idx ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS a, start - 1 AS b FROM e)
 SELECT chr_idx, a AS start, b AS "end" FROM g WHERE a <= b""",
 )
 def segment_complement(spark, d):
-    x = A.load(spark, d, "orders").where("o_custkey % 11 = 3 and o_orderkey < 1000000")
+    """Gaps between all orders on contigs that reach a thousand beyond the last key."""
+    x = A.load(spark, d, "orders")
     segs = x.select((F.col("o_custkey") % 22).cast("int").alias("chr_idx"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 20 + F.col("o_custkey") % 30).alias("end"))
-    return I.complement(segs, A.snp_contigs(spark))
+    length = x.agg((F.max("o_orderkey") + 1000).alias("length"))
+    return I.complement(segs, A.snp_contigs(spark).drop("length").crossJoin(length))  # a row for each contig
 
 
 # ---------------------------------------------------------------- levels and smoothing
 
 LEVELS = f"""{SEGMENTS}, kk AS (SELECT chr_idx, ratio, sum(n_windows) OVER (PARTITION BY chr_idx ORDER BY ratio) AS run, sum(n_windows) OVER (PARTITION BY chr_idx) AS total FROM usable),
 base AS (SELECT chr_idx, min(ratio) AS base_level FROM kk WHERE 2 * run >= total GROUP BY chr_idx),
-d AS (SELECT chr_idx, start, min(ratio) AS ratio, min(n_windows) AS n_windows FROM usable WHERE start % 40 = 0 GROUP BY chr_idx, start),
+d AS (SELECT chr_idx, start, min(ratio) AS ratio, min(n_windows) AS n_windows FROM usable GROUP BY chr_idx, start),
 near AS (SELECT d.*, base_level, abs(ratio - base_level) / sqrt(0.04::DOUBLE / n_windows) < 5 AS near FROM d JOIN base USING (chr_idx)),
 around AS (SELECT *, lag(near) OVER o AS nb, lag(n_windows) OVER o AS n, lead(near) OVER o AS na, lead(n_windows) OVER o AS m FROM near WINDOW o AS (PARTITION BY chr_idx ORDER BY start)),
 level AS (SELECT *, CASE WHEN near AND coalesce(nb OR na OR n IS NULL OR m IS NULL OR n_windows > n OR n_windows > m, false) THEN base_level ELSE ratio END AS level FROM around)"""
 
 
-def spaced(spark, d):
-    """Segments that start at multiples of 40, which stand for a contig's consecutive segments."""
-    return usable(spark, d).where(F.col("start") % 40 == 0).groupBy("chr_idx", "start").agg(F.min("ratio").alias("ratio"), F.min("n_windows").alias("n_windows"))
+def line(spark, d):
+    """All usable segments in line, one for each start."""
+    return usable(spark, d).groupBy("chr_idx", "start").agg(F.min("ratio").alias("ratio"), F.min("n_windows").alias("n_windows"))
 
 
 @query("collapse_segments", f"WITH {LEVELS} SELECT chr_idx, start, {rs('level')} AS level, CASE WHEN level > base_level THEN 'gain' WHEN level < base_level THEN 'loss' ELSE 'neutral' END AS state FROM level")
 def collapse_segments(spark, d):
     from ..operators.segmentation import collapse
 
-    return collapse(spaced(spark, d), H.base_level(usable(spark, d), "chr_idx"), 0.04).select("chr_idx", "start", r("level").alias("level"), "state")
+    return collapse(line(spark, d), H.base_level(usable(spark, d), "chr_idx"), 0.04).select("chr_idx", "start", r("level").alias("level"), "state")
 
 
 @query(
@@ -456,36 +462,36 @@ SELECT chr_idx, start, CAST(CASE WHEN abs(x) < err THEN 2 WHEN x > 0 THEN least(
 def integer_states_query(spark, d):
     from ..operators.segmentation import integer_states
 
-    return integer_states(spaced(spark, d), H.base_level(usable(spark, d), "chr_idx"), 0.04).select("chr_idx", "start", F.col("copies").cast("int").alias("copies"))
+    return integer_states(line(spark, d), H.base_level(usable(spark, d), "chr_idx"), 0.04).select("chr_idx", "start", F.col("copies").cast("int").alias("copies"))
 
 
-@query("window_average", f"WITH {LEVELS}, p AS (SELECT chr_idx, start, ratio / count(*) OVER (PARTITION BY chr_idx ORDER BY start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS part FROM d) SELECT chr_idx, start, {rs('sum(part) OVER (PARTITION BY chr_idx ORDER BY start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)')} AS smoothed FROM p")
+@query("window_average", f"WITH {LEVELS}, p AS (SELECT chr_idx, start, ratio / count(*) OVER (PARTITION BY chr_idx ORDER BY start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS part FROM d) SELECT chr_idx, start, {rs('sum(part) OVER (PARTITION BY chr_idx ORDER BY start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)', 9)} AS smoothed FROM p")
 def window_average(spark, d):
-    return H.window_average(spaced(spark, d), "ratio", "chr_idx", "start", 3).select("chr_idx", "start", r("smoothed").alias("smoothed"))
+    return H.window_average(line(spark, d), "ratio", "chr_idx", "start", 3).select("chr_idx", "start", r("smoothed", 9).alias("smoothed"))
 
 
 @query(
     "moving_stats",
     f"""WITH {LEVELS}, i AS (SELECT *, row_number() OVER (PARTITION BY chr_idx ORDER BY start) - 1 AS i FROM d)
-SELECT a.chr_idx, a.start, {rs("avg(b.ratio)")} AS moving_mean, {rs("stddev_samp(b.ratio)")} AS moving_stddev FROM i a JOIN i b ON a.chr_idx = b.chr_idx AND b.i BETWEEN greatest(a.i - 5, 0) AND greatest(a.i - 5, 0) + 4 GROUP BY a.chr_idx, a.start""",
+SELECT a.chr_idx, a.start, {rs("avg(b.ratio)", 9)} AS moving_mean, {rs("stddev_samp(b.ratio)")} AS moving_stddev FROM i a JOIN i b ON a.chr_idx = b.chr_idx AND b.i BETWEEN greatest(a.i - 5, 0) AND greatest(a.i - 5, 0) + 4 GROUP BY a.chr_idx, a.start""",
 )
 def moving_stats(spark, d):
-    return H.moving_stats(spaced(spark, d), "ratio", "chr_idx", "start", 5, 4).select("chr_idx", "start", r("moving_mean").alias("moving_mean"), r("moving_stddev").alias("moving_stddev"))
+    return H.moving_stats(line(spark, d), "ratio", "chr_idx", "start", 5, 4).select("chr_idx", "start", r("moving_mean", 9).alias("moving_mean"), r("moving_stddev").alias("moving_stddev"))
 
 
 @query(
     "count_statistics",
     "WITH n AS (SELECT DISTINCT CAST(l_quantity AS INT) AS n, CAST(l_linenumber AS INT) AS k FROM lineitem WHERE l_quantity >= l_linenumber) SELECT n, k, "
-    + rs("ln(CAST(factorial(least(n, 20)) AS DOUBLE))", 3)
+    + rs("lgamma(n + 1.0)")
     + " AS log_factorial, "
-    + rs("exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)) / pow(2, n) / 3", 3)
-    + " AS third_of_share FROM n",
+    + rs("exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * ln(0.3::DOUBLE) + (n - k) * ln(0.7::DOUBLE))", 8)
+    + " AS share FROM n",
 )
 def count_statistics(spark, d):
     from ..functions import stats
 
     rows = A.load(spark, d, "lineitem").where("l_quantity >= l_linenumber").select(F.col("l_quantity").cast("int").alias("n"), F.col("l_linenumber").alias("k")).distinct()
-    return rows.select("n", "k", r(stats.log_factorial(F.least("n", F.lit(20))), 3).alias("log_factorial"), r(stats.binomial(F.col("n"), F.col("k"), 0.5) / 3, 3).alias("third_of_share"))
+    return rows.select("n", "k", r(stats.log_factorial(F.col("n"))).alias("log_factorial"), r(stats.binomial(F.col("n"), F.col("k"), 0.3), 8).alias("share"))
 
 
 # ---------------------------------------------------------------- fits; no SQL

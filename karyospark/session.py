@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -24,3 +24,19 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(target)
     sc._karyospark_shipped = True
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialises df in the folder of spark.checkpoint.dir, which all executors share and which outlives any of them.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="karyospark-checkpoints-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

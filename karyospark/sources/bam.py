@@ -1,15 +1,21 @@
-"""A data source for BAM files: BGZF blocks and records by the published format, with the standard library only.
+"""A data source for BAM files: BGZF blocks and records by the published format, with the standard library and numpy.
 
-Each file is one partition; spark.read.format("bam") gives READS without the sample.
+Files are split by bytes. A split begins at the first block in it and there at the first place from which on records
+follow each other, and it ends with the last record that begins in one of its blocks. Splits yield Arrow batches.
+spark.read.format("bam") gives READS without the sample; option split_bytes sets the size of splits.
 """
 
 from __future__ import annotations
 
 import glob
 import gzip
+import os
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,36 +23,221 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..session import ship
 
 SCHEMA = "chr string, pos long, mate_pos long, insert_size long, seq_len int, mapq int, flags int"
+SPLIT_BYTES = 32 << 20
+#: Decompressed bytes of a batch, and records in a row that prove a record's begin.
+BATCH_BYTES = 4 << 20
+IN_A_ROW = 8
+#: Bytes of a record that can begin a split.
+LONGEST = 1 << 26
 
+# The format's magic numbers and the layout of a record's fixed part.
+MAGIC, GZIP = b"BAM\1", b"\x1f\x8b\x08\x04"
+FIXED = np.dtype(
+    [("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flags", "<u2"),
+     ("length", "<i4"), ("mate_ref", "<i4"), ("mate", "<i4"), ("span", "<i4")]
+)
 
-class BamFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+
+class Split(InputPartition):
+    """Blocks that begin from byte start to stop of a file; first: where in the first block's bytes the records begin,
+    None where that has to be found. stop None: a file that isn't BGZF, read as one."""
+
+    def __init__(self, path: str, names: list[str], start: int, stop: int | None, first: int | None):
+        self.path, self.names, self.start, self.stop, self.first = path, names, start, stop, first
+
+
+def block_size(head: bytes) -> int | None:
+    """The size of the BGZF block that begins with these bytes, None if none does."""
+    if len(head) < 18 or head[:4] != GZIP:
+        return None
+    at, end = 12, 12 + struct.unpack_from("<H", head, 10)[0]
+    while at + 4 <= min(end, len(head)):
+        size = struct.unpack_from("<H", head, at + 2)[0]
+        if head[at : at + 2] == b"BC" and size == 2 and at + 6 <= len(head):
+            return struct.unpack_from("<H", head, at + 4)[0] + 1
+        at += 4 + size
+    return None
+
+
+def blocks(f, at: int) -> Iterator[tuple[int, bytes]]:
+    """(begin, bytes) of each block from the one at this byte on."""
+    while True:
+        f.seek(at)
+        size = block_size(f.read(64))
+        if size is None:
+            return
+        f.seek(at)
+        raw = f.read(size)
+        yield at, zlib.decompress(raw[12 + struct.unpack_from("<H", raw, 10)[0] :], -15)
+        at += size
+
+
+def next_block(f, at: int, stop: int) -> int | None:
+    """Where the first block from this byte on begins, None if none does before stop."""
+    while at < stop:
+        f.seek(at)
+        raw = f.read(1 << 17)
+        k = raw.find(GZIP)
+        while k >= 0 and at + k < stop:
+            size = block_size(raw[k : k + 64])
+            if size is not None:
+                f.seek(at + k + size)
+                after = f.read(64)
+                if not after or block_size(after) is not None:
+                    return at + k
+            k = raw.find(GZIP, k + 1)
+        if len(raw) <= 64:
+            return None
+        at += len(raw) - 64
+    return None
+
+
+def plausible(data: bytes, at: int, n_names: int) -> int | None:
+    """Where the next record begins if one may begin here, None if none can."""
+    size, ref, pos, l_name, _, _, n_cigar, _, length, mate_ref, mate, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    if not (-1 <= ref < n_names and -1 <= mate_ref < n_names and pos >= -1 and mate >= -1 and l_name >= 1 and length >= 0):
+        return None
+    if not 32 + l_name + 4 * n_cigar + (length + 1) // 2 + length <= size <= LONGEST:
+        return None
+    name_end = at + 36 + l_name - 1
+    return at + 4 + size if name_end >= len(data) or data[name_end] == 0 else None
+
+
+def first_record(data: bytes, n_names: int, final: bool) -> int | None:
+    """The first place from which on IN_A_ROW records follow each other, or fewer up to the end of a final piece.
+
+    -1 where data that isn't final is too short to tell, None where there is none.
+    """
+    for at in range(len(data)):
+        k, n = at, 0
+        while k is not None and n < IN_A_ROW:
+            if final and n and k == len(data):
+                return at
+            if k + FIXED.itemsize > len(data):
+                if not final:
+                    return -1
+                break
+            k, n = plausible(data, k, n_names), n + 1
+        else:
+            if k is not None:
+                return at
+    return None if final else -1
+
+
+def header(read) -> list[str]:
+    """Names of the references, from a function that reads so many bytes; it stands at the first record then."""
+    if read(4) != MAGIC:
+        raise ValueError("no BAM file")
+    read(struct.unpack("<i", read(4))[0])
+    names = []
+    for _ in range(struct.unpack("<i", read(4))[0]):
+        names.append(read(struct.unpack("<i", read(4))[0])[:-1].decode())
+        read(4)
+    return names
+
+
+class Bytes:
+    """Blocks' bytes as one stream that knows in which block it stands."""
+
+    def __init__(self, f):
+        self.source, self.data, self.at, self.block, self.used = blocks(f, 0), b"", 0, 0, 0
+
+    def read(self, n: int) -> bytes:
+        out = b""
+        while len(out) < n:
+            if self.at == len(self.data):
+                self.block, self.data = next(self.source)
+                self.at = 0
+            part = self.data[self.at : self.at + n - len(out)]
+            out += part
+            self.at += len(part)
+        return out
+
+
+def splits_of(path: str, split_bytes: int) -> list[Split]:
+    with open(path, "rb") as f:
+        if block_size(f.read(64)) is None:
+            return [Split(path, [], 0, None, None)]
+        stream = Bytes(f)
+        try:
+            names = header(stream.read)
+        except ValueError as e:
+            raise ValueError(f"{path}: {e}") from None
+    size = os.path.getsize(path)
+    edges = [stream.block, *range((stream.block // split_bytes + 1) * split_bytes, size, split_bytes), size]
+    return [Split(path, names, a, b, None if i else stream.at) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+
+def batch_of(data: bytes, offsets: list[int], names: list[str]) -> pa.RecordBatch:
+    """The mapped reads that begin at the offsets."""
+    raw = np.frombuffer(data, np.uint8)[np.array(offsets, np.int64)[:, None] + np.arange(FIXED.itemsize)]
+    got = np.ascontiguousarray(raw).view(FIXED)[:, 0]
+    got = got[got["ref"] >= 0]
+    chrs = pa.DictionaryArray.from_arrays(pa.array(got["ref"].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+    longs = [pa.array(got[c].astype(np.int64)) for c in ("pos", "mate", "span")]
+    ints = [pa.array(got[c].astype(np.int32)) for c in ("length", "mapq", "flags")]
+    return pa.RecordBatch.from_arrays([chrs, *longs, *ints], names=["chr", "pos", "mate_pos", "insert_size", "seq_len", "mapq", "flags"])
+
+
+def records(pieces: Iterator[tuple[bool, bytes]], first: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of the records that begin in own pieces of (own, bytes); of others only a record's rest is taken."""
+    data, at, limit, target, more = b"", first, None, BATCH_BYTES, True
+    while True:
+        taken, size = [data], len(data)
+        while more and size < target:
+            own, piece = next(pieces, (False, None))
+            more = piece is not None
+            if more:
+                if not own and limit is None:
+                    limit, target = size, 0
+                taken.append(piece)
+                size += len(piece)
+        data = b"".join(taken)
+        if at is None:
+            at = first_record(data, len(names), not more)
+        if at == -1:
+            at, target = None, len(data) + (BATCH_BYTES if limit is None else 1)
+            continue
+        if at is None:
+            return
+        offsets, end = [], len(data) if limit is None else limit
+        while at < end and at + 4 <= len(data):
+            after = at + 4 + struct.unpack_from("<i", data, at)[0]
+            if after > len(data):
+                break
+            offsets.append(at)
+            at = after
+        if offsets:
+            yield batch_of(data, offsets, names)
+        if not more or (limit is not None and at >= limit):
+            return
+        data, at, limit = data[at:], 0, None if limit is None else limit - at
+        target = len(data) + (BATCH_BYTES if limit is None else 1)
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = sorted(glob.glob(options["path"]))
+        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         if not self.paths:
             raise FileNotFoundError(options["path"])
 
     def partitions(self) -> list[InputPartition]:
-        return [BamFile(p) for p in self.paths]
-
-    def read(self, partition: BamFile) -> Iterator[tuple]:
-        with gzip.open(partition.path, "rb") as f:
-            if f.read(4) != b"BAM\1":
-                raise ValueError(f"{partition.path} is no BAM file")
-            f.read(struct.unpack("<i", f.read(4))[0])
-            names = []
-            for _ in range(struct.unpack("<i", f.read(4))[0]):
-                names.append(f.read(struct.unpack("<i", f.read(4))[0])[:-1].decode())
-                f.read(4)
-            while head := f.read(4):
-                body = f.read(struct.unpack("<i", head)[0])
-                ref, pos, _, mapq, _, _, flags, length, _, mate, span = struct.unpack_from("<iiBBHHHiiii", body)
-                if ref >= 0:
-                    yield names[ref], pos, mate, span, length, mapq, flags
+        return [s for p in self.paths for s in splits_of(p, self.split_bytes)]
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        if partition.stop is None:
+            with gzip.open(partition.path, "rb") as g:
+                try:
+                    names = header(g.read)
+                except ValueError as e:
+                    raise ValueError(f"{partition.path}: {e}") from None
+                yield from records(((True, x) for x in iter(lambda: g.read(1 << 20), b"")), 0, names)
+            return
+        with open(partition.path, "rb") as f:
+            at = partition.start if partition.first is not None else next_block(f, partition.start, partition.stop)
+            if at is not None:
+                yield from records(((a < partition.stop, x) for a, x in blocks(f, at)), partition.first, partition.names)
 
 
 class BamSource(DataSource):
@@ -61,9 +252,9 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def read_bam(spark: SparkSession, path: str, sample: str, contigs: DataFrame) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, sample: str, contigs: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """READS of a sample on the known contigs; unmapped reads go."""
     ship(spark)
     spark.dataSource.register(BamSource)
-    rows = spark.read.format("bam").load(path).join(F.broadcast(contigs.select("chr", "chr_idx")), "chr")
+    rows = spark.read.format("bam").option("split_bytes", split_bytes).load(path).join(F.broadcast(contigs.select("chr", "chr_idx")), "chr")
     return rows.select(F.lit(sample).alias("sample"), "chr_idx", "pos", "mate_pos", "insert_size", "seq_len", "mapq", "flags")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import AUTOSOMES, drop_neutral
 from ..operators.intervals import with_offsets
+from ..session import checkpoint, ship
 
 # Names of autosomes in sequence dictionaries, and where contig numbers stand in names.
 AUTOSOME_NAME = r"^chr\d+$"
@@ -96,12 +100,63 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, seq) of a FASTA file, one row per record."""
+    """(chr, seq) of a FASTA file of short records, one row per record; read_fasta() reads contigs of any length."""
     rows = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
     name = F.regexp_extract("value", r"^(\S+)", 1)
     return rows.select(name.alias("chr"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 
+#: Letters of a piece of a sequence.
+PIECE = 1 << 20
+
+
+def read_fasta(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """(chr, start, bases): pieces of the records of FASTA files, whose splits are read apart.
+
+    Each split numbers its records and letters from its own begin; how long the record at its begin already is follows
+    from the lengths of the splits before it, one row for each split and record.
+    """
+    ship(spark)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "split", "record", "name", "at", "bases"]
+        now, record, name, at, held, size = None, 0, None, 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            row = [*now, record, name, at, "".join(held)]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
+
+        for b in batches:
+            for file, split, value in zip(*(c.to_pylist() for c in b.columns)):
+                fresh = (file, split) != now
+                if fresh or value.startswith(">"):
+                    if now is not None:
+                        yield flush()
+                    held, size, at = [], 0, 0
+                    record, name = (0, None) if fresh else (record, name)
+                    now = (file, split)
+                    if value.startswith(">"):
+                        record, name = record + 1, (value[1:].split() or [""])[0]
+                        continue
+                held.append("".join(value.split()))
+                size += len(held[-1])
+                if size >= piece:
+                    yield flush()
+                    held, size, at = [], 0, at + size
+        if now is not None:
+            yield flush()
+
+    rows = checkpoint(lines.mapInArrow(cut, "file string, split bigint, record bigint, name string, at bigint, bases string"))
+    line = Window.partitionBy("file").orderBy("split", "record")
+    sizes = rows.groupBy("file", "split", "record").agg(F.max("name").alias("name"), F.sum(F.length("bases")).alias("n"))
+    sizes = sizes.withColumn("chr", F.last("name", ignorenulls=True).over(line)).withColumn("contig", F.count("name").over(line))
+    before = Window.partitionBy("file", "contig").orderBy("split", "record").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("file", "split", "record", "chr", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.where("bases <> ''").join(base, ["file", "split", "record"]).where("chr is not null").select("chr", (F.col("base") + F.col("at")).alias("start"), "bases")
+
+
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """(chr, start, end, copy_number) of a simulated genome's altered alleles."""
     rows = fields(spark, path, ["chr", "start", "end", "copy_number"])

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from karyospark.model import DUPLICATE, FIRST, MATE_UNMAPPED, PAIRED, PROPER, READS, REVERSE, SECONDARY, SUPPLEMENTARY
 from karyospark.operators import coverage as C
+from karyospark.operators import gc as GC
 from karyospark.operators.intervals import with_offsets
 from karyospark.params import Params
 
@@ -75,6 +78,20 @@ def test_normalize_needs_both(spark, contigs):
 
 
 def test_gc(spark):
-    got = C.gc_windows(spark.createDataFrame([("a", "GCatgN")], "chr string, seq string"), (1, 5))
+    rows = spark.createDataFrame([("a", "GCatgN"), ("b", ""), ("c", None)], "chr string, seq string")
+    got = GC.gc_windows(GC.pieces(rows), (1, 5))
     assert [r["gc"] for r in got.where("window_size = 5").orderBy("start").collect()] == [3, 2, 1, 1, 1, 0]
     assert got.where("window_size = 1").agg(F.sum("gc")).first()[0] == 3
+    with pytest.raises(ValueError):
+        GC.gc_blocks(GC.pieces(rows), (300,))
+
+
+def test_gc_by_blocks_and_pieces(spark):
+    """Every cut into pieces and blocks gives the counts of the whole sequence."""
+    draw = random.Random(1)
+    seqs = {f"s{i}": "".join(draw.choice("ACGTacgtN") for _ in range(draw.randrange(1, 400))) for i in range(6)}
+    rows = spark.createDataFrame(list(seqs.items()), "chr string, seq string")
+    want = sorted((c, w, i, sum(x in "GCgc" for x in s[i : i + w])) for c, s in seqs.items() for w in (1, 5, 25, 125) for i in range(len(s)))
+    for piece, block in ((1 << 20, 1 << 20), (7, 50), (130, 10), (50, 125)):
+        got = GC.gc_windows(GC.pieces(rows, piece), block=block)
+        assert sorted(map(tuple, got.collect())) == want

@@ -2,6 +2,8 @@ import gzip
 import json
 import struct
 
+import pytest
+
 from karyospark import cli
 from karyospark.params import Config
 from karyospark.plans import frames, simulate
@@ -50,7 +52,7 @@ def make_bam(path, names, records):
     for n in names:
         out += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", 1000)
     for ref, pos, mapq, flags, length, mate, span in records:
-        body = struct.pack("<iiBBHHHiiii", ref, pos, 2, mapq, 0, 0, flags, length, ref, mate, span) + b"q\0"
+        body = struct.pack("<iiBBHHHiiii", ref, pos, 2, mapq, 0, 0, flags, length, ref, mate, span) + b"q\0" + bytes((length + 1) // 2 + length)
         out += struct.pack("<i", len(body)) + body
     with gzip.open(path, "wb") as f:
         f.write(out)
@@ -62,6 +64,62 @@ def test_bam(spark, tmp_path):
     assert [tuple(r) for r in bam.read_bam(spark, str(tmp_path / "a.bam"), "tumor", contigs).collect()] == [("tumor", 0, 5, 50, 300, 100, 60, 67)]
 
 
+def bgzf(data, block=700):
+    """Blocks of any size, whatever records they cut, and the empty one at the end."""
+    import zlib
+
+    out = b""
+    for part in [*(data[i : i + block] for i in range(0, len(data), block)), b""]:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        raw = c.compress(part) + c.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+@pytest.mark.parametrize("block", [100, 700, 5000])
+def test_splits_of_a_bam_file_equal_the_whole(spark, tmp_path, block):
+    """Records that blocks and splits cut anywhere are read once each."""
+    import random
+
+    draw = random.Random(block)
+    records = [(draw.randrange(-1, 2), draw.randrange(900), 60, 67, draw.randrange(1, 200), draw.randrange(900), 300) for _ in range(3000)]
+    make_bam(tmp_path / "plain.bam", ["chr1", "chrM"], records)
+    with gzip.open(tmp_path / "plain.bam") as f, open(tmp_path / "blocks.bam", "wb") as g:
+        g.write(bgzf(f.read(), block))
+    contigs = spark.createDataFrame([("chr1", 0, 1000), ("chrM", 1, 1000)], "chr string, chr_idx int, length bigint")
+    whole = sorted(map(tuple, bam.read_bam(spark, str(tmp_path / "plain.bam"), "tumor", contigs).collect()))
+    assert len(whole) == sum(r[0] >= 0 for r in records)
+    for split in (1 << 30, 3000, 700):
+        rows = bam.read_bam(spark, str(tmp_path / "blocks.bam"), "tumor", contigs, split)
+        assert split > 1 << 20 or rows.rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, rows.collect())) == whole
+
+
+def test_fasta_of_many_splits(spark, tmp_path):
+    import random
+
+    draw = random.Random(4)
+    seqs = {f"chr{i}": "".join(draw.choice("ACGTN") for _ in range(draw.choice((0, 1, 50, 700)))) for i in range(12)}
+    text_of = lambda names: "".join(f">{n} about {n}\n" + "".join(seqs[n][i : i + 60] + "\n" for i in range(0, len(seqs[n]), 60)) for n in names)
+    (tmp_path / "fa").mkdir()
+    put(tmp_path / "fa" / "a.fa", text_of(list(seqs)[:7]))
+    put(tmp_path / "fa" / "b.fa", text_of(list(seqs)[7:]))
+    sizes = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "1"}
+    for split in (False, True):
+        old = {k: spark.conf.get(k) for k in sizes}
+        for k, v in sizes.items() if split else ():
+            spark.conf.set(k, v)
+        try:
+            got = {}
+            for r in text.read_fasta(spark, str(tmp_path / "fa"), piece=100).orderBy("chr", "start").collect():
+                assert r["start"] == len(got.get(r["chr"], ""))
+                got[r["chr"]] = got.get(r["chr"], "") + r["bases"]
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        assert got == {n: s for n, s in seqs.items() if s}
+
+
 def test_round_trips(spark, tmp_path, capsys):
     got, truth = simulate.demo(spark, 0.7, n_contigs=4)
     sinks.write_inference(got, str(tmp_path / "out"))
