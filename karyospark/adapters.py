@@ -18,6 +18,8 @@ SNP_CONTIGS = 22
 #: Bins and dividers that suit the orders table, whose segments are 400 long.
 SEGMENT_PARAMS = Params(bin_width=1000, stddev_divider=10.0)
 SNP_PARAMS = Params(snp_min_depth=4, snp_max_depth=80, bin_width=1000)
+#: Copies of the orders' genome, by customer.
+PROFILE = (2, 2, 2, 3, 1, 2, 2, 4, 2, 2, 3)
 PEAKS = [(i, 180 + 240 * i, 150 + 240 * i, 210 + 240 * i) for i in range(10)]
 
 
@@ -81,6 +83,22 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def profile_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as segments of a genome of purity 0.7 whose copies go by customer, with little noise and three subjects."""
+    x = load(spark, sf_dir, "orders")
+    copies = F.get(F.array(*[F.lit(c) for c in PROFILE]), (F.col("o_custkey") % len(PROFILE)).cast("int"))
+    mean = 0.7 * sum(PROFILE) / len(PROFILE) + 0.6
+    return x.select(
+        (F.col("o_custkey") % 3).alias("subject"),
+        (F.col("o_custkey") % SNP_CONTIGS).cast("int").alias("chr_idx"),
+        F.col("o_orderkey").alias("start"),
+        (F.col("o_orderkey") + 400).alias("end"),
+        ((0.7 * copies + 0.6) / mean + (F.col("o_orderkey") % 9 - 4) * 0.001).alias("ratio"),
+        F.lit(0.12).alias("stddev"),
+        (F.col("o_orderkey") % 50 + 400).alias("n_windows"),
+    )
+
+
 def copy_numbers(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
     """Orders with even keys as the truth (side 0), those with odd keys as predictions (side 1)."""
     x = load(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == side)

@@ -15,6 +15,8 @@ from ..session import ship
 MASS = 0.9999
 TOLERANCE = 1e-4
 ROUNDS = 10_000
+#: What log odds without variance give: an error that ends the run, or no fit.
+ERROR, NO_FIT = "error", "no fit"
 
 
 def truncated_poisson(rate: float) -> np.ndarray:
@@ -91,15 +93,17 @@ def likelihoods(x: np.ndarray, held: np.ndarray, alpha: np.ndarray, mu: np.ndarr
 BLOCK = 1 << 18
 
 
-def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths: list[float]) -> list[list[dict]]:
+def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths: list[float], flat: str = ERROR) -> list[list[dict]]:
     """For each sample all splits of its copy number into minor and major with their fits; selected has the largest likelihood.
 
-    Of equal ones the smaller minor is selected. Log odds without any variance fit nothing and are an error.
+    Of equal ones the smaller minor is selected. Log odds without any variance fit nothing: flat says whether that is an
+    error or gives no fits.
     """
     samples = [np.asarray(x, np.float64) for x in samples]
-    if any(not len(x) or not x.var() > 0 for x in samples):
+    varies = [len(x) > 0 and x.var() > 0 for x in samples]
+    if flat == ERROR and not all(varies):
         raise ValueError("the variance of log odds has to be above 0")
-    tasks = [(len(samples[i]), i, minor, cp - minor) for i, cp in enumerate(cps) for minor in range(cp // 2 + 1)]
+    tasks = [(len(samples[i]), i, minor, cp - minor) for i, cp in enumerate(cps) if varies[i] for minor in range(cp // 2 + 1)]
     tasks.sort()  # samples of like length need little filling
     fits: list[list[dict]] = [[] for _ in samples]
     start = 0
@@ -118,7 +122,7 @@ def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths
             alpha[~even], var[~even], done[~even], logl[~even] = mixtures(x[~even], held[~even], mu[~even])
         for k, (_, i, lo, hi) in enumerate(block):
             fits[i].append({"minor": lo, "major": hi, "alpha": float(alpha[k]), "mu": float(mu[k]), "var": float(var[k]), "converged": bool(done[k]), "logl": float(logl[k])})
-    for own in fits:
+    for own in filter(None, fits):
         own.sort(key=lambda m: m["minor"])
         best = max(range(len(own)), key=lambda i: (own[i]["logl"], -i))
         for i, m in enumerate(own):
@@ -133,10 +137,11 @@ def select(x: np.ndarray, cp: int, purity: float, depth: float) -> list[dict]:
 FITS = "array<struct<minor:int, major:int, alpha:double, mu:double, var:double, converged:boolean, logl:double, selected:boolean>>"
 
 
-def allele_models(segments: DataFrame, purity: float) -> DataFrame:
+def allele_models(segments: DataFrame, purity: float, flat: str = ERROR) -> DataFrame:
     """Segments (chr_idx, start, end, cp, coverage, log_or) with models, major_allele_cp and logl of the selected one.
 
-    Segments are fitted apart, in batches; rows with a null or negative cp or without log odds have null results.
+    Segments are fitted apart, in batches; rows with a null or negative cp, without log odds, or, unless that is an error,
+    with log odds that don't vary have null results.
     """
     keep = ["chr_idx", "start", "end", "cp", "coverage", "log_or"]
     ship(segments.sparkSession)
@@ -147,8 +152,8 @@ def allele_models(segments: DataFrame, purity: float) -> DataFrame:
     def fit(batches):
         for pdf in batches:
             good = [i for i, (cp, x) in enumerate(zip(pdf["cp"], pdf["log_or"])) if x is not None and cp is not None and not pd.isna(cp) and cp >= 0 and len(x)]
-            got = select_many([pdf["log_or"].iloc[i] for i in good], [int(pdf["cp"].iloc[i]) for i in good], purity, [float(pdf["coverage"].iloc[i]) for i in good])
-            fits = dict(zip(good, got))
+            got = select_many([pdf["log_or"].iloc[i] for i in good], [int(pdf["cp"].iloc[i]) for i in good], purity, [float(pdf["coverage"].iloc[i]) for i in good], flat)
+            fits = {i: own for i, own in zip(good, got) if own}
             best = {i: next(m for m in own if m["selected"]) for i, own in fits.items()}
             rows = range(len(pdf))
             majors = [max(best[i]["minor"], best[i]["major"]) if i in best else None for i in rows]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import has, int_div, sorted_median
 from ..model import DUPLICATE, FIRST, MATE_UNMAPPED, PAIRED, PROPER, REVERSE, SECONDARY, SUPPLEMENTARY
 from ..params import Params
+from ..session import checkpoint
 
 
 def with_windows(contigs: DataFrame, window: int) -> DataFrame:
@@ -82,7 +83,7 @@ def dense(counts: DataFrame, contigs: DataFrame, p: Params = Params()) -> DataFr
     return rows.groupBy("chr_idx", "win").agg(total("tumor"), total("normal"))
 
 
-def running_median(rows: DataFrame, columns: list[str], half: int = 2, block: int = 1 << 16) -> DataFrame:
+def running_median(rows: DataFrame, columns: list[str], half: int = 2, block: int = 1 << 16, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
     """The columns as integer medians of the rows around them, fewer at a contig's ends; rows are dense in win.
 
     Contigs are cut into blocks of windows, so that a long one is no single task; rows near a block's edge
@@ -90,7 +91,7 @@ def running_median(rows: DataFrame, columns: list[str], half: int = 2, block: in
     """
     at = lambda shift: int_div(F.greatest(F.col("win") + shift, F.lit(0)), block)
     copies = rows.withColumn("_block", F.explode(F.sequence(at(-half), at(half))))
-    near = Window.partitionBy("chr_idx", "_block").orderBy("win").rowsBetween(-half, half)
+    near = Window.partitionBy(*keys, "_block").orderBy("win").rowsBetween(-half, half)
     out = copies.withColumns({c: sorted_median(F.collect_list(c).over(near)) for c in columns})
     return out.where(F.col("_block") == at(0)).drop("_block")
 
@@ -119,11 +120,21 @@ def coverage_ratio(grid: DataFrame, mean_tumor, mean_normal, p: Params = Params(
     )
 
 
+def tallied(spanned: DataFrame) -> DataFrame:
+    """(sample, chr_idx, chr_length, win, n, total_length): window counts, and under window -1 each contig's fragments and
+    their total length, all from one pass over the fragments.
+    """
+    windows = F.when(F.col("ws") < F.col("we"), F.sequence("ws", F.col("we") - 1)).otherwise(F.array().cast("array<bigint>"))
+    each = spanned.select("sample", "chr_idx", "chr_length", "fragment_length", F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), windows)).alias("win"))
+    return each.groupBy("sample", "chr_idx", "chr_length", "win").agg(F.count("*").alias("n"), F.sum(F.when(F.col("win") < 0, F.col("fragment_length"))).alias("total_length"))
+
+
 def normalize(reads: DataFrame, contigs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Coverage-ratio rows of a tumor and a normal sample's reads."""
-    spanned = spans(valid_fragments(reads, p), contigs, p)
-    means = {r["sample"]: r["mean_coverage"] for r in genome_mean(contig_stats(spanned)).collect()}  # two rows
+    """Coverage-ratio rows of a tumor and a normal sample's reads, which are read once."""
+    tally = checkpoint(tallied(spans(valid_fragments(reads, p), contigs, p)))  # as many rows as windows
+    means = {r["sample"]: r["mean_coverage"] for r in genome_mean(tally.where("win < 0")).collect()}  # two rows
     if "tumor" not in means or "normal" not in means:
         raise ValueError("both a tumor and a normal sample are needed")
-    grid = running_median(dense(window_counts(spanned), contigs, p), ["tumor", "normal"], p.smooth_half)
+    counts = tally.where("win >= 0").select("sample", "chr_idx", "win", "n")
+    grid = running_median(dense(counts, contigs, p), ["tumor", "normal"], p.smooth_half)
     return coverage_ratio(grid, means["tumor"], means["normal"], p)

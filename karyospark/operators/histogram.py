@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,28 +93,38 @@ def trimmed(rows: DataFrame, column: str, *keys: str, percent: float = 40.0) ->
     return ranked.where((F.col("i") >= low) & (F.col("i") < high)).groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.count("*").alias("n_used"))
 
 
-def noise_variance(rows: DataFrame, column: str, key: str, order: str) -> DataFrame:
+def keys_of(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def noise_variance(rows: DataFrame, column: str, key: str | Sequence[str], order: str) -> DataFrame:
     """Per key the mean of half the squared steps between neighbours, null for a single row."""
-    step = F.col(column) - F.lag(column).over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("step", step).groupBy(key).agg((F.try_divide(F.sum(0.5 * F.col("step") * F.col("step")), F.count("*") - 1)).alias("variance"))
+    step = F.col(column) - F.lag(column).over(Window.partitionBy(*keys_of(key)).orderBy(order))
+    return rows.withColumn("step", step).groupBy(*keys_of(key)).agg((F.try_divide(F.sum(0.5 * F.col("step") * F.col("step")), F.count("*") - 1)).alias("variance"))
 
 
-def base_level(segments: DataFrame, key: str, value: str = "ratio", weight: str = "n_windows") -> DataFrame:
+def base_level(segments: DataFrame, key: str | Sequence[str], value: str = "ratio", weight: str = "n_windows") -> DataFrame:
     """Per key the value at which half of the weight is reached, values ascending."""
-    order = Window.partitionBy(key).orderBy(value)
-    rows = segments.withColumn("run", F.sum(weight).over(order)).withColumn("total", F.sum(weight).over(Window.partitionBy(key)))
-    return rows.where(2 * F.col("run") >= F.col("total")).groupBy(key).agg(F.min(value).alias("base_level"))
+    keys = keys_of(key)
+    # one row for each value, so that the order has as many rows as values and not as segments
+    each = segments.groupBy(*keys, value).agg(F.sum(weight).alias("weight"))
+    order, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
+    rows = each.withColumn("run", F.sum("weight").over(order)).withColumn("total", F.sum("weight").over(whole))
+    return rows.where(2 * F.col("run") >= F.col("total")).groupBy(*keys).agg(F.min(value).alias("base_level"))
 
 
-def peak_stats(segments: DataFrame, peaks: DataFrame) -> DataFrame:
-    """Per peak (lo, hi, center): refined center, windows, and the normal log-likelihood of the segments in its bounds."""
+def peak_stats(segments: DataFrame, peaks: DataFrame, *more) -> DataFrame:
+    """Per peak (lo, hi, center): refined center, windows, and the normal log-likelihood of the segments in its bounds.
+
+    more: further aggregates of the same rows.
+    """
     from .intervals import bucket_join
 
     rows = bucket_join(segments, peaks)
     w = F.col("n_windows").cast("double")
     away = F.col("ratio") - F.col("center") / 1000
     got = rows.groupBy("peak_index", "center").agg(
-        F.count("*").alias("n_segments"), F.sum(w).alias("n"), F.sum(w * away * away).alias("ss"), (F.sum(F.col("ratio") * w * F.sqrt(w)) / F.sum(w * F.sqrt(w))).alias("refined")
+        F.count("*").alias("n_segments"), F.sum(w).alias("n"), F.sum(w * away * away).alias("ss"), (F.sum(F.col("ratio") * w * F.sqrt(w)) / F.sum(w * F.sqrt(w))).alias("refined"), *more
     )
     s = F.sqrt(F.col("ss") / F.col("n"))
     logl = -F.col("n") / 2 - F.col("n") * (F.ln(F.when(s > 0, s)) + 0.5 * F.ln(F.lit(2 * 3.141592653589793)))
@@ -124,15 +136,15 @@ def folded(hist: DataFrame, first: int, period: int) -> DataFrame:
     return hist.where(F.col("ratio_int") >= first).groupBy(F.pmod(F.col("ratio_int") - first, F.lit(period)).alias("phase")).agg(F.sum("density").alias("density"))
 
 
-def window_average(rows: DataFrame, column: str, key: str, order: str, width: int) -> DataFrame:
+def window_average(rows: DataFrame, column: str, key: str | Sequence[str], order: str, width: int) -> DataFrame:
     """Each row's value spread evenly over the rows within width, fewer at the ends, and summed where it lands (smoothed)."""
-    near = Window.partitionBy(key).orderBy(order).rowsBetween(-width, width)
+    near = Window.partitionBy(*keys_of(key)).orderBy(order).rowsBetween(-width, width)
     return rows.withColumn("_part", F.col(column) / F.count("*").over(near)).withColumn("smoothed", F.sum("_part").over(near)).drop("_part")
 
 
-def moving_stats(rows: DataFrame, column: str, key: str, order: str, before: int, span: int) -> DataFrame:
+def moving_stats(rows: DataFrame, column: str, key: str | Sequence[str], order: str, before: int, span: int) -> DataFrame:
     """Mean and sample deviation (moving_mean, moving_stddev) of span + 1 rows from before rows back on, or from the first row."""
-    line = Window.partitionBy(key).orderBy(order)
+    line = Window.partitionBy(*keys_of(key)).orderBy(order)
     moved, head = line.rowsBetween(-before, span - before), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.when(F.col("_i") <= span, F.col(column))
     rows = rows.withColumn("_i", F.row_number().over(line) - 1)

@@ -59,22 +59,27 @@ def outside_peaks(segments: DataFrame, peaks: DataFrame, bucket: str = "ratio_in
     return segments.join(F.broadcast(spread), F.col(bucket) == F.col("_bucket"), "left_anti")
 
 
-def complement(segments: DataFrame, contigs: DataFrame, key: str = "chr_idx") -> DataFrame:
-    """The gaps (key, start, end) that the segments leave within the contigs; segments may overlap.
+def complement(segments: DataFrame, contigs: DataFrame, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
+    """The gaps (keys, start, end) that the segments leave within the contigs; segments may overlap.
 
-    Runs once through each contig's segments in order; contigs without any segment are gaps as a whole.
+    Runs once through each contig's segments in order, of each sample where keys name samples too; contigs without any
+    segment are gaps as a whole.
     """
-    edges = segments.select(key, "start", "end").unionByName(contigs.select(key, (F.col("length") + 1).alias("start"), (F.col("length") + 1).alias("end")))
-    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    ends = contigs.select("chr_idx", (F.col("length") + 1).alias("start"), (F.col("length") + 1).alias("end"))
+    samples = [k for k in keys if k != "chr_idx"]
+    if samples:  # every contig of every sample
+        ends = segments.select(*samples).distinct().crossJoin(F.broadcast(ends))  # contigs are a fixed handful
+    edges = segments.select(*keys, "start", "end").unionByName(ends)
+    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     gap_start = F.coalesce(F.max("end").over(before), F.lit(0)) + 1
-    gaps = edges.select(key, gap_start.alias("gap_start"), (F.col("start") - 1).alias("gap_end"))
-    return gaps.where("gap_start <= gap_end").select(key, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
+    gaps = edges.select(*keys, gap_start.alias("gap_start"), (F.col("start") - 1).alias("gap_end"))
+    return gaps.where("gap_start <= gap_end").select(*keys, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
 
 
-def fill(segments: DataFrame, contigs: DataFrame, key: str = "chr_idx") -> DataFrame:
-    """Segments (key, start, end, cp, major) with all gaps as neutral ones: two copies, one major."""
-    neutral = complement(segments, contigs, key).select(key, "start", "end", F.lit(2.0).alias("cp"), F.lit(1.0).alias("major"))
-    return segments.select(key, "start", "end", F.col("cp").cast("double"), F.col("major").cast("double")).unionByName(neutral)
+def fill(segments: DataFrame, contigs: DataFrame, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
+    """Segments (keys, start, end, cp, major) with all gaps as neutral ones: two copies, one major."""
+    neutral = complement(segments, contigs, keys).select(*keys, "start", "end", F.lit(2.0).alias("cp"), F.lit(1.0).alias("major"))
+    return segments.select(*keys, "start", "end", F.col("cp").cast("double"), F.col("major").cast("double")).unionByName(neutral)
 
 
 def with_offsets(contigs: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def with_offsets(contigs: DataFrame) -> DataFrame:
     return contigs.withColumn("cum_offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def cumulative(rows: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Rows with cumu_start and cumu_end, their place in the whole genome."""
+def cumulative(rows: DataFrame, contigs: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with cumu_start and cumu_end, their place in the whole genome; how: left keeps rows on no contig."""
     at = F.broadcast(with_offsets(contigs).select("chr_idx", "cum_offset"))
-    return rows.join(at, "chr_idx").withColumn("cumu_start", F.col("start") + F.col("cum_offset")).withColumn("cumu_end", F.col("end") + F.col("cum_offset")).drop("cum_offset")
+    return rows.join(at, "chr_idx", how).select(*rows.columns, "cum_offset").withColumn("cumu_start", F.col("start") + F.col("cum_offset")).withColumn("cumu_end", F.col("end") + F.col("cum_offset")).drop("cum_offset")

@@ -1,6 +1,6 @@
 """Change points of piecewise constant signals: sparse Bayesian learning, then backward elimination.
 
-Contigs are fitted independently in grouped functions. Breakpoints live in the basis of unit-norm, zero-mean
+Contigs are fitted independently in grouped functions, those of each sample where keys name samples too. Breakpoints live in the basis of unit-norm, zero-mean
 steps, whose inverse Gram matrix is tridiagonal; so each round costs time in proportion to the breakpoints
 that are left. Elimination works on prefix sums and segment means.
 """
@@ -145,33 +145,34 @@ def trimmed_stats(v: np.ndarray, percent: float) -> tuple[float, float]:
     return float(s.mean()), float(np.sqrt(max(0.0, (s * s).mean() - s.mean() ** 2)))
 
 
-def segment(ratio: DataFrame, p: Params = Params(), window: int | None = None) -> DataFrame:
-    """(chr_idx, start, end, ratio, stddev, n_windows) of each contig's segments.
+def segment(ratio: DataFrame, p: Params = Params(), window: int | None = None, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
+    """(keys, start, end, ratio, stddev, n_windows) of each contig's segments.
 
-    ratio: (chr_idx, start, coverage_ratio). Each contig is one task; a contig's windows fit in memory.
+    ratio: (keys, start, coverage_ratio). Each contig of each sample is one task; a contig's windows fit in memory.
     """
     w = window or p.window_size
     ship(ratio.sparkSession)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start", kind="stable")
         y, start = pdf["coverage_ratio"].to_numpy(), pdf["start"].to_numpy()
         edges = [0, *change_points(y, p.segment_threshold, p.segment_min_length, p), len(y)]
-        rows = [(int(pdf["chr_idx"].iloc[0]), int(start[a]), int(start[b - 1] + w - 1), *trimmed_stats(y[a:b], p.trim_percent), b - a) for a, b in zip(edges, edges[1:])]
-        return pd.DataFrame(rows, columns=["chr_idx", "start", "end", "ratio", "stddev", "n_windows"])
+        rows = [(*key, int(start[a]), int(start[b - 1] + w - 1), *trimmed_stats(y[a:b], p.trim_percent), b - a) for a, b in zip(edges, edges[1:])]
+        return pd.DataFrame(rows, columns=[*keys, "start", "end", "ratio", "stddev", "n_windows"])
 
-    rows = ratio.select(F.col("chr_idx").cast("int").alias("chr_idx"), F.col("start").cast("bigint").alias("start"), F.col("coverage_ratio").cast("double").alias("coverage_ratio"))
-    return rows.where("coverage_ratio is not null").groupBy("chr_idx").applyInPandas(fit, "chr_idx int, start bigint, end bigint, ratio double, stddev double, n_windows bigint")
+    kinds = dict(ratio.dtypes) | {"chr_idx": "int"}
+    rows = ratio.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], F.col("start").cast("bigint").alias("start"), F.col("coverage_ratio").cast("double").alias("coverage_ratio"))
+    return rows.where("coverage_ratio is not null").groupBy(*keys).applyInPandas(fit, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", start bigint, end bigint, ratio double, stddev double, n_windows bigint")
 
 
-def collapse(segments: DataFrame, base: DataFrame, variance: float, threshold: float = 5.0) -> DataFrame:
+def collapse(segments: DataFrame, base: DataFrame, variance: float, threshold: float = 5.0, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
     """Segments with level, the base level where it can't be told from it, and state gain, loss or neutral.
 
     A segment within threshold standard errors of the base collapses if a neighbour is as near, if it is its contig's
     first or last, or if it is longer than a neighbour. Tests use the levels before any collapse.
     """
-    order = Window.partitionBy("chr_idx").orderBy("start")
-    rows = segments.join(base, "chr_idx")
+    order = Window.partitionBy(*keys).orderBy("start")
+    rows = segments.join(base, list(keys))
     near = F.abs(F.col("ratio") - F.col("base_level")) / F.sqrt(F.lit(variance) / F.col("n_windows")) < threshold
     rows = rows.withColumn("near", near)
     side = lambda f: (f("near").over(order), f("n_windows").over(order))
@@ -184,9 +185,9 @@ def collapse(segments: DataFrame, base: DataFrame, variance: float, threshold: f
     return rows.select(*segments.columns, "base_level", "level", state.alias("state"))
 
 
-def integer_states(segments: DataFrame, base: DataFrame, variance: float, ploidy: int = 2, threshold: float = 5.0, most: int = 100) -> DataFrame:
+def integer_states(segments: DataFrame, base: DataFrame, variance: float, ploidy: int = 2, threshold: float = 5.0, most: int = 100, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
     """Segments with copies: the number nearest to ploidy whose log2 level can't be told from the segment's (levels are log2)."""
-    rows = segments.join(base, "chr_idx")
+    rows = segments.join(base, list(keys))
     error = threshold * F.sqrt(F.lit(variance) / F.col("n_windows"))
     d = F.col("ratio") - F.col("base_level")
     up = F.least(F.lit(most), F.greatest(F.lit(ploidy), F.floor(F.pow(F.lit(2.0), d - error) * ploidy).cast("int") + 1))
@@ -195,13 +196,13 @@ def integer_states(segments: DataFrame, base: DataFrame, variance: float, ploidy
     return rows.select(*segments.columns, copies.alias("copies"))
 
 
-def fitted(ratio: DataFrame, segments: DataFrame, width: int = 100_000) -> DataFrame:
+def fitted(ratio: DataFrame, segments: DataFrame, width: int = 100_000, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
     """Ratio rows with the level of their segment."""
-    return interval_join(ratio, segments.select("chr_idx", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.col("ratio").alias("fitted")), ["chr_idx"], "start", "seg_start", "seg_end", width)
+    return interval_join(ratio, segments.select(*keys, F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), F.col("ratio").alias("fitted")), list(keys), "start", "seg_start", "seg_end", width)
 
 
-def labelled(segments: DataFrame, base: DataFrame, threshold: float = 5.0) -> DataFrame:
+def labelled(segments: DataFrame, base: DataFrame, threshold: float = 5.0, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
     """Segments with state gain, loss or neutral: by t against the contig's base level."""
-    rows = segments.join(base, "chr_idx")
+    rows = segments.join(base, list(keys))
     t = (F.col("ratio") - F.col("base_level")) * F.sqrt(F.col("n_windows").cast("double")) / F.when(F.col("stddev") > 0, F.col("stddev"))
     return rows.withColumn("state", F.when(t > threshold, "gain").when(t < -threshold, "loss").otherwise("neutral"))

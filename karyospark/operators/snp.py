@@ -45,24 +45,24 @@ def with_log_odds(snps: DataFrame) -> DataFrame:
     return rows.select("chr_idx", "pos", odds.alias("log_or"), F.col("tumor_depth").alias("coverage"))
 
 
-def segment_snps(snps: DataFrame, segments: DataFrame, p: Params = Params()) -> DataFrame:
+def segment_snps(snps: DataFrame, segments: DataFrame, p: Params = Params(), keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
     """Per segment with more than min_segment_snps sites: their number, median coverage, mean and variance of log odds.
 
-    A segment is its chr_idx, start and end. The log odds themselves are gathered by segment_bags().
+    A segment is its keys (the contig, and the sample where they name one), start and end. The log odds themselves are gathered by segment_bags().
     """
-    joined = interval_join(snps, segments.select("chr_idx", "start", "end").distinct(), ["chr_idx"], width=p.bin_width)
-    rows = joined.groupBy("chr_idx", "start", "end").agg(
+    joined = interval_join(snps, segments.select(*keys, "start", "end").distinct(), list(keys), width=p.bin_width)
+    rows = joined.groupBy(*keys, "start", "end").agg(
         F.count("*").alias("n_snps"), F.median("coverage").alias("median_coverage"), F.avg("log_or").alias("mean_log_or"), F.var_pop("log_or").alias("var_log_or")
     )
     return rows.where(F.col("n_snps") > p.min_segment_snps)
 
 
-def segment_bags(snps: DataFrame, segments: DataFrame, p: Params = Params()) -> DataFrame:
+def segment_bags(snps: DataFrame, segments: DataFrame, p: Params = Params(), keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
     """Segments with snps, a struct (n, coverage, log_or array), null where they hold too few sites.
 
     A bag holds one segment's sites, a bounded stretch of a genome.
     """
-    joined = interval_join(snps, segments.select("chr_idx", "start", "end").distinct(), ["chr_idx"], width=p.bin_width)
-    bags = joined.groupBy("chr_idx", "start", "end").agg(F.count("*").alias("n"), F.median("coverage").alias("coverage"), F.sort_array(F.collect_list("log_or")).alias("log_or"))
-    bags = bags.where(F.col("n") > p.min_segment_snps).select("chr_idx", "start", "end", F.struct("n", "coverage", "log_or").alias("snps"))
-    return segments.join(bags, ["chr_idx", "start", "end"], "left")
+    joined = interval_join(snps, segments.select(*keys, "start", "end").distinct(), list(keys), width=p.bin_width)
+    bags = joined.groupBy(*keys, "start", "end").agg(F.count("*").alias("n"), F.median("coverage").alias("coverage"), F.sort_array(F.collect_list("log_or")).alias("log_or"))
+    bags = bags.where(F.col("n") > p.min_segment_snps).select(*keys, "start", "end", F.struct("n", "coverage", "log_or").alias("snps"))
+    return segments.join(bags, [*keys, "start", "end"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -506,17 +507,36 @@ def segmentation(spark, d):
 
 @query("allele_model")
 def allele_model(spark, d):
-    """Mixture fits of every segment's sites for its copy number."""
-    from ..operators.allele import allele_models
+    """Mixture fits of every segment's sites for its copy number; sites whose log odds don't vary give null."""
+    from ..operators.allele import NO_FIT, allele_models
 
-    bags = S.segment_bags(snps(spark, d), A.segments(spark, d).select("chr_idx", "start", "end", "ratio").dropDuplicates(["chr_idx", "start", "end"]), A.SNP_PARAMS)
-    rows = bags.where("snps is not null").select("chr_idx", "start", "end", F.least(F.lit(6), (F.col("ratio") * 2 + 1).cast("int")).alias("cp"), "snps.coverage", "snps.log_or")
-    return allele_models(rows.where(F.size(F.array_distinct("log_or")) > 1), 0.7)
+    segs = A.segments(spark, d).groupBy("chr_idx", "start", "end").agg(F.min("ratio").alias("ratio"))
+    rows = S.segment_bags(snps(spark, d), segs, A.SNP_PARAMS).where("snps is not null")
+    return allele_models(rows.select("chr_idx", "start", "end", F.least(F.lit(6), (F.col("ratio") * 2 + 1).cast("int")).alias("cp"), "snps.coverage", "snps.log_or"), 0.7, NO_FIT)
+
+
+PIPELINE_PARAMS = replace(A.SEGMENT_PARAMS, snp_min_depth=4, snp_max_depth=80)
 
 
 @query("copy_number_pipeline")
 def copy_number_pipeline(spark, d):
-    """Calls of the whole inference over segments drawn from a known genome."""
-    from .simulate import demo_calls
-
-    return demo_calls(spark)
+    """The whole inference over all orders as segments and all line items as sites: every call with the run's result."""
+    from ..operators.allele import NO_FIT
+    from .infer import infer
+
+    got = infer(A.profile_segments(spark, d).drop("subject"), snps(spark, d), A.snp_contigs(spark), PIPELINE_PARAMS, flat=NO_FIT)
+    result = [F.lit(got.status).alias("status"), *[F.lit(x).cast(kind).alias(c) for c, kind, x in (
+        ("purity", "double", got.best and got.best.purity), ("ploidy", "double", got.best and got.best.ploidy), ("period", "int", got.best and got.best.period))]]
+    if got.calls is None:
+        return spark.range(1).select(*result)
+    return got.calls.select(*result, "chr_idx", "start", "end", "cp", "major_allele_cp", r("copy_no_float", 4).alias("copy_no_float"), "is_clonal", "cumu_start", "cumu_end")
+
+
+@query("cohort_calls")
+def cohort_calls(spark, d):
+    """The same for three subjects at once, each with its own orders and line items."""
+    from ..operators.allele import NO_FIT
+    from .cohort import infer_cohort
+
+    sites = snps(spark, d).withColumn("subject", F.col("pos") % 3)
+    return infer_cohort(A.profile_segments(spark, d), sites, A.snp_contigs(spark), PIPELINE_PARAMS, flat=NO_FIT)

@@ -53,13 +53,6 @@ def demo(spark: SparkSession, purity: float = 0.7, **more) -> tuple[Inference, D
     return infer(segs, snps, contigs, Params(stddev_divider=10.0, bin_width=1_000_000)), truth
 
 
-def demo_calls(spark: SparkSession) -> DataFrame:
-    got, _ = demo(spark)
-    if got.calls is None:
-        raise RuntimeError(got.status)
-    return got.calls.select("chr_idx", "start", "end", "cp", "major_allele_cp", F.round("copy_no_float", 4).alias("copy_no_float"), "is_clonal", "cumu_start", "cumu_end")
-
-
 def predicted(calls: DataFrame) -> DataFrame:
     """Calls as the evaluator takes them."""
     return calls.select((F.col("chr_idx") + 1).alias("chr_id"), "start", "end", "cp", F.col("major_allele_cp").cast("double").alias("major"), "is_clonal")

@@ -31,6 +31,20 @@ def test_same_rows(spark, db, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["segmentation", "allele_model", "copy_number_pipeline"])
-def test_runs(spark, name):
-    assert Q.QUERIES[name](spark, SF).count() >= 0
+def test_segmentation_equals_single_signals(spark):
+    """The registered query, contig by contig from the ratio rows that SQL confirms."""
+    from karyospark.operators import segmentation as SG
+
+    p = Q.Params(window_size=Q.W, segment_threshold=3.0, segment_min_length=3)
+    ratio = {}
+    for r in Q.QUERIES["coverage_ratio"](spark, SF).orderBy("start").collect():
+        ratio.setdefault(r["chr_idx"], []).append((r["start"], r["coverage_ratio"]))
+    want = []
+    for c, rows in ratio.items():
+        y = [x for _, x in rows]
+        edges = [0, *SG.change_points(y, 3.0, 3, p), len(y)]
+        for a, b in zip(edges, edges[1:]):
+            v = sorted(y[a:b], reverse=True)[int((b - a) * 0.2) : int((b - a) * 0.8) + 1]
+            want.append((c, rows[a][0], rows[b - 1][0] + Q.W - 1, pytest.approx(sum(v) / len(v)), b - a))
+    got = Q.QUERIES["segmentation"](spark, SF).collect()
+    assert want and sorted((r["chr_idx"], r["start"], r["end"], r["ratio"], r["n_windows"]) for r in got) == sorted(want, key=lambda w: w[:2])
