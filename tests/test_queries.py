@@ -8,6 +8,7 @@ import pytest
 from karyospark.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
+BIGGER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +38,7 @@ def test_segmentation_equals_single_signals(spark):
 
     p = Q.Params(window_size=Q.W, segment_threshold=3.0, segment_min_length=3)
     ratio = {}
-    for r in Q.QUERIES["coverage_ratio"](spark, SF).orderBy("start").collect():
+    for r in Q.QUERIES["coverage_ratio"](spark, BIGGER).orderBy("start").collect():
         ratio.setdefault(r["chr_idx"], []).append((r["start"], r["coverage_ratio"]))
     want = []
     for c, rows in ratio.items():
@@ -46,5 +47,5 @@ def test_segmentation_equals_single_signals(spark):
         for a, b in zip(edges, edges[1:]):
             v = sorted(y[a:b], reverse=True)[int((b - a) * 0.2) : int((b - a) * 0.8) + 1]
             want.append((c, rows[a][0], rows[b - 1][0] + Q.W - 1, pytest.approx(sum(v) / len(v)), b - a))
-    got = Q.QUERIES["segmentation"](spark, SF).collect()
+    got = Q.QUERIES["segmentation"](spark, BIGGER).collect()
     assert want and sorted((r["chr_idx"], r["start"], r["end"], r["ratio"], r["n_windows"]) for r in got) == sorted(want, key=lambda w: w[:2])
