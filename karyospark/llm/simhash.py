@@ -443,9 +443,15 @@ def candidates_of(marks: np.ndarray, plan: Jaccard, first: int) -> tuple[np.ndar
 
 
 def candidates(nodes: DataFrame, plan: Jaccard) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band and whose sketches are close enough for the sets to be compared."""
-    counts = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    dealt = by_pairs_of_blocks(nodes.select(F.explode("keys").alias("key"), "nid", "sketch"), counts).repartition("key").sortWithinPartitions("key")
+    """Pairs (a, b) of nodes that share a band and whose sketches are close enough for the sets to be compared.
+
+    Keys are dealt without sketches first; sketches go only with the keys that several nodes hold.
+    """
+    keys = nodes.select(F.explode("keys").alias("u"), F.col("nid").alias("v"))
+    counts = checkpoint(keys.groupBy("u").agg(F.count("*").alias("m")).where("m > 1"))
+    held = beside(keys, counts).groupBy(F.col("v").alias("holder")).agg(F.collect_list("u").alias("held"))  # as many as bands
+    rows = nodes.join(held, nodes["nid"] == held["holder"]).select(F.explode("held").alias("key"), "nid", "sketch")
+    dealt = by_pairs_of_blocks(rows, counts.select(F.col("u").alias("key"), F.col("m").alias("n"))).repartition("key").sortWithinPartitions("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(keys, nids, marks):
@@ -480,10 +486,16 @@ def candidates(nodes: DataFrame, plan: Jaccard) -> DataFrame:
 
 
 def similar(pairs: DataFrame, signed: DataFrame, docs: DataFrame, plan: Jaccard) -> DataFrame:
-    """The pairs whose sets of shingles have the least similarity or more; sets are made of candidates' texts only."""
+    """The pairs whose sets of shingles have the least similarity or more; sets are made of candidates' texts only.
+
+    A node's copies come down to one row before anything is joined; few candidates' keys are broadcast, more are joined.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = signed.join(wanted, signed["nid"] == wanted["node"], "left_semi").groupBy("nid").agg(F.min(F.struct("__key_id", "__key_text")).alias("row"))
-    rows = rows.select("nid", F.col("row.__key_id").alias("its_id"), F.col("row.__key_text").alias("its_text"))
+    first = signed.groupBy("nid").agg(F.min(F.struct("__key_id", "__key_text")).alias("row"))
+    rows = first.join(wanted, first["nid"] == wanted["node"], "left_semi")
+    rows = checkpoint(rows.select("nid", F.col("row.__key_id").alias("its_id"), F.col("row.__key_text").alias("its_text")))
+    if rows.count() <= BROADCAST_KEYS:
+        rows = F.broadcast(rows)
     held = docs.join(rows, (docs["__key_id"] == rows["its_id"]) & (docs["__key_text"] == rows["its_text"])).select("nid", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
