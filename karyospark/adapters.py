@@ -18,6 +18,8 @@ SNP_CONTIGS = 22
 #: Bins and dividers that suit the orders table, whose segments are 400 long.
 SEGMENT_PARAMS = Params(bin_width=1000, stddev_divider=10.0)
 SNP_PARAMS = Params(snp_min_depth=4, snp_max_depth=80, bin_width=1000)
+#: Flags that reads take in turn: good pairs, reversed ones, unpaired ones, and each bit that rejects a pair.
+FLAGS = (67, 83, 0, 16, 66 | 1 << 3 | 1, 3, 65, 67 | 0x100, 67 | 0x400, 67 | 0x800, 1024, 99)
 #: Copies of the orders' genome, by customer.
 PROFILE = (2, 2, 2, 3, 1, 2, 2, 4, 2, 2, 3)
 PEAKS = [(i, 180 + 240 * i, 150 + 240 * i, 210 + 240 * i) for i in range(10)]
@@ -50,6 +52,13 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("sample is not null")
 
 
+def flagged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events with flags of every kind, unpaired and reversed reads among them, by event."""
+    e = reads(spark, sf_dir).withColumn("kind", F.pmod(F.col("pos") + F.col("insert_size"), F.lit(len(FLAGS))).cast("int"))
+    flags = F.get(F.array(*[F.lit(f) for f in FLAGS]), F.col("kind"))
+    return e.withColumns({"flags": flags, "mate_pos": F.col("pos") + F.col("kind"), "seq_len": F.col("kind") * 1000 + 100}).drop("kind")
+
+
 def snp_contigs(spark: SparkSession) -> DataFrame:
     rows = [(f"chr{i + 1}", i, 1_000_000) for i in range(SNP_CONTIGS)]
     return with_offsets(spark.createDataFrame(rows, "chr string, chr_idx int, length bigint"))
@@ -120,3 +129,27 @@ def peaks(spark: SparkSession) -> DataFrame:
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' texts as sequences."""
     return load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chr"), F.coalesce("text", F.lit("")).alias("seq"))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as results of past runs."""
+    x = load(spark, sf_dir, "orders")
+    purity = (F.col("o_custkey") % 9 + 1) / 10
+    return x.select(
+        F.col("o_orderpriority").alias("commit_id"),
+        F.col("o_orderstatus").alias("sample_class"),
+        purity.alias("true_purity"),
+        F.lit(2.0).alias("true_ploidy"),
+        (purity + (F.col("o_orderkey") % 17 - 8) / 64).alias("est_purity"),
+        (2.0 + (F.col("o_orderkey") % 13 - 6) / 16).alias("est_ploidy"),
+        ((F.col("o_orderkey") % 8 + 4) / 16).alias("cp_recall"),
+        F.lit(0.75).alias("cp_precision"),
+        F.lit(0.9).alias("mcp_recall"),
+        ((F.col("o_custkey") % 4 + 12) / 16).alias("mcp_precision"),
+    )
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as altered alleles of a simulated genome."""
+    x = load(spark, sf_dir, "orders")
+    return x.select(F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 1000 + F.col("o_custkey")).alias("end"), (F.col("o_custkey") % 5).cast("int").alias("copy_number"), (F.lit(0.25) * (F.col("o_orderkey") % 5)).alias("proportion"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_down
 from ..params import Params
+from ..session import checkpoint
 from .allele import ERROR, allele_models
 from .intervals import bucket_join, cumulative, outside_peaks
 from .periods import Period
@@ -29,8 +30,9 @@ def interval_columns(rows: DataFrame, purity: float, ploidy: float, p: Params) -
     return rows.withColumn("cp_stddev", sd).withColumn("interval_left", F.col("copy_no_float") - sd).withColumn("interval_right", F.col("copy_no_float") + sd)
 
 
-def call(segments: DataFrame, period: Period, contigs: DataFrame, p: Params = Params(), strict: bool = False, flat: str = ERROR) -> tuple[DataFrame, DataFrame]:
-    """Calls, and one row of totals, from usable segments with snps (struct or null). Calls have their interval.
+def call(segments: DataFrame, period: Period, contigs: DataFrame, p: Params = Params(), strict: bool = False, flat: str = ERROR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, one row of totals, and the allele models behind the calls, from usable segments with snps (struct or null).
+    Calls have their interval.
 
     Segments in a peak with sites take the peak's copies; those without sites give no call but count in the totals.
     Segments in no peak are subclonal, unless their copy number is within a tenth of an integer and they have sites.
@@ -48,12 +50,15 @@ def call(segments: DataFrame, period: Period, contigs: DataFrame, p: Params = Pa
     near = F.abs(F.col("cp_int") - F.col("copy_no_float")) <= 0.1
     outside = outside.withColumn("subclonal", ~near)
     rows = clonal.unionByName(outside.where("not subclonal").drop("subclonal").withColumn("in_peak", F.lit(False)))
-    fitted = rows.where("snps is not null and cp_int >= 0").select("chr_idx", "start", "end", F.col("cp_int").alias("cp"), F.col("snps.coverage").alias("coverage"), F.col("snps.log_or").alias("log_or"), "copy_no_float", "stddev")
-    models = allele_models(fitted, period.purity, flat).select("chr_idx", "start", "end", "cp", "major_allele_cp")
-    exact = fitted.select("chr_idx", "start", "end", "cp", "copy_no_float", "stddev").join(models.distinct(), ["chr_idx", "start", "end", "cp"])
-    exact = exact.select("chr_idx", "start", "end", F.col("cp").cast("double").alias("cp"), "major_allele_cp", "copy_no_float", F.lit(True).alias("is_clonal"), "stddev")
-    loose = outside.where("subclonal").select("chr_idx", "start", "end", F.col("copy_no_float").alias("cp"), F.lit(None).cast("int").alias("major_allele_cp"), "copy_no_float", F.lit(False).alias("is_clonal"), "stddev")
-    calls = interval_columns(cumulative(exact.unionByName(loose), contigs), period.purity, period.ploidy, p).drop("stddev")
+    fitted = rows.where("snps is not null and cp_int >= 0").select("chr_idx", "start", "end", F.col("cp_int").alias("cp"), F.col("snps.coverage").alias("coverage"), F.col("snps.log_or").alias("log_or"), "copy_no_float", "stddev", "n_windows", "in_peak")
+    fits = checkpoint(allele_models(fitted, period.purity, flat))  # a row for each segment with sites
+    models = fits.select("chr_idx", "start", "end", "cp", "major_allele_cp")
+    more = ("stddev", "n_windows", "in_peak")
+    exact = fitted.select("chr_idx", "start", "end", "cp", "copy_no_float", *more).join(models.distinct(), ["chr_idx", "start", "end", "cp"])
+    exact = exact.select("chr_idx", "start", "end", F.col("cp").cast("double").alias("cp"), "major_allele_cp", "copy_no_float", F.lit(True).alias("is_clonal"), *more)
+    loose = outside.where("subclonal").select("chr_idx", "start", "end", F.col("copy_no_float").alias("cp"), F.lit(None).cast("int").alias("major_allele_cp"), "copy_no_float", F.lit(False).alias("is_clonal"), "stddev", "n_windows", F.lit(False).alias("in_peak"))
+    calls = interval_columns(cumulative(exact.unionByName(loose), contigs), period.purity, period.ploidy, p)
+    calls = calls.withColumn("stddev", F.col("stddev") * p.stddev_divider)
     length = (F.col("end") - F.col("start") + 1).cast("double")
     sized = clonal.select(length.alias("len"), F.col("cp_int").cast("double").alias("c"), F.lit(1).alias("k")).unionByName(outside.select(length.alias("len"), F.col("copy_no_float").alias("c"), F.lit(0).alias("k")))
     own = F.col("k") == 1
@@ -63,7 +68,7 @@ def call(segments: DataFrame, period: Period, contigs: DataFrame, p: Params = Pa
         F.try_divide(F.sum(F.col("len") * F.col("c")), F.sum("len")).alias("ploidy_cnv_all"),
         F.try_divide(F.sum(F.when(own, F.col("len") * F.col("c"))), F.sum(F.when(own, F.col("len")))).alias("ploidy_clonal"),
     )
-    return calls, totals
+    return calls, totals, fits
 
 
 def _by_segment():

@@ -129,12 +129,23 @@ def tallied(spanned: DataFrame) -> DataFrame:
     return each.groupBy("sample", "chr_idx", "chr_length", "win").agg(F.count("*").alias("n"), F.sum(F.when(F.col("win") < 0, F.col("fragment_length"))).alias("total_length"))
 
 
-def normalize(reads: DataFrame, contigs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Coverage-ratio rows of a tumor and a normal sample's reads, which are read once."""
+def normalized(reads: DataFrame, contigs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Coverage-ratio rows of a tumor and a normal sample's reads, which are read once, and a row on each contig: its
+    length, windows, fragments and coverage in both samples, and both genome-wide means.
+    """
     tally = checkpoint(tallied(spans(valid_fragments(reads, p), contigs, p)))  # as many rows as windows
-    means = {r["sample"]: r["mean_coverage"] for r in genome_mean(tally.where("win < 0")).collect()}  # two rows
+    whole = tally.where("win < 0").withColumn("coverage_per_base", F.col("total_length") / F.col("chr_length"))
+    means = {r["sample"]: r["mean_coverage"] for r in genome_mean(whole).collect()}  # two rows
     if "tumor" not in means or "normal" not in means:
         raise ValueError("both a tumor and a normal sample are needed")
     counts = tally.where("win >= 0").select("sample", "chr_idx", "win", "n")
     grid = running_median(dense(counts, contigs, p), ["tumor", "normal"], p.smooth_half)
-    return coverage_ratio(grid, means["tumor"], means["normal"], p)
+    of = lambda s, c: F.coalesce(F.max(F.when(F.col("sample") == s, F.col(c))), F.lit(0))
+    sides = whole.groupBy("chr_idx").agg(*[of(s, c).alias(f"{name}_{s}") for s in means for name, c in (("n_fragments", "n"), ("coverage_per_base", "coverage_per_base"))])
+    stats = with_windows(contigs, p.window_size).select("chr_idx", "chr", "length", "n_windows").join(sides, "chr_idx", "left").na.fill(0)
+    return coverage_ratio(grid, means["tumor"], means["normal"], p), stats.withColumns({f"mean_{s}": F.lit(m) for s, m in means.items()})
+
+
+def normalize(reads: DataFrame, contigs: DataFrame, p: Params = Params()) -> DataFrame:
+    """The coverage-ratio rows of normalized()."""
+    return normalized(reads, contigs, p)[0]

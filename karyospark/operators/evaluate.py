@@ -47,3 +47,18 @@ def recall_precision(truth: DataFrame, pred: DataFrame, width: int = 100_000) ->
 def passes(purity_error: float, ploidy_error: float, recalls: list[float], max_purity: float = 0.05, max_ploidy: float = 0.2, least: float = 0.7) -> bool:
     """The quality gate on absolute errors and on recalls and precisions."""
     return abs(purity_error) <= max_purity and abs(ploidy_error) <= max_ploidy and all(r is not None and r >= least for r in recalls)
+
+
+def with_deltas(results: DataFrame) -> DataFrame:
+    """Results of runs with the absolute errors of purity and ploidy (delta_purity, delta_ploidy)."""
+    return results.withColumn("delta_purity", F.abs(F.col("est_purity") - F.col("true_purity"))).withColumn("delta_ploidy", F.abs(F.col("est_ploidy") - F.col("true_ploidy")))
+
+
+def gated(results: DataFrame, max_purity: float = 0.05, max_ploidy: float = 0.2, least: float = 0.7) -> DataFrame:
+    """Results with deltas and passed: whether the errors and all recalls and precisions are good enough; unknown ones aren't."""
+    rows = with_deltas(results)
+    shares = [F.col(c) >= least for c in ("cp_recall", "cp_precision", "mcp_recall", "mcp_precision")]
+    good = (F.col("delta_purity") <= max_purity) & (F.col("delta_ploidy") <= max_ploidy)
+    for s in shares:
+        good = good & s
+    return rows.withColumn("passed", F.coalesce(good, F.lit(False)))

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..params import Params
 from .segmentation import change_points
@@ -83,12 +85,17 @@ def bounds(acf: np.ndarray, top: int, p: Params) -> tuple[int, int]:
     return low, high
 
 
+def draw_ups(acf: np.ndarray) -> np.ndarray:
+    """How far each lag stands above the lowest up to it."""
+    return acf - np.minimum.accumulate(acf)
+
+
 def candidate_by_draw_up(acf: np.ndarray, p: Params = Params()) -> Candidate | str:
     """The plain method: the lag highest above the lowest before it, or why there is none.
 
     If half of a narrow peak's period has a clear peak of its own, that is the period.
     """
-    rise = acf - np.minimum.accumulate(acf)
+    rise = draw_ups(acf)
     top = int(rise.argmax())
     before = acf[max(1, top - p.shoulder_reach + 1) : top]
     after = acf[top + 1 : min(len(acf) - 1, top + p.shoulder_reach)]
@@ -116,6 +123,7 @@ class Peak:
     half_width: int
     n_windows: float = 0.0
     n_snps: int = 0
+    logl: float | None = None
 
 
 def padded(density: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -124,10 +132,10 @@ def padded(density: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(ok, density[np.clip(at, 0, len(density) - 1)], 0.0)
 
 
-def first_peak(density: np.ndarray, period: int, reach: int, p: Params = Params()) -> tuple[int, int] | None:
-    """Center and half width of the first peak: where the density at all periodic places around is largest.
+def first_peak_scores(density: np.ndarray, period: int, reach: int, p: Params = Params()) -> np.ndarray:
+    """For each place the density at all periodic places from it on, 0 where a first peak can't be.
 
-    Places beside a center count by the inverse square of how far they are. None if no place is dense enough.
+    Places beside a periodic one count by the inverse square of how far they are.
     """
     centers = np.arange(p.first_peak_min, p.first_peak_max + period // 4 + 1)
     side = np.arange(1, reach + 1)
@@ -139,6 +147,12 @@ def first_peak(density: np.ndarray, period: int, reach: int, p: Params = Params(
         if c < len(density) and density[c] >= p.peak_height_min:
             places = np.arange(c + period, len(density) - reach, period)
             score[c] = local[c] + local[places].sum()
+    return score
+
+
+def first_peak(density: np.ndarray, period: int, reach: int, p: Params = Params()) -> tuple[int, int] | None:
+    """Center and half width of the first peak, where the score is largest; None if no place is dense enough."""
+    score = first_peak_scores(density, period, reach, p)
     if not score.any():
         return None
     best = int(score.argmax())
@@ -192,6 +206,13 @@ def clamped_purity(purity: float) -> float | None:
     return purity if 0 < purity < 1 else None
 
 
+def purity_ploidy_columns(period: Column, center_two: Column, scale: int = 1000) -> tuple[Column, Column]:
+    """The same as columns, for many hypotheses at once: clamped purity, null where there is none, and ploidy."""
+    purity = 2.0 * period.cast("double") / center_two
+    clamped = F.when((purity >= 1) & (purity < 1.1), 0.99).when((purity > -0.1) & (purity <= 0), 0.03).when((purity > 0) & (purity < 1), purity)
+    return clamped, 2 + (scale - center_two) / period.cast("double")
+
+
 @dataclass
 class Period:
     """A period with its peaks, likelihood and what follows from it."""
@@ -208,6 +229,8 @@ class Period:
     penalty_rc: float = 0.0
     logl_snp: float = -1e99
     n_snps: int = 0
+    penalty_snp: float = 0.0
+    n_parameters: int = 0
 
     @property
     def logl(self) -> float:
@@ -233,8 +256,8 @@ def hypothesis(period: Period) -> bool:
     return True
 
 
-def subclone_peaks(pooled: np.ndarray, least: float = 2e3) -> list[tuple[int, float, float]]:
-    """(place, height, score) of peaks that stand out at four widths at once; edges are cut off."""
+def subclone_peaks(pooled: np.ndarray, least: float = 2e3, above: float = 5.0) -> list[tuple[int, float, float]]:
+    """(place, height, score) of peaks that stand out at four widths at once, above so many deviations of the widest; edges are cut off."""
     out = []
     for i in range(5, len(pooled) - 5):
         x = pooled[i]
@@ -248,6 +271,6 @@ def subclone_peaks(pooled: np.ndarray, least: float = 2e3) -> list[tuple[int, fl
         rising = means[0] < means[1] < means[2] < means[3] < x
         steps = [*np.diff(means), x - means[3]]
         score = sum(s / d for s, d in zip(steps, devs))
-        if rising and score > 3 and (x - means[0]) / devs[0] > 5:
+        if rising and score > 3 and (x - means[0]) / devs[0] > above:
             out.append((i, float(x), float(score)))
     return out

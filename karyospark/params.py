@@ -51,6 +51,10 @@ class Params:
     segment_max_alpha: float = 1e8
     trim_percent: float = 40.0
     bin_width: int = 100_000
+    # these stand in outputs only
+    snp_maf_stddev_divider: float = 20.0
+    snp_coverage_min: int = 2
+    snp_coverage_var_ratio: float = 10.0
 
 
 @dataclass(frozen=True)

@@ -30,12 +30,15 @@ class Inference:
     periods: list[Period] = field(default_factory=list)
     calls: DataFrame | None = None
     totals: DataFrame | None = None
+    models: DataFrame | None = None
     usable: DataFrame | None = None
     density: DataFrame | None = None
     acf: DataFrame | None = None
     slopes: DataFrame | None = None
     n_segments: int = 0
     n_sites: int = 0
+    params: Params = Params()
+    auto: bool = True
 
     def summary(self) -> dict:
         b = self.best
@@ -87,7 +90,7 @@ def evaluate(candidate: Candidate, sums, curve: np.ndarray, moments, reach: int,
     period = Period(candidate.period, candidate.auto_cor, peaks, peaks[0].center)
     stats = sums.peaks(period)
     for i, x in stats.items():
-        peaks[i].n_windows, peaks[i].n_snps = float(x["own_n"] or 0), int(x["sites"] or 0)
+        peaks[i].n_windows, peaks[i].n_snps, peaks[i].logl = float(x["own_n"] or 0), int(x["sites"] or 0), x["logl"]
     n = 0.0
     for x in sorted(peaks, key=lambda x: -x.height)[: p.peaks_for_logl]:
         if x.index in stats:
@@ -100,7 +103,8 @@ def evaluate(candidate: Candidate, sums, curve: np.ndarray, moments, reach: int,
         logl, n_snps = sums.likelihood(period)
         if n_snps > p.min_peak_snps:
             used = sum((period.copies_before + x.index) // 2 + 1 for x in peaks[: p.peaks_for_logl] if x.n_snps > p.min_peak_snps)
-            period.logl_snp, period.n_snps = logl - 0.5 * used * np.log(n_snps), n_snps
+            period.penalty_snp, period.n_parameters = -0.5 * used * float(np.log(n_snps)), used
+            period.logl_snp, period.n_snps = logl + period.penalty_snp, n_snps
         else:
             period.purity = -1.0
     return period
@@ -140,7 +144,7 @@ def infer(segments: DataFrame, snps: DataFrame, contigs: DataFrame, p: Params =
     cor, diff = dense_array(acf, "shift", "cor", p.max_lag + 1), dense_array(slopes, "shift", "diff", p.max_lag)
     curve = dense_array(density, "ratio_int", "density", p.max_ratio_int + 1)
     status, best, periods = best_period(cor, diff, curve, moments, TableSums(usable, p, flat), p, auto)
-    got = Inference(status, best, periods, usable=usable, density=density, acf=acf, slopes=slopes, n_segments=segments.count(), n_sites=snps.count())
+    got = Inference(status, best, periods, usable=usable, density=density, acf=acf, slopes=slopes, n_segments=segments.count(), n_sites=snps.count(), params=p, auto=auto)
     if best is not None:
-        got.calls, got.totals = call(usable, best, contigs, p, strict, flat)
+        got.calls, got.totals, got.models = call(usable, best, contigs, p, strict, flat)
     return got

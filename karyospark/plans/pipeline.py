@@ -7,18 +7,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.coverage import normalize
+from ..operators.coverage import normalized
 from ..operators.segmentation import segment
 from ..operators.snp import het_snps, with_log_odds
 from ..params import Params
+from ..sources import sinks
 from .infer import Inference, infer
 
-STEPS = ("normalize", "het_snps", "segment", "infer")
+#: The steps by their numbers; preparing is making folders here, and site calling is an external program's.
+STEPS = ("prepare", "het_snps", "normalize", "segment", "infer", "report")
 
 
 @dataclass
 class Workflow:
-    """Runs the steps in order. Each but the last is written to the folder, from where a later run can go on."""
+    """Runs the steps in order. Each is written to the folder, from where a later run can go on with any step."""
 
     spark: SparkSession
     folder: str
@@ -30,9 +32,23 @@ class Workflow:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    def run(self, reads: DataFrame, calls: DataFrame, contigs: DataFrame, start_from: str = STEPS[0], strict: bool = False, auto: bool = True) -> Inference:
-        p = self.params
-        ratio = self.step("normalize", start_from, lambda: normalize(reads, contigs, p))
+    def run(self, reads: DataFrame, calls: DataFrame, contigs: DataFrame, start_from: str = STEPS[0], strict: bool = False, auto: bool = True, debug: bool = False, report: bool = False) -> Inference:
+        """report: writes the text outputs beside the stages."""
+        p, stats = self.params, None
         snps = self.step("het_snps", start_from, lambda: het_snps(calls, p))
+
+        def ratio_rows() -> DataFrame:
+            nonlocal stats
+            ratio, stats = normalized(reads, contigs, p)
+            return ratio
+
+        ratio = self.step("normalize", start_from, ratio_rows)
         segments = self.step("segment", start_from, lambda: segment(ratio, p))
-        return infer(segments, with_log_odds(snps), contigs, p, strict, auto)
+        got = infer(segments, with_log_odds(snps), contigs, p, strict, auto)
+        if report:
+            out = f"{self.folder}/{STEPS[-1]}"
+            sinks.write_het_snps(snps, f"{out}/het_snp.tsv")
+            sinks.write_ratio(ratio, f"{out}/ratio", debug, stats, p.window_size)
+            sinks.write_segments(segments, f"{out}/all_segments.tsv")
+            sinks.write_inference(got, f"{out}/infer")
+        return got

@@ -372,12 +372,12 @@ def cn_float_int(spark, d):
     return numbered(spark, d).select("chr_idx", "start", "end", r("x").alias("copy_no_float"), "cp", (F.abs(F.col("cp") - F.col("x")) <= 0.1).alias("is_clonal"))
 
 
-@query("cn_interval", f'WITH {CN} SELECT chr_idx, start, "end", {rs("(0.6 * 2.2 + 2 * 0.4) * (stddev * 10) / 0.6")} AS cp_stddev FROM whole')
+@query("cn_interval", f'WITH {CN} SELECT chr_idx, start, "end", {rs("(0.6 * 2.2 + 2 * 0.4) * (stddev * 10) / 0.6")} AS cp_stddev, {rs("x - (0.6 * 2.2 + 2 * 0.4) * (stddev * 10) / 0.6")} AS interval_left, {rs("x + (0.6 * 2.2 + 2 * 0.4) * (stddev * 10) / 0.6")} AS interval_right FROM whole')
 def cn_interval(spark, d):
     from ..operators.calls import interval_columns
 
     rows = interval_columns(numbered(spark, d).withColumn("copy_no_float", F.col("x")), 0.6, 2.2, A.SEGMENT_PARAMS)
-    return rows.select("chr_idx", "start", "end", r("cp_stddev").alias("cp_stddev"))
+    return rows.select("chr_idx", "start", "end", *[r(c).alias(c) for c in ("cp_stddev", "interval_left", "interval_right")])
 
 
 @query("weighted_ploidy", f'WITH {CN} SELECT {rs("""sum(("end" - start + 1) * x) / sum("end" - start + 1)""")} AS ploidy_all, {rs("""sum(("end" - start + 1) * x) FILTER (abs(cp - x) <= 0.1) / sum("end" - start + 1) FILTER (abs(cp - x) <= 0.1)""")} AS ploidy_clonal FROM whole')
@@ -495,6 +495,265 @@ def count_statistics(spark, d):
     return rows.select("n", "k", r(stats.log_factorial(F.col("n"))).alias("log_factorial"), r(stats.binomial(F.col("n"), F.col("k"), 0.3), 8).alias("share"))
 
 
+# ---------------------------------------------------------------- flags and single reads
+
+KIND = f"((pos + frag) % {len(A.FLAGS)})"
+FLAGGED = f"""{READS},
+flagged AS (SELECT sample, chr_idx, pos, frag, mapq, pos + {KIND} AS mate_pos, {KIND} * 1000 + 100 AS seq_len, CAST([{", ".join(map(str, A.FLAGS))}][{KIND} + 1] AS INT) AS flags FROM reads WHERE sample IS NOT NULL),
+valid AS (SELECT * FROM flagged WHERE mapq >= 30 AND NOT (flags & 1 <> 0 AND (frag < 0 OR frag > 40000 OR flags & 2 = 0 OR flags & 8 <> 0 OR flags & 64 = 0 OR flags & 256 <> 0 OR flags & 1024 <> 0 OR flags & 2048 <> 0)))"""
+
+
+def flagged(spark, d):
+    return C.valid_fragments(A.flagged_reads(spark, d), A.READ_PARAMS)
+
+
+@query("fragment_flags", f"WITH {FLAGGED} SELECT sample, chr_idx, flags, CAST(count(*) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM valid GROUP BY ALL")
+def fragment_flags(spark, d):
+    return flagged(spark, d).groupBy("sample", "chr_idx", "flags").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+
+
+@query(
+    "read_windows",
+    f"""WITH {FLAGGED}, x AS (SELECT *, flags & 1 <> 0 AS pair, flags & 16 <> 0 AS rev, CASE WHEN flags & 16 <> 0 THEN mate_pos ELSE pos END AS b,
+  least(CASE WHEN flags & 16 <> 0 THEN (pos + seq_len - {W // 2}) // {W} ELSE (pos + {W // 2}) // {W} END, {N - 1}) AS one FROM valid),
+y AS (SELECT *, least(b // {W} + CASE WHEN (b // {W} + 1) * {W} - b < {W // 2} AND b // {W} < {N - 1} THEN 1 ELSE 0 END, {N - 1}) AS ws,
+  least((b + frag) // {W} + CASE WHEN b + frag - (b + frag) // {W} * {W} > {W // 2} AND (b + frag) // {W} < {N - 1} THEN 1 ELSE 0 END, {N - 1}) AS we FROM x)
+SELECT sample, chr_idx, pair, CASE WHEN pair THEN ws ELSE one END AS ws, CASE WHEN pair THEN we ELSE one + 1 END AS we, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN pair THEN frag ELSE seq_len END) AS BIGINT) AS total_length FROM y GROUP BY ALL""",
+)
+def read_windows(spark, d):
+    """Windows of pairs and of single reads, forward and reversed."""
+    paired = C.spans(flagged(spark, d).where("flags & 1 <> 0"), A.read_contigs(spark), A.READ_PARAMS).withColumn("pair", F.lit(True))
+    single = C.spans(flagged(spark, d).where("flags & 1 = 0"), A.read_contigs(spark), A.READ_PARAMS).withColumn("pair", F.lit(False))
+    return paired.unionByName(single).groupBy("sample", "chr_idx", "pair", "ws", "we").agg(F.count("*").alias("n"), F.sum("fragment_length").alias("total_length"))
+
+
+@query("contig_index", """WITH n AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'chr' || o_custkey % 30 WHEN 1 THEN CAST(o_custkey % 30 AS VARCHAR) WHEN 2 THEN 'chrX' WHEN 3 THEN 'chr' || o_custkey % 30 || '_alt' ELSE ' chr1' END AS name FROM orders)
+SELECT k, name, CASE WHEN regexp_full_match(name, '(chr)?[0-9]+') THEN CAST(regexp_extract(name, '[0-9]+') AS INT) - 1 END AS chr_idx FROM n""")
+def contig_index(spark, d):
+    from ..sources.text import contig_number
+
+    number = (F.col("o_custkey") % 30).cast("string")
+    kind = F.col("o_orderkey") % 5
+    name = F.when(kind == 0, F.concat(F.lit("chr"), number)).when(kind == 1, number).when(kind == 2, "chrX").when(kind == 3, F.concat(F.lit("chr"), number, F.lit("_alt"))).otherwise(" chr1")
+    return A.load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), name.alias("name")).withColumn("chr_idx", contig_number(F.col("name")))
+
+
+# ---------------------------------------------------------------- periods and peaks
+
+PERIOD, FIRST, REACH, MOST = 240, 180, 60, 3000
+
+
+def curves(spark, d):
+    """The histogram and its smoothed autocorrelation as arrays of fixed size."""
+    from .infer import dense_array
+
+    p = A.SEGMENT_PARAMS
+    return dense_array(hist(spark, d), "ratio_int", "density", p.max_ratio_int + 1), dense_array(H.smoothed(acf(spark, d)), "shift", "cor", p.max_lag + 1)
+
+
+DENSE = f"""{DENSITY}, dn AS (SELECT CAST(i AS INT) AS i, coalesce(density, 0) AS d FROM (SELECT unnest(range(0, {MOST + 1})) AS i) LEFT JOIN hist ON i = ratio_int)"""
+
+
+@query(
+    "first_peak",
+    f"""WITH {DENSE}, loc AS (SELECT a.i, any_value(a.d) + coalesce(sum(CASE WHEN b.i <> a.i THEN b.d / ((b.i - a.i) * (b.i - a.i)) END), 0) AS v, any_value(a.d) AS d FROM dn a JOIN dn b ON b.i BETWEEN a.i - {REACH} AND a.i + {REACH} GROUP BY a.i),
+score AS (SELECT c.i, sum(p.v) AS s FROM loc c JOIN loc p ON p.i >= c.i AND (p.i - c.i) % {PERIOD} = 0 AND (p.i = c.i OR p.i < {MOST + 1 - REACH}) WHERE c.i BETWEEN 10 AND {1050 + PERIOD // 4} AND c.d >= 100 GROUP BY c.i),
+best AS (SELECT i AS center, s FROM score ORDER BY s DESC, i LIMIT 1),
+grown AS (SELECT center, s, w, center - w < 10 OR center + w > {1050 + REACH} OR w > {REACH} OR
+  coalesce((SELECT s FROM score WHERE i = center - w), 0) + coalesce((SELECT s FROM score WHERE i = center + w), 0) < 2 * 0.135 * s AS stops FROM best, (SELECT unnest(range(1, {REACH + 2})) AS w))
+SELECT center, CAST(min(w) AS INT) AS half_width, {rs("any_value(s)", 3)} AS score FROM grown WHERE stops GROUP BY center""",
+)
+def first_peak(spark, d):
+    """The first peak of a period: its place, half width and score."""
+    from ..operators.periods import first_peak as found_peak
+    from ..operators.periods import first_peak_scores
+
+    p, (density, _) = A.SEGMENT_PARAMS, curves(spark, d)
+    score = first_peak_scores(density, PERIOD, REACH, p)
+    found = found_peak(density, PERIOD, REACH, p)
+    return spark.createDataFrame([(*found, float(score[found[0]]))] if found else [], "center int, half_width int, score double").withColumn("score", r("score", 3))
+
+
+@query(
+    "periodic_peaks",
+    f"""WITH {DENSE}, c AS (SELECT CAST((x - {FIRST}) // {PERIOD} AS INT) AS peak_index, x FROM (SELECT unnest(range({FIRST}, {MOST + 1}, {PERIOD})) AS x)),
+m AS (SELECT peak_index, any_value(x) AS x, sum(n_windows * sqrt(n_windows)) AS w, sum(ratio * n_windows * sqrt(n_windows)) AS wr FROM c LEFT JOIN usable ON ratio_int BETWEEN greatest(x - 20, 0) AND least(x + 20, {MOST}) GROUP BY peak_index),
+moved AS (SELECT peak_index, w, CASE WHEN w > 0 THEN least({MOST}, CAST(trunc(wr / w * 1000) AS INT)) ELSE x END AS center FROM m),
+tall AS (SELECT peak_index, w, center, d AS height FROM moved JOIN dn ON i = center),
+g AS (SELECT peak_index, k, center - k < 10 OR center + k > {MOST} OR k > {REACH} OR coalesce((SELECT d FROM dn WHERE i = center - k), 0) + coalesce((SELECT d FROM dn WHERE i = center + k), 0) < 2 * 0.135 * height AS stops
+  FROM tall, (SELECT unnest(range(1, {REACH + 2})) AS k)),
+wide AS (SELECT peak_index, any_value(center) AS center, any_value(height) AS height, CASE WHEN any_value(w) > 0 THEN (SELECT min(k) FROM g WHERE g.peak_index = tall.peak_index AND stops) ELSE 20 END AS half FROM tall GROUP BY peak_index)
+SELECT peak_index, CAST(center AS INT) AS center, {rs("height", 3)} AS height, CAST(half AS INT) AS half_width, CAST(greatest(center - half, 0) AS INT) AS lo, CAST(least(center + half, {MOST}) AS INT) AS hi FROM wide""",
+)
+def periodic_peaks(spark, d):
+    """Peaks a period apart, moved to the weighted ratio of their segments, with bounds."""
+    import numpy as np
+
+    from ..operators.periods import peaks_of
+
+    p, (density, _) = A.SEGMENT_PARAMS, curves(spark, d)
+    w = F.col("n_windows") * F.sqrt(F.col("n_windows").cast("double"))
+    rows = usable(spark, d).where(F.col("ratio_int") <= MOST).groupBy("ratio_int").agg(F.sum(w).alias("w"), F.sum(w * F.col("ratio")).alias("m")).collect()  # by thousandths
+    moments = tuple(np.array([x[c] for x in rows], float) for c in ("ratio_int", "w", "m"))
+    found = [(x.index, x.center, float(x.height), x.half_width, x.lo, x.hi) for x in peaks_of(density, PERIOD, FIRST, 20, REACH, moments, p)]
+    return spark.createDataFrame(found, "peak_index int, center int, height double, half_width int, lo int, hi int").withColumn("height", r("height", 3))
+
+
+@query(
+    "peak_site_counts",
+    f"""WITH {CALLS}, {SEGMENTS}, {PEAKS}, bag AS (SELECT k.chr_idx, k.start, count(*) AS n FROM snps s JOIN (SELECT DISTINCT chr_idx, start, "end" FROM usable) k ON s.chr_idx = k.chr_idx AND s.pos BETWEEN k.start AND k."end" GROUP BY k.chr_idx, k.start HAVING count(*) > 10)
+SELECT CAST(peak_index AS INT) AS peak_index, CAST(sum(n_windows) FILTER (n IS NOT NULL) AS BIGINT) AS own_n, CAST(sum(n) AS BIGINT) AS sites, CAST(sum(n_windows) AS BIGINT) AS n FROM usable u LEFT JOIN bag USING (chr_idx, start) JOIN peaks ON ratio_int BETWEEN lo AND hi GROUP BY peak_index""",
+)
+def peak_site_counts(spark, d):
+    """Windows and sites of the segments in each peak that have sites, and windows of all."""
+    rows = S.segment_bags(snps(spark, d), usable(spark, d), A.SNP_PARAMS)
+    own = F.sum(F.when(F.col("snps").isNotNull(), F.col("n_windows"))).alias("own_n")
+    return H.peak_stats(rows, A.peaks(spark), own, F.sum("snps.n").alias("sites")).select("peak_index", "own_n", "sites", F.col("n").cast("bigint").alias("n"))
+
+
+@query("draw_up", f"WITH {ACF}, u AS (SELECT shift, cor, cor - min(cor) OVER (ORDER BY shift ROWS UNBOUNDED PRECEDING) AS rise FROM acf) SELECT shift, {rs('rise / (SELECT max(cor) FROM acf)')} AS rise, shift = (SELECT shift FROM u ORDER BY rise DESC, shift LIMIT 1) AS highest FROM u")
+def draw_up(spark, d):
+    """How far each lag stands above the lowest before it, as a share of the largest value."""
+    from ..operators.periods import draw_ups
+
+    _, cor = curves(spark, d)
+    rise = draw_ups(cor)
+    rows = [(i, float(x / cor.max()) if cor.max() else None, i == int(rise.argmax())) for i, x in enumerate(rise)]
+    return spark.createDataFrame(rows, "shift int, rise double, highest boolean").withColumn("rise", r("rise"))
+
+
+@query("acf_local_maxima", f"WITH {ACF} SELECT shift FROM (SELECT shift, cor, max(cor) OVER (ORDER BY shift ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS b, max(cor) OVER (ORDER BY shift ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS a FROM acf) WHERE shift > 0 AND b < cor AND coalesce(a, cor) <= cor")
+def acf_local_maxima(spark, d):
+    from ..operators.periods import local_maxima
+
+    return spark.createDataFrame([(i,) for i in local_maxima(curves(spark, d)[1])], "shift int")
+
+
+@query(
+    "acf_bounds",
+    f"""WITH {ACF}, t AS (SELECT shift AS top, cor AS c FROM acf WHERE shift BETWEEN 100 AND 400 ORDER BY cor DESC, shift LIMIT 1)
+SELECT top, CAST(coalesce((SELECT max(shift) FROM acf WHERE shift < top AND shift > 0 AND cor <= 0.606 * c AND top - shift >= 5), 0) AS INT) AS lower, CAST(coalesce((SELECT min(shift) FROM acf WHERE shift > top AND cor <= 0.606 * c AND shift - top >= 5), 1001) AS INT) AS upper FROM t""",
+)
+def acf_bounds(spark, d):
+    """How far the curve stays high around the largest of lags 100 to 400."""
+    from ..operators.periods import bounds
+
+    _, cor = curves(spark, d)
+    top = 100 + int(cor[100:401].argmax())
+    return spark.createDataFrame([(top, *bounds(cor, top, A.SEGMENT_PARAMS))], "top int, lower int, upper int")
+
+
+SIDES = ((55, 45), (27, 23), (10, 10), (5, 5))
+AROUND = ", ".join(f"avg(q.x) FILTER (q.i >= greatest(p.i - {b}, 0) AND q.i < greatest(p.i - {b}, 0) + {n}) AS m{k}, greatest(coalesce(stddev_samp(q.x) FILTER (q.i >= greatest(p.i - {b}, 0) AND q.i < greatest(p.i - {b}, 0) + {n}), 0), 1e-12) AS s{k}" for k, (b, n) in enumerate(SIDES))
+
+
+@query(
+    "subclone_peaks",
+    f"""WITH {DENSITY}, f AS (SELECT CAST((ratio_int - {FIRST}) % {PERIOD} AS INT) AS phase, sum(density) AS x FROM hist WHERE ratio_int >= {FIRST} GROUP BY 1),
+pooled AS (SELECT CAST(i AS INT) AS i, coalesce(x, 0) AS x FROM (SELECT unnest(range(0, {3 * PERIOD})) AS i) LEFT JOIN f ON phase = i % {PERIOD}),
+w AS (SELECT p.i, any_value(p.x) AS x, max(q.x) FILTER (q.i BETWEEN p.i - 3 AND p.i + 3) AS top, {AROUND} FROM pooled p JOIN pooled q ON q.i BETWEEN p.i - 56 AND p.i + 56 WHERE p.i BETWEEN 5 AND {3 * PERIOD - 6} GROUP BY p.i),
+z AS (SELECT i, x, (m1 - m0) / s0 + (m2 - m1) / s1 + (m3 - m2) / s2 + (x - m3) / s3 AS score, m0 < m1 AND m1 < m2 AND m2 < m3 AND m3 < x AS rising, (x - m0) / s0 AS first FROM w WHERE x >= 100 AND x >= top)
+SELECT i AS place, {rs('x', 3)} AS height, {rs('score', 3)} AS score FROM z WHERE rising AND score > 3 AND first > 1""",
+)
+def subclone_peaks(spark, d):
+    """Peaks that stand out of the histogram folded by the period, at four widths at once."""
+    import numpy as np
+
+    from ..operators.periods import subclone_peaks as found
+    from .infer import dense_array
+
+    one = dense_array(H.folded(hist(spark, d), FIRST, PERIOD), "phase", "density", PERIOD)
+    return spark.createDataFrame(found(np.tile(one, 3), 100.0, 1.0), "place int, height double, score double").select("place", r("height", 3).alias("height"), r("score", 3).alias("score"))
+
+
+@query(
+    "purity_ploidy",
+    """WITH x AS (SELECT DISTINCT 50 + o_custkey % 550 AS period, 300 + o_orderkey % 900 AS center FROM orders),
+y AS (SELECT *, 2.0::DOUBLE * period / center AS p, 2 + (1000 - center) / CAST(period AS DOUBLE) AS ploidy FROM x)
+SELECT CAST(period AS INT) AS period, CAST(center AS INT) AS center, """ + rs("ploidy", 9) + """ AS ploidy, """ + rs("CASE WHEN p >= 1 AND p < 1.1 THEN 0.99 WHEN p > 0 AND p < 1 THEN p END", 9) + """ AS purity FROM y""",
+)
+def purity_ploidy(spark, d):
+    """Purity and ploidy of every period and center of two copies that orders give."""
+    from ..operators.periods import purity_ploidy_columns
+
+    x = A.load(spark, d, "orders").select((50 + F.col("o_custkey") % 550).cast("int").alias("period"), (300 + F.col("o_orderkey") % 900).cast("int").alias("center")).distinct()
+    purity, ploidy = purity_ploidy_columns(F.col("period"), F.col("center"))
+    return x.select("period", "center", r(ploidy, 9).alias("ploidy"), r(purity, 9).alias("purity"))
+
+
+CALLED = f"""{CALLS}, {SEGMENTS}, {PEAKS},
+bag AS (SELECT k.chr_idx, k.start, count(*) AS n FROM snps s JOIN (SELECT DISTINCT chr_idx, start, "end" FROM usable) k ON s.chr_idx = k.chr_idx AND s.pos BETWEEN k.start AND k."end" GROUP BY k.chr_idx, k.start HAVING count(*) > 10),
+u AS (SELECT usable.*, n, (ratio_int - 180) / 240.0::DOUBLE AS x FROM usable LEFT JOIN bag USING (chr_idx, start)),
+own AS (SELECT u.*, peak_index FROM u JOIN peaks ON ratio_int BETWEEN lo AND hi),
+rest AS (SELECT *, CAST(trunc(x) + CASE WHEN x - trunc(x) > 0.5 THEN 1 ELSE 0 END AS INT) AS cp FROM u WHERE NOT EXISTS (SELECT 1 FROM peaks p WHERE u.ratio_int BETWEEN p.lo AND p.hi)),
+called AS (SELECT chr_idx, start, "end", CAST(peak_index AS DOUBLE) AS cp, x, true AS is_clonal FROM own WHERE n IS NOT NULL
+  UNION ALL SELECT chr_idx, start, "end", cp, x, true FROM rest WHERE abs(cp - x) <= 0.1 AND n IS NOT NULL AND cp >= 0
+  UNION ALL SELECT chr_idx, start, "end", x, x, false FROM rest WHERE abs(cp - x) > 0.1)"""
+
+
+def fixed_calls(spark, d):
+    """Calls and totals for a given period, its peaks and all segments and sites."""
+    from ..operators.allele import NO_FIT
+    from ..operators.calls import call
+    from ..operators.periods import Peak, Period
+
+    peaks = [Peak(i, c, 0.0, lo, hi, 30, 1.0, 100) for i, c, lo, hi in A.PEAKS]
+    period = Period(PERIOD, 1.0, peaks, FIRST, 0, FIRST + 2 * PERIOD, 0.7, 2.3)
+    rows = S.segment_bags(snps(spark, d), usable(spark, d), A.SNP_PARAMS)
+    return call(rows, period, A.snp_contigs(spark), A.SEGMENT_PARAMS, flat=NO_FIT)
+
+
+@query("calls_of_a_period", f'WITH {CALLED} SELECT chr_idx, start, "end", {rs("cp")} AS cp, {rs("x")} AS copy_no_float, is_clonal, start + chr_idx * 1000000 AS cumu_start, "end" + chr_idx * 1000000 AS cumu_end FROM called')
+def calls_of_a_period(spark, d):
+    """Clonal and subclonal calls; majors come from fits, which tests hold against single ones."""
+    return fixed_calls(spark, d)[0].select("chr_idx", "start", "end", r("cp").alias("cp"), r("copy_no_float").alias("copy_no_float"), "is_clonal", "cumu_start", "cumu_end")
+
+
+@query(
+    "totals_of_a_period",
+    f"""WITH {CALLED}, z AS (SELECT CAST("end" - start + 1 AS DOUBLE) AS len, CAST(peak_index AS DOUBLE) AS c, true AS own FROM own UNION ALL SELECT CAST("end" - start + 1 AS DOUBLE), x, false FROM rest)
+SELECT sum(len) AS genome_len_cnv_all, sum(len) FILTER (own) AS genome_len_clonal, {rs("sum(len * c) / sum(len)")} AS ploidy_cnv_all, {rs("sum(len * c) FILTER (own) / sum(len) FILTER (own)")} AS ploidy_clonal FROM z""",
+)
+def totals_of_a_period(spark, d):
+    rows = fixed_calls(spark, d)[1]
+    return rows.select("genome_len_cnv_all", "genome_len_clonal", r("ploidy_cnv_all").alias("ploidy_cnv_all"), r("ploidy_clonal").alias("ploidy_clonal"))
+
+
+# ---------------------------------------------------------------- results of runs
+
+HISTORY = """hist_rows AS (SELECT o_orderpriority AS commit_id, o_orderstatus AS sample_class, (o_custkey % 9 + 1) / 10.0::DOUBLE AS true_purity, 2.0::DOUBLE AS true_ploidy, abs((o_orderkey % 17 - 8) / 64.0::DOUBLE) AS dp,
+  abs((o_orderkey % 13 - 6) / 16.0::DOUBLE) AS dq, (o_orderkey % 8 + 4) / 16.0::DOUBLE AS cp_recall, (o_custkey % 4 + 12) / 16.0::DOUBLE AS mcp_precision FROM orders)"""
+
+
+@query("quality_gate", f"WITH {HISTORY} SELECT sample_class, true_purity, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (round(dp, 9) <= 0.05 AND dq <= 0.2 AND cp_recall >= 0.7 AND mcp_precision >= 0.7) AS BIGINT) AS n_passed, {rs('sum(dp)')} AS sum_purity, {rs('sum(dq)')} AS sum_ploidy FROM hist_rows GROUP BY ALL")
+def quality_gate(spark, d):
+    rows = E.gated(A.history(spark, d))
+    return rows.groupBy("sample_class", "true_purity").agg(F.count("*").alias("n"), F.sum(F.col("passed").cast("bigint")).alias("n_passed"), r(F.sum("delta_purity")).alias("sum_purity"), r(F.sum("delta_ploidy")).alias("sum_ploidy"))
+
+
+@query("history_groups", f"WITH {HISTORY} SELECT sample_class, true_purity, CAST(count(*) AS BIGINT) AS n_runs, min(commit_id) AS first_commit, {rs('max(dq)')} AS worst_ploidy FROM hist_rows GROUP BY ALL")
+def history_groups(spark, d):
+    from ..sources.text import grouped_history
+
+    rows = grouped_history(E.with_deltas(A.history(spark, d)))
+    return rows.select("sample_class", "true_purity", "n_runs", F.get("runs", F.lit(0))["commit_id"].alias("first_commit"), r(F.array_max(F.col("runs.delta_ploidy"))).alias("worst_ploidy"))
+
+
+@query("commit_ordinals", f"WITH {HISTORY}, c AS (SELECT * FROM (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', 3)) AS v(commit_id, ordinal)) SELECT h.commit_id, CAST(ordinal AS INT) AS ordinal, CAST(count(*) AS BIGINT) AS n FROM hist_rows h LEFT JOIN c USING (commit_id) GROUP BY ALL")
+def commit_ordinals(spark, d):
+    from ..sources.text import with_ordinals
+
+    commits = spark.createDataFrame([("1-URGENT", 1), ("2-HIGH", 2), ("3-MEDIUM", 3)], "commit_id string, ordinal int")
+    return with_ordinals(A.history(spark, d), commits).groupBy("commit_id", "ordinal").agg(F.count("*").alias("n"))
+
+
+@query("simulated_ploidy", f"WITH x AS (SELECT sum((o_custkey % 5 - 1) * (1000 + o_custkey) * 0.25::DOUBLE * (o_orderkey % 5)) AS a FROM orders) SELECT a AS altered, {rs('a / 2881033286.0 + 2', 9)} AS ploidy FROM x")
+def simulated_ploidy(spark, d):
+    from .simulate import simulated_ploidy as ploidy
+
+    return ploidy(A.regions(spark, d)).select("altered", r("ploidy", 9).alias("ploidy"))
+
+
 # ---------------------------------------------------------------- fits; no SQL
 
 

@@ -65,3 +65,13 @@ def simulated_ploidy(regions: DataFrame, haploid: float = 2_881_033_286.0) -> Da
     """
     altered = F.sum((F.col("copy_number") - 1) * (F.col("end") - F.col("start")) * F.col("proportion"))
     return regions.agg(altered.alias("altered")).select("altered", (F.col("altered") / haploid + 2).alias("ploidy"))
+
+
+def prefixed(reads: DataFrame, prefix: str) -> DataFrame:
+    """Sequencing reads (name, seq, qual) with the prefix before each name, so that those of several genomes stay apart."""
+    return reads.withColumn("name", F.concat(F.lit(prefix), F.col("name")))
+
+
+def mixed(tumor: DataFrame, normal: DataFrame) -> DataFrame:
+    """Reads of a tumor and a normal genome as one sample, names told apart."""
+    return prefixed(tumor, "tumor_").unionByName(prefixed(normal, "normal_"))

@@ -186,3 +186,25 @@ def grouped_history(rows: DataFrame) -> DataFrame:
 def with_ordinals(rows: DataFrame, commits: DataFrame) -> DataFrame:
     """Past results with the ordinal of their commit; commits (commit_id, ordinal) are a small list. Unknown ones have null."""
     return rows.join(F.broadcast(commits.select("commit_id", "ordinal")), "commit_id", "left")
+
+
+def read_summary(spark: SparkSession, path: str) -> dict[str, float]:
+    """The values of a run's summary, three pairs of a header and a line of values, by name."""
+    lines = [x for r in spark.read.text(path, wholetext=True).collect() for x in r["value"].splitlines() if x.strip()]
+    return {k: float(v) for names, values in zip(lines[::2], lines[1::2]) for k, v in zip(names.split("\t"), values.split("\t"))}
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """Allele models of each segment, a row for each split of its copies; segment names are chr, start and end."""
+    rows = spark.read.parquet(path).select(F.concat_ws("_", F.concat(F.lit("chr"), F.col("chr_idx") + 1), "start", "end").alias("segment"), "cp", F.explode("models").alias("m"))
+    return rows.select("segment", "cp", "m.*")
+
+
+SEX_AND_MITO = ("chrX", "chrY", "chrMT", "chrM", "X", "Y", "MT", "M")
+
+
+def read_for_plot(spark: SparkSession, path: str) -> DataFrame:
+    """Copy numbers as plots take them: rows of other than sex and mitochondrial contigs; without a major they aren't clonal."""
+    rows = fields(spark, path, ["chr", "start", "end", "cp", "major"]).where(~F.col("chr").isin(*SEX_AND_MITO))
+    rows = rows.select("chr", number("start", "bigint").alias("start"), number("end", "bigint").alias("end"), number("cp", "double").alias("cp"), number("major", "double").alias("major"))
+    return rows.where("start is not null and cp is not null").withColumn("is_clonal", F.col("major").isNotNull())

@@ -137,6 +137,89 @@ def test_round_trips(spark, tmp_path, capsys):
     assert isinstance(frames.subclones(got), list)
 
 
+def read_gz(folder):
+    return "".join(gzip.open(p, "rt").read() for p in sorted(folder.rglob("*.gz")))
+
+
+def test_texts_of_an_inference(spark, tmp_path):
+    """Totals, intervals, the summary and the models as files, and the readers of the last two."""
+    got, _ = simulate.demo(spark, 0.7, n_contigs=4)
+    sinks.write_inference(got, str(tmp_path))
+    lines = next((tmp_path / "cnv.output.tsv").glob("part-*")).read_text().splitlines()
+    assert lines[0].split("\t") == list(sinks.CALLS) and [x.split("=")[0] for x in lines[-4:]] == ["#genome_len_cnv_all", "#genome_len_clonal", "#ploidy_cnv_all", "#ploidy_clonal"]
+    rows = [x.split("\t") for x in lines[1:-4]]
+    assert len(rows) == got.calls.count() and rows == sorted(rows, key=lambda r: (int(r[0]), int(r[1])))
+    assert next((tmp_path / "cnv.interval.tsv").glob("part-*")).read_text().splitlines()[0].split("\t") == list(sinks.INTERVALS)
+    told = text.read_summary(spark, str(tmp_path / "infer.out.tsv"))
+    assert told["purity"] == pytest.approx(got.best.purity, rel=1e-4) and told["period"] == got.best.period and told["no_of_segments"] == got.n_segments
+    models = text.read_models(spark, str(tmp_path / "models"))
+    assert models.where("selected").count() == got.models.where("models is not null").count() > 10 and models.first()["segment"].startswith("chr")
+    for name in ("rc_log", "snp_log", "sub_peaks"):
+        assert spark.read.parquet(str(tmp_path / name)).columns
+    assert frames.plot_limits(got.calls).first()["highest"] is None  # all segments of this genome are short
+    assert frames.histogram_plot(got.density).where("density = 0").count() == 0
+
+
+def test_other_files(spark, tmp_path):
+    from karyospark.operators import gc
+
+    blocks = gc.gc_blocks(gc.pieces(spark.createDataFrame([("a", "GCatgN"), ("b", "GGGGGGGGG")], "chr string, seq string")), (1, 5), 4)
+    sinks.write_gc_index(blocks, str(tmp_path / "gc"))
+    assert list((tmp_path / "gc" / "a.gc5.bi").read_bytes()) == [3, 2, 1, 1, 1, 0] and list((tmp_path / "gc" / "b.gc1.bi").read_bytes()) == [1] * 9
+    segs = spark.createDataFrame([(0, 1, 500, 1.0, 0.1, 1), (2, 1, 500, 1.0, 0.1, 1)], "chr_idx int, start bigint, end bigint, ratio double, stddev double, n_windows bigint")
+    sinks.write_segments(segs, str(tmp_path / "split"), by_contig=True)
+    assert sorted(p.name for p in (tmp_path / "split").glob("contig=*")) == ["contig=chr1", "contig=chr3"]
+    names = "commit_id string, sample_class string, true_purity double, true_ploidy double, est_purity double, est_ploidy double, cp_recall double, cp_precision double, mcp_recall double, mcp_precision double, period double, first_peak_int double, likelihood double"
+    for purity in (0.52, 0.6):
+        sinks.append_results(spark.createDataFrame([("c1", "a", 0.5, 2.0, purity, 2.1, 0.9, 0.9, 0.8, 0.7, 300.0, 250.0, 1.0)], names), str(tmp_path / "results"))
+    rows = text.read_history(spark, str(tmp_path / "results"))
+    assert sorted(round(r["delta_purity"], 6) for r in rows.collect()) == [0.02, 0.1]
+    from karyospark.operators.evaluate import gated
+
+    assert sorted(r["passed"] for r in gated(rows).collect()) == [False, True]
+    assert [r["true_purity"] for r in frames.history_plot(rows).collect()] == [0.5, 0.5]
+    sinks.write_ploidy(simulate.simulated_ploidy(spark.createDataFrame([(0, 10, 3, 1.0)], "start bigint, end bigint, copy_number int, proportion double")), str(tmp_path / "ploidy"))
+    assert read_gz(tmp_path / "ploidy").startswith("CNA_length\thaploid_length\tploidy\n20.0")
+    plot = put(tmp_path / "t.tsv", "chr\tstart\tend\tcp\tmajor\nchr1\t1\t9\t3\tNA\nchrX\t1\t9\t3\t2\n7\t1\t9\t2\t1\n")
+    assert [(r["chr"], r["is_clonal"]) for r in text.read_for_plot(spark, plot).orderBy("chr").collect()] == [("7", True), ("chr1", False)]
+    reads = spark.createDataFrame([("r1", "ACGT", "IIII")], "name string, seq string, qual string")
+    assert sorted(r["name"] for r in simulate.mixed(reads, reads).collect()) == ["normal_r1", "tumor_r1"]
+    snps = spark.createDataFrame([(10, 7, 3), (10, 2, 8), (0, 0, 0)], "tumor_depth int, tumor_ro int, tumor_ao int")
+    assert sorted(map(tuple, frames.maf_plot(snps).collect())) == [(70, 1), (80, 1)]
+    contigs = spark.createDataFrame([("a", 0, 6)], "chr string, chr_idx int, length bigint")
+    ratio = spark.createDataFrame([(0, 1, 1.5), (0, 4, 0.5)], "chr_idx int, start bigint, coverage_ratio double")
+    got = frames.gc_plot(ratio, gc.gc_windows(gc.pieces(spark.createDataFrame([("a", "GCatgN")], "chr string, seq string")), (5,)), contigs, 3)
+    assert sorted(map(tuple, got.collect())) == [(5, 1, 1, 0.5), (5, 3, 1, 1.5)]
+
+
+def test_the_whole_workflow_as_a_command(spark, tmp_path, capsys):
+    import random
+
+    draw = random.Random(1)
+    for name in ("tumor", "normal"):
+        make_bam(tmp_path / f"{name}.bam", ["chr1", "chr2"], [(draw.randrange(2), p := draw.randrange(60_000), 60, 67, 100, p + 200, 300) for _ in range(3000)])
+    put(tmp_path / "ref.dict", "@SQ\tSN:chr1\tLN:60500\n@SQ\tSN:chr2\tLN:60500\n")
+    row = "chr{}\t{}\t.\tA\tC\t.\tPASS\t.\tGT:AD\t0/1:{},{}\t0/1:{},{}\n"
+    put(tmp_path / "v.vcf", "".join(row.format(c, p, *[draw.randrange(8, 30) for _ in range(4)]) for c in (1, 2) for p in range(100, 60_000, 150)))
+    put(tmp_path / "configure", "read_length\t100\nwindow_size\t500\nref\t/r\nsam\ts\ncaller\tc\nbin\tb\n")
+    arguments = [str(tmp_path / x) for x in ("configure", "tumor.bam", "normal.bam", "v.vcf", "ref.dict", "out")]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        cli.main(["run", *arguments, "--nCores", "4", "--clean"], spark)
+        first = capsys.readouterr().out.splitlines()[-1]
+        cli.main(["run", *arguments, "--nCores", "4", "-s", "4"], spark)
+        assert capsys.readouterr().out.splitlines()[-1] == first and "status" in json.loads(first)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    cli.main(["normalize", str(tmp_path / "tumor.bam"), str(tmp_path / "normal.bam"), str(tmp_path / "ref.dict"), str(tmp_path / "ratio"), "--debug"], spark)
+    one = read_gz(tmp_path / "ratio" / "chr=1").splitlines()
+    assert [x.split(":")[0] for x in one[:10]] == [f"#{k}" for k in ("chr", "chromosome_len", "window_size", "no_of_windows", "no_of_fragments_tumor", "coverage_per_base_tumor", "no_of_fragments_normal", "coverage_per_base_normal", "genome-wide-coverage-mean-tumor", "genome-wide-coverage-mean-normal")]
+    assert one[0] == "#chr: chr1" and one[3] == "#no_of_windows: 121" and one[10] == "start,coverage_ratio,coverage_tumor,coverage_tumor_adj,coverage_normal,coverage_normal_adj"
+    starts = [int(x.split(",")[0]) for x in one[11:]]
+    assert starts == sorted(starts) and len(starts) > 50
+    assert text.read_ratio(spark, str(tmp_path / "ratio/*")).where("chr_idx = 0").count() == len(starts)
+
+
 def test_stream(spark, tmp_path):
     from karyospark import adapters
     from karyospark.operators.coverage import spans, valid_fragments, window_counts
