@@ -19,6 +19,12 @@ def sorted_median(values: Column) -> Column:
     return F.when(n % 2 == 1, F.get(s, half)).otherwise(even.cast("bigint"))
 
 
+def sorted_midpoint(values: Column) -> Column:
+    """Median of a non-empty array, of two middle values their mean."""
+    s, n = F.sort_array(values), F.size(values)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))).cast("double") / 2
+
+
 def has(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(F.lit(bit)) != 0
 

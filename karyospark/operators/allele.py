@@ -100,10 +100,10 @@ def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths
     error or gives no fits.
     """
     samples = [np.asarray(x, np.float64) for x in samples]
-    varies = [len(x) > 0 and x.var() > 0 for x in samples]
-    if flat == ERROR and not all(varies):
+    variance = [float(x.var()) if len(x) else 0.0 for x in samples]
+    if flat == ERROR and not all(v > 0 for v in variance):
         raise ValueError("the variance of log odds has to be above 0")
-    tasks = [(len(samples[i]), i, minor, cp - minor) for i, cp in enumerate(cps) if varies[i] for minor in range(cp // 2 + 1)]
+    tasks = [(len(samples[i]), i, minor, cp - minor) for i, cp in enumerate(cps) if variance[i] > 0 for minor in range(cp // 2 + 1)]
     tasks.sort()  # samples of like length need little filling
     fits: list[list[dict]] = [[] for _ in samples]
     start = 0
@@ -116,7 +116,7 @@ def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths
         x, held = padded([samples[i] for _, i, _, _ in block])
         even = np.array([lo == hi for _, _, lo, hi in block])
         mu = np.array([0.0 if lo == hi else expected_log_odds(lo, hi, purity, depths[i]) for _, i, lo, hi in block])
-        alpha, var, done, logl = np.ones(len(block)), np.array([samples[i].var() for _, i, _, _ in block]), np.ones(len(block), bool), np.zeros(len(block))
+        alpha, var, done, logl = np.ones(len(block)), np.array([variance[i] for _, i, _, _ in block]), np.ones(len(block), bool), np.zeros(len(block))
         logl[even] = likelihoods(x[even], held[even], alpha[even], mu[even], var[even])
         if not even.all():
             alpha[~even], var[~even], done[~even], logl[~even] = mixtures(x[~even], held[~even], mu[~even])

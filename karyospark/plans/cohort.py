@@ -25,19 +25,22 @@ from .infer import best_period
 def density_of(ratio: np.ndarray, stddev: np.ndarray, n: np.ndarray, p: Params) -> np.ndarray:
     """The histogram by thousandths: each segment spreads its windows over two deviations to each side."""
     out = np.zeros(p.max_ratio_int + 1)
-    for m, s, k in zip(ratio * p.ratio_scale, stddev * p.ratio_scale, n):
-        if m <= p.max_ratio_int:
-            at = np.arange(max(0, math.floor(m - 2 * s)), min(p.max_ratio_int, math.ceil(m + 2 * s)) + 1)
-            out[at] += k * p.kde_scale / s * np.exp(-((at - m) ** 2) / (2 * s * s))
+    m, s = ratio * p.ratio_scale, stddev * p.ratio_scale
+    low, high = np.maximum(0, np.floor(m - 2 * s)).astype(np.int64), np.minimum(p.max_ratio_int, np.ceil(m + 2 * s)).astype(np.int64)
+    keep = np.flatnonzero((ratio <= p.max_ratio_int / p.ratio_scale) & (low <= high))
+    for part in np.array_split(keep, max(1, len(keep) // 1000)):  # so many bells at a time
+        size = high[part] - low[part] + 1
+        of = np.repeat(part, size)
+        at = low[of] + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        np.add.at(out, at, n[of] * p.kde_scale / s[of] * np.exp(-((at - m[of]) ** 2) / (2 * s[of] * s[of])))
     return out
 
 
 def autocorrelation_of(density: np.ndarray, p: Params) -> np.ndarray:
     """Sums of the largest products a shift apart, as means of five neighbours."""
     raw = np.array([np.sort(density[: len(density) - k] * density[k:])[::-1][: p.top_terms].sum() for k in range(p.max_lag + 1)])
-    total = np.concatenate(([0.0], np.cumsum(raw)))
-    low, high = np.maximum(np.arange(len(raw)) - 2, 0), np.minimum(np.arange(len(raw)) + 3, len(raw))
-    return np.array([raw[a:b].mean() for a, b in zip(low, high)]) if len(total) else raw
+    near = np.ones(5)
+    return np.convolve(raw, near, "same") / np.convolve(np.ones(len(raw)), near, "same")
 
 
 def slopes_of(cor: np.ndarray) -> np.ndarray:
@@ -63,16 +66,16 @@ class Sample:
         rows = rows[~((rows["ratio"] > 0.1) & (rows["stddev"] > rows["ratio"])) & (rows["ratio"] <= p.max_ratio_range_int / p.ratio_scale) & (rows["stddev"] > 1e-12)]
         rows = rows.sort_values(["chr_idx", "start", "end"], kind="stable").reset_index(drop=True)
         rows["ratio_int"] = (rows["ratio"] * p.ratio_scale).astype(np.int64)
-        by_contig = {c: x.sort_values(["pos", "log_or"], kind="stable") for c, x in snps.groupby("chr_idx")}
-        bags = []
-        for c, a, b in zip(rows["chr_idx"], rows["start"], rows["end"]):
-            own = by_contig.get(c)
-            low, high = (0, 0) if own is None else own["pos"].searchsorted([a, b + 1])
-            if high - low > p.min_segment_snps:
-                part = own.iloc[low:high]
-                bags.append((int(high - low), float(part["coverage"].median()), np.sort(part["log_or"].to_numpy())))
-            else:
-                bags.append(None)
+        # sites by contig and place, so that a segment's are a slice; then slices of log odds by size
+        order = np.lexsort((snps["pos"], snps["chr_idx"]))
+        contig, pos, odds, coverage = (snps[c].to_numpy()[order] for c in ("chr_idx", "pos", "log_or", "coverage"))
+        low, high = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        for c in np.unique(rows["chr_idx"]):
+            first, last = np.searchsorted(contig, [c, c + 1])
+            at = np.flatnonzero(rows["chr_idx"].to_numpy() == c)
+            low[at] = first + np.searchsorted(pos[first:last], rows["start"].to_numpy()[at])
+            high[at] = first + np.searchsorted(pos[first:last], rows["end"].to_numpy()[at], "right")
+        bags = [(int(b - a), float(np.median(coverage[a:b])), np.sort(odds[a:b])) if b - a > p.min_segment_snps else None for a, b in zip(low.tolist(), high.tolist())]
         return Sample(rows, bags, p, flat)
 
     def inside(self, peak) -> np.ndarray:
@@ -148,7 +151,8 @@ def infer_cohort(segments: DataFrame, snps: DataFrame, contigs: DataFrame, p: Pa
         own = Sample.of(segs, sites, p, flat)
         status, best, _ = own.period(auto)
         head = (status, best.purity, best.ploidy, best.period, best.first, best.logl) if best else (status, None, None, None, None, None)
-        rows = [(*head, *own.rows.loc[i, ["chr_idx", "start", "end"]].tolist(), *more) for i, *more in own.calls(best, strict)] if best else []
+        places = own.rows[["chr_idx", "start", "end"]].to_numpy().tolist()
+        rows = [(*head, *places[i], *more) for i, *more in own.calls(best, strict)] if best else []
         return pd.DataFrame([(key[0], *r) for r in rows or [(*head, *[None] * 7)]], columns=[subject, *names]).astype(object)
 
     segs = segments.select(subject, "chr_idx", "start", "end", "ratio", "stddev", "n_windows")
