@@ -27,23 +27,34 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        sc = spark.sparkContext
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"karyospark-checkpoints-{os.getpid()}")
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialises df in the shared checkpoint folder, which outlives any executor.
 
-    The folder is spark.checkpoint.dir; only a local session without it gets a temporary one.
+    Spark removes the files of such copies that nothing refers to, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), f"karyospark-checkpoints-{os.getpid()}")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; null for a null id."""
     return F.crc32(doc_id.cast("string")) % 3

@@ -143,7 +143,7 @@ class Index:
         """(item's row, start, end, edits) of verified windows and short items in the text, in code points."""
         code, places = normal(text)
         out = self.whole(code, places) if self.short else []
-        if len(code) < SHORTEST or not self.codes:
+        if not self.codes or len(code) < int((self.sizes - self.allowed).min()):
             return out
         grams = qgrams(code)
         at = np.flatnonzero(self.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -320,7 +320,7 @@ def merged(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame:
     """One row per region of a text that holds a benchmark item or a window of it: the kept columns with item_id,
-    start, end (code points) and edits. Null and short texts have none; repeated rows have theirs each.
+    start, end (code points) and edits. Null texts have none; repeated rows have theirs each.
     """
     spark = docs.sparkSession
     bound_batches(spark)

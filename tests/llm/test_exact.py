@@ -705,6 +705,12 @@ def test_short_items_and_null_ids_match_whole(spark):
     assert [r["doc_id"] for r in decontaminate.keep_clean(docs, marks).collect()] == [2]
 
 
+def test_text_shorter_than_its_item():
+    item = "a question of thirty letters x"
+    index = decontaminate.Index.of([(1, item)])
+    assert len(item) == decontaminate.SHORTEST and len(index.regions(item.replace("thirty", "thrty"))) == 1 and not index.regions(item[:28])
+
+
 def test_leaks(spark, texts):
     got = {}
     for r in registry.queries()["op10_decontaminate"](spark, SF).collect():
