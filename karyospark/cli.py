@@ -14,7 +14,7 @@ from .operators.segmentation import segment
 from .params import Config, Params
 from .plans.infer import infer
 from .plans.pipeline import STEPS, Workflow
-from .sources import bam, sinks, text
+from .sources import bam, bcf, sinks, text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -63,6 +63,11 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def read_sites(spark: SparkSession, path: str):
+    """Genotype calls of a text or binary file."""
+    return bcf.read_bcf(spark, path) if path.endswith(".bcf") else text.read_calls(spark, path)
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("karyospark").getOrCreate()
@@ -75,7 +80,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         sinks.write_ratio(ratio, a.output, a.debug, stats, a.window_size)
     elif a.command == "select-het-snp":
         p = Params(snp_min_depth=a.min_depth, snp_max_depth=a.max_depth)
-        calls = text.read_calls(spark, a.vcf)
+        calls = read_sites(spark, a.vcf)
         sinks.write_het_snps(snp.het_snps(calls, p), a.output)
         print(json.dumps(snp.het_counts(calls, p).first().asDict()))
     elif a.command == "segment":
@@ -98,7 +103,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             shutil.rmtree(a.output, ignore_errors=True)
         contigs = text.read_contigs(spark, a.dictionary).where(F.col("chr_idx") < a.no_of_autosomes)
         reads = bam.read_bam(spark, a.tumor, "tumor", contigs).unionByName(bam.read_bam(spark, a.normal, "normal", contigs))
-        got = Workflow(spark, a.output, p).run(reads, text.read_calls(spark, a.vcf), contigs, STEPS[a.step], auto=bool(a.auto), debug=a.debug > 0, report=True)
+        got = Workflow(spark, a.output, p).run(reads, read_sites(spark, a.vcf), contigs, STEPS[a.step], auto=bool(a.auto), debug=a.debug > 0, report=True)
         print(json.dumps(got.summary(), default=float))
     elif a.command == "recall-precision":
         rows = evaluate.recall_precision(text.read_truth(spark, a.truth), text.read_predicted(spark, a.predicted))

@@ -37,6 +37,32 @@ def test_pivots_solve():
     assert np.allclose(x, inverse @ b) and np.allclose(1 / (f + g - d), np.diag(inverse))
 
 
+def test_learning_equals_dense_algebra():
+    """Sparse Bayesian learning with whole matrices: steps of unit norm, their Gram matrix, and posterior variances."""
+    draw, p = np.random.default_rng(5), Params(segment_rounds=400)
+    for k in range(6):
+        y = np.concatenate([np.full(12, 0.0), np.full(9, 1.0 + k / 3), np.full(14, 0.4)]) + draw.normal(0, 0.1, 35)
+        y -= y.mean()
+        m, v = len(y), float(np.sum(0.5 * np.diff(y) ** 2) / (len(y) - 1))
+        at = np.arange(1, m)
+        alpha, rounds = np.zeros(m - 1), 0
+        weight = np.zeros(m - 1)
+        while rounds < p.segment_rounds:
+            steps = np.array([np.where(np.arange(m) < i, -np.sqrt((m - i) / (m * i)), np.sqrt(i / (m * (m - i)))) for i in at]).T
+            gram = steps.T @ steps
+            rounds += 1
+            spread = np.linalg.inv(gram / v + np.diag(alpha))
+            new = spread @ steps.T @ y / v
+            alpha = (1 + 2 * p.segment_a) / (new * new + np.maximum(np.diag(spread), 0) + 2 * p.segment_b)
+            still = np.max(np.abs(new - weight)) < p.segment_tolerance
+            weight, kept = new, alpha < p.segment_max_alpha
+            if still:
+                break
+            if kept.sum() < 0.9 * len(kept):
+                at, alpha, weight = at[kept], alpha[kept], weight[kept]
+        assert SG.learn(y, v, p).tolist() == at[alpha < p.segment_max_alpha].tolist()
+
+
 def test_elimination_equals_brute_force():
     draw = np.random.default_rng(2)
     for _ in range(20):

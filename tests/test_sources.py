@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 import struct
 
 import pytest
@@ -33,6 +34,39 @@ def test_vcf(spark, tmp_path):
     assert got == [(0, 7, "0/1", 4, 5, 6, 3), (1, 8, "1/0", 4, 5, None, None)]
 
 
+def test_bcf_equals_vcf(spark, tmp_path):
+    """The same calls as text and in binary, with missing values, phases and lengths of every kind."""
+    from karyospark.sources import bcf
+
+    header = "##fileformat=VCFv4.2\n##FILTER=<ID=PASS,Description=x>\n##contig=<ID=chr1>\n##contig=<ID=chr2>\n##contig=<ID=chrX>\n##INFO=<ID=DP,Number=1>\n##FORMAT=<ID=GT,Number=1>\n##FORMAT=<ID=DP,Number=1>\n##FORMAT=<ID=AD,Number=R>\n#CHROM\tPOS\n"
+    sites = [(0, 7, ["0/1", "0/1"], [[4, 5], [6, 3]]), (1, 8, ["1|0", "./."], [[4, 5], [None, None]]), (2, 9, ["0/1", "0/1"], [[1, 2], [3, 4]]), (0, 300, ["0|1", "1/1"], [[4, 500], [70000, 3]]), (1, 12, ["1", "0/1"], [[4], [5, 6]])]
+    lines, raw = "", b"BCF\2\2" + struct.pack("<I", len(header) + 1) + header.encode() + b"\0"
+
+    def vector(values, n, code, missing, end):
+        return struct.pack(f"<{n}{code}", *([missing if v is None else v for v in values] + [end] * (n - len(values))))
+
+    for contig, pos, gts, ads in sites:
+        told = ["." if a[0] is None else ",".join(map(str, a)) for a in ads]
+        lines += f"{('chr1', 'chr2', 'chrX')[contig]}\t{pos}\t.\tA\tC\t.\t.\t.\tGT:DP:AD\t{gts[0]}:9:{told[0]}\t{gts[1]}:9:{told[1]}\n"
+        site = struct.pack("<iiifI", contig, pos - 1, 1, 0.0, 2 << 16) + struct.pack("<I", 3 << 24 | 2) + b"\x07\x17A\x17C\x00"
+        own = b"\x11\x02\x21"  # GT: pairs of small integers
+        for g in gts:
+            alleles = [0 if a == "." else int(a) + 1 for a in re.split("[/|]", g)]
+            own += vector([a << 1 | (i > 0 and "|" in g) for i, a in enumerate(alleles)], 2, "b", -128, -127)
+        own += b"\x11\x01\x11\x09\x09"  # DP, the same string as the info
+        big = max(v or 0 for a in ads for v in a)
+        kind, code, low = (3, "i", 31) if big > 30000 else (2, "h", 15) if big > 100 else (1, "b", 7)
+        own += b"\x11\x03" + bytes([2 << 4 | kind]) + b"".join(vector(a, 2, code, -(1 << low), -(1 << low) + 1) for a in ads)
+        raw += struct.pack("<II", len(site), len(own)) + site + own
+    put(tmp_path / "v.vcf", header + lines)
+    with gzip.open(tmp_path / "v.bcf", "wb") as f:
+        f.write(raw)
+    want = text.read_calls(spark, str(tmp_path / "v.vcf"))
+    got = bcf.read_bcf(spark, str(tmp_path / "v.bcf"))
+    assert got.columns == want.columns and got.count() == 4
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_truth_and_predicted(spark, tmp_path):
     t = put(tmp_path / "t.tsv", "chr\tstart\tend\tcp\tmajor\nchr1\t1\t9\t3\t2\nchr1\t10\t19\tx\t1\nchrX\t1\t2\t3\t2\nchr2\t1\t9\t2.5\tNA\n")
     assert [(r["chr_id"], r["cp"], r["is_clonal"]) for r in text.read_truth(spark, t).orderBy("chr_id").collect()] == [(1, 3.0, True), (2, 2.5, False)]
