@@ -403,25 +403,14 @@ def sketches(docs: DataFrame, plan: Jaccard, *keep: str) -> DataFrame:
     return rows.mapInArrow(sign, ", ".join([*[f"`{c}` {t}" for c, t in rows.dtypes[:-1]], "nid bigint, sketch binary, keys array<bigint>"]))
 
 
-def candidates_of(marks: np.ndarray, plan: Jaccard, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket's sketches (n, minima): in a small bucket all within the slack.
-
-    A large one gives a spanning forest of what the estimates link, searched from a member that differs from
-    bucket to bucket, and for each member that they leave alone the best within the slack.
-    """
-    n = len(marks)
-    loose, strict = int((plan.least - SLACK) * plan.minima), int(plan.least * plan.minima)
-    if n <= SMALL:
-        a, b = np.triu_indices(n, 1)
-        near = (marks[a] == marks[b]).sum(1) >= loose
-        return a[near], b[near]
-    rest = np.roll(np.arange(n), -(first % n))
-    left, right, alone = [], [], []
+def spanning(marks: np.ndarray, order: np.ndarray, strict: int) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
+    """Edges of a spanning forest of sketches that agree in strict minima, searched in this order, and members alone."""
+    rest, left, right, alone = order, [], [], []
     while len(rest):
         start, size = int(rest[0]), 1
         queue, rest = [start], rest[1:]
         while queue and len(rest):
-            at = queue.pop()
+            at = queue.pop(0)
             near = (marks[rest] == marks[at]).sum(1) >= strict
             if near.any():
                 found = rest[near]
@@ -432,6 +421,26 @@ def candidates_of(marks: np.ndarray, plan: Jaccard, first: int) -> tuple[np.ndar
                 rest = rest[~near]
         if size == 1:
             alone.append(start)
+    return left, right, alone
+
+
+def candidates_of(marks: np.ndarray, plan: Jaccard, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one bucket's sketches (n, minima): in a small bucket all within the slack.
+
+    A large one gives two spanning forests of what the estimates link, one from the members that agree most with what the
+    bucket's sketches have in common, which is near the text that others were copied from, one from a member that
+    differs from bucket to bucket; and for each member that they leave alone the best within the slack.
+    """
+    n = len(marks)
+    loose, strict = int((plan.least - SLACK) * plan.minima), int(plan.least * plan.minima)
+    if n <= SMALL:
+        a, b = np.triu_indices(n, 1)
+        near = (marks[a] == marks[b]).sum(1) >= loose
+        return a[near], b[near]
+    common = np.array([np.bincount(marks[:, k], minlength=256).argmax() for k in range(plan.minima)], np.uint8)
+    left, right, alone = spanning(marks, np.argsort(-(marks == common).sum(1), kind="stable"), strict)
+    more = spanning(marks, np.roll(np.arange(n), -(first % n)), strict)
+    left, right = left + more[0], right + more[1]
     for at in alone:
         same = (marks == marks[at]).sum(1)
         same[at] = -1

