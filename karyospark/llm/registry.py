@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, langid, licenses, quality_model, quality_rules, secrets, simhash, token_counts
+from . import bpe, decontaminate, divergence, exact_dedup, html_text, interactions, langid, licenses, quality_model, quality_rules, secrets, simhash, token_counts
 
-MODULES = (simhash, quality_model, bpe, secrets, langid, licenses, token_counts, html_text, quality_rules, decontaminate)
+MODULES = (simhash, quality_model, bpe, secrets, langid, licenses, token_counts, html_text, quality_rules, decontaminate, exact_dedup, interactions, divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
