@@ -126,8 +126,11 @@ class Encoder:
 
     @staticmethod
     def parts(word: bytes, before: bytes) -> bool:
-        """Whether the marks after the word's part before them are tokens apart: it ends in a letter or digit, and both make no special token."""
-        return SPECIAL not in word and before.decode("utf-8", "surrogatepass")[-1].isalnum()
+        """Whether the marks after the word's part before them are tokens apart: it ends in a letter or digit, and both make no special token.
+
+        The tokenizer lower-cases first, and a capital letter may become a letter and a mark, which joins those that follow.
+        """
+        return SPECIAL not in word and before.decode("utf-8", "surrogatepass").lower()[-1].isalnum()
 
     def alone(self, words: list[bytes]) -> None:
         for a, b in balanced([len(w) for w in words], BATCH):

@@ -259,6 +259,29 @@ def test_bpe_marks_after_a_known_word():
         assert np.frombuffer(ids, "<u4").tolist() == model.encode(t, add_special_tokens=False).ids, t
 
 
+def test_bpe_of_odd_texts():
+    """20,000 drawn texts and Turkish ones, whose capital I with dot becomes a letter and a mark, as the library gives them."""
+    model, draw = reference("word_bpe_49k.json"), random.Random(11)
+    letters = list("abzAZ\u0130\u0131\u00df\u00e9\u0301\u0307\u01c5\u1e9e\u03a3\u03c3\u0149\u1f88\ufb01\u00bd\u0e33\u0915\u093f\u65e5\U0001f600\u200d\u00ad7") + list(".,!?;:'\"-_()<|>\u2019") + ["<|endoftext|>", "'s"]
+    some = ["AL\u0130.", "\u0130,", "VEL\u0130, AL\u0130!", "\u0130", "\u0130.\u0130", "\u0130'", "(\u0130)"]
+    some += ["".join(draw.choice(letters) if draw.random() < 0.85 else draw.choice(" \t\n\u00a0\u2028") for _ in range(draw.randrange(1, 14))) for _ in range(20_000)]
+    want = [x.ids for x in model.encode_batch(some, add_special_tokens=False)]
+    for part in (*([i] for i in range(7)), range(7, len(some))):
+        coder = bpe.Encoder(token_counts.vocabulary("word_bpe_49k.json"))
+        for i, (ids, _) in zip(part, coder.encode([some[i].encode() for i in part])):
+            assert np.frombuffer(ids, "<u4").tolist() == want[i], some[i]
+
+
+def test_web_tokens_take_linear_time():
+    import time
+
+    start = time.time()
+    assert not secrets.wider_spans("-eyJ" * (1 << 18)) and time.time() - start < 1
+    text = "x eyJhbGciOi12.eyJzdWIiOiIx.abc-_ -eyJeyJ-eyJaaaaaaaaaa.bbbbbbbbbb.cc.eyJaaaaaaaaaa.bbbbbbbb ghp_aaaaaaaaaaaaaaaaaaaaaa eyJshort.bbbbbbbbb xeyJaaaaaaaaaaaa.bbbbbbbbb"
+    got = [text[s:e] for s, k, e, _ in secrets.wider_spans(text) if secrets.KINDS[k] == "prefixed"]
+    assert got == ["eyJhbGciOi12.eyJzdWIiOiIx.abc-_", "eyJeyJ-eyJaaaaaaaaaa.bbbbbbbbbb.cc", "eyJaaaaaaaaaa.bbbbbbbb", "ghp_aaaaaaaaaaaaaaaaaaaaaa"]
+
+
 def test_chunks_are_reused_and_seams_repaired(monkeypatch):
     draw = random.Random(3)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(1, 9)))
