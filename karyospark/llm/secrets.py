@@ -32,7 +32,11 @@ KINDS = ("assign", "access", "hex", "key_block", "prefixed", "mixed")
 
 #: Wider candidates: private key headers, tokens with well-known prefixes, and long mixed strings.
 KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
-PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?)")
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})")
+#: Web tokens of two or three runs: a whole run before a dot is looked at once, and in it where a token may begin.
+RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{11,}(?=\.[A-Za-z0-9_-]{8})")
+BEGIN = re.compile(r"(?<![A-Za-z0-9])eyJ")
+REST = re.compile(r"\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 #: Bits a character that a mixed string must have.
 ENTROPY = 3.5
@@ -78,6 +82,17 @@ class Taken:
         return k < len(self.starts) and self.starts[k] < e
 
 
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Starts and ends of web tokens, leftmost first and apart; linear in the text."""
+    last = 0
+    if "eyJ" in text:
+        for run in RUN.finditer(text):
+            begin = BEGIN.search(text, max(run.start(), last), run.end() - 8)
+            if begin:
+                last = REST.match(text, run.end()).end()
+                yield begin.start(), last
+
+
 def wider_spans(text: str) -> list[tuple[int, int, int, str]]:
     """Candidates beyond the base kinds; a mixed string has all of digits, upper and lower case and enough entropy,
     and lies in no other candidate.
@@ -85,7 +100,10 @@ def wider_spans(text: str) -> list[tuple[int, int, int, str]]:
     found = []
     if "-----BEGIN " in text:
         found += [(m.start(), 3, m.end(), re.sub(r"\s", "", m[0])) for m in KEY_BLOCK.finditer(text)]
-    found += [(m.start(), 4, m.end(), m[0]) for m in PREFIXED.finditer(text)]
+    web = list(web_tokens(text))
+    apart = Taken(web)
+    found += [(s, 4, e, text[s:e]) for s, e in web]
+    found += [(m.start(), 4, m.end(), m[0]) for m in PREFIXED.finditer(text) if not apart.meets(m.start(), m.end())]
     sure = Taken((s, e) for s, _, e, _ in found)
     for m in MIXED.finditer(text):
         v = m[0]
