@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio_int
 from ..params import Params
+from . import selection
+from .blocks import along
 
 
 def usable_segments(segments: DataFrame, p: Params = Params()) -> DataFrame:
@@ -74,43 +76,66 @@ def slopes(acf: DataFrame) -> DataFrame:
     return rows.select("shift", F.when(good, (log("next") - log("cor")) / F.when(F.col("scale") != 0, F.col("scale"))).otherwise(F.lit(0.0)).alias("diff"))
 
 
-def median_mad(rows: DataFrame, column: str, *keys: str) -> DataFrame:
-    """Median, and median absolute deviation without any factor, of each key's values; nulls don't count."""
+def median_mad(rows: DataFrame, column: str, *keys: str, large: int = selection.LARGE) -> DataFrame:
+    """Median, and median absolute deviation without any factor, of each key's values; nulls don't count.
+
+    Groups of more than large values are solved by selection, in no single task. No keys: one row for all, of nulls
+    for an empty table.
+    """
+    few, many, sizes = selection.split(rows.where(F.col(column).isNotNull()), keys, large)
     c = F.col(column)
+    if many is not None and not keys:
+        return selection.median_mad(many, column, keys, sizes).select("median", "mad")
     if not keys:
-        mid = rows.agg(F.median(c).alias("mid"))
-        return rows.crossJoin(F.broadcast(mid)).agg(F.first("mid").alias("median"), F.median(F.abs(c - F.col("mid"))).alias("mad"))  # by one row
-    mid = rows.groupBy(*keys).agg(F.median(c).alias("mid"))
-    return rows.join(mid, list(keys)).groupBy(*keys).agg(F.first("mid").alias("median"), F.median(F.abs(c - F.col("mid"))).alias("mad"))
+        mid = few.agg(F.median(c).alias("mid"))
+        return few.crossJoin(F.broadcast(mid)).agg(F.first("mid").alias("median"), F.median(F.abs(c - F.col("mid"))).alias("mad"))  # by one row
+    mid = few.groupBy(*keys).agg(F.median(c).alias("mid"))
+    got = few.join(mid, list(keys)).groupBy(*keys).agg(F.first("mid").alias("median"), F.median(F.abs(c - F.col("mid"))).alias("mad"))
+    return got if many is None else got.unionByName(selection.median_mad(many, column, keys, sizes))
 
 
-def trimmed(rows: DataFrame, column: str, *keys: str, percent: float = 40.0) -> DataFrame:
-    """Mean and population deviation of each key's values without percent / 2 of them at each end, with their number."""
+def trimmed(rows: DataFrame, column: str, *keys: str, percent: float = 40.0, large: int = selection.LARGE) -> DataFrame:
+    """Mean and population deviation of each key's values without percent / 2 of them at each end, with their number; nulls
+    don't count. Groups of more than large values are solved by selection, in no single task.
+    """
+    few, many, sizes = selection.split(rows.where(F.col(column).isNotNull()), keys, large)
     part = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, F.col(column).cast("double").alias("v")).withColumn("i", F.row_number().over(part.orderBy(F.desc("v"))) - 1).withColumn("n", F.count("*").over(part))
+    ranked = few.select(*keys, F.col(column).cast("double").alias("v")).withColumn("i", F.row_number().over(part.orderBy(F.desc("v"))) - 1).withColumn("n", F.count("*").over(part))
     low = (F.col("n") * percent / 200).cast("bigint")
     high = (F.col("n") * (100 - percent / 2) / 100).cast("bigint") + 1
-    return ranked.where((F.col("i") >= low) & (F.col("i") < high)).groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.count("*").alias("n_used"))
+    got = ranked.where((F.col("i") >= low) & (F.col("i") < high)).groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.count("*").alias("n_used"))
+    if many is None:
+        return got
+    more = selection.trimmed(many, column, keys, sizes, percent)
+    return got.unionByName(more) if keys else more
 
 
 def keys_of(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def noise_variance(rows: DataFrame, column: str, key: str | Sequence[str], order: str) -> DataFrame:
-    """Per key the mean of half the squared steps between neighbours, null for a single row."""
-    step = F.col(column) - F.lag(column).over(Window.partitionBy(*keys_of(key)).orderBy(order))
-    return rows.withColumn("step", step).groupBy(*keys_of(key)).agg((F.try_divide(F.sum(0.5 * F.col("step") * F.col("step")), F.count("*") - 1)).alias("variance"))
+def noise_variance(rows: DataFrame, column: str, key: str | Sequence[str], order: str, block: int | None = None) -> DataFrame:
+    """Per key the mean of half the squared steps between neighbours, null for a single row; block: see blocks.along()."""
+    keys = keys_of(key)
+    each = along(rows, keys, order, 1, 0, lambda d, w: d.withColumn("step", F.col(column) - F.lag(column).over(w)), block)
+    return each.groupBy(*keys).agg((F.try_divide(F.sum(0.5 * F.col("step") * F.col("step")), F.count("*") - 1)).alias("variance"))
 
 
-def base_level(segments: DataFrame, key: str | Sequence[str], value: str = "ratio", weight: str = "n_windows") -> DataFrame:
-    """Per key the value at which half of the weight is reached, values ascending."""
+def base_level(segments: DataFrame, key: str | Sequence[str], value: str = "ratio", weight: str = "n_windows", large: int = selection.LARGE) -> DataFrame:
+    """Per key the value at which half of the weight is reached, values ascending; keys of more than large distinct values
+    are solved by selection, in no single task.
+    """
     keys = keys_of(key)
     # one row for each value, so that the order has as many rows as values and not as segments
     each = segments.groupBy(*keys, value).agg(F.sum(weight).alias("weight"))
+    few, many, _ = selection.split(each, keys, large)
     order, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
-    rows = each.withColumn("run", F.sum("weight").over(order)).withColumn("total", F.sum("weight").over(whole))
-    return rows.where(2 * F.col("run") >= F.col("total")).groupBy(*keys).agg(F.min(value).alias("base_level"))
+    rows = few.withColumn("run", F.sum("weight").over(order)).withColumn("total", F.sum("weight").over(whole))
+    got = rows.where(2 * F.col("run") >= F.col("total")).groupBy(*keys).agg(F.min(value).alias("base_level"))
+    if many is None:
+        return got
+    more = selection.weighted_median(many, value, "weight", keys).withColumnRenamed("v", "base_level")
+    return got.unionByName(more) if keys else more
 
 
 def peak_stats(segments: DataFrame, peaks: DataFrame, *more) -> DataFrame:
@@ -136,17 +161,27 @@ def folded(hist: DataFrame, first: int, period: int) -> DataFrame:
     return hist.where(F.col("ratio_int") >= first).groupBy(F.pmod(F.col("ratio_int") - first, F.lit(period)).alias("phase")).agg(F.sum("density").alias("density"))
 
 
-def window_average(rows: DataFrame, column: str, key: str | Sequence[str], order: str, width: int) -> DataFrame:
-    """Each row's value spread evenly over the rows within width, fewer at the ends, and summed where it lands (smoothed)."""
-    near = Window.partitionBy(*keys_of(key)).orderBy(order).rowsBetween(-width, width)
-    return rows.withColumn("_part", F.col(column) / F.count("*").over(near)).withColumn("smoothed", F.sum("_part").over(near)).drop("_part")
+def window_average(rows: DataFrame, column: str, key: str | Sequence[str], order: str, width: int, block: int | None = None) -> DataFrame:
+    """Each row's value spread evenly over the rows within width, fewer at the ends, and summed where it lands (smoothed);
+    block: see blocks.along().
+    """
+
+    def spread(d: DataFrame, line: WindowSpec) -> DataFrame:
+        near = line.rowsBetween(-width, width)
+        return d.withColumn("_part", F.col(column) / F.count("*").over(near)).withColumn("smoothed", F.sum("_part").over(near)).drop("_part")
+
+    return along(rows, keys_of(key), order, 2 * width, 2 * width, spread, block)
+
+
+def moving_stats(rows: DataFrame, column: str, key: str | Sequence[str], order: str, before: int, span: int, block: int | None = None) -> DataFrame:
+    """Mean and sample deviation (moving_mean, moving_stddev) of span + 1 rows from before rows back on, or from the first row;
+    block: see blocks.along().
+    """
 
+    def stats(d: DataFrame, line: WindowSpec) -> DataFrame:
+        moved, head = line.rowsBetween(-before, span - before), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        first = F.when(F.col("_i") <= span, F.col(column))
+        pick = lambda f: F.when(F.col("_i") >= before, f(column).over(moved)).otherwise(f(first).over(head))
+        return d.withColumn("moving_mean", pick(F.avg)).withColumn("moving_stddev", pick(F.stddev_samp))
 
-def moving_stats(rows: DataFrame, column: str, key: str | Sequence[str], order: str, before: int, span: int) -> DataFrame:
-    """Mean and sample deviation (moving_mean, moving_stddev) of span + 1 rows from before rows back on, or from the first row."""
-    line = Window.partitionBy(*keys_of(key)).orderBy(order)
-    moved, head = line.rowsBetween(-before, span - before), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.when(F.col("_i") <= span, F.col(column))
-    rows = rows.withColumn("_i", F.row_number().over(line) - 1)
-    pick = lambda f: F.when(F.col("_i") >= before, f(column).over(moved)).otherwise(f(first).over(head))
-    return rows.withColumn("moving_mean", pick(F.avg)).withColumn("moving_stddev", pick(F.stddev_samp)).drop("_i")
+    return along(rows, keys_of(key), order, before, max(span, 0), stats, block)

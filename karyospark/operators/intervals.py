@@ -1,4 +1,8 @@
-"""Interval joins by binning: the range condition becomes an equi-join on bins plus a residual."""
+"""Interval joins by bins of several widths: the range condition becomes an equi-join on bins plus a residual.
+
+Bins widen by a factor from level to level. An interval lies at the first level whose bins are as wide as it is long, so it
+touches two bins at most, however long it is; a point asks one bin of each level at which intervals lie.
+"""
 
 from __future__ import annotations
 
@@ -6,45 +10,107 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import int_div
+from .blocks import running_max_before
+
+#: How much wider the bins of the next level are, and what is wider than any interval.
+FACTOR, WIDEST = 16, 1 << 62
 
 
-def bins(start: Column, end: Column, width: int) -> Column:
+def bins(start: Column, end: Column, width: Column) -> Column:
     """All bins from start to end, both included; none where end lies before start."""
     a, b = int_div(start, width), int_div(end, width)
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
 
+def widths(width: int) -> list[int]:
+    """The bins' width at each level, 16 levels at most."""
+    found = [max(1, width)]
+    while found[-1] * FACTOR <= WIDEST:
+        found.append(found[-1] * FACTOR)
+    return found
+
+
+def level_of(start: Column, end: Column, width: int) -> Column:
+    """The first level whose bins are as wide as the interval is long."""
+    long = end.cast("bigint") - start.cast("bigint") + 1
+    return sum((F.when(long > w, 1).otherwise(0) for w in widths(width)[:-1]), F.lit(0))
+
+
+def width_at(level: Column, width: int) -> Column:
+    return F.element_at(F.array(*[F.lit(w).cast("bigint") for w in widths(width)]), level + 1)
+
+
+def levels(intervals: DataFrame, width: int, start: str, end: str) -> DataFrame:
+    """One row with _levels, the levels at which intervals lie, 16 at most."""
+    found = F.sort_array(F.collect_set(level_of(F.col(start), F.col(end), width)))
+    return F.broadcast(intervals.agg(F.coalesce(found, F.array().cast("array<int>")).alias("_levels")))
+
+
+def asking(points: DataFrame, intervals: DataFrame, pos: str, start: str, end: str, width: int) -> DataFrame:
+    """points once for each level at which intervals lie, with _level and the _bin they ask there."""
+    rows = points.crossJoin(levels(intervals, width, start, end)).withColumn("_level", F.explode("_levels")).drop("_levels")  # by one row
+    return rows.withColumn("_bin", int_div(F.col(pos), width_at(F.col("_level"), width)))
+
+
+def placed(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """intervals with _level and _bin, one row for each bin of their level that they touch, two at most."""
+    rows = intervals.withColumn("_level", level_of(F.col(start), F.col(end), width))
+    return rows.withColumn("_bin", F.explode(bins(F.col(start), F.col(end), width_at(F.col("_level"), width))))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str = "pos", start: str = "start", end: str = "end", width: int = 100_000, how: str = "inner") -> DataFrame:
-    """Points with the intervals that hold them (both ends included), equal in the keys.
+    """Points with the intervals that hold them (both ends included), equal in the keys. width: that of the least bins.
 
-    A point lies in one bin and an interval in each bin it touches, so a pair is found exactly once.
-    Columns other than the keys must differ in name. how: inner, or left to keep points in no interval.
+    A point lies in one bin of an interval's level, so a pair is found exactly once. Columns other than the keys
+    must differ in name. how: inner, or left to keep points in no interval.
+    """
+    names = {c: f"_{i}" for i, c in enumerate(intervals.columns)}
+    a, b = asking(points, intervals, pos, start, end, width), placed(intervals, start, end, width).withColumnsRenamed(names | {"_level": "_its", "_bin": "_at"})
+    same = [F.col(k) == F.col(names[k]) for k in keys] + [F.col("_level") == F.col("_its"), F.col("_bin") == F.col("_at")]
+    pairs = a.join(b, [*same, F.col(pos).between(F.col(names[start]), F.col(names[end]))]).select(*points.columns, *[F.col(names[c]).alias(c) for c in intervals.columns if c not in keys])
+    if how == "inner":
+        return pairs
+    # equal points lie in the same intervals, so all columns together tell which points are in none
+    found = pairs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(points.columns)]).distinct()
+    lone = points.join(found, [points[c].eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(points.columns)], "left_anti")
+    return pairs.unionByName(lone, allowMissingColumns=True)
+
+
+def apart(regions: DataFrame, keys: list[str], start: str = "start", end: str = "end", block: int | None = None) -> DataFrame:
+    """(keys, start, end) of pieces that cover what the regions do, but lie apart: of each region what lies after all before.
+
+    block: see blocks.running_max_before().
     """
-    a = points.withColumn("_bin", int_div(F.col(pos), width))
-    b = intervals.withColumn("_bin", F.explode(bins(F.col(start), F.col(end), width)))
-    on = [a[k] == b[k] for k in [*keys, "_bin"]] + [a[pos].between(b[start], b[end])]
-    joined = a.join(b, on, how)
-    return joined.select(*[a[c] for c in points.columns], *[b[c] for c in intervals.columns if c not in keys])
+    rows = running_max_before(regions.select(*keys, start, end).where(F.col(start) <= F.col(end)), end, keys, [start, end], block)
+    left = F.greatest(F.col(start), F.col("_before") + 1)
+    return rows.withColumn(start, left).where(F.col(start) <= F.col(end)).select(*keys, start, end)
 
 
 def within(points: DataFrame, regions: DataFrame, keys: list[str], pos: str = "pos", start: str = "start", end: str = "end", width: int = 100_000) -> DataFrame:
-    """Points in any of the regions, each once."""
-    a = points.withColumn("_bin", int_div(F.col(pos), width))
-    b = regions.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end")).withColumn("_bin", F.explode(bins(F.col("_start"), F.col("_end"), width)))
-    on = [a[k] == b[k] for k in [*keys, "_bin"]] + [a[pos].between(b["_start"], b["_end"])]
-    return a.join(b, on, "left_semi").drop("_bin")
+    """Points in any of the regions, each once: in one of the pieces that lie apart and cover the same positions."""
+    pieces = apart(regions.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end")), keys, "_start", "_end")
+    return interval_join(points, pieces, keys, pos, "_start", "_end", width).select(*points.columns)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 100_000) -> DataFrame:
     """Pairs of intervals that share a position, equal in the keys: keys, l_ and r_ columns, and the shared ends.
 
-    A pair counts in the bin of its first shared position only.
+    Each interval is placed at its own level, and at the higher levels of the other side; a pair meets at the level of the
+    longer one and counts in the bin of its first shared position only.
     """
-    a = left.select(*[F.col(c).alias(c if c in keys else f"l_{c}") for c in left.columns]).withColumn("_bin", F.explode(bins(F.col(f"l_{start}"), F.col(f"l_{end}"), width)))
-    b = right.select(*[F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns]).withColumn("_bin", F.explode(bins(F.col(f"r_{start}"), F.col(f"r_{end}"), width)))
+
+    def side(rows: DataFrame, other: DataFrame, mark: str) -> DataFrame:
+        s, e = f"{mark}_{start}", f"{mark}_{end}"
+        rows = rows.select(*[F.col(c).alias(c if c in keys else f"{mark}_{c}") for c in rows.columns]).withColumn(f"_{mark}", level_of(F.col(s), F.col(e), width))
+        higher = F.filter("_levels", lambda x: x > F.col(f"_{mark}"))
+        rows = rows.crossJoin(levels(other, width, start, end)).withColumn("_level", F.explode(F.concat(F.array(f"_{mark}"), higher))).drop("_levels")  # by one row
+        return rows.withColumn("_bin", F.explode(bins(F.col(s), F.col(e), width_at(F.col("_level"), width))))
+
+    a, b = side(left, right, "l"), side(right, left, "r")
     first, last = F.greatest(f"l_{start}", f"r_{start}"), F.least(f"l_{end}", f"r_{end}")
-    joined = a.join(b, [*keys, "_bin"]).where((first <= last) & (int_div(first, width) == F.col("_bin")))
-    return joined.drop("_bin").withColumn("shared_start", first).withColumn("shared_end", last)
+    joined = a.join(b, [*keys, "_level", "_bin"]).where((F.col("_level") == F.greatest("_l", "_r")) & (first <= last))
+    joined = joined.where(int_div(first, width_at(F.col("_level"), width)) == F.col("_bin"))
+    return joined.drop("_level", "_bin", "_l", "_r").withColumn("shared_start", first).withColumn("shared_end", last)
 
 
 def bucket_join(segments: DataFrame, peaks: DataFrame, bucket: str = "ratio_int", lo: str = "lo", hi: str = "hi", how: str = "inner") -> DataFrame:
@@ -59,20 +125,19 @@ def outside_peaks(segments: DataFrame, peaks: DataFrame, bucket: str = "ratio_in
     return segments.join(F.broadcast(spread), F.col(bucket) == F.col("_bucket"), "left_anti")
 
 
-def complement(segments: DataFrame, contigs: DataFrame, keys: tuple[str, ...] = ("chr_idx",)) -> DataFrame:
+def complement(segments: DataFrame, contigs: DataFrame, keys: tuple[str, ...] = ("chr_idx",), block: int | None = None) -> DataFrame:
     """The gaps (keys, start, end) that the segments leave within the contigs; segments may overlap.
 
-    Runs once through each contig's segments in order, of each sample where keys name samples too; contigs without any
-    segment are gaps as a whole.
+    A gap begins after the furthest end of all segments before, a running maximum along the contig, of each sample where
+    keys name samples too; contigs without any segment are gaps as a whole. block: see blocks.running_max_before().
     """
     ends = contigs.select("chr_idx", (F.col("length") + 1).alias("start"), (F.col("length") + 1).alias("end"))
     samples = [k for k in keys if k != "chr_idx"]
     if samples:  # every contig of every sample
         ends = segments.select(*samples).distinct().crossJoin(F.broadcast(ends))  # contigs are a fixed handful
     edges = segments.select(*keys, "start", "end").unionByName(ends)
-    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    gap_start = F.coalesce(F.max("end").over(before), F.lit(0)) + 1
-    gaps = edges.select(*keys, gap_start.alias("gap_start"), (F.col("start") - 1).alias("gap_end"))
+    gap_start = F.coalesce(F.col("_before"), F.lit(0)) + 1
+    gaps = running_max_before(edges, "end", keys, ["start", "end"], block).select(*keys, gap_start.alias("gap_start"), (F.col("start") - 1).alias("gap_end"))
     return gaps.where("gap_start <= gap_end").select(*keys, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
 
 

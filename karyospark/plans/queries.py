@@ -754,6 +754,97 @@ def simulated_ploidy(spark, d):
     return ploidy(A.regions(spark, d)).select("altered", r("ploidy", 9).alias("ploidy"))
 
 
+# ---------------------------------------------------------------- one group, one line: no task holds it
+
+#: Rows of a block where a query's whole table is one line.
+LINE_BLOCK = 1000
+ONE_LINE = f"""{SEGMENTS}, d AS (SELECT start, min(ratio) AS ratio, min(n_windows) AS n_windows FROM usable GROUP BY start)"""
+
+
+def one_line(spark, d):
+    """All usable segments in one line, one for each start."""
+    return usable(spark, d).groupBy("start").agg(F.min("ratio").alias("ratio"), F.min("n_windows").alias("n_windows")).withColumn("line", F.lit(0))
+
+
+PRICES = "SELECT l_extendedprice AS v FROM lineitem"
+
+
+@query("median_of_one_group", f"WITH p AS ({PRICES}), m AS (SELECT median(v) AS mid FROM p) SELECT {rs('any_value(mid)')} AS median, {rs('median(abs(v - mid))')} AS mad FROM p, m")
+def median_of_one_group(spark, d):
+    """Median and deviation of all line items' prices, selected by digits."""
+    return H.median_mad(A.load(spark, d, "lineitem"), "l_extendedprice", large=0).select(r("median").alias("median"), r("mad").alias("mad"))
+
+
+@query(
+    "trimmed_of_one_group",
+    f"""WITH p AS ({PRICES}), k AS (SELECT v, row_number() OVER (ORDER BY v DESC) - 1 AS i, count(*) OVER () AS n FROM p)
+SELECT {rs("avg(v)", 4)} AS mean, {rs("stddev_pop(v)", 4)} AS stddev, CAST(count(*) AS BIGINT) AS n_used FROM k WHERE i >= n * 40 // 200 AND i < (n * 80) // 100 + 1""",
+)
+def trimmed_of_one_group(spark, d):
+    """Trimmed mean and deviation of all line items' prices, between bounds that are selected by digits."""
+    return H.trimmed(A.load(spark, d, "lineitem"), "l_extendedprice", large=0).select(r("mean", 4).alias("mean"), r("stddev", 4).alias("stddev"), "n_used")
+
+
+@query(
+    "base_level_of_one_group",
+    f"""WITH p AS (SELECT l_extendedprice AS v, l_partkey % 40 + 1 AS w FROM lineitem), k AS (SELECT v, sum(w) OVER (ORDER BY v) AS run, sum(w) OVER () AS total FROM p)
+SELECT {rs("min(v)")} AS base_level FROM k WHERE 2 * run >= total""",
+)
+def base_level_of_one_group(spark, d):
+    """The price at which half of all line items' weight is reached, selected by digits."""
+    rows = A.load(spark, d, "lineitem").select(F.lit(0).alias("all"), "l_extendedprice", (F.col("l_partkey") % 40 + 1).alias("w"))
+    return H.base_level(rows, "all", "l_extendedprice", "w", large=0).select(r("base_level").alias("base_level"))
+
+
+@query("noise_along_one_line", f"WITH {ONE_LINE}, s AS (SELECT ratio - lag(ratio) OVER (ORDER BY start) AS x FROM d) SELECT {rs('sum(0.5 * x * x) / (count(*) - 1)')} AS variance FROM s")
+def noise_along_one_line(spark, d):
+    return H.noise_variance(one_line(spark, d), "ratio", "line", "start", block=LINE_BLOCK).select(r("variance").alias("variance"))
+
+
+@query("average_along_one_line", f"WITH {ONE_LINE}, p AS (SELECT start, ratio / count(*) OVER (ORDER BY start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS part FROM d) SELECT start, {rs('sum(part) OVER (ORDER BY start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)', 9)} AS smoothed FROM p")
+def average_along_one_line(spark, d):
+    return H.window_average(one_line(spark, d), "ratio", "line", "start", 3, block=LINE_BLOCK).select("start", r("smoothed", 9).alias("smoothed"))
+
+
+@query(
+    "moving_along_one_line",
+    f"""WITH {ONE_LINE}, i AS (SELECT *, row_number() OVER (ORDER BY start) - 1 AS i FROM d)
+SELECT a.start, {rs("avg(b.ratio)", 9)} AS moving_mean, {rs("stddev_samp(b.ratio)")} AS moving_stddev FROM i a, (SELECT unnest(range(0, 5)) AS k), i b WHERE b.i = greatest(a.i - 5, 0) + k GROUP BY a.start""",
+)
+def moving_along_one_line(spark, d):
+    return H.moving_stats(one_line(spark, d), "ratio", "line", "start", 5, 4, block=LINE_BLOCK).select("start", r("moving_mean", 9).alias("moving_mean"), r("moving_stddev").alias("moving_stddev"))
+
+
+@query(
+    "gaps_of_one_contig",
+    """WITH e AS (SELECT o_orderkey * 30 AS start, o_orderkey * 30 + o_custkey % 50 AS "end" FROM orders UNION ALL SELECT z, z FROM (SELECT max(o_orderkey) * 30 + 1001 AS z FROM orders)),
+g AS (SELECT coalesce(max("end") OVER (ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS a, start - 1 AS b FROM e)
+SELECT a AS start, b AS "end" FROM g WHERE a <= b""",
+)
+def gaps_of_one_contig(spark, d):
+    """Gaps between all orders as segments of one contig."""
+    x = A.load(spark, d, "orders")
+    segs = x.select(F.lit(0).alias("chr_idx"), (F.col("o_orderkey") * 30).alias("start"), (F.col("o_orderkey") * 30 + F.col("o_custkey") % 50).alias("end"))
+    contig = x.agg((F.max("o_orderkey") * 30 + 1000).alias("length")).withColumn("chr_idx", F.lit(0))
+    return I.complement(segs, contig, block=LINE_BLOCK).select("start", "end")
+
+
+MIXED_END = "o_orderkey + CASE WHEN o_orderkey % 4999 = 0 THEN pow(10, 4 + o_custkey % 5) ELSE pow(10, 1 + o_custkey % 2) END"
+
+
+@query(
+    "sites_in_mixed_lengths",
+    f"""WITH i AS (SELECT o_orderkey AS id, CAST(o_custkey % 22 AS INT) AS chr_idx, o_orderkey AS start, CAST({MIXED_END} AS BIGINT) AS "end" FROM orders),
+p AS (SELECT CAST(l_suppkey % 22 AS INT) AS chr_idx, l_orderkey AS pos, l_partkey AS part FROM lineitem)
+SELECT id, CAST(count(*) AS BIGINT) AS n_sites, CAST(sum(part) AS BIGINT) AS parts FROM p JOIN i ON p.chr_idx = i.chr_idx AND pos BETWEEN start AND "end" GROUP BY id""",
+)
+def sites_in_mixed_lengths(spark, d):
+    """Line items as sites within orders as intervals from 10 to 100,000,000 long."""
+    spans = A.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 22).cast("int").alias("chr_idx"), F.col("o_orderkey").alias("start"), F.expr(f"CAST({MIXED_END} AS BIGINT)").alias("end"))
+    sites = A.load(spark, d, "lineitem").select((F.col("l_suppkey") % 22).cast("int").alias("chr_idx"), F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("part"))
+    return I.interval_join(sites, spans, ["chr_idx"], width=16).groupBy("id").agg(F.count("*").alias("n_sites"), F.sum("part").alias("parts"))
+
+
 # ---------------------------------------------------------------- fits; no SQL
 
 
@@ -764,6 +855,18 @@ def segmentation(spark, d):
     return segment(C.normalize(A.reads(spark, d), A.read_contigs(spark), A.READ_PARAMS), p)
 
 
+@query("long_segmentation")
+def long_segmentation(spark, d):
+    """Change points of all line items in line as one contig, learnt in blocks, and exact statistics of the segments.
+
+    The level changes every 1,000 orders; the mean discount is the noise.
+    """
+    x = A.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("noise"))
+    level = F.get(F.array(*[F.lit(float(c)) for c in A.PROFILE]), ((F.col("l_orderkey") / 1000).cast("bigint") % len(A.PROFILE)).cast("int"))
+    ratio = x.select(F.lit(0).alias("chr_idx"), (F.col("l_orderkey") * W).alias("start"), (level + F.col("noise") * 4).alias("coverage_ratio"))
+    return segment(ratio, Params(window_size=W, segment_threshold=6.0, segment_min_length=20), long=0, block=LINE_BLOCK * 4, finish=LINE_BLOCK)
+
+
 @query("allele_model")
 def allele_model(spark, d):
     """Mixture fits of every segment's sites for its copy number; sites whose log odds don't vary give null."""

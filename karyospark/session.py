@@ -26,17 +26,27 @@ def ship(spark: SparkSession) -> None:
     sc._karyospark_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialises df in the folder of spark.checkpoint.dir, which all executors share and which outlives any of them.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only a local session without that setting gets a temporary one."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="karyospark-checkpoints-")
+        sc.setCheckpointDir(folder)
+    return folder
+
 
-    Only a local session without that setting gets a temporary folder.
-    """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialises df in the checkpoint folder, which outlives any executor."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="karyospark-checkpoints-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
