@@ -66,18 +66,18 @@ def refined(docs: DataFrame) -> DataFrame:
 def beside(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """rows left-joined with groups, which have one row a key and its number of rows in the column size.
 
-    Groups of more than a LARGE_PART of all rows are joined by broadcast, fewer than LARGE_PART by count. All others
-    meet by shuffle, where the rest of the rows has no key and is dealt at random, so that no task gets a large group.
+    Keys are hashes of 32 bytes. Groups of more than a LARGE_PART of all rows are joined by broadcast, fewer than LARGE_PART by count. All others
+    meet by shuffle, where the rest of the rows has a random short key that no group has, so that no task gets a large group.
     rows is read more than once and should be checkpointed; its key may be null.
     """
     total = rows.count()
     names = [c for c in groups.columns if c != key]
     large = groups.where(F.col(size) * LARGE_PART > total).select(F.col(key).alias("__key"), *[F.col(c).alias(f"__l_{c}") for c in names])
-    small = groups.where(F.col(size) * LARGE_PART <= total).select(F.col(key).alias("__key"), F.lit(0).alias("__deal"), *[F.col(c).alias(f"__s_{c}") for c in names])
+    small = groups.where(F.col(size) * LARGE_PART <= total).select(F.col(key).alias("__key"), *[F.col(c).alias(f"__s_{c}") for c in names])
     first = rows.join(F.broadcast(large), F.col(key) == F.col("__key"), "left").drop("__key")
     open_ = F.col(f"__l_{size}").isNull() & F.col(key).isNotNull()
-    first = first.withColumns({"__open": F.when(open_, F.col(key)), "__at": F.when(open_, 0).otherwise((F.rand(7) * (1 << 30)).cast("int"))})
-    both = first.join(small, (F.col("__open") == F.col("__key")) & (F.col("__at") == F.col("__deal")), "left")
+    first = first.withColumn("__open", F.when(open_, F.col(key)).otherwise(F.encode(F.rand(7).cast("string"), "UTF-8")))
+    both = first.join(small, F.col("__open") == F.col("__key"), "left")
     return both.select(*rows.columns, *[F.coalesce(f"__l_{c}", f"__s_{c}").alias(c) for c in names])
 
 
