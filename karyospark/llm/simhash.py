@@ -451,16 +451,22 @@ def candidates_of(marks: np.ndarray, plan: Jaccard, first: int) -> tuple[np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def candidates(nodes: DataFrame, plan: Jaccard) -> DataFrame:
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(u, v, m): each band key u that several nodes hold, its holder v, and how many hold it."""
+    keys = nodes.select(F.explode("keys").alias("u"), F.col("nid").alias("v"))
+    counts = checkpoint(keys.groupBy("u").agg(F.count("*").alias("m")).where("m > 1"))
+    return checkpoint(beside(keys, counts))
+
+
+def candidates(nodes: DataFrame, shared: DataFrame, plan: Jaccard) -> DataFrame:
     """Pairs (a, b) of nodes that share a band and whose sketches are close enough for the sets to be compared.
 
-    Keys are dealt without sketches first; sketches go only with the keys that several nodes hold.
+    Sketches go only with the keys that several nodes hold (shared_bands()).
     """
-    keys = nodes.select(F.explode("keys").alias("u"), F.col("nid").alias("v"))
-    counts = checkpoint(keys.groupBy("u").agg(F.count("*").alias("m")).where("m > 1"))
-    held = beside(keys, counts).groupBy(F.col("v").alias("holder")).agg(F.collect_list("u").alias("held"))  # as many as bands
+    held = shared.groupBy(F.col("v").alias("holder")).agg(F.collect_list("u").alias("held"))  # as many as bands
     rows = nodes.join(held, nodes["nid"] == held["holder"]).select(F.explode("held").alias("key"), "nid", "sketch")
-    dealt = by_pairs_of_blocks(rows, counts.select(F.col("u").alias("key"), F.col("m").alias("n"))).repartition("key").sortWithinPartitions("key")
+    counts = shared.where(F.col("m") > CHUNK).select(F.col("u").alias("key"), F.col("m").alias("n")).distinct()
+    dealt = by_pairs_of_blocks(rows, counts).repartition("key").sortWithinPartitions("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(keys, nids, marks):
@@ -494,12 +500,11 @@ def candidates(nodes: DataFrame, plan: Jaccard) -> DataFrame:
     return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
-def similar(pairs: DataFrame, signed: DataFrame, docs: DataFrame, plan: Jaccard) -> DataFrame:
-    """The pairs whose sets of shingles have the least similarity or more; sets are made of candidates' texts only.
+def sets_of(wanted: DataFrame, signed: DataFrame, docs: DataFrame, plan: Jaccard) -> DataFrame:
+    """(nid, hashes) of the wanted nodes (node): the sorted hashes of their distinct shingles, made from their texts only.
 
-    A node's copies come down to one row before anything is joined; few candidates' keys are broadcast, more are joined.
+    A node's copies come down to one row before anything is joined; few nodes' keys are broadcast, more are joined.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = signed.groupBy("nid").agg(F.min(F.struct("__key_id", "__key_text")).alias("row"))
     rows = first.join(wanted, first["nid"] == wanted["node"], "left_semi")
     rows = checkpoint(rows.select("nid", F.col("row.__key_id").alias("its_id"), F.col("row.__key_text").alias("its_text")))
@@ -512,7 +517,11 @@ def similar(pairs: DataFrame, signed: DataFrame, docs: DataFrame, plan: Jaccard)
             made = [shingle_hashes(t.as_py(), plan.width).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["nid", "hashes"])
 
-    sets = checkpoint(held.mapInArrow(collect, "nid bigint, hashes binary").dropDuplicates(["nid"]))
+    return checkpoint(held.mapInArrow(collect, "nid bigint, hashes binary").dropDuplicates(["nid"]))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, plan: Jaccard) -> DataFrame:
+    """The pairs whose sets of shingles have the least similarity or more."""
     one, two = [sets.select(F.bitwise_not("nid").alias(f"not_{c}"), F.col("hashes").alias(f"of_{c}")) for c in "ab"]
     both = pairs.join(one, F.bitwise_not("a") == one["not_a"]).join(two, F.bitwise_not("b") == two["not_b"]).select("a", "b", "of_a", "of_b")
 
@@ -528,15 +537,91 @@ def similar(pairs: DataFrame, signed: DataFrame, docs: DataFrame, plan: Jaccard)
     return both.mapInArrow(decide, "a bigint, b bigint")
 
 
+def unsettled(shared: DataFrame, tree: DataFrame) -> DataFrame:
+    """(nid, comp): the members of buckets above SMALL that verified links leave in several components, and theirs."""
+    large = shared.where(F.col("m") > SMALL)
+    named = checkpoint(large.join(tree, large["v"] == tree["node"], "left").select("u", F.col("v").alias("nid"), F.coalesce("root", "v").alias("comp")))
+    split = named.groupBy(F.col("u").alias("open")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return checkpoint(named.join(split, named["u"] == split["open"], "left_semi").select("nid", "comp").distinct())
+
+
+def meetings(members: DataFrame, sets: DataFrame, plan: Jaccard) -> DataFrame:
+    """Pairs (a, b) of members (nid, comp) of different components that can reach the least similarity, by an exact prefix filter.
+
+    Shingles are ordered from rare to frequent; those of one component alone come first and never leave their row. Of a
+    linked pair the shorter set's first ninth and the longer one's first fifth share a shingle (at 0.8). What the texts
+    of one template share is frequent and stands behind, so strangers of a template don't meet.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for nid, comp, held in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                hashes = np.frombuffer(held, np.int64)
+                rows = [hashes, np.full(len(hashes), nid), np.full(len(hashes), comp), np.full(len(hashes), len(hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["key", "nid", "comp", "size"])
+
+    tokens = sets.join(members, "nid").select("nid", "comp", "hashes").mapInArrow(unpack, "key bigint, nid bigint, comp bigint, size bigint")
+    common = tokens.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    common = checkpoint(common.select("key", "n"))
+    marked = common.select(F.bitwise_not("key").alias("not_key"), "n")  # see beside()
+    ranked = tokens.join(marked, F.bitwise_not(tokens["key"]) == marked["not_key"]).groupBy("nid", "comp", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
+    rows = ranked.select("nid", "comp", "size", (F.col("size") - F.size("own")).alias("private"), F.posexplode("own").alias("place", "token"))
+    # a little less than the bound, so that rounding never shortens a prefix
+    first = lambda share: F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1
+    rank = F.col("private") + F.col("place")
+    rows = rows.where(rank < first(plan.least)).select(F.col("token.key").alias("key"), "nid", "comp", "size", (rank < first(2 * plan.least / (1 + plan.least))).alias("early"))
+    dealt = by_pairs_of_blocks(rows, common).repartition("key").sortWithinPartitions("key")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(keys, nids, comps, sizes, early):
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            for i in np.flatnonzero(np.diff(starts) > 1):
+                s, e = starts[i], starts[i + 1]
+                node, comp, size, soon = nids[s:e], comps[s:e], sizes[s:e], early[s:e]
+                values, places, counts = np.unique(comp, return_inverse=True, return_counts=True)
+                if len(values) == 1:
+                    continue
+                for k in np.flatnonzero(places != counts.argmax()):  # members of the largest component meet the others from their side
+                    near = (comp != comp[k]) & (np.minimum(size, size[k]) >= plan.least * np.maximum(size, size[k]) - 1e-6)
+                    near &= np.where(size < size[k], soon, np.where(size > size[k], soon[k], soon & soon[k]))
+                    if near.any():
+                        a, b = np.maximum(node[near], node[k]), np.minimum(node[near], node[k])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        kept: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(k[0]) for k in kept) < (1 << 16) or kept[0][0][0] == kept[-1][0][-1]:
+                continue
+            whole = [np.concatenate(x) for x in zip(*kept)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            yield from pairs(*[x[:cut] for x in whole])
+            kept = [[x[cut:] for x in whole]]
+        if kept:
+            yield from pairs(*[np.concatenate(x) for x in zip(*kept)])
+
+    return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def jaccard_tree(docs: DataFrame, plan: Jaccard) -> tuple[DataFrame, DataFrame]:
     """The keys of every row of docs (with row_key()) and its nid, and (node, root) of linked nodes.
 
-    Rows with equal sets of shingles are one node; null and empty texts have the empty set.
+    Rows with equal sets of shingles are one node; null and empty texts have the empty set. Estimates only choose what is
+    compared first: where verified links leave a large bucket in several components, its members are searched again exactly.
     """
     signed = checkpoint(sketches(docs, plan, "__key_id", "__key_text"))
     nodes = signed.select("nid", "sketch", "keys").dropDuplicates(["nid"])
-    pairs = checkpoint(candidates(nodes, plan))
-    return signed, components(similar(pairs, signed, docs, plan))
+    shared = shared_bands(nodes)
+    pairs = checkpoint(candidates(nodes, shared, plan))
+    tree = components(similar(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), signed, docs, plan), plan))
+    members = unsettled(shared, tree)
+    if members.isEmpty():
+        return signed, tree
+    sets = sets_of(members.select(F.col("nid").alias("node")), signed, docs, plan)
+    more = checkpoint(similar(checkpoint(meetings(members, sets, plan)), sets, plan))
+    return signed, tree if more.isEmpty() else components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def near_tree(docs: DataFrame, plan: Plan, *keep: str) -> tuple[DataFrame, DataFrame]:

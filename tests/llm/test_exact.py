@@ -168,6 +168,38 @@ def test_large_buckets_keep_similar_pairs():
     assert (100, 200) in pairs and len(pairs) <= 2 * 89 + 1
 
 
+def template_corpus(n: int) -> list[str]:
+    """n pairs of texts on one template of 500 words with 71 to 75 own ones; a pair's second differs in 1 to 11 places."""
+    draw = random.Random(n)
+    shared, texts = [f"w{draw.random()}" for _ in range(500)], []
+    for i in range(n):
+        words = shared + [f"x{draw.random()}" for _ in range(71 + i % 5)]
+        texts.append(" ".join(words))
+        for at in draw.sample(range(len(words) // 6), 1 + i % 11):
+            words[6 * at] = f"y{draw.random()}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("n", [200, 350])
+def test_pairs_among_strangers_of_one_template(spark, n):
+    """Texts of one template are 0.7 to 0.8 alike; the pairs among them at 0.8 or more are all found, and no other is."""
+    texts = template_corpus(n)
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if shared >= 0.8 * (len(a) + len(sets[j]) - shared):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    expected = {root(i) for i in range(len(texts))}
+    assert len(expected) <= n
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()} == expected
+
+
 def test_quality(spark):
     got = {r["doc_id"]: r for r in registry.queries()["op2_quality"](spark, BIGGER).collect()}
     marks = dict(sql("select doc_id, quality from labels", BIGGER).fetchall())
