@@ -103,7 +103,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             shutil.rmtree(a.output, ignore_errors=True)
         contigs = text.read_contigs(spark, a.dictionary).where(F.col("chr_idx") < a.no_of_autosomes)
         reads = bam.read_bam(spark, a.tumor, "tumor", contigs).unionByName(bam.read_bam(spark, a.normal, "normal", contigs))
-        got = Workflow(spark, a.output, p).run(reads, read_sites(spark, a.vcf), contigs, STEPS[a.step], auto=bool(a.auto), debug=a.debug > 0, report=True)
+        sources = {"het_snps": [a.vcf], "normalize": [a.tumor, a.normal, a.dictionary]}
+        got = Workflow(spark, a.output, p, sources).run(reads, read_sites(spark, a.vcf), contigs, STEPS[a.step], auto=bool(a.auto), debug=a.debug > 0, report=True)
         print(json.dumps(got.summary(), default=float))
     elif a.command == "recall-precision":
         rows = evaluate.recall_precision(text.read_truth(spark, a.truth), text.read_predicted(spark, a.predicted))

@@ -1,15 +1,14 @@
-"""Writers: text at the edge, Parquet in between. Text goes to folders of part files."""
+"""Writers: text at the edge, Parquet in between. Files of each contig have names; other text goes to folders of part files."""
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
 from ..plans.frames import frames
 from ..plans.infer import Inference
+from .published import publish
 
 
 def tsv(rows: DataFrame, path: str, header: bool = True, null: str = "NA", mode: str = "overwrite", by: tuple[str, ...] = ()) -> None:
@@ -21,24 +20,25 @@ def line(columns: list[Column], sep: str) -> Column:
     return F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit("NA")) for c in columns])
 
 
-def write_lines(parts: list[tuple[DataFrame, Column, list[Column]]], path: str, by: str | None = None) -> None:
-    """Text files of parts (rows, line, order within the part), one part after the other; a folder for each value of by.
+def write_lines(parts: list[tuple[DataFrame, Column, list[Column]]], path: str, name: Column | None = None) -> None:
+    """Text of parts (rows, line, order within the part), one part after the other; name: a file of the folder for each of its values.
 
     All lines of a file are one task: headers and a contig's or a genome's rows, not reads.
     """
     rows = None
     for i, (df, text, order) in enumerate(parts):
         keys = [(c.cast("double") if k < len(order) else F.lit(0.0)).alias(f"k{k}") for k, c in enumerate([*order, *[F.lit(0)] * (2 - len(order))])]
-        one = df.select(*([by] if by else []), F.lit(i).alias("part"), *keys, text.alias("value"))
+        one = df.select(*([] if name is None else [name.alias("file")]), F.lit(i).alias("part"), *keys, text.alias("value"))
         rows = one if rows is None else rows.unionByName(one)
-    order = [*([by] if by else []), "part", "k0", "k1"]
-    rows = (rows.repartition(by) if by else rows.coalesce(1)).sortWithinPartitions(*order)
-    writer = rows.select(*([by] if by else []), "value").write.mode("overwrite").option("compression", "gzip" if by else "none")
-    (writer.partitionBy(by) if by else writer).text(path)
+    order = ["part", "k0", "k1"]
+    if name is not None:
+        publish(rows, F.col("file"), F.encode(F.concat("value", F.lit("\n")), "UTF-8"), [F.col(c) for c in order], path)
+    else:
+        rows.coalesce(1).sortWithinPartitions(*order).select("value").write.mode("overwrite").option("compression", "none").text(path)
 
 
 def write_ratio(ratio: DataFrame, path: str, debug: bool = False, stats: DataFrame | None = None, window: int = Params.window_size) -> None:
-    """Ratio rows as gzipped CSV, a folder for each contig; debug adds the raw coverages, stats the lines on each contig."""
+    """Ratio rows as chrN.ratio.wW.csv.gz for each contig; debug adds the raw coverages, stats the lines on each contig."""
     names = ["start", "coverage_ratio", *(["coverage_tumor"] if debug else []), "coverage_tumor_adj", *(["coverage_normal"] if debug else []), "coverage_normal_adj"]
     chr_id = (F.col("chr_idx") + 1).alias("chr")
     rows = ratio.select(chr_id, *names)
@@ -55,7 +55,7 @@ def write_ratio(ratio: DataFrame, path: str, debug: bool = False, stats: DataFra
         parts.append((contigs.select("chr", notes), F.col("note"), [F.col("place")]))
     parts.append((contigs.select("chr"), F.lit(",".join(names)), []))
     parts.append((rows, line([F.col(c) for c in names], ","), [F.col("start")]))
-    write_lines(parts, path, "chr")
+    write_lines(parts, path, F.concat(F.lit("chr"), F.col("chr").cast("string"), F.lit(f".ratio.w{window}.csv.gz")))
 
 
 def write_het_snps(snps: DataFrame, path: str) -> None:
@@ -118,18 +118,8 @@ def write_inference(got: Inference, folder: str) -> None:
 
 
 def write_gc_index(blocks: DataFrame, folder: str) -> None:
-    """A file of raw bytes for each sequence and window size, from gc_blocks(); blocks pass the driver one at a time."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    now, out = None, None
-    for r in blocks.orderBy("chr", "window_size", "start").toLocalIterator():
-        if (r["chr"], r["window_size"]) != now:
-            if out:
-                out.close()
-            now = (r["chr"], r["window_size"])
-            out = open(Path(folder) / f"{r['chr']}.gc{r['window_size']}.bi", "wb")
-        out.write(r["counts"])
-    if out:
-        out.close()
+    """A file NAME.gcSIZE.bi of raw bytes for each sequence and window size, from gc_blocks(); each is streamed by one task."""
+    publish(blocks, F.concat("chr", F.lit(".gc"), F.col("window_size").cast("string"), F.lit(".bi")), F.col("counts"), [F.col("start")], folder)
 
 
 RESULT = "commit_id sample_class true_purity true_ploidy est_purity est_ploidy delta_purity delta_ploidy cp_recall cp_precision mcp_recall mcp_precision period first_peak_int likelihood".split()

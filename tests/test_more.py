@@ -1,4 +1,6 @@
 import math
+import shutil
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +67,21 @@ def test_workflow_goes_on_from_a_stage(spark, tmp_path):
     first = flow.run(reads, calls, contigs)
     again = flow.run(reads.limit(0), calls.limit(0), contigs, start_from="infer")
     assert first.status == again.status and first.usable.count() == again.usable.count() > 0
+    assert flow.made == []
+    small = Workflow(spark, str(tmp_path), replace(p, segment_threshold=4.0))
+    small.run(reads, calls, contigs, start_from="infer")
+    assert small.made == ["segment"]
+    wide = Workflow(spark, str(tmp_path), replace(p, window_size=80_000))
+    wide.run(reads, calls, contigs, start_from="infer")
+    assert wide.made == ["normalize", "segment"] and wide.finished("het_snps") == flow.mark("het_snps")
+    # changed input files are seen, and so is a stage that a broken run left without its entry
+    file = tmp_path / "sites.vcf"
+    for text, made in (("a", ["het_snps"]), ("a", []), ("ab", ["het_snps"])):
+        if not file.exists() or file.read_text() != text:
+            file.write_text(text)
+        wide.sources = {"het_snps": [str(file)]}
+        wide.run(reads, calls, contigs, start_from="infer")
+        assert wide.made == made
+    shutil.rmtree(tmp_path / "ledger" / "normalize")
+    wide.run(reads, calls, contigs, start_from="infer")
+    assert wide.made == ["normalize", "segment"]

@@ -243,10 +243,13 @@ def test_the_whole_workflow_as_a_command(spark, tmp_path, capsys):
         first = capsys.readouterr().out.splitlines()[-1]
         cli.main(["run", *arguments, "--nCores", "4", "-s", "4"], spark)
         assert capsys.readouterr().out.splitlines()[-1] == first and "status" in json.loads(first)
+        notes = gzip.open(tmp_path / "out/report/ratio/chr1.ratio.w500.csv.gz", "rt").read().splitlines()[:11]
+        assert [x[0] for x in notes] == ["#"] * 10 + ["s"]  # a run that goes on later has them too
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     cli.main(["normalize", str(tmp_path / "tumor.bam"), str(tmp_path / "normal.bam"), str(tmp_path / "ref.dict"), str(tmp_path / "ratio"), "--debug"], spark)
-    one = read_gz(tmp_path / "ratio" / "chr=1").splitlines()
+    one = gzip.open(tmp_path / "ratio" / "chr1.ratio.w500.csv.gz", "rt").read().splitlines()
+    assert sorted(p.name for p in (tmp_path / "ratio").iterdir()) == ["chr1.ratio.w500.csv.gz", "chr2.ratio.w500.csv.gz"]
     assert [x.split(":")[0] for x in one[:10]] == [f"#{k}" for k in ("chr", "chromosome_len", "window_size", "no_of_windows", "no_of_fragments_tumor", "coverage_per_base_tumor", "no_of_fragments_normal", "coverage_per_base_normal", "genome-wide-coverage-mean-tumor", "genome-wide-coverage-mean-normal")]
     assert one[0] == "#chr: chr1" and one[3] == "#no_of_windows: 121" and one[10] == "start,coverage_ratio,coverage_tumor,coverage_tumor_adj,coverage_normal,coverage_normal_adj"
     starts = [int(x.split(",")[0]) for x in one[11:]]
@@ -254,6 +257,30 @@ def test_the_whole_workflow_as_a_command(spark, tmp_path, capsys):
     assert text.read_ratio(spark, str(tmp_path / "ratio/*")).where("chr_idx = 0").count() == len(starts)
 
 
+def test_published_files(spark, tmp_path):
+    """Files appear at commit only, replace those of their name, and equal rows give equal bytes; a failure leaves nothing."""
+    from pyspark.sql import functions as F
+
+    from karyospark.sources.published import publish
+
+    rows = spark.range(0, 10_000, 1, 7).withColumn("name", F.concat(F.lit("f"), F.col("id") % 5, F.when(F.col("id") % 5 < 2, ".txt.gz").otherwise(".txt")))
+    line = F.encode(F.concat(F.col("id").cast("string"), F.lit("\n")), "UTF-8")
+    held = []
+    for order in (F.col("id"), F.col("id"), -F.col("id")):
+        publish(rows, F.col("name"), line, [order], str(tmp_path))
+        assert sorted(p.name for p in tmp_path.iterdir()) == ["f0.txt.gz", "f1.txt.gz", "f2.txt", "f3.txt", "f4.txt"]
+        held.append({p.name: p.read_bytes() for p in tmp_path.iterdir()})
+    assert held[0] == held[1] != held[2] and gzip.decompress(held[0]["f1.txt.gz"]).split() == [b"%d" % i for i in range(1, 10_000, 5)]
+    assert held[2]["f3.txt"].split() == [b"%d" % i for i in range(9998, 0, -5)]
+    late = F.when(F.col("id") == 9_999, F.raise_error(F.lit("late"))).otherwise(line).cast("binary")
+    for name, value in ((F.col("name"), late), (F.concat(F.lit("../"), "name"), line)):
+        with pytest.raises(Exception):
+            publish(rows, name, value, [F.col("id")], str(tmp_path))
+        assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == held[2]
+    publish(rows.limit(0), F.col("name"), line, [], str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
 def test_stream(spark, tmp_path):
     from karyospark import adapters
     from karyospark.operators.coverage import spans, valid_fragments, window_counts
