@@ -416,6 +416,20 @@ def recall_precision(spark, d):
     return rows.select(*[r(c).alias(c) for c in ("cp_recall", "cp_precision", "mcp_recall", "mcp_precision")])
 
 
+RUNS_SQL = f"""WITH {EVALUATED},
+parts AS (SELECT (chr_id - 1) % 11 AS run, cp_sim, major_sim, NULL AS ta, NULL AS tc, NULL AS pa, NULL AS pc FROM sims
+  UNION ALL SELECT (chr_id - 1) % 11, 0, 0, CASE WHEN cp <> 2 THEN "end" - start + 1 END, CASE WHEN is_clonal THEN "end" - start + 1 END, NULL, NULL FROM truth
+  UNION ALL SELECT (chr_id - 1) % 11, 0, 0, NULL, NULL, CASE WHEN cp <> 2 THEN "end" - start + 1 END, CASE WHEN is_clonal THEN "end" - start + 1 END FROM pred)
+SELECT CAST(run AS INT) AS run, {rs("sum(cp_sim) / sum(ta)")} AS cp_recall, {rs("sum(cp_sim) / sum(pa)")} AS cp_precision, {rs("sum(major_sim) / sum(tc)")} AS mcp_recall, {rs("sum(major_sim) / sum(pc)")} AS mcp_precision
+FROM parts GROUP BY run"""
+
+
+@query("recall_precision_of_runs", RUNS_SQL)
+def recall_precision_of_runs(spark, d):
+    truth, pred = [A.copy_numbers(spark, d, k).withColumn("run", ((F.col("chr_id") - 1) % 11).cast("int")) for k in (0, 1)]
+    return E.recall_precision_of_runs(truth, pred, ("run",), 10_000).select("run", *[r(c).alias(c) for c in ("cp_recall", "cp_precision", "mcp_recall", "mcp_precision")])
+
+
 SPARSE = """sparse AS (SELECT CAST(o_custkey % 22 AS INT) AS chr_idx, o_orderkey AS start, o_orderkey + 20 + o_custkey % 30 AS "end" FROM orders)"""
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from karyospark.operators import intervals as I
-from karyospark.operators.evaluate import recall_precision
+from karyospark.operators.evaluate import recall_precision, recall_precision_of_runs
 
 
 def frame(spark, rows, names="chr_idx int, start bigint, end bigint"):
@@ -49,3 +49,22 @@ def test_evaluator(spark):
     assert got["cp_recall"] == pytest.approx(1 / 150) and got["cp_precision"] == pytest.approx(1 / 11)
     none = recall_precision(truth.limit(0), truth.limit(0)).first()
     assert list(none) == [None] * 4
+
+
+@pytest.mark.parametrize("width", [50, 1000])
+def test_runs_swept_together_equal_each_alone(spark, width):
+    """Runs with overlapping rows, nulls, repeated rows, and with one side only."""
+    draw = random.Random(width)
+    names = "run string, chr_id int, start bigint, end bigint, cp double, major double, is_clonal boolean"
+    shares = ["cp_recall", "cp_precision", "mcp_recall", "mcp_precision"]
+    some = lambda runs: [(draw.choice(runs), draw.randrange(2), s := draw.randrange(600), s + draw.randrange(150), draw.choice([1.0, 2.0, 2.3, 3.0, None]), draw.choice([1.0, 2.0, None]), draw.random() < 0.7) for _ in range(150)]
+    truth, pred = some(["a", "b", None, "t"]), some(["a", "b", None, "p"])
+    truth, pred = truth + truth[:9] + [("a", 0, None, 5, 1.0, 1.0, True)], pred + pred[:9]
+    got = {r["run"]: [r[c] for c in shares] for r in recall_precision_of_runs(frame(spark, truth, names), frame(spark, pred, names), width=width).collect()}
+    assert set(got) == {"a", "b", None, "t", "p"}
+    for run, found in got.items():
+        one, two = [frame(spark, [x for x in rows if x[0] == run and x[2] is not None], names) for rows in (truth, pred)]
+        alone = recall_precision(one, two, 100).first()
+        assert found == [None if alone[c] is None else pytest.approx(alone[c], rel=1e-9) for c in shares]
+    empty = frame(spark, [], names)
+    assert recall_precision_of_runs(empty, empty).count() == 0
