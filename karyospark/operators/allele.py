@@ -8,6 +8,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -53,10 +54,11 @@ def padded(samples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, held
 
 
-def mixtures(x: np.ndarray, held: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def mixtures(x: np.ndarray, held: np.ndarray, mu: np.ndarray, steps: list[list[tuple]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each row: weight of the curve at -mu, shared variance, convergence and log-likelihood of two normal curves at -mu and mu.
 
-    All rows are fitted at once, each until its own weight and variance stand still.
+    All rows are fitted at once, each until its own weight and variance stand still. steps, a list for each row, gets
+    (weight, variance, log-likelihood) of the row after each of its rounds.
     """
     n = held.sum(1)
     average = lambda v, h, k: np.where(h, v, 0.0).sum(1) / k
@@ -78,6 +80,9 @@ def mixtures(x: np.ndarray, held: np.ndarray, mu: np.ndarray) -> tuple[np.ndarra
             new_a = np.minimum(1.0, average(post, h, k))
             still = (np.abs((a - new_a) / a) < TOLERANCE) & (np.abs((v - new_v) / v) < TOLERANCE)
         alpha[at], var[at], done[at] = new_a, new_v, still
+        if steps is not None:
+            for i, step in zip(at.tolist(), zip(new_a.tolist(), new_v.tolist(), likelihoods(x[at], held[at], new_a, mu[at], new_v).tolist())):
+                steps[i].append(step)
         at = at[~(still | ~(new_a > 0) | ~(new_v > 0))]
     return alpha, var, done, likelihoods(x, held, alpha, mu, var)
 
@@ -93,11 +98,11 @@ def likelihoods(x: np.ndarray, held: np.ndarray, alpha: np.ndarray, mu: np.ndarr
 BLOCK = 1 << 18
 
 
-def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths: list[float], flat: str = ERROR) -> list[list[dict]]:
+def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths: list[float], flat: str = ERROR, trace: bool = False) -> list[list[dict]]:
     """For each sample all splits of its copy number into minor and major with their fits; selected has the largest likelihood.
 
     Of equal ones the smaller minor is selected. Log odds without any variance fit nothing: flat says whether that is an
-    error or gives no fits.
+    error or gives no fits. trace: each fit has its steps, as mixtures() gives them; even splits have none.
     """
     samples = [np.asarray(x, np.float64) for x in samples]
     variance = [float(x.var()) if len(x) else 0.0 for x in samples]
@@ -119,9 +124,12 @@ def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths
         alpha, var, done, logl = np.ones(len(block)), np.array([variance[i] for _, i, _, _ in block]), np.ones(len(block), bool), np.zeros(len(block))
         logl[even] = likelihoods(x[even], held[even], alpha[even], mu[even], var[even])
         if not even.all():
-            alpha[~even], var[~even], done[~even], logl[~even] = mixtures(x[~even], held[~even], mu[~even])
+            paths = [[] for _ in range(int((~even).sum()))] if trace else None
+            alpha[~even], var[~even], done[~even], logl[~even] = mixtures(x[~even], held[~even], mu[~even], paths)
         for k, (_, i, lo, hi) in enumerate(block):
             fits[i].append({"minor": lo, "major": hi, "alpha": float(alpha[k]), "mu": float(mu[k]), "var": float(var[k]), "converged": bool(done[k]), "logl": float(logl[k])})
+            if trace:
+                fits[i][-1]["steps"] = [] if even[k] else paths[int((~even[:k]).sum())]
     for own in filter(None, fits):
         own.sort(key=lambda m: m["minor"])
         best = max(range(len(own)), key=lambda i: (own[i]["logl"], -i))
@@ -161,3 +169,24 @@ def allele_models(segments: DataFrame, purity: float, flat: str = ERROR) -> Data
             yield pdf[["chr_idx", "start", "end", "cp"]].assign(models=[fits.get(i) for i in rows], major_allele_cp=pd.array(majors, "Int32"), logl=pd.array(logls, "Float64"))
 
     return rows.mapInPandas(fit, f"chr_idx int, start bigint, end bigint, cp int, models {FITS}, major_allele_cp int, logl double")
+
+
+def allele_traces(segments: DataFrame, purity: float, flat: str = ERROR) -> DataFrame:
+    """The iterations of allele_models(): a row (chr_idx, start, end, minor, major, round, alpha, var, logl) for each round,
+    from 1, of each uneven split's fit. Rows that have null results there have none here.
+    """
+    ship(segments.sparkSession)
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = (F.col("cp") >= 0) & (F.size("log_or") > 0)
+    rows = segments.where(good).select("chr_idx", "start", "end", "cp", "coverage", "log_or").repartition(n, "chr_idx", "start", "end")
+    names = ["chr_idx", "start", "end", "minor", "major", "round", "alpha", "var", "logl"]
+
+    def fit(batches):
+        for pdf in batches:
+            got = select_many(list(pdf["log_or"]), pdf["cp"].astype(int).tolist(), purity, pdf["coverage"].astype(float).tolist(), flat, trace=True)
+            for place, own in zip(pdf[names[:3]].itertuples(index=False), got):  # a segment at a time: rounds can be many
+                steps = [(*place, m["minor"], m["major"], k, *step) for m in own for k, step in enumerate(m["steps"], 1)]
+                if steps:
+                    yield pd.DataFrame(steps, columns=names)
+
+    return rows.mapInPandas(fit, "chr_idx int, start bigint, end bigint, minor int, major int, round int, alpha double, var double, logl double")

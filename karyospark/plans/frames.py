@@ -56,9 +56,9 @@ def by_contig(usable: DataFrame) -> DataFrame:
 
 
 def genome_plot(calls: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Calls and the neutral gaps between them in genome coordinates, copies on the plot's scale."""
+    """Calls and the neutral gaps between them in genome coordinates by contig and start, copies on the plot's scale."""
     rows = fill(calls.select("chr_idx", "start", "end", "cp", F.col("major_allele_cp").alias("major")), contigs)
-    return cumulative(rows, contigs).withColumn("y", plot_scale(F.col("cp"))).withColumn("y_major", plot_scale(F.col("major")))
+    return cumulative(rows, contigs).withColumn("y", plot_scale(F.col("cp"))).withColumn("y_major", plot_scale(F.col("major"))).orderBy("chr_idx", "start")
 
 
 def subclones(got: Inference) -> list[tuple[int, float, float]]:

@@ -251,3 +251,26 @@ def test_simulated_ploidy(spark):
     rows = [(0, 867_020_000, 2, 0.8), (0, 747_020_000, 2, 0.2)]
     got = simulate.simulated_ploidy(spark.createDataFrame(rows, "start bigint, end bigint, copy_number int, proportion double")).first()
     assert got["altered"] == pytest.approx(843_020_000) and got["ploidy"] == pytest.approx(2.29261029509674)
+
+
+def test_traces_are_those_of_plain_loops(spark):
+    """Every round's weight, variance and likelihood of 30 segments, each split fitted alone by its definition."""
+    draw = np.random.default_rng(5)
+    rows = [(0, i, i + 1, 2 + i % 4, 30.0, (draw.choice([-0.8, 0.8], 12 + i) + draw.normal(0, 0.4, 12 + i)).tolist()) for i in range(30)]
+    odd = [(1, 1, 2, None, 30.0, [0.1, 0.2]), (1, 2, 3, 3, 30.0, None), (1, 3, 4, -1, 30.0, [0.1, 0.2]), (1, 4, 5, 3, 30.0, [])]
+    segments = spark.createDataFrame(rows + odd, "chr_idx int, start bigint, end bigint, cp int, coverage double, log_or array<double>")
+    got = {}
+    for r in AL.allele_traces(segments, 0.7).orderBy("chr_idx", "start", "minor", "round").collect():
+        got.setdefault((r["chr_idx"], r["start"], r["minor"], r["major"]), []).append((r["alpha"], r["var"], r["logl"]))
+        assert r["round"] == len(got[r["chr_idx"], r["start"], r["minor"], r["major"]])
+    assert set(got) == {(0, i, lo, cp - lo) for _, i, _, cp, _, _ in rows for lo in range((cp + 1) // 2)}
+    normal = lambda x, m, v: np.exp(-((x - m) ** 2) / (2 * v)) / np.sqrt(2 * np.pi * v)
+    for (_, i, lo, hi), steps in got.items():
+        x, mu = np.array(rows[i][5]), AL.expected_log_odds(lo, hi, 0.7, 30.0)
+        a, v = (x.mean() - x.min()) / (x.max() - x.min()), x.var()
+        for alpha, var, logl in steps:
+            one, two = a * normal(x, -mu, v), (1 - a) * normal(x, mu, v)
+            post = one / (one + two)
+            a, v = min(1.0, post.mean()), (post * (x + mu) ** 2 + (1 - post) * (x - mu) ** 2).mean()
+            assert (alpha, var) == pytest.approx((a, v), rel=1e-6)
+            assert logl == pytest.approx(np.log(a * normal(x, -mu, v) + (1 - a) * normal(x, mu, v)).sum(), rel=1e-6)
