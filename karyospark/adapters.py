@@ -92,13 +92,18 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Order keys of a subject.
+SUBJECT_KEYS = 2_000
+
+
 def profile_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as segments of a genome of purity 0.7 whose copies go by customer, with little noise and three subjects."""
+    """Orders as segments of a genome of purity 0.7 whose copies go by customer, with little noise; a subject for each
+    SUBJECT_KEYS order keys, so that subjects grow with the table."""
     x = load(spark, sf_dir, "orders")
     copies = F.get(F.array(*[F.lit(c) for c in PROFILE]), (F.col("o_custkey") % len(PROFILE)).cast("int"))
     mean = 0.7 * sum(PROFILE) / len(PROFILE) + 0.6
     return x.select(
-        (F.col("o_custkey") % 3).alias("subject"),
+        F.floor(F.col("o_orderkey") / SUBJECT_KEYS).alias("subject"),
         (F.col("o_custkey") % SNP_CONTIGS).cast("int").alias("chr_idx"),
         F.col("o_orderkey").alias("start"),
         (F.col("o_orderkey") + 400).alias("end"),

@@ -98,14 +98,16 @@ def likelihoods(x: np.ndarray, held: np.ndarray, alpha: np.ndarray, mu: np.ndarr
 BLOCK = 1 << 18
 
 
-def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths: list[float], flat: str = ERROR, trace: bool = False) -> list[list[dict]]:
+def select_many(samples: list[np.ndarray], cps: list[int], purity: float | list[float], depths: list[float], flat: str = ERROR, trace: bool = False) -> list[list[dict]]:
     """For each sample all splits of its copy number into minor and major with their fits; selected has the largest likelihood.
+    purity: one for all, or one each.
 
     Of equal ones the smaller minor is selected. Log odds without any variance fit nothing: flat says whether that is an
     error or gives no fits. trace: each fit has its steps, as mixtures() gives them; even splits have none.
     """
     samples = [np.asarray(x, np.float64) for x in samples]
     variance = [float(x.var()) if len(x) else 0.0 for x in samples]
+    purities = [purity] * len(samples) if isinstance(purity, float) else purity
     if flat == ERROR and not all(v > 0 for v in variance):
         raise ValueError("the variance of log odds has to be above 0")
     tasks = [(len(samples[i]), i, minor, cp - minor) for i, cp in enumerate(cps) if variance[i] > 0 for minor in range(cp // 2 + 1)]
@@ -120,7 +122,7 @@ def select_many(samples: list[np.ndarray], cps: list[int], purity: float, depths
         start = stop
         x, held = padded([samples[i] for _, i, _, _ in block])
         even = np.array([lo == hi for _, _, lo, hi in block])
-        mu = np.array([0.0 if lo == hi else expected_log_odds(lo, hi, purity, depths[i]) for _, i, lo, hi in block])
+        mu = np.array([0.0 if lo == hi else expected_log_odds(lo, hi, purities[i], depths[i]) for _, i, lo, hi in block])
         alpha, var, done, logl = np.ones(len(block)), np.array([variance[i] for _, i, _, _ in block]), np.ones(len(block), bool), np.zeros(len(block))
         logl[even] = likelihoods(x[even], held[even], alpha[even], mu[even], var[even])
         if not even.all():
@@ -145,30 +147,35 @@ def select(x: np.ndarray, cp: int, purity: float, depth: float) -> list[dict]:
 FITS = "array<struct<minor:int, major:int, alpha:double, mu:double, var:double, converged:boolean, logl:double, selected:boolean>>"
 
 
-def allele_models(segments: DataFrame, purity: float, flat: str = ERROR) -> DataFrame:
+def allele_models(segments: DataFrame, purity: float | str, flat: str = ERROR, keys: tuple[str, ...] = ()) -> DataFrame:
     """Segments (chr_idx, start, end, cp, coverage, log_or) with models, major_allele_cp and logl of the selected one.
 
     Segments are fitted apart, in batches; rows with a null or negative cp, without log odds, or, unless that is an error,
-    with log odds that don't vary have null results.
+    with log odds that don't vary have null results. purity: one for all, or the column that has it. keys: further
+    columns that tell segments apart, such as the sample; they are kept.
     """
-    keep = ["chr_idx", "start", "end", "cp", "coverage", "log_or"]
+    own = [*keys, "chr_idx", "start", "end", "cp"]
+    of_row = [purity] if isinstance(purity, str) else []
     ship(segments.sparkSession)
     # fits cost time, not bytes: an explicit number of partitions isn't merged into few
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = segments.select(*keep).repartition(n, "chr_idx", "start", "end")
+    rows = segments.select(*own, *of_row, "coverage", "log_or").repartition(n, *keys, "chr_idx", "start", "end")
 
     def fit(batches):
         for pdf in batches:
             good = [i for i, (cp, x) in enumerate(zip(pdf["cp"], pdf["log_or"])) if x is not None and cp is not None and not pd.isna(cp) and cp >= 0 and len(x)]
-            got = select_many([pdf["log_or"].iloc[i] for i in good], [int(pdf["cp"].iloc[i]) for i in good], purity, [float(pdf["coverage"].iloc[i]) for i in good], flat)
+            pick = lambda c: [float(pdf[c].iloc[i]) for i in good]
+            got = select_many([pdf["log_or"].iloc[i] for i in good], [int(pdf["cp"].iloc[i]) for i in good], pick(purity) if of_row else purity, pick("coverage"), flat)
             fits = {i: own for i, own in zip(good, got) if own}
             best = {i: next(m for m in own if m["selected"]) for i, own in fits.items()}
             rows = range(len(pdf))
             majors = [max(best[i]["minor"], best[i]["major"]) if i in best else None for i in rows]
             logls = [best[i]["logl"] if i in best else None for i in rows]
-            yield pdf[["chr_idx", "start", "end", "cp"]].assign(models=[fits.get(i) for i in rows], major_allele_cp=pd.array(majors, "Int32"), logl=pd.array(logls, "Float64"))
+            yield pdf[own].assign(models=[fits.get(i) for i in rows], major_allele_cp=pd.array(majors, "Int32"), logl=pd.array(logls, "Float64"))
 
-    return rows.mapInPandas(fit, f"chr_idx int, start bigint, end bigint, cp int, models {FITS}, major_allele_cp int, logl double")
+    kinds = dict(segments.dtypes)
+    named = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    return rows.mapInPandas(fit, f"{named}chr_idx int, start bigint, end bigint, cp int, models {FITS}, major_allele_cp int, logl double")
 
 
 def allele_traces(segments: DataFrame, purity: float, flat: str = ERROR) -> DataFrame:

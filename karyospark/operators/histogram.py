@@ -32,16 +32,16 @@ def ratio_by_contig(usable: DataFrame, contigs: list[int]) -> DataFrame:
     return usable.groupBy("ratio_int").pivot("chr_idx", contigs).agg(F.sum("n_windows")).na.fill(0)
 
 
-def density(usable: DataFrame, p: Params = Params()) -> DataFrame:
-    """(ratio_int, density): each segment spreads its windows as a normal curve over two deviations to each side."""
+def density(usable: DataFrame, p: Params = Params(), *keys: str) -> DataFrame:
+    """(keys, ratio_int, density): each segment spreads its windows as a normal curve over two deviations to each side."""
     m, s = F.col("ratio") * p.ratio_scale, F.col("stddev") * p.ratio_scale
     lo = F.greatest(F.lit(0).cast("bigint"), F.floor(m - 2 * s))
     hi = F.least(F.lit(p.max_ratio_int).cast("bigint"), F.ceil(m + 2 * s))
-    rows = usable.where(F.col("ratio") <= p.max_ratio_int / p.ratio_scale).select(m.alias("m"), s.alias("s"), "n_windows", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
-    each = rows.select("m", "s", "n_windows", F.explode(F.sequence("lo", "hi")).alias("ratio_int"))
+    rows = usable.where(F.col("ratio") <= p.max_ratio_int / p.ratio_scale).select(*keys, m.alias("m"), s.alias("s"), "n_windows", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    each = rows.select(*keys, "m", "s", "n_windows", F.explode(F.sequence("lo", "hi")).alias("ratio_int"))
     away = F.col("ratio_int") - F.col("m")
     part = F.col("n_windows") * p.kde_scale / F.col("s") * F.exp(-(away * away) / (2 * F.col("s") * F.col("s")))
-    return each.groupBy("ratio_int").agg(F.sum(part).alias("density"))
+    return each.groupBy(*keys, "ratio_int").agg(F.sum(part).alias("density"))
 
 
 def autocorrelation(hist: DataFrame, p: Params = Params()) -> DataFrame:

@@ -82,7 +82,8 @@ class TableSums:
 
 
 def evaluate(candidate: Candidate, sums, curve: np.ndarray, moments, reach: int, p: Params) -> Period | None:
-    """The candidate's peaks, likelihoods, purity and ploidy; None where it has no first peak or no windows."""
+    """The candidate's peaks, likelihood of ratios, purity (-1 where it can't be told) and ploidy; None where it has no
+    first peak or no windows."""
     found = first_peak(curve, candidate.period, reach, p)
     if found is None:
         return None
@@ -99,27 +100,41 @@ def evaluate(candidate: Candidate, sums, curve: np.ndarray, moments, reach: int,
     if n <= 0:
         return None
     period.penalty_rc = -0.5 * np.log(n) * (10 * p.ratio_scale - period.first) / period.period
-    if hypothesis(period):
-        logl, n_snps = sums.likelihood(period)
-        if n_snps > p.min_peak_snps:
-            used = sum((period.copies_before + x.index) // 2 + 1 for x in peaks[: p.peaks_for_logl] if x.n_snps > p.min_peak_snps)
-            period.penalty_snp, period.n_parameters = -0.5 * used * float(np.log(n_snps)), used
-            period.logl_snp, period.n_snps = logl + period.penalty_snp, n_snps
-        else:
-            period.purity = -1.0
+    hypothesis(period)
     return period
 
 
-def best_period(cor: np.ndarray, diff: np.ndarray, curve: np.ndarray, moments, sums, p: Params, auto: bool) -> tuple[str, Period | None, list[Period]]:
-    """How the search for a period ends, the best one, and all that were evaluated."""
+def evaluated(cor: np.ndarray, diff: np.ndarray, curve: np.ndarray, moments, sums, p: Params, auto: bool) -> tuple[str, list[Period]]:
+    """The candidate periods, without the likelihood of their sites; OK, or why there is none."""
     found = candidates(cor, diff, p) if auto else candidate_by_draw_up(cor, p)
     if isinstance(found, str):
-        return found, None, []
+        return found, []
     found = found if auto else [found]
     if not found:
-        return NO_CANDIDATE, None, []
+        return NO_CANDIDATE, []
     reach = found[0].period // 4  # the first candidate's, for all of them
-    periods = [x for x in (evaluate(c, sums, curve, moments, reach, p) for c in found) if x is not None]
+    return OK, [x for x in (evaluate(c, sums, curve, moments, reach, p) for c in found) if x is not None]
+
+
+def parameters(period: Period, p: Params) -> int:
+    """How many allele models the first peaks with enough sites have."""
+    return sum((period.copies_before + x.index) // 2 + 1 for x in period.peaks[: p.peaks_for_logl] if x.n_snps > p.min_peak_snps)
+
+
+def best_period(cor: np.ndarray, diff: np.ndarray, curve: np.ndarray, moments, sums, p: Params, auto: bool) -> tuple[str, Period | None, list[Period]]:
+    """How the search for a period ends, the best one, and all that were evaluated."""
+    status, periods = evaluated(cor, diff, curve, moments, sums, p, auto)
+    if status != OK:
+        return status, None, []
+    for period in periods:
+        if period.purity > 0:
+            logl, n_snps = sums.likelihood(period)
+            if n_snps > p.min_peak_snps:
+                used = parameters(period, p)
+                period.penalty_snp, period.n_parameters = -0.5 * used * float(np.log(n_snps)), used
+                period.logl_snp, period.n_snps = logl + period.penalty_snp, n_snps
+            else:
+                period.purity = -1.0
     good = [x for x in periods if 0 < x.purity <= 1 and x.ploidy > 0 and x.logl_snp > -1e98]
     if 0 < p.force_period <= len(periods):
         good = [x for x in good if x is periods[p.force_period - 1]]

@@ -910,9 +910,9 @@ def copy_number_pipeline(spark, d):
 
 @query("cohort_calls")
 def cohort_calls(spark, d):
-    """The same for three subjects at once, each with its own orders and line items."""
+    """The same for all subjects at once, each with its own stretch of orders and line items; subjects grow with the table."""
     from ..operators.allele import NO_FIT
     from .cohort import infer_cohort
 
-    sites = snps(spark, d).withColumn("subject", F.col("pos") % 3)
+    sites = snps(spark, d).withColumn("subject", F.floor(F.col("pos") / A.SUBJECT_KEYS))
     return infer_cohort(A.profile_segments(spark, d), sites, A.snp_contigs(spark), PIPELINE_PARAMS, flat=NO_FIT)

@@ -15,8 +15,10 @@ from karyospark.operators.histogram import base_level, noise_variance
 from karyospark.operators.intervals import complement
 from karyospark.params import Params
 from karyospark.plans import simulate
-from karyospark.plans.cohort import Sample, infer_cohort
+from karyospark.plans import cohort as CO
+from karyospark.plans.cohort import infer_cohort
 from karyospark.plans.infer import infer
+from plain_sample import Sample
 
 
 def test_steps():
@@ -178,6 +180,49 @@ def test_samples_side_by_side_equal_single_runs(spark, strict, auto):
             assert {(r["period"], round(r["purity"], 9), round(r["logl"], 3)) for r in own} == {best} and calls_of(own, *CALL) == calls
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_many_subjects_equal_plain_runs(spark, monkeypatch, few):
+    """The registered query, each subject against arrays, with hypotheses broadcast and dealt over salts."""
+    from karyospark.plans import queries as Q
+
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(CO, "BROADCAST_SAMPLES", 20_000 if few else 0)
+    rows = Q.QUERIES["cohort_calls"](spark, sf).collect()
+    segs, sites = Q.A.profile_segments(spark, sf).toPandas(), Q.snps(spark, sf).toPandas()
+    assert segs["subject"].nunique() >= 6
+    fits = 0
+    for subject, part in segs.groupby("subject"):
+        own = Sample.of(part, sites[sites["pos"] // Q.A.SUBJECT_KEYS == subject], Q.PIPELINE_PARAMS, AL.NO_FIT)
+        status, best, _ = own.period(True)
+        got = [r for r in rows if r["subject"] == subject]
+        assert {r["status"] for r in got} == {status}
+        if best is None:
+            assert [(r["purity"], r["chr_idx"]) for r in got] == [(None, None)]
+            continue
+        fits += 1
+        assert {(r["period"], r["first_peak"], round(r["purity"], 9), round(r["logl"], 2)) for r in got} == {(best.period, best.first, round(best.purity, 9), round(best.logl, 2))}
+        want = [(*own.rows.loc[i, ["chr_idx", "start", "end"]], cp, major, x, clonal) for i, cp, major, x, clonal in own.calls(best, False)]
+        assert len(want) == len(got)
+        key = lambda t: tuple((v is None, round(float(v or 0), 6)) for v in t)
+        assert sorted(map(key, want)) == sorted(key([r[c] for c in CALL[:7]]) for r in got)
+    assert fits >= 5
+
+
+def test_forced_periods_and_samples_without_any(spark):
+    """Hypotheses of a made table: the forced ordinal wins where a sample has it, few sites and bad purities don't."""
+    from dataclasses import replace
+
+    told = spark.createDataFrame(
+        [("a", "ok", 1, 100, 0.5, -10.0), ("a", "ok", 2, 200, 0.6, -20.0), ("b", "ok", 1, 100, 0.5, -10.0), ("c", "ok", 1, 100, -1.0, -1.0), ("d", "no period", None, None, None, None), ("e", "ok", 1, 100, 0.5, -1.0), ("f", "ok", 1, 100, 0.5, -1.0), ("f", "ok", 2, 50, 0.5, -1.0)],
+        "subject string, search string, candidate int, period int, purity double, logl_rc double",
+    )
+    told = told.withColumns({"first_peak": F.lit(1), "copies_before": F.lit(0), "ploidy": F.lit(2.0), "n_parameters": F.lit(0), "peaks": F.lit(None).cast(CO.PEAKS)})
+    sites = spark.createDataFrame([("a", 1, -1.0, 50), ("a", 2, -1.0, 50), ("b", 1, -1.0, 50), ("c", 1, -1.0, 50), ("e", 1, -1.0, 5), ("f", 1, 0.0, 6), ("f", 2, 0.0, 6)], "subject string, candidate int, logl double, n_snps bigint")
+    for force, a in ((0, 100), (1, 100), (2, 200)):
+        got = {r["subject"]: (r["status"], r["period"]) for r in CO.best_hypotheses(told, sites, replace(Params(), force_period=force), "subject").collect()}
+        assert got == {"a": ("ok", a), "b": ("ok", 100), "c": ("no period fits", None), "d": ("no period", None), "e": ("no period fits", None), "f": ("ok", 50 if force == 2 else 100)}
+
+
 def test_tables_equal_a_plain_run(spark):
     """The registered query over whole tables, against arrays of one sample."""
     from karyospark.plans import queries as Q
