@@ -14,7 +14,7 @@ from .operators.segmentation import segment
 from .params import Config, Params
 from .plans.infer import infer
 from .plans.pipeline import STEPS, Workflow
-from .sources import bam, bcf, sinks, text
+from .sources import bam, bam_sorted, bcf, sinks, text
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("gc-index", "fasta", "output", help="GC counts of forward windows")
+    c = command("sort-reads", "reads", "output", help="reads in order of their places as a folder of BAM files with indexes")
+    c.add_argument("--files", type=int, default=None)
     c = command("normalize", "tumor", "normal", "dictionary", "output", help="coverage ratio of two BAM files")
     c.add_argument("--window-size", type=int, default=500)
     c.add_argument("--debug", action="store_true")
@@ -73,6 +75,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     spark = spark or SparkSession.builder.appName("karyospark").getOrCreate()
     if a.command == "gc-index":
         sinks.write_gc_index(gc.gc_blocks(text.read_fasta(spark, a.fasta)), a.output)
+    elif a.command == "sort-reads":
+        bam_sorted.sort_bam(spark, a.reads, a.output, a.files)
     elif a.command == "normalize":
         contigs = text.read_contigs(spark, a.dictionary)
         reads = bam.read_bam(spark, a.tumor, "tumor", contigs).unionByName(bam.read_bam(spark, a.normal, "normal", contigs))

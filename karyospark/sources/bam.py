@@ -2,7 +2,9 @@
 
 Files are split by bytes. A split begins at the first block in it and there at the first place from which on records
 follow each other, and it ends with the last record that begins in one of its blocks. Splits yield Arrow batches.
-spark.read.format("bam") gives READS without the sample; option split_bytes sets the size of splits.
+spark.read.format("bam") gives READS without the sample; option split_bytes sets the size of splits, and raw gives whole
+records instead. Filters on chr and pos read only the chunks that the index beside a file (.bam.bai or .bai) names for them,
+where there is one and spark.sql.python.filterPushdown.enabled is set, as read_bam() does.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..session import ship
+from .bai import LONGEST as WHOLE
+from .bai import Index, groups
 
 SCHEMA = "chr string, pos long, mate_pos long, insert_size long, seq_len int, mapq int, flags int"
+RAW_SCHEMA = "ref int, pos long, record binary"
 SPLIT_BYTES = 32 << 20
 #: Decompressed bytes of a batch, and records in a row that prove a record's begin.
 BATCH_BYTES = 4 << 20
@@ -46,6 +51,14 @@ class Split(InputPartition):
         self.path, self.names, self.start, self.stop, self.first = path, names, start, stop, first
 
 
+class Chunks(InputPartition):
+    """Chunks of virtual offsets that begin and end with records. stop: where the blocks end whose records are read, of a
+    chunk that is cut; found False: where in its blocks the first record begins has to be found."""
+
+    def __init__(self, path: str, names: list[str], chunks: list[tuple[int, int]], stop: int | None = None, found: bool = True):
+        self.path, self.names, self.chunks, self.stop, self.found = path, names, chunks, stop, found
+
+
 def block_size(head: bytes) -> int | None:
     """The size of the BGZF block that begins with these bytes, None if none does."""
     if len(head) < 18 or head[:4] != GZIP:
@@ -179,8 +192,15 @@ def batch_of(data: bytes, offsets: list[int], names: list[str]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([chrs, *longs, *ints], names=["chr", "pos", "mate_pos", "insert_size", "seq_len", "mapq", "flags"])
 
 
-def records(pieces: Iterator[tuple[bool, bytes]], first: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Batches of the records that begin in own pieces of (own, bytes); of others only a record's rest is taken."""
+def raw_batch(data: bytes, offsets: list[int], names: list[str]) -> pa.RecordBatch:
+    """The whole records, of unmapped reads too."""
+    found = [struct.unpack_from("<iii", data, a) for a in offsets]
+    columns = [pa.array([r for _, r, _ in found], pa.int32()), pa.array([p for _, _, p in found], pa.int64()), pa.array([data[a : a + 4 + n] for a, (n, _, _) in zip(offsets, found)], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["ref", "pos", "record"])
+
+
+def records(pieces: Iterator[tuple[bool, bytes]], first: int | None, names: list[str], make=batch_of) -> Iterator[pa.RecordBatch]:
+    """Batches, made by make, of the records that begin in own pieces of (own, bytes); of others only a record's rest is taken."""
     data, at, limit, target, more = b"", first, None, BATCH_BYTES, True
     while True:
         taken, size = [data], len(data)
@@ -208,36 +228,100 @@ def records(pieces: Iterator[tuple[bool, bytes]], first: int | None, names: list
             offsets.append(at)
             at = after
         if offsets:
-            yield batch_of(data, offsets, names)
+            yield make(data, offsets, names)
         if not more or (limit is not None and at >= limit):
             return
         data, at, limit = data[at:], 0, None if limit is None else limit - at
         target = len(data) + (BATCH_BYTES if limit is None else 1)
 
 
+def chunk_pieces(f, begin: int, end: int, stop: int | None = None) -> Iterator[tuple[bool, bytes]]:
+    """The blocks' bytes from a byte on to a virtual offset; own are blocks before stop."""
+    for at, data in blocks(f, begin):
+        last = at >= end >> 16
+        if at <= end >> 16:
+            yield stop is None or at < stop, data[: end & 0xFFFF] if last else data
+        if last:
+            return
+
+
+def parts_of(path: str, names: list[str], chunks: list[tuple[int, int]], most: int) -> list[Chunks]:
+    """A group of chunks as one part, or its only chunk cut where it has more bytes."""
+    (a, b), first = chunks[0], chunks[0][0] >> 16
+    if len(chunks) > 1 or (b >> 16) - first < 2 * most:
+        return [Chunks(path, names, chunks)]
+    edges = [*range(first, b >> 16, most), (b >> 16) + 1]
+    return [Chunks(path, names, [(x << 16 if i else a, b)], y, not i) for i, (x, y) in enumerate(zip(edges, edges[1:]))]
+
+
+def index_beside(path: str) -> Index | None:
+    """The file's index; None if there is none, or if the file is newer, as one that was written again is."""
+    for name in (path + ".bai", os.path.splitext(path)[0] + ".bai"):
+        if os.path.exists(name) and os.path.getmtime(name) >= os.path.getmtime(path):
+            with open(name, "rb") as f:
+                return Index.from_bytes(f.read())
+    return None
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = sorted(glob.glob(options["path"]))
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
+        self.raw = options.get("raw", "false").lower() == "true"
+        self.chrs: set[str] | None = None
+        self.start, self.end = 0, WHOLE
         if not self.paths:
             raise FileNotFoundError(options["path"])
 
-    def partitions(self) -> list[InputPartition]:
-        return [s for p in self.paths for s in splits_of(p, self.split_bytes)]
+    def pushFilters(self, filters: list[Filter]) -> list[Filter]:
+        """Narrows what is read. Chunks hold other reads too, so Spark applies all filters again."""
+        for x in filters:
+            if getattr(x, "attribute", None) == ("chr",) and isinstance(x, (EqualTo, In)):
+                own = {x.value} if isinstance(x, EqualTo) else set(x.value)
+                self.chrs = own if self.chrs is None else self.chrs & own
+            elif getattr(x, "attribute", None) == ("pos",) and isinstance(x, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and x.value is not None:
+                if isinstance(x, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.start = max(self.start, x.value + isinstance(x, GreaterThan))
+                if isinstance(x, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.end = min(self.end, x.value + (not isinstance(x, LessThan)))
+        return filters
+
+    def partitions_of(self, path: str) -> list[InputPartition]:
+        splits = splits_of(path, self.split_bytes)
+        narrow = not self.raw and (self.chrs is not None or self.start > 0 or self.end < WHOLE)
+        index = index_beside(path) if narrow and splits and splits[0].stop is not None else None
+        if index is None or self.end <= 0:  # a mapped read without a place has pos -1
+            return splits
+        names = splits[0].names
+        refs = [i for i, name in enumerate(names) if self.chrs is None or name in self.chrs]
+        found = groups(index.chunks(refs, self.start, self.end), self.split_bytes)
+        return [x for own in found for x in parts_of(path, names, own, self.split_bytes)]
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[InputPartition]:
+        # Spark asks for one partition at least
+        return [s for p in self.paths for s in self.partitions_of(p)] or [Chunks(self.paths[0], [], [])]
+
+    def read(self, partition: Split | Chunks) -> Iterator[pa.RecordBatch]:
+        make = raw_batch if self.raw else batch_of
+        if isinstance(partition, Chunks):
+            with open(partition.path, "rb") as f:
+                for begin, end in partition.chunks:
+                    at = begin >> 16 if partition.found else next_block(f, begin >> 16, partition.stop)
+                    if at is not None:
+                        yield from records(chunk_pieces(f, at, end, partition.stop), begin & 0xFFFF if partition.found else None, partition.names, make)
+            return
         if partition.stop is None:
             with gzip.open(partition.path, "rb") as g:
                 try:
                     names = header(g.read)
                 except ValueError as e:
                     raise ValueError(f"{partition.path}: {e}") from None
-                yield from records(((True, x) for x in iter(lambda: g.read(1 << 20), b"")), 0, names)
+                yield from records(((True, x) for x in iter(lambda: g.read(1 << 20), b"")), 0, names, make)
             return
         with open(partition.path, "rb") as f:
             at = partition.start if partition.first is not None else next_block(f, partition.start, partition.stop)
             if at is not None:
-                yield from records(((a < partition.stop, x) for a, x in blocks(f, at)), partition.first, partition.names)
+                yield from records(((a < partition.stop, x) for a, x in blocks(f, at)), partition.first, partition.names, make)
 
 
 class BamSource(DataSource):
@@ -246,15 +330,30 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return SCHEMA
+        return RAW_SCHEMA if self.options.get("raw", "false").lower() == "true" else SCHEMA
 
     def reader(self, schema) -> BamReader:
         return BamReader(self.options)
 
 
-def read_bam(spark: SparkSession, path: str, sample: str, contigs: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """READS of a sample on the known contigs; unmapped reads go."""
+def scan(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, raw: bool = False) -> DataFrame:
+    """The source as it is; filters on chr and pos reach it."""
     ship(spark)
     spark.dataSource.register(BamSource)
-    rows = spark.read.format("bam").option("split_bytes", split_bytes).load(path).join(F.broadcast(contigs.select("chr", "chr_idx")), "chr")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("bam").option("split_bytes", split_bytes).option("raw", str(raw).lower()).load(path)
+
+
+def read_bam(spark: SparkSession, path: str, sample: str, contigs: DataFrame, split_bytes: int = SPLIT_BYTES, chrs: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """READS of a sample on the known contigs; unmapped reads go. chrs, start and end keep reads on these contigs that begin
+    from start to end, both included and from 0; an index beside the file spares reading the rest.
+    """
+    rows = scan(spark, path, split_bytes)
+    if chrs is not None:
+        rows = rows.where(F.col("chr").isin(chrs))
+    if start is not None:
+        rows = rows.where(F.col("pos") >= start)
+    if end is not None:
+        rows = rows.where(F.col("pos") <= end)
+    rows = rows.join(F.broadcast(contigs.select("chr", "chr_idx")), "chr")
     return rows.select(F.lit(sample).alias("sample"), "chr_idx", "pos", "mate_pos", "insert_size", "seq_len", "mapq", "flags")

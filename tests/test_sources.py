@@ -8,7 +8,7 @@ import pytest
 from karyospark import cli
 from karyospark.params import Config
 from karyospark.plans import frames, simulate
-from karyospark.sources import bam, sinks, text
+from karyospark.sources import bai, bam, bam_sorted, sinks, text
 
 
 def put(path, content):
@@ -129,6 +129,146 @@ def test_splits_of_a_bam_file_equal_the_whole(spark, tmp_path, block):
         assert sorted(map(tuple, rows.collect())) == whole
 
 
+def records_of(path):
+    """All records of a BAM file, by a plain reader."""
+    data = gzip.open(path).read()
+    at = 8 + struct.unpack_from("<i", data, 4)[0]
+    n, at = struct.unpack_from("<i", data, at)[0], at + 4
+    for _ in range(n):
+        at += 8 + struct.unpack_from("<i", data, at)[0]
+    out = []
+    while at < len(data):
+        size = struct.unpack_from("<i", data, at)[0] + 4
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
+def genome_bam(path, seed, n=6000):
+    """Reads of three contigs, long deletions and reads without a place or a contig among them; small blocks."""
+    import random
+
+    draw = random.Random(seed)
+    out = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 3)
+    for name in ("chr1", "chr2", "chrEmpty"):
+        out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", 1 << 28)
+    for i in range(n):
+        ref = draw.choice([0, 0, 0, 1, 1, -1])
+        pos = -1 if ref < 0 or draw.random() < 0.01 else draw.choice([draw.randrange(1 << 28), draw.randrange(40_000), 16_384, 1 << 20])
+        ops = [(50, 0), (draw.choice([5, 5, 300_000]), 2), (7, 4), (43, 0)] if draw.random() < 0.3 else [(100, 0)] if draw.random() < 0.9 else []
+        name = f"r{i}".encode() + b"\0"
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 60, 0, len(ops), 67, 100, ref, pos, 300) + name + b"".join(struct.pack("<I", n << 4 | op) for n, op in ops) + bytes(150)
+        out += struct.pack("<i", len(body)) + body
+    path.write_bytes(bgzf(out, 3000))
+
+
+def test_reads_are_sorted_into_files_with_indexes(spark, tmp_path, monkeypatch):
+    """The same records in order, and filters that read only what the indexes name."""
+    genome_bam(tmp_path / "a.bam", 1)
+    genome_bam(tmp_path / "b.bam", 2, 500)
+    monkeypatch.setattr(bam_sorted, "FULL", 3000)  # not in tasks, which have their own
+    target = tmp_path / "sorted"
+    cli.main(["sort-reads", str(tmp_path / "*.bam"), str(target), "--files", "5"], spark)
+    files = sorted(target.glob("*.bam"))
+    assert 3 <= len(files) <= 5 and not list(target.glob(".*")) and all((target / (f.name + ".bai")).exists() for f in files)
+    got = [r for f in files for r in records_of(f)]
+    place = lambda r: (lambda ref, pos: (ref < 0, ref, pos))(*struct.unpack_from("<ii", r, 4))
+    want = records_of(tmp_path / "a.bam") + records_of(tmp_path / "b.bam")
+    assert sorted(got) == sorted(want) and [place(r) for r in got] == sorted(map(place, want))
+    assert all(bam_sorted.head_of(f)[0].startswith(b"@HD\tVN:1.6\tSO:coordinate\n") for f in files)
+    with pytest.raises(FileExistsError):
+        bam_sorted.sort_bam(spark, str(tmp_path / "a.bam"), str(target))
+    with pytest.raises(FileNotFoundError):
+        bam_sorted.sort_bam(spark, str(tmp_path / "none.bam"), str(target))
+
+    whole = [(r["chr"], r["pos"]) for r in bam.scan(spark, str(tmp_path / "*.bam")).collect()]
+    path = str(target / "*.bam")
+    for where, keep in (
+        ("chr = 'chr2'", lambda c, p: c == "chr2"),
+        ("chr = 'chr1' and pos between 16384 and 16384", lambda c, p: c == "chr1" and p == 16384),
+        ("chr in ('chr1', 'chrEmpty') and pos > 30000 and pos < 900000", lambda c, p: c == "chr1" and 30000 < p < 900000),
+        ("pos >= 200000000", lambda c, p: p >= 200_000_000),
+        ("pos < 20", lambda c, p: p < 20),
+        ("pos = -1", lambda c, p: p == -1),
+        ("chr = 'chrEmpty'", lambda c, p: False),
+        ("chr = 'other' or pos = 1048576", lambda c, p: p == 1 << 20),
+        ("chr = 'chr1' and chr <> 'chr2' and chr is not null and pos <= 1048576 and mapq >= 0", lambda c, p: c == "chr1" and p <= 1 << 20),
+    ):
+        assert sorted((r["chr"], r["pos"]) for r in bam.scan(spark, path).where(where).collect()) == sorted(x for x in whole if keep(*x)), where
+    tasks = lambda where: bam.scan(spark, path, 4000).where(where).rdd.getNumPartitions()
+    assert tasks("chr = 'chrEmpty'") == 1 < tasks("chr = 'chr2'") < tasks("mapq >= 0")
+    contigs = spark.createDataFrame([("chr1", 0, 1 << 28)], "chr string, chr_idx int, length bigint")
+    assert bam.read_bam(spark, path, "tumor", contigs, chrs=["chr1", "chr2"], start=10, end=30000).count() == sum(c == "chr1" and 10 <= p <= 30000 for c, p in whole)
+
+
+@pytest.mark.parametrize("split", [1 << 30, 20_000, 1500])
+def test_a_region_reads_only_its_blocks(tmp_path, monkeypatch, split):
+    """Bytes counted: a contig's chunks are its share of the file, a place's some blocks; every chunk is read once."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThanOrEqual
+
+    genome_bam(tmp_path / "a.bam", 3)
+    text_, refs = bam_sorted.head_of(tmp_path / "a.bam")
+    monkeypatch.setattr(bam_sorted, "FULL", 3000)
+    found = sorted(records_of(tmp_path / "a.bam"), key=lambda r: (r[7] > 127, *struct.unpack_from("<ii", r, 4)))
+    index = bai.Index(3)
+    with open(tmp_path / "s.bam", "wb") as f:
+        out = bam_sorted.Blocks(f)
+        out.write(b"BAM\1" + struct.pack("<i", len(text_)) + text_ + refs)
+        for r in found:
+            (ref, pos), begin = struct.unpack_from("<ii", r, 4), out.tell()
+            out.write(r)
+            index.add(ref, pos, pos + bam_sorted.span(r), begin, out.tell())
+        out.close()
+    size, read = (tmp_path / "s.bam").stat().st_size, []
+    kept = bam.blocks
+
+    def counted(f, at):
+        for begin, data in kept(f, at):
+            read.append(begin)
+            yield begin, data
+
+    monkeypatch.setattr(bam, "blocks", counted)
+
+    def ask(*filters):
+        reader = bam.BamReader({"path": str(tmp_path / "s.bam"), "split_bytes": str(split)})
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        parts = reader.partitions()
+        read.clear()
+        rows = [(c, p) for x in parts for b in reader.read(x) for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        return len(parts), sorted(rows), len(read)
+
+    n, whole, all_blocks = ask()
+    (tmp_path / "s.bam.bai").write_bytes(index.to_bytes())
+    assert vars(bai.Index.from_bytes(index.to_bytes())) == vars(index) and index.unplaced == sum(struct.unpack_from("<i", r, 4)[0] < 0 for r in found)
+    n, rows, read_blocks = ask(EqualTo(("chr",), "chr2"))
+    assert rows == [x for x in whole if x[0] == "chr2"] and read_blocks < (0.5 if split > 2000 else 2) * all_blocks and (n > 1) == (split < size)
+    _, rows, read_blocks = ask(EqualTo(("chr",), "chr1"), GreaterThanOrEqual(("pos",), 100_000_000), LessThanOrEqual(("pos",), 110_000_000))
+    inside = lambda x: x[0] == "chr1" and 100_000_000 <= x[1] <= 110_000_000
+    assert [x for x in rows if inside(x)] == [x for x in whole if inside(x)] and len(rows) < 4 * sum(map(inside, whole)) and read_blocks < 0.2 * all_blocks
+    assert ask(EqualTo(("chr",), "none"))[1:] == ([], 0)
+    # reads at one place are one chunk of many blocks, cut where it is longer than a split
+    n, rows, _ = ask(EqualTo(("chr",), "chr1"), EqualTo(("pos",), 16384))
+    assert [x for x in rows if x[1] == 16384] == [x for x in whole if x == ("chr1", 16384)] and (split > 2000 or n > 3)
+
+
+def test_bins_of_the_index():
+    """Every read lies in a bin that a question over it asks."""
+    import random
+
+    draw = random.Random(4)
+    for _ in range(3000):
+        start = draw.randrange(bai.LONGEST - 1)
+        end = min(bai.LONGEST, start + draw.choice([1, 100, 1 << 15, 1 << 22]))
+        number = bai.bin_of(start, end)
+        assert number < bai.LAST_BIN and bai.is_in(number, start, end) and bai.is_in(number, start, start + 1) and bai.is_in(number, max(0, end - 1), end)
+    assert (bai.bin_of(0, 1), bai.bin_of(16384, 16385), bai.bin_of(16383, 16385), bai.bin_of(0, bai.LONGEST)) == (4681, 4682, 585, 0)
+    at = lambda *x: [(a << 16, b << 16) for a, b in x]
+    # chunks that overlap are read once, long ones are groups of their own
+    assert bai.groups(at((0, 5), (3, 8), (4, 6), (8, 9), (20, 90), (90, 91)), 10) == [at((0, 9)), at((20, 90)), at((90, 91))]
+    with pytest.raises(ValueError):
+        bai.Index(1).add(0, bai.LONGEST, bai.LONGEST + 1, 0, 1)
+
+
 def test_fasta_of_many_splits(spark, tmp_path):
     import random
 
