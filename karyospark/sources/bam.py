@@ -14,7 +14,8 @@ import gzip
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,21 @@ def plausible(data: bytes, at: int, n_names: int) -> int | None:
     return at + 4 + size if name_end >= len(data) or data[name_end] == 0 else None
 
 
-def first_record(data: bytes, n_names: int, final: bool) -> int | None:
+@dataclass(frozen=True)
+class Layout:
+    """How records tell their length: in so many first bytes (head), after which the next one's place is known (after); and
+    plausible(data, at, known) as above, which looks at so many bytes (checked)."""
+
+    head: int
+    after: Callable[[bytes, int], int]
+    checked: int
+    plausible: Callable
+
+
+BAM = Layout(4, lambda data, at: at + 4 + struct.unpack_from("<i", data, at)[0], FIXED.itemsize, lambda data, at, names: plausible(data, at, len(names)))
+
+
+def first_record(data: bytes, known, final: bool, layout: Layout = BAM) -> int | None:
     """The first place from which on IN_A_ROW records follow each other, or fewer up to the end of a final piece.
 
     -1 where data that isn't final is too short to tell, None where there is none.
@@ -126,11 +141,11 @@ def first_record(data: bytes, n_names: int, final: bool) -> int | None:
         while k is not None and n < IN_A_ROW:
             if final and n and k == len(data):
                 return at
-            if k + FIXED.itemsize > len(data):
+            if k + layout.checked > len(data):
                 if not final:
                     return -1
                 break
-            k, n = plausible(data, k, n_names), n + 1
+            k, n = layout.plausible(data, k, known), n + 1
         else:
             if k is not None:
                 return at
@@ -199,8 +214,8 @@ def raw_batch(data: bytes, offsets: list[int], names: list[str]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(columns, names=["ref", "pos", "record"])
 
 
-def records(pieces: Iterator[tuple[bool, bytes]], first: int | None, names: list[str], make=batch_of) -> Iterator[pa.RecordBatch]:
-    """Batches, made by make, of the records that begin in own pieces of (own, bytes); of others only a record's rest is taken."""
+def records(pieces: Iterator[tuple[bool, bytes]], first: int | None, known, make=batch_of, layout: Layout = BAM) -> Iterator[pa.RecordBatch]:
+    """Batches, by make(data, offsets, known), of the records that begin in own pieces of (own, bytes); of others only a record's rest is taken."""
     data, at, limit, target, more = b"", first, None, BATCH_BYTES, True
     while True:
         taken, size = [data], len(data)
@@ -214,21 +229,21 @@ def records(pieces: Iterator[tuple[bool, bytes]], first: int | None, names: list
                 size += len(piece)
         data = b"".join(taken)
         if at is None:
-            at = first_record(data, len(names), not more)
+            at = first_record(data, known, not more, layout)
         if at == -1:
             at, target = None, len(data) + (BATCH_BYTES if limit is None else 1)
             continue
         if at is None:
             return
         offsets, end = [], len(data) if limit is None else limit
-        while at < end and at + 4 <= len(data):
-            after = at + 4 + struct.unpack_from("<i", data, at)[0]
+        while at < end and at + layout.head <= len(data):
+            after = layout.after(data, at)
             if after > len(data):
                 break
             offsets.append(at)
             at = after
         if offsets:
-            yield make(data, offsets, names)
+            yield make(data, offsets, known)
         if not more or (limit is not None and at >= limit):
             return
         data, at, limit = data[at:], 0, None if limit is None else limit - at

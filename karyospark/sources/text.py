@@ -1,4 +1,4 @@
-"""Readers of the text formats; gz is read as it is. Schemas are fixed, columns go by position."""
+"""Readers of the text formats; gz is read as it is, block-compressed tables in splits. Schemas are fixed, columns go by position."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import AUTOSOMES, drop_neutral
 from ..operators.intervals import with_offsets
 from ..session import checkpoint, ship
+from .blocked import read_lines
 
 # Names of autosomes in sequence dictionaries, and where contig numbers stand in names.
 AUTOSOME_NAME = r"^chr\d+$"
@@ -19,7 +20,7 @@ NUMBER = r"^(?:chr)?(\d+)$"
 
 def fields(spark: SparkSession, path: str, names: list[str], sep: str = "\t") -> DataFrame:
     """The first fields of each line that is neither empty nor a comment, as strings; missing ones are null."""
-    lines = spark.read.text(path).where("trim(value) <> '' and not startswith(value, '#')")
+    lines = read_lines(spark, path).where("trim(value) <> '' and not startswith(value, '#')")
     parts = F.split("value", sep)
     return lines.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])
 

@@ -8,7 +8,7 @@ import pytest
 from karyospark import cli
 from karyospark.params import Config
 from karyospark.plans import frames, simulate
-from karyospark.sources import bai, bam, bam_sorted, sinks, text
+from karyospark.sources import bai, bam, bam_sorted, blocked, sinks, text
 
 
 def put(path, content):
@@ -269,6 +269,53 @@ def test_bins_of_the_index():
         bai.Index(1).add(0, bai.LONGEST, bai.LONGEST + 1, 0, 1)
 
 
+@pytest.mark.parametrize("block", [40, 700, 20_000])
+def test_lines_of_blocked_text_are_read_once(tmp_path, block):
+    """Lines that blocks and splits cut anywhere, empty and very long ones, with and without an end."""
+    import random
+
+    draw = random.Random(block)
+    for end in ("", "\n", "\n\n"):
+        lines = ["x" * draw.choice([0, 1, 30, 30, 200, 3000 if draw.random() < 0.05 else 9]) + "é" * draw.randrange(3) + draw.choice(["", "", "\r"]) for _ in range(900)] + ["last"]
+        (tmp_path / "a.gz").write_bytes(bgzf(("\n".join(lines) + end).encode(), block))
+        want = [x.removesuffix("\r") for x in lines] + ([""] if end == "\n\n" else [])
+        for split in (1 << 30, 5000, 1300, 300, 90):
+            reader = blocked.BlockedReader({"path": str(tmp_path / "a.gz"), "split_bytes": str(split)})
+            assert [x for p in reader.partitions() for b in reader.read(p) for x in b.column(0).to_pylist()] == want, (end, split)
+    (tmp_path / "a.gz").write_bytes(bgzf(b"", 10))
+    assert not [b for p in reader.partitions() for b in reader.read(p)]
+
+
+def test_sites_in_blocks_equal_the_plain_file(spark, tmp_path):
+    """A .vcf.gz in blocks is many tasks' work, and a BCF file in splits has the rows of one that is read as a whole."""
+    from karyospark.sources import bcf
+
+    row = "chr{}\t{}\t.\tA\tC\t.\tPASS\t.\tGT:DP:AD\t0/1:9:{},5\t0/1:9:6,{}\n"
+    body = "##x\n#CHROM\n" + "".join(row.format(i % 3 + 1, i, i % 50, i % 7) for i in range(4000))
+    put(tmp_path / "plain.vcf", body)
+    (tmp_path / "b.vcf.gz").write_bytes(bgzf(body.encode(), 5000))
+    want = sorted(map(tuple, text.read_calls(spark, str(tmp_path / "plain.vcf")).collect()))
+    assert sorted(map(tuple, text.read_calls(spark, str(tmp_path / "b.vcf.gz")).collect())) == want and len(want) == 4000
+    lines = blocked.read_lines(spark, str(tmp_path / "b.vcf.gz"), 1500)
+    assert lines.rdd.getNumPartitions() >= 16 and sorted(r[0] for r in lines.collect()) == sorted(body.splitlines())
+
+    head = "##contig=<ID=chr1>\n##contig=<ID=chr2>\n##contig=<ID=chr3>\n##FORMAT=<ID=GT,Number=1>\n##FORMAT=<ID=AD,Number=R>\n#CHROM\n"
+    raw = b"BCF\2\2" + struct.pack("<I", len(head) + 1) + head.encode() + b"\0"
+    gt, ad = (1, 2)  # after PASS
+    for i in range(4000):
+        site = struct.pack("<iiifI", i % 3, i - 1, 1, 0.0, 2 << 16) + struct.pack("<I", 2 << 24 | 2) + b"\x07\x17A\x17C\x00"
+        own = bytes([0x11, gt, 0x21, 2, 4, 2, 4]) + bytes([0x11, ad, 0x21, i % 50, 5, 6, i % 7])
+        raw += struct.pack("<II", len(site), len(own)) + site + own
+    for block in (100, 3000):
+        (tmp_path / "b.bcf").write_bytes(bgzf(raw, block))
+        for split in (1 << 30, 4000, 900):
+            rows = bcf.read_bcf(spark, str(tmp_path / "b.bcf"), split)
+            assert sorted(map(tuple, rows.collect())) == want, (block, split)
+            assert (rows.rdd.getNumPartitions() >= 5) == (split < 1 << 20)
+    (tmp_path / "b.bcf").write_bytes(bgzf(raw[: 9 + len(head) + 1], 3000))
+    assert bcf.read_bcf(spark, str(tmp_path / "b.bcf")).count() == 0
+
+
 def test_fasta_of_many_splits(spark, tmp_path):
     import random
 
