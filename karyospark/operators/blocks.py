@@ -91,7 +91,7 @@ def running_max_before(rows: DataFrame, column: str, keys: Sequence[str], order:
     cut = framed(numbered(rows, keys, order, block), block, 0, 0).drop("_own")
     most = cut.groupBy(*keys, "_b").agg(F.max(column).alias("_most"))
     line = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    starts = checkpoint(most.select(*keys, "_b", F.max("_most").over(line).alias("_start")))
+    starts = checkpoint(most.select(*keys, "_b", F.max("_most").over(line).alias("_before_block")))
     within = Window.partitionBy(*keys, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    got = dealt_join(cut, starts, [*keys, "_b"], "_i").withColumn("_before", F.greatest(F.max(column).over(within), F.col("_start")))
-    return got.drop("_i", "_b", "_start")
+    got = dealt_join(cut, starts, [*keys, "_b"], "_i").withColumn("_before", F.greatest(F.max(column).over(within), F.col("_before_block")))
+    return got.drop("_i", "_b", "_before_block")

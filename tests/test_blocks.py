@@ -130,3 +130,12 @@ def test_overlaps_of_all_lengths(spark, mixed):
     for width in (10, 100_000):
         got = I.overlap_join(a, b, ["chr_idx"], width=width).collect()
         assert sorted((r["l_s"], r["r_s"], r["shared_start"], r["shared_end"]) for r in got) == want
+
+
+def test_points_within_more_regions_than_a_block(spark, monkeypatch):
+    draw = random.Random(8)
+    points = [(draw.randrange(3), draw.randrange(4_000)) for _ in range(400)]
+    regions = [(draw.randrange(2), s, s + draw.choice([5, 60])) for s in draw.sample(range(4_000), 100)]
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    got = I.within(spark.createDataFrame(points, "chr_idx int, pos bigint"), spark.createDataFrame(regions, "chr_idx int, start bigint, end bigint"), ["chr_idx"], width=16)
+    assert told(got) == sorted(repr(p) for p in points if any(c == p[0] and s <= p[1] <= e for c, s, e in regions))
