@@ -20,6 +20,9 @@ BLOCK = 1 << 20
 #: Rows up to which a small table is broadcast; larger ones are copied, and rows are dealt among the copies.
 FEW = 100_000
 DEALT = 32
+#: Partitions of a sequence beside those that blocks of BLOCK rows need: smaller blocks share partitions, since each task
+#: costs the driver some KB.
+PARTITIONS = 64
 
 
 def is_small(few: DataFrame) -> bool:
@@ -39,10 +42,15 @@ def dealt_join(rows: DataFrame, few: DataFrame, on: Sequence[str], by: str, how:
     return rows.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(DEALT)).cast("int")).join(copies, [*on, "_deal"], how).drop("_deal")
 
 
+def partitions(n: int, size: int) -> int:
+    """The partitions of n rows in blocks of size: one a block, but no more than PARTITIONS for blocks of less than BLOCK rows."""
+    return max(1, min(math.ceil(n / size), max(PARTITIONS, math.ceil(n / BLOCK))))
+
+
 def numbered(rows: DataFrame, keys: Sequence[str], order: str | Sequence[str], size: int = BLOCK, n: int | None = None) -> DataFrame:
     """rows with _i, their number from 0 within the key by order; checkpointed. Ties are numbered by a hash of the row."""
     order = [order] if isinstance(order, str) else list(order)
-    parts = max(1, math.ceil((rows.count() if n is None else n) / size))
+    parts = partitions(rows.count() if n is None else n, size)
     line = [*keys, *order, "_tie"]
     dealt = rows.withColumn("_tie", F.xxhash64(*rows.columns)).repartitionByRange(parts, *line).sortWithinPartitions(*line)
     placed = checkpoint(dealt.drop("_tie").withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}))

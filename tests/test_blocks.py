@@ -139,3 +139,8 @@ def test_points_within_more_regions_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK", 16)
     got = I.within(spark.createDataFrame(points, "chr_idx int, pos bigint"), spark.createDataFrame(regions, "chr_idx int, start bigint, end bigint"), ["chr_idx"], width=16)
     assert told(got) == sorted(repr(p) for p in points if any(c == p[0] and s <= p[1] <= e for c, s, e in regions))
+
+
+def test_small_blocks_share_partitions():
+    assert [blocks.partitions(n, 1000) for n in (0, 999, 5_001, 9_000_000, 100 << 20)] == [1, 1, 6, blocks.PARTITIONS, 100]
+    assert blocks.partitions(5 << 20, blocks.BLOCK) == 5
