@@ -95,3 +95,17 @@ def test_gc_by_blocks_and_pieces(spark):
     for piece, block in ((1 << 20, 1 << 20), (7, 50), (130, 10), (50, 125)):
         got = GC.gc_windows(GC.pieces(rows, piece), block=block)
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_sums_are_made_where_windows_are_counted(spark):
+    """Sums of windows are those of the rows, over seams and letters of several bytes; no row is made for a window."""
+    draw = random.Random(4)
+    data = [(str(k), "".join(draw.choice("GCgcatNé中😀") for _ in range(draw.choice([1, 7, 40, 333])))) for k in range(30)]
+    parts = GC.pieces(spark.createDataFrame(data, "chr string, seq string"), 50)
+    gc = F.col("gc").cast("bigint")
+    sums = (F.count("*").alias("n"), F.sum(gc).alias("total"), F.sum(gc * (F.col("start") + 1)).alias("by_place"), F.sum(gc * gc).alias("squares"))
+    want = sorted(map(tuple, GC.gc_windows(parts, (1, 5, 25), 16).groupBy("chr", "window_size").agg(*sums).collect()))
+    assert sorted(map(tuple, GC.gc_sums(parts, (1, 5, 25), 16).collect())) == want
+    counts = lambda s, k: [sum(c in "GCgc" for c in s[i : i + k]) for i in range(len(s))]
+    plain = [(c, k, len(s), sum(x), sum(v * (i + 1) for i, v in enumerate(x)), sum(v * v for v in x)) for c, s in data for k in (1, 5, 25) for x in [counts(s, k)]]
+    assert want == sorted(plain)
