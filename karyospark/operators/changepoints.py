@@ -25,6 +25,9 @@ from .segmentation import eliminate_points, geometry, learn_from, posterior, tho
 
 #: Windows of a block, and candidates up to which a contig's learning is finished in one task.
 BLOCK, FINISH = 1 << 16, 1 << 18
+#: Rounds without a drop after which contigs of FINISH candidates at most are finished in a task too: what survives stands
+#: still only after hundreds of rounds, which cost a job each here. Contigs that dropped nothing yet wait for so many rounds.
+PATIENCE, WAIT = 8, 100
 
 #: What a block tells of itself: its candidates, the first and last of them, all and those that would be kept, how far a round
 #: moved, and the corners of its inverse with its own solution there.
@@ -224,31 +227,36 @@ class Learning:
     def decide(self, rounds: int) -> DataFrame:
         """(keys, done, prune) of each contig after a round: still or out of rounds, or too many candidates to be dropped to go on."""
         p = self.p
-        sums = self.state.groupBy(*self.keys).agg(F.max("moved").alias("moved"), F.sum("kept").alias("kept"), F.sum("n").alias("n"))
+        sums = self.state.groupBy(*self.keys).agg(F.max("moved").alias("moved"), F.sum("kept").alias("kept"), F.sum("n").alias("n"), F.first("m").alias("m"))
         done = (F.col("moved") < p.segment_tolerance) | F.lit(rounds >= p.segment_rounds) | (F.col("n") == 0)
-        return sums.select(*self.keys, done.alias("done"), (~done & (F.col("kept") < 0.9 * F.col("n"))).alias("prune"), "kept")
+        return sums.select(*self.keys, done.alias("done"), (~done & (F.col("kept") < 0.9 * F.col("n"))).alias("prune"), "kept", "n", (F.col("n") < F.col("m") - 1).alias("fell"))
 
     def run(self, finish: int) -> Iterator[tuple[DataFrame, int]]:
-        """(states, rounds) of contigs that are done or whose candidates are finish at most, as they come to be so."""
-        rounds, few = 0, f"done or (prune and kept <= {finish})"
+        """(states, rounds) of contigs that are done or whose candidates are finish at most, or FINISH where rounds go on
+        without a drop, as they come to be so."""
+        rounds, dropped = 0, 0
         self.go(self.told(nothing_yet), reduce)
         while True:
             self.go(self.told(joined), update)
             rounds += 1
             verdict = self.decide(rounds)
+            few = f"done or (prune and kept <= {finish})"
+            if rounds - dropped >= PATIENCE:
+                few += f" or (not prune and n <= {FINISH} and (fell or {rounds} >= {WAIT}))"
             any_ended, any_prune, any_left = verdict.agg(*[F.coalesce(F.max(x), F.lit(False)) for x in (F.expr(few), F.expr(f"prune and not ({few})"), F.expr(f"not ({few})"))]).first()
             if not any_ended and not any_prune:
                 continue
             verdict = checkpoint(verdict)
             left = verdict.where(f"not ({few})").select(*self.keys, "prune")
             if any_ended:
-                out = dealt_join(self.state, verdict.where(few).select(*self.keys, "done"), self.keys, "block")
-                yield checkpoint(out.select(*self.keys, "block", "m", "v", *STATE, "done")), rounds
+                out = dealt_join(self.state, verdict.where(few).select(*self.keys, "done", "prune"), self.keys, "block")
+                yield checkpoint(out.select(*self.keys, "block", "m", "v", *STATE, "done", "prune")), rounds
                 if not any_left:
                     remove(self.spark, self.folder)
                     return
                 self.state = self.kept(dealt_join(self.state, left.select(*self.keys), self.keys, "block"))
             if any_prune:
+                dropped = rounds
                 self.go(self.told(nothing_yet, left), reduce)
 
 
@@ -281,7 +289,7 @@ def long_change_points(rows: DataFrame, keys: tuple[str, ...], p: Params = Param
     """(keys, at): the numbers of the windows at which a new segment begins, as change_points() of each whole contig gives them.
 
     rows: keys, _i (the window's number within the contig) and y. A task holds a block of size windows, and of a contig its
-    candidates once they are finish at most.
+    candidates once they are finish at most, or FINISH once rounds go on without a drop.
     """
     keys = tuple(keys)
     blocks = packed(rows, keys, size)
@@ -298,8 +306,9 @@ def long_change_points(rows: DataFrame, keys: tuple[str, ...], p: Params = Param
             at = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["at"]])
             alpha, weight, z = (np.concatenate([np.frombuffer(x, np.float64) for x in pdf[c]]) for c in STATE[1:])
             m, v = int(pdf["m"].iloc[0]), float(pdf["v"].iloc[0])
-            kept = alpha < p.segment_max_alpha
-            at, alpha, weight, z = at[kept], alpha[kept], weight[kept], z[kept]
+            if pdf["done"].iloc[0] or pdf["prune"].iloc[0]:
+                kept = alpha < p.segment_max_alpha
+                at, alpha, weight, z = at[kept], alpha[kept], weight[kept], z[kept]
             if not pdf["done"].iloc[0]:
                 at, z = learn_from(at, alpha, weight, z, m, v, rounds, p)
             x = at.astype(np.float64)

@@ -57,3 +57,23 @@ def test_long_contigs_give_the_segments_of_short_ones(spark):
     rows = spark.createDataFrame(data, "chr_idx int, start bigint, coverage_ratio double")
     told = lambda df: sorted((r["chr_idx"], r["start"], r["end"], round(r["ratio"], 9), round(r["stddev"], 9), r["n_windows"]) for r in df.collect())
     assert told(SG.segment(rows, p, long=100, block=64, finish=200)) == told(SG.segment(rows, p))
+
+
+def test_rounds_end_where_more_survive_than_finish(spark, monkeypatch):
+    """Breakpoints that no round drops any more don't cost a job for each round until they stand still."""
+    p, m, seen = Params(segment_threshold=6.0, segment_min_length=10), 640, []
+    signals = {k: signal(m, k) for k in range(3)}
+    rows = spark.createDataFrame(pd.concat([pd.DataFrame({"sample": k, "_i": np.arange(m), "y": y}) for k, y in signals.items()]))
+    run = CP.Learning.run
+
+    def watched(self, finish):
+        for states, rounds in run(self, finish):
+            seen.append(rounds)
+            yield states, rounds
+
+    monkeypatch.setattr(CP.Learning, "run", watched)
+    got = {}
+    for r in CP.long_change_points(rows, ("sample",), p, 160, 0).collect():
+        got.setdefault(r["sample"], []).append(r["at"])
+    assert {k: sorted(x) for k, x in got.items()} == {k: SG.change_points(y, p.segment_threshold, p.segment_min_length, p) for k, y in signals.items()}
+    assert seen and max(seen) <= CP.WAIT
