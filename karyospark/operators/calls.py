@@ -30,6 +30,31 @@ def interval_columns(rows: DataFrame, purity: float, ploidy: float, p: Params) -
     return rows.withColumn("cp_stddev", sd).withColumn("interval_left", F.col("copy_no_float") - sd).withColumn("interval_right", F.col("copy_no_float") + sd)
 
 
+def by_peaks(segments: DataFrame, period: Period, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """Segments in a peak with sites, with the peak's copies cp_int, and those in no peak; both with copy_no_float."""
+    peaks = peak_table(segments.sparkSession, period)
+    inside = bucket_join(segments, peaks).where("peak_snps > 0")
+    if strict:
+        inside = inside.withColumn("_least", F.min("peak_index").over(_by_segment())).where("peak_index = _least").drop("_least")
+    value = copy_number(F.col("ratio_int"), period.first, period.period, period.copies_before).alias("copy_no_float")
+    kept = [c for c in ("chr_idx", "start", "end", "stddev", "n_windows", "snps") if c in segments.columns]
+    return inside.select(*kept, F.col("peak_cp").alias("cp_int"), value), outside_peaks(segments, peaks).select(*kept, value)
+
+
+def totals(segments: DataFrame, period: Period, strict: bool = False) -> DataFrame:
+    """One row: lengths and length-weighted copies of all called segments and of those in peaks; needs neither sites nor fits."""
+    inside, outside = by_peaks(segments, period, strict)
+    length = (F.col("end") - F.col("start") + 1).cast("double")
+    sized = inside.select(length.alias("len"), F.col("cp_int").cast("double").alias("c"), F.lit(1).alias("k")).unionByName(outside.select(length.alias("len"), F.col("copy_no_float").alias("c"), F.lit(0).alias("k")))
+    own = F.col("k") == 1
+    return sized.agg(
+        F.sum("len").alias("genome_len_cnv_all"),
+        F.sum(F.when(own, F.col("len"))).alias("genome_len_clonal"),
+        F.try_divide(F.sum(F.col("len") * F.col("c")), F.sum("len")).alias("ploidy_cnv_all"),
+        F.try_divide(F.sum(F.when(own, F.col("len") * F.col("c"))), F.sum(F.when(own, F.col("len")))).alias("ploidy_clonal"),
+    )
+
+
 def call(segments: DataFrame, period: Period, contigs: DataFrame, p: Params = Params(), strict: bool = False, flat: str = ERROR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, one row of totals, and the allele models behind the calls, from usable segments with snps (struct or null).
     Calls have their interval.
@@ -38,14 +63,8 @@ def call(segments: DataFrame, period: Period, contigs: DataFrame, p: Params = Pa
     Segments in no peak are subclonal, unless their copy number is within a tenth of an integer and they have sites.
     Overlapping peaks may call a segment twice; strict keeps its lowest peak only.
     """
-    spark = segments.sparkSession
-    peaks = peak_table(spark, period)
-    inside = bucket_join(segments, peaks).where("peak_snps > 0")
-    if strict:
-        inside = inside.withColumn("_least", F.min("peak_index").over(_by_segment())).where("peak_index = _least").drop("_least")
-    value = copy_number(F.col("ratio_int"), period.first, period.period, period.copies_before)
-    clonal = inside.select("chr_idx", "start", "end", "stddev", "n_windows", "snps", F.col("peak_cp").alias("cp_int"), value.alias("copy_no_float"), F.lit(True).alias("in_peak"))
-    outside = outside_peaks(segments, peaks).select("chr_idx", "start", "end", "stddev", "n_windows", "snps", value.alias("copy_no_float"))
+    inside, outside = by_peaks(segments, period, strict)
+    clonal = inside.withColumn("in_peak", F.lit(True))
     outside = outside.withColumn("cp_int", half_down(F.col("copy_no_float")).cast("int"))
     near = F.abs(F.col("cp_int") - F.col("copy_no_float")) <= 0.1
     outside = outside.withColumn("subclonal", ~near)
@@ -59,16 +78,7 @@ def call(segments: DataFrame, period: Period, contigs: DataFrame, p: Params = Pa
     loose = outside.where("subclonal").select("chr_idx", "start", "end", F.col("copy_no_float").alias("cp"), F.lit(None).cast("int").alias("major_allele_cp"), "copy_no_float", F.lit(False).alias("is_clonal"), "stddev", "n_windows", F.lit(False).alias("in_peak"))
     calls = interval_columns(cumulative(exact.unionByName(loose), contigs), period.purity, period.ploidy, p)
     calls = calls.withColumn("stddev", F.col("stddev") * p.stddev_divider)
-    length = (F.col("end") - F.col("start") + 1).cast("double")
-    sized = clonal.select(length.alias("len"), F.col("cp_int").cast("double").alias("c"), F.lit(1).alias("k")).unionByName(outside.select(length.alias("len"), F.col("copy_no_float").alias("c"), F.lit(0).alias("k")))
-    own = F.col("k") == 1
-    totals = sized.agg(
-        F.sum("len").alias("genome_len_cnv_all"),
-        F.sum(F.when(own, F.col("len"))).alias("genome_len_clonal"),
-        F.try_divide(F.sum(F.col("len") * F.col("c")), F.sum("len")).alias("ploidy_cnv_all"),
-        F.try_divide(F.sum(F.when(own, F.col("len") * F.col("c"))), F.sum(F.when(own, F.col("len")))).alias("ploidy_clonal"),
-    )
-    return calls, totals, fits
+    return calls, totals(segments, period, strict), fits
 
 
 def _by_segment():

@@ -49,3 +49,18 @@ def test_segmentation_equals_single_signals(spark):
             want.append((c, rows[a][0], rows[b - 1][0] + Q.W - 1, pytest.approx(sum(v) / len(v)), b - a))
     got = Q.QUERIES["segmentation"](spark, BIGGER).collect()
     assert want and sorted((r["chr_idx"], r["start"], r["end"], r["ratio"], r["n_windows"]) for r in got) == sorted(want, key=lambda w: w[:2])
+
+
+def test_totals_need_no_fits(spark, db, monkeypatch):
+    """The totals of a period come from its segments alone: no mixture is fitted and no site joined for them."""
+    from karyospark.operators import calls
+    from karyospark.operators import snp
+
+    def never(*args, **kwargs):
+        raise AssertionError
+
+    monkeypatch.setattr(calls, "allele_models", never)
+    monkeypatch.setattr(snp, "interval_join", never)
+    got = Q.QUERIES["totals_of_a_period"](spark, SF).first().asDict()
+    rel = db.execute(Q.ORACLE_SQL["totals_of_a_period"])
+    assert got == dict(zip([d[0] for d in rel.description], rel.fetchone()))
