@@ -76,6 +76,31 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], pos:
     return pairs.unionByName(lone, allowMissingColumns=True)
 
 
+def homed_join(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str = "pos", start: str = "start", end: str = "end", width: int = 100_000) -> DataFrame:
+    """Each interval with the points that it holds, ready to be grouped by it without another shuffle: (keys, _level, _home, start, end,
+    _same, the points' columns), a row for each point in it, one of nulls for none.
+
+    An interval lies in the one bin where it starts, its home, of the first level whose bins are as wide as it is long, so
+    all its pairs are made in one task; equal ones are one, with their other columns in the list _same. A point asks its own
+    bin, and the one before if it is near enough to the bin's start for an interval from there to reach it.
+    """
+    level = level_of(F.col(start), F.col(end), width)
+    other = [c for c in intervals.columns if c not in (*keys, start, end)]
+    # where end lies before start, or a key is null, no point is inside
+    placed_at = intervals.withColumn("_level", level).withColumn("_home", int_div(F.col(start), width_at(F.col("_level"), width)))
+    homes = placed_at.repartition(*keys, "_level", "_home").groupBy(*keys, "_level", "_home", start, end).agg(F.collect_list(F.struct(*other) if other else F.lit(True)).alias("_same"))
+    reach = intervals.groupBy(level.alias("level")).agg(F.max(F.col(end) - F.col(start)).alias("long"))
+    reach = F.broadcast(reach.agg(F.coalesce(F.collect_list(F.struct("level", "long")), F.array().cast("array<struct<level:int,long:bigint>>")).alias("_levels")))
+    wide = lambda x: width_at(x["level"], width)
+    asked = points.crossJoin(reach).withColumn("_x", F.explode("_levels")).drop("_levels")  # by one row
+    own, before = int_div(F.col(pos), wide(F.col("_x"))), int_div(F.col(pos) - F.greatest(F.col("_x.long"), F.lit(0)), wide(F.col("_x")))
+    asked = asked.withColumns({"_its": F.col("_x.level"), "_bin": F.explode(F.sequence(before, own))}).drop("_x")
+    asked = asked.withColumnsRenamed({k: f"_its_{k}" for k in keys})
+    same = [F.col(k) == F.col(f"_its_{k}") for k in keys] + [F.col("_level") == F.col("_its"), F.col("_home") == F.col("_bin")]
+    pairs = homes.join(asked, [*same, F.col(pos).between(F.col(start), F.col(end))], "left")
+    return pairs.drop("_its", "_bin", *[f"_its_{k}" for k in keys])
+
+
 def apart(regions: DataFrame, keys: list[str], start: str = "start", end: str = "end", block: int | None = None) -> DataFrame:
     """(keys, start, end) of pieces that cover what the regions do, but lie apart: of each region what lies after all before.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import log_odds, sorted_midpoint
 from ..params import Params
-from .intervals import interval_join
+from .intervals import homed_join
 
 # Genotypes that count as heterozygous.
 HET_GENOTYPES = ("0/1", "0|1", "1|0")
@@ -50,10 +50,10 @@ def segment_snps(snps: DataFrame, segments: DataFrame, p: Params = Params(), key
 
     A segment is its keys (the contig, and the sample where they name one), start and end. The log odds themselves are gathered by segment_bags().
     """
-    joined = interval_join(snps, segments.select(*keys, "start", "end").distinct(), list(keys), width=p.bin_width)
+    joined = homed_join(snps.select(*keys, "pos", "coverage", "log_or"), segments.select(*keys, "start", "end"), list(keys), width=p.bin_width)
     # a list of one segment's coverages is bounded, and quicker sorted than counted by value
-    rows = joined.groupBy(*keys, "start", "end").agg(
-        F.count("*").alias("n_snps"), F.collect_list("coverage").alias("coverages"), F.avg("log_or").alias("mean_log_or"), F.var_pop("log_or").alias("var_log_or")
+    rows = joined.groupBy(*keys, "_level", "_home", "start", "end").agg(
+        F.count("pos").alias("n_snps"), F.collect_list("coverage").alias("coverages"), F.avg("log_or").alias("mean_log_or"), F.var_pop("log_or").alias("var_log_or")
     )
     rows = rows.where(F.col("n_snps") > p.min_segment_snps)
     return rows.select(*keys, "start", "end", "n_snps", sorted_midpoint(F.col("coverages")).alias("median_coverage"), "mean_log_or", "var_log_or")
@@ -64,7 +64,11 @@ def segment_bags(snps: DataFrame, segments: DataFrame, p: Params = Params(), key
 
     A bag holds one segment's sites, a bounded stretch of a genome.
     """
-    joined = interval_join(snps, segments.select(*keys, "start", "end").distinct(), list(keys), width=p.bin_width)
-    bags = joined.groupBy(*keys, "start", "end").agg(F.count("*").alias("n"), F.collect_list("coverage").alias("coverages"), F.collect_list("log_or").alias("odds")).where(F.col("n") > p.min_segment_snps)
-    bags = bags.select(*keys, "start", "end", F.struct("n", sorted_midpoint(F.col("coverages")).alias("coverage"), F.sort_array("odds").alias("log_or")).alias("snps"))
-    return segments.join(bags, [*keys, "start", "end"], "left")
+    more = [c for c in segments.columns if c not in (*keys, "start", "end")]
+    joined = homed_join(snps.select(*keys, "pos", "coverage", "log_or"), segments, list(keys), width=p.bin_width)
+    bags = joined.groupBy(*keys, "_level", "_home", "start", "end").agg(
+        F.first("_same").alias("_same"), F.count("pos").alias("n"), F.collect_list("coverage").alias("coverages"), F.collect_list("log_or").alias("odds")
+    )
+    held = F.when(F.col("n") > p.min_segment_snps, F.named_struct(F.lit("n"), "n", F.lit("coverage"), sorted_midpoint(F.col("coverages")), F.lit("log_or"), F.sort_array("odds")))
+    rows = bags.select(*keys, "start", "end", held.alias("snps"), F.explode("_same").alias("_row"))
+    return rows.select(*[F.col(f"_row.{c}").alias(c) if c in more else F.col(c) for c in segments.columns], "snps")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from karyospark.operators import intervals as I
 from karyospark.operators.evaluate import recall_precision, recall_precision_of_runs
@@ -68,3 +69,26 @@ def test_runs_swept_together_equal_each_alone(spark, width):
         assert found == [None if alone[c] is None else pytest.approx(alone[c], rel=1e-9) for c in shares]
     empty = frame(spark, [], names)
     assert recall_precision_of_runs(empty, empty).count() == 0
+
+
+def test_intervals_at_home_equal_nested_loops(spark):
+    """Each interval with its points, equal ones once, in one row a pair and one of nulls for none; grouping them shuffles nothing more."""
+    draw = random.Random(5)
+    points = [(draw.randrange(2), draw.randrange(3_000)) for _ in range(300)]
+    spans = [(draw.randrange(3), s, s + draw.choice([-1, 0, 7, 15, 16, 200, 2_000]), k % 4) for k, s in enumerate(draw.choices(range(3_000), k=120))] * 2
+    a = spark.createDataFrame(points, "chr_idx int, pos bigint")
+    b = spark.createDataFrame(spans, "chr_idx int, start bigint, end bigint, kind int")
+    joined = I.homed_join(a, b, ["chr_idx"], width=16)
+    sums = joined.groupBy("chr_idx", "_level", "_home", "start", "end").agg(F.first("_same").alias("x"), F.count("pos").alias("n"), F.sum("pos").alias("s"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = joined.groupBy("chr_idx", "_level", "_home", "start", "end").count()._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["chr_idx"], r["start"], r["end"], sorted(x["kind"] for x in r["x"]), r["n"], r["s"] or 0) for r in sums.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = []
+    for c, s, e in {x[:3] for x in spans}:
+        own = [p for k, p in points if k == c and s <= p <= e]
+        want.append((c, s, e, sorted(x[3] for x in spans if x[:3] == (c, s, e)), len(own), sum(own)))
+    assert got == sorted(want)
+    assert plan.count("Exchange hashpartitioning") == 3  # the intervals, the points, and the levels' few rows

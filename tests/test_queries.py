@@ -60,7 +60,7 @@ def test_totals_need_no_fits(spark, db, monkeypatch):
         raise AssertionError
 
     monkeypatch.setattr(calls, "allele_models", never)
-    monkeypatch.setattr(snp, "interval_join", never)
+    monkeypatch.setattr(snp, "segment_bags", never)
     got = Q.QUERIES["totals_of_a_period"](spark, SF).first().asDict()
     rel = db.execute(Q.ORACLE_SQL["totals_of_a_period"])
     assert got == dict(zip([d[0] for d in rel.description], rel.fetchone()))
