@@ -65,25 +65,37 @@ def mixtures(x: np.ndarray, held: np.ndarray, mu: np.ndarray, steps: list[list[t
     mean = average(x, held, n)
     low, high = np.where(held, x, np.inf).min(1), np.where(held, x, -np.inf).max(1)
     alpha, var = (mean - low) / (high - low), average((x - mean[:, None]) ** 2, held, n)
-    left, right = (x + mu[:, None]) ** 2, (x - mu[:, None]) ** 2
+    right = (x - mu[:, None]) ** 2
+    apart, total = np.where(held, 4 * x * mu[:, None], 0.0), np.where(held, right, 0.0).sum(1)  # left less right, and all of right
     done = np.zeros(len(x), bool)
     at = np.arange(len(x))
+    own, near = held.astype(np.float64), apart
+    a, v, k, all_right = alpha.copy(), var.copy(), n, total
     for _ in range(ROUNDS + 1):
         if not len(at):
             break
-        h, k, a, v = held[at], n[at], alpha[at], var[at]
         # posterior of the left curve, from the difference of the two exponents
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            odds = (np.log(np.maximum(1 - a, 0.0)) - np.log(a))[:, None] + (left[at] - right[at]) / (2 * v[:, None])
-            post = 1 / (1 + np.exp(odds))
-            new_v = average(post * left[at] + (1 - post) * right[at], h, k)
-            new_a = np.minimum(1.0, average(post, h, k))
+            post = near * (0.5 / v)[:, None]
+            post += (np.log(np.maximum(1 - a, 0.0)) - np.log(a))[:, None]
+            np.exp(post, out=post)
+            post += 1
+            np.reciprocal(post, out=post)
+            new_v = (all_right + np.einsum("ij,ij->i", post, near)) / k
+            new_a = np.minimum(1.0, np.einsum("ij,ij->i", post, own) / k)
+            tiny = np.flatnonzero(~(new_v > 1e-6 * all_right / k))  # where the sum cancels
+            if len(tiny):
+                i = at[tiny]
+                new_v[tiny] = average(post[tiny] * (x[i] + mu[i][:, None]) ** 2 + (1 - post[tiny]) * right[i], held[i], n[i])
             still = (np.abs((a - new_a) / a) < TOLERANCE) & (np.abs((v - new_v) / v) < TOLERANCE)
         alpha[at], var[at], done[at] = new_a, new_v, still
         if steps is not None:
             for i, step in zip(at.tolist(), zip(new_a.tolist(), new_v.tolist(), likelihoods(x[at], held[at], new_a, mu[at], new_v).tolist())):
                 steps[i].append(step)
-        at = at[~(still | ~(new_a > 0) | ~(new_v > 0))]
+        go = ~(still | ~(new_a > 0) | ~(new_v > 0))
+        if not go.all():
+            at, new_a, new_v, own, near, k, all_right = (y[go] for y in (at, new_a, new_v, own, near, k, all_right))
+        a, v = new_a, new_v
     return alpha, var, done, likelihoods(x, held, alpha, mu, var)
 
 
