@@ -54,11 +54,16 @@ class Plan:
 
 #: 64 bits over four words at distance 4: of three segments one differs in one bit at most.
 CONTRACT = Plan((4, 1), 4, ((0, 0, 22), (0, 22, 21), (0, 43, 21)))
+#: The same of sets of five-word shingles, to find candidates: at distance 5 a pair still shares a variant for sure, up to 10 often.
+COPIES = Plan((5, 1), 10, CONTRACT.segments, distinct=True)
+
+
 @dataclass(frozen=True)
 class Jaccard:
     """Links of texts by the Jaccard similarity of their sets of shingles.
 
-    Candidates agree in all minima of a band; a sketch of one byte a minimum sorts them out, the sets decide.
+    First candidates share a deletion variant (variants); the sets decide. What these links leave apart is searched by bands:
+    further candidates agree in all minima of a band; a sketch of one byte a minimum sorts them out, the sets decide.
     """
 
     width: int
@@ -66,6 +71,7 @@ class Jaccard:
     bands: int
     rows: int
     minima: int
+    variants: Plan = COPIES
 
 
 #: At 0.8 and more a pair misses all 16 bands of 4 minima once in 4600, wherever its edits stand.
@@ -94,6 +100,19 @@ def shingles(text: str, width: int) -> tuple[bytes, list[int], list[int]]:
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    if len(hashes) < 64:
+        return np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.concatenate([np.bincount(octets[:, j], minlength=256) @ BITS for j in range(8)])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as signature() has them for distinct shingles."""
+    return int(np.packbits(2 * ones_of(hashes) > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def signature(text: str, width: int, n_words: int = 1, distinct: bool = False) -> list[int]:
     """Majority bits of the shingles' hashes, in 64-bit words.
 
@@ -112,12 +131,7 @@ def signature(text: str, width: int, n_words: int = 1, distinct: bool = False) -
         for k in range(n_words):
             if k:
                 hashes = mixed(hashes)
-            octets = hashes.view(np.uint8).reshape(-1, 8)
-            if len(got) < 64:
-                ones[k] += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
-            else:
-                for j in range(8):
-                    ones[k, 8 * j : 8 * j + 8] += np.bincount(octets[:, j], minlength=256) @ BITS
+            ones[k] += ones_of(hashes)
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
@@ -381,26 +395,27 @@ def minima(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, plan: Jaccard, *keep: str) -> DataFrame:
-    """The kept columns with nid (the hash of the set of shingles), sketch, and the key of each band."""
+    """The kept columns with nid (the hash of the set of shingles), v0 (the set's SimHash), sketch, and the key of each band."""
     bound_batches(docs.sparkSession)
     rows = texts(docs, *keep)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nids, marks, keys = [], [], []
+            nids, bits, marks, keys = [], [], [], []
             for text in b.column(b.num_columns - 1):
                 hashes = shingle_hashes(text.as_py(), plan.width)
                 least = minima(hashes, plan.minima)
                 nids.append(mixed(hashes).sum(dtype=np.uint64))
+                bits.append(majority(hashes))
                 marks.append(mixed(least).astype(np.uint8).tobytes())
                 key = np.arange(plan.bands, dtype=np.uint64)
                 for k in range(plan.rows):
                     key = mixed(key ^ least[k * plan.bands : (k + 1) * plan.bands])
                 keys.append(key.view(np.int64))
-            made = [pa.array(np.array(nids, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "nid", "sketch", "keys"])
+            made = [pa.array(np.array(nids, np.uint64).view(np.int64)), pa.array(bits, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "nid", "v0", "sketch", "keys"])
 
-    return rows.mapInArrow(sign, ", ".join([*[f"`{c}` {t}" for c, t in rows.dtypes[:-1]], "nid bigint, sketch binary, keys array<bigint>"]))
+    return rows.mapInArrow(sign, ", ".join([*[f"`{c}` {t}" for c, t in rows.dtypes[:-1]], "nid bigint, v0 bigint, sketch binary, keys array<bigint>"]))
 
 
 def spanning(marks: np.ndarray, order: np.ndarray, strict: int) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
@@ -458,26 +473,35 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
     return checkpoint(beside(keys, counts))
 
 
+def open_buckets(shared: DataFrame, tree: DataFrame) -> DataFrame:
+    """The rows (u, v, m) of shared_bands() with comp, v's component, of keys whose holders lie in several components."""
+    shared = shared.select("u", "v", "m")
+    named = checkpoint(shared.join(tree, shared["v"] == tree["node"], "left").select("u", "v", "m", F.coalesce("root", "v").alias("comp")))
+    split = named.groupBy("u").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.bitwise_not("u").alias("open"))  # see beside()
+    return checkpoint(named.join(split, F.bitwise_not(named["u"]) == split["open"], "left_semi"))
+
+
 def candidates(nodes: DataFrame, shared: DataFrame, plan: Jaccard) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band and whose sketches are close enough for the sets to be compared.
+    """Pairs (a, b) of nodes of different components that share a band and whose sketches are close enough for the sets to be compared.
 
-    Sketches go only with the keys that several nodes hold (shared_bands()).
+    Sketches go only with the keys that nodes of several components hold (open_buckets()).
     """
-    held = shared.groupBy(F.col("v").alias("holder")).agg(F.collect_list("u").alias("held"))  # as many as bands
-    rows = nodes.join(held, nodes["nid"] == held["holder"]).select(F.explode("held").alias("key"), "nid", "sketch")
+    held = shared.groupBy(F.col("v").alias("holder")).agg(F.min("comp").alias("comp"), F.collect_list("u").alias("held"))  # as many as bands
+    rows = nodes.join(held, nodes["nid"] == held["holder"]).select(F.explode("held").alias("key"), "nid", "sketch", "comp")
     counts = shared.where(F.col("m") > CHUNK).select(F.col("u").alias("key"), F.col("m").alias("n")).distinct()
     dealt = by_pairs_of_blocks(rows, counts).repartition("key").sortWithinPartitions("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(keys, nids, marks):
+        def pairs(keys, nids, marks, comps):
             left, right = [], []
             starts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
             for i in np.flatnonzero(np.diff(starts) > 1):
                 s, e = starts[i], starts[i + 1]
                 held = np.frombuffer(b"".join(marks[s:e]), np.uint8).reshape(e - s, plan.minima)
                 a, b = candidates_of(held, plan, int(keys[s]))
-                left.append(nids[s + a])
-                right.append(nids[s + b])
+                new = comps[s + a] != comps[s + b]
+                left.append(nids[s + a[new]])
+                right.append(nids[s + b[new]])
             if left and sum(map(len, left)):
                 a, b = np.concatenate(left), np.concatenate(right)
                 both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
@@ -487,15 +511,17 @@ def candidates(nodes: DataFrame, shared: DataFrame, plan: Jaccard) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()))
+            kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()))
             if sum(len(k[0]) for k in kept) < (1 << 15) or kept[0][0][0] == kept[-1][0][-1]:
                 continue
-            keys, nids, marks = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]), [m for k in kept for m in k[2]]
+            keys, nids, comps = (np.concatenate([k[i] for k in kept]) for i in (0, 1, 3))
+            marks = [m for k in kept for m in k[2]]
             cut = int(np.searchsorted(keys, keys[-1]))
-            yield from pairs(keys[:cut], nids[:cut], marks[:cut])
-            kept = [(keys[cut:], nids[cut:], marks[cut:])]
+            yield from pairs(keys[:cut], nids[:cut], marks[:cut], comps[:cut])
+            kept = [(keys[cut:], nids[cut:], marks[cut:], comps[cut:])]
         if kept:
-            yield from pairs(np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]), [m for k in kept for m in k[2]])
+            keys, nids, comps = (np.concatenate([k[i] for k in kept]) for i in (0, 1, 3))
+            yield from pairs(keys, nids, [m for k in kept for m in k[2]], comps)
 
     return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
 
@@ -539,10 +565,7 @@ def similar(pairs: DataFrame, sets: DataFrame, plan: Jaccard) -> DataFrame:
 
 def unsettled(shared: DataFrame, tree: DataFrame) -> DataFrame:
     """(nid, comp): the members of buckets above SMALL that verified links leave in several components, and theirs."""
-    large = shared.where(F.col("m") > SMALL)
-    named = checkpoint(large.join(tree, large["v"] == tree["node"], "left").select("u", F.col("v").alias("nid"), F.coalesce("root", "v").alias("comp")))
-    split = named.groupBy(F.col("u").alias("open")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return checkpoint(named.join(split, named["u"] == split["open"], "left_semi").select("nid", "comp").distinct())
+    return checkpoint(open_buckets(shared.where(F.col("m") > SMALL), tree).select(F.col("v").alias("nid"), "comp").distinct())
 
 
 def meetings(members: DataFrame, sets: DataFrame, plan: Jaccard) -> DataFrame:
@@ -605,23 +628,40 @@ def meetings(members: DataFrame, sets: DataFrame, plan: Jaccard) -> DataFrame:
     return dealt.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
+def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, plan: Jaccard) -> DataFrame:
+    """Those of the checkpointed pairs that are linked, by the sets of their texts."""
+    return similar(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), signed, docs, plan), plan)
+
+
+def grown(tree: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, root) of a tree and further edges (a, b)."""
+    edges = checkpoint(edges)
+    return tree if edges.isEmpty() else components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges))
+
+
+def copies_tree(signed: DataFrame, docs: DataFrame, plan: Jaccard) -> DataFrame:
+    """(node, root) of the nodes of sketches() that deletion variants link: a task's groups give each member's edge to
+    the smallest nid, and the sets decide on these edges."""
+    return components(verified(checkpoint(links(signed.select("nid", "v0").distinct(), plan.variants)), signed, docs, plan))
+
+
 def jaccard_tree(docs: DataFrame, plan: Jaccard) -> tuple[DataFrame, DataFrame]:
     """The keys of every row of docs (with row_key()) and its nid, and (node, root) of linked nodes.
 
-    Rows with equal sets of shingles are one node; null and empty texts have the empty set. Estimates only choose what is
-    compared first: where verified links leave a large bucket in several components, its members are searched again exactly.
+    Rows with equal sets of shingles are one node; null and empty texts have the empty set. Deletion variants link first;
+    bands search what that leaves apart. Estimates only choose what is compared first: where verified links leave a large
+    bucket in several components, its members are searched again exactly.
     """
     signed = checkpoint(sketches(docs, plan, "__key_id", "__key_text"))
+    tree = copies_tree(signed, docs, plan)
     nodes = signed.select("nid", "sketch", "keys").dropDuplicates(["nid"])
-    shared = shared_bands(nodes)
-    pairs = checkpoint(candidates(nodes, shared, plan))
-    tree = components(similar(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), signed, docs, plan), plan))
+    shared = open_buckets(shared_bands(nodes), tree)
+    tree = grown(tree, verified(checkpoint(candidates(nodes, shared, plan)), signed, docs, plan))
     members = unsettled(shared, tree)
     if members.isEmpty():
         return signed, tree
     sets = sets_of(members.select(F.col("nid").alias("node")), signed, docs, plan)
-    more = checkpoint(similar(checkpoint(meetings(members, sets, plan)), sets, plan))
-    return signed, tree if more.isEmpty() else components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    return signed, grown(tree, similar(checkpoint(meetings(members, sets, plan)), sets, plan))
 
 
 def near_tree(docs: DataFrame, plan: Plan, *keep: str) -> tuple[DataFrame, DataFrame]:
@@ -659,7 +699,8 @@ def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, plan: Jaccard = NEAR) -> DataFrame:
     """The rows of docs, one of each near-duplicate group: that of the smallest doc_id, null ids last.
 
-    Texts are linked where the Jaccard similarity of their five-word shingles is 0.8 or more; extra columns of any name stay.
+    Texts are linked where the Jaccard similarity of their five-word shingles is 0.8 or more, found by deletion variants of their
+    SimHash and then by bands; extra columns of any name stay.
     Of equal rows (id and text) one stays. Kept rows are settled on keys alone; texts join them once.
     """
     names, docs = docs.columns, apart(docs, "doc_id", "text")

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -157,6 +158,29 @@ def test_block_edits_are_found_and_lower_similarity_is_not(spark, n):
         assert len(low) > 20 and all(i + 1 in kept for i in low)
 
 
+def test_near_duplicates_come_by_deletion_variants(spark):
+    """Without bands, pairs whose SimHashes differ in 5 bits at most are linked all the same, those of lower similarity are not."""
+    draw = random.Random(11)
+    words = lambda k: ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    rows, pairs = [], []
+    for i in range(160):
+        one = words(400)
+        two = list(one)
+        for at in draw.sample(range(400), 1 + i % 4):
+            two[at] = words(1)[0]
+        if i % 8 == 7:
+            two = words(400)
+        prints = [simhash.signature(" ".join(t), 5, distinct=True)[0] for t in (one, two)]
+        assert prints == [simhash.majority(simhash.shingle_hashes(" ".join(t), 5)) for t in (one, two)]
+        pairs.append((len(rows), i % 8 != 7, ((prints[0] ^ prints[1]) & (2**64 - 1)).bit_count()))
+        rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(docs, replace(simhash.NEAR, bands=0)).select("doc_id").collect()}
+    sure = [i for i, alike, d in pairs if alike and d <= 5]
+    assert len(sure) > 80 and not any(i + 1 in kept for i in sure)
+    assert all(i + 1 in kept for i, alike, _ in pairs if not alike)
+
+
 def test_large_buckets_keep_similar_pairs():
     """In a bucket of many unlike sketches a pair near the limit is a candidate; copies give a forest, not their square."""
     draw = np.random.default_rng(4)
