@@ -101,6 +101,32 @@ def homed_join(points: DataFrame, intervals: DataFrame, keys: list[str], pos: st
     return pairs.drop("_its", "_bin", *[f"_its_{k}" for k in keys])
 
 
+def sums_within(points: DataFrame, intervals: DataFrame, keys: list[str], by: str, value: str, pos: str = "pos", start: str = "start", end: str = "end", block: int = 1 << 16) -> DataFrame:
+    """(by, n, total): of each value of by, over all its intervals, how many points they hold and the sum of the points' value,
+    as grouping interval_join() by it gives; none for intervals without points.
+
+    No pair is made: an interval holds what lies up to its end less what lies before its start. Points and ends go once to
+    their stretch of block positions, are summed along it, and get the total of all stretches before.
+    """
+    nothing, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    known = [F.col(k).isNotNull() for k in keys]
+    held = F.col(value).cast("bigint")
+    sites = points.where(F.col(pos).isNotNull()).where(F.array_min(F.array(*known))).select(
+        *keys, F.col(pos).cast("bigint").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast(intervals.schema[by].dataType).alias("_by"), one.alias("_n"), held.isNotNull().cast("bigint").alias("_k"), F.coalesce(held, nothing).alias("_v"))
+    spans = intervals.where(F.col(start) <= F.col(end)).where(F.array_min(F.array(*known)))
+    edge = lambda c, turn: spans.select(*keys, F.col(c).cast("bigint").alias("_at"), F.lit(turn).alias("_turn"), F.col(by).alias("_by"), *[nothing.alias(x) for x in ("_n", "_k", "_v")])
+    # at one position starts come before points, ends after them
+    rows = sites.unionByName(edge(start, 0)).unionByName(edge(end, 2)).withColumn("_block", int_div(F.col("_at"), F.lit(block)))
+    line = Window.partitionBy(*keys, "_block").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    along = rows.select(*keys, "_block", "_turn", "_by", *[F.sum(c).over(line).alias(c) for c in ("_n", "_k", "_v")]).where("_turn <> 1")
+    blocks = rows.groupBy(*keys, "_block").agg(*[F.sum(c).alias(c) for c in ("_n", "_k", "_v")])
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    totals = blocks.select(*keys, "_block", *[F.coalesce(F.sum(c).over(before), nothing).alias(f"{c}_before") for c in ("_n", "_k", "_v")])
+    sign = F.col("_turn").cast("bigint") - 1
+    sums = along.join(totals, [*keys, "_block"]).groupBy(F.col("_by").alias(by)).agg(*[F.sum(sign * (F.col(c) + F.col(f"{c}_before"))).alias(c) for c in ("_n", "_k", "_v")])
+    return sums.where("_n > 0").select(by, F.col("_n").alias("n"), F.when(F.col("_k") > 0, F.col("_v")).alias("total"))
+
+
 def apart(regions: DataFrame, keys: list[str], start: str = "start", end: str = "end", block: int | None = None) -> DataFrame:
     """(keys, start, end) of pieces that cover what the regions do, but lie apart: of each region what lies after all before.
 

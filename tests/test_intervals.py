@@ -92,3 +92,15 @@ def test_intervals_at_home_equal_nested_loops(spark):
         want.append((c, s, e, sorted(x[3] for x in spans if x[:3] == (c, s, e)), len(own), sum(own)))
     assert got == sorted(want)
     assert plan.count("Exchange hashpartitioning") == 3  # the intervals, the points, and the levels' few rows
+
+
+def test_sums_within_send_each_point_once(spark):
+    """Sums equal those over the pairs, with odd rows; a point goes to one place, whatever lengths intervals have."""
+    draw = random.Random(8)
+    points = [(draw.choice([0, 1, None]), draw.choice([None, *range(-40, 400)]), draw.choice([None, 1, 5, 70])) for _ in range(400)]
+    spans = [(i % 90, draw.choice([0, 1, 2, None]), x, x + draw.choice([-3, 0, 1, 20, 300, 5000])) for i in range(120) for x in [draw.randrange(-60, 500)]]
+    a, b = frame(spark, points, "chr_idx int, pos bigint, part bigint"), frame(spark, spans, "id bigint, chr_idx int, start bigint, end bigint")
+    want = I.interval_join(a, b, ["chr_idx"], width=4).groupBy("id").agg(F.count("*").alias("n"), F.sum("part").alias("total"))
+    for block in (1, 7, 1 << 16):
+        assert sorted(map(tuple, I.sums_within(a, b, ["chr_idx"], "id", "part", block=block).collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate explode" not in I.sums_within(a, b, ["chr_idx"], "id", "part")._jdf.queryExecution().toString()
