@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +57,29 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def repeated(start: DataFrame, step: Callable[[DataFrame], DataFrame | None]) -> DataFrame:
+    """A checkpoint of the last rows of start, step(start), step(step(start)).. until a step gives None.
+
+    Each round's rows are written to the shared checkpoint folder and read again, so that plans start anew from the size of
+    files. A checkpoint keeps the estimated size of the plan it comes from, and that of a join is the product of its sides': where
+    each round joins the last one's rows with themselves, the number's digits are a multiple of those before, and soon
+    take the driver's memory and time. The files of the round before go once a round is written.
+    """
+    spark = start.sparkSession
+    folder, before, k = f"{checkpoint_folder(spark)}/rounds-{uuid.uuid4().hex}", None, 0
+    try:
+        while start is not None:
+            path = f"{folder}/{k}"
+            start.write.parquet(path)
+            rows = spark.read.schema(start.schema).parquet(path)
+            if before is not None:
+                remove(spark, before)
+            before, k, start = path, k + 1, step(rows)
+        return checkpoint(rows)
+    finally:
+        remove(spark, folder)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; null for a null id."""
     return F.crc32(doc_id.cast("string")) % 3

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, bound_batches, checkpoint, row_key, table, texts
+from .common import apart, bound_batches, checkpoint, repeated, row_key, table, texts
 
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
@@ -363,19 +363,23 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star contractions: each round ties nodes to their smallest known
     neighbour, by joins and partial minima only, until a round changes nothing.
     """
-    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seal = None
-    while True:
+
+    def contracted(now: DataFrame) -> DataFrame | None:
+        nonlocal seal
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == seal:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return None
         seal = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = beside(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = beside(large, low).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        return small.union(low.select("u", F.col("m").alias("v"))).distinct()
+
+    first = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    return repeated(first, contracted).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:

@@ -93,6 +93,19 @@ def test_a_group_costs_its_size(spark):
         assert len(edges) == n - 1 and len({r["b"] for r in edges}) == 1
 
 
+def test_rounds_of_components_keep_estimates_small(spark):
+    """A chain takes many rounds of contractions; the optimizer's size of the result stays a number of a few digits."""
+    from pyspark.sql import functions as F
+
+    chain = spark.range(200).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    tree = simhash.components(chain)
+    assert tree.count() == 200 and tree.select("root").distinct().count() == 1
+    again = simhash.components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(chain))
+    for held in (tree, again):
+        assert held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, tree.collect()))
+
+
 def test_large_buckets_split_exactly():
     draw = np.random.default_rng(5)
     base = draw.integers(0, 1 << 63, 40, dtype=np.int64).astype(np.uint64)
